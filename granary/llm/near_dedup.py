@@ -31,7 +31,7 @@ from granary.operators.components import connected_components
 
 K = 32
 HOT = 256
-BLOCK = 256
+BLOCK = 1024
 _SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"
 
 
