@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.decontaminate import find_leaks
+from granary.llm.html_text import extract_main_text
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.near_dedup import near_duplicates
 from granary.llm.packing import pack
@@ -38,6 +39,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return scored.drop("text")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_html_extraction": op5_html_extraction,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_line_dedup": op8_line_dedup,
