@@ -84,10 +84,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     total = F.aggregate(_ngrams(), F.lit(0.0), lambda a, b: a + F.get(weights, b))
     chars = lambda dropped: (F.length("q_text") - F.length(F.translate("q_text", dropped, ""))).cast("long")
     names = list(docs.columns)
+    # Not deterministic to the optimiser: a filter on the results stays above this step.  Pushed below, it would carry
+    # the word arrays into the functions over their elements and make them anew for each.
+    zero = F.monotonically_increasing_id() * F.lit(0)
     out = out.select(
         *names, n.cast("long").alias("n_words"), (F.length("q_text").cast("long") - chars(SPACE)).alias("word_chars"), chars(SYMBOLS).alias("n_symbols"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.when(n > 0, total / grams).otherwise(F.lit(0.0)).alias("score"),
+        (F.when(n > 0, total / grams).otherwise(F.lit(0.0)) + zero).alias("score"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
