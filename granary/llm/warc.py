@@ -63,11 +63,13 @@ def write_archive(pages: DataFrame, path: str, *, least: int = 0, date: str = "1
     records = told.select("page_id", "content_key", "payload_digest", "payload_bytes", "record_type", "refers_to", header.alias("header"), "http_header")
     records.write.parquet(f"{path}/records")
     spark = pages.sparkSession
-    owners = spark.read.parquet(f"{path}/records").filter("record_type = 'response'").select(F.col("page_id").alias("p"), F.col("content_key").alias("c"), "payload_bytes")
-    # Where small payloads are all responses, the least page_id stores the bytes.
-    owners = owners.groupBy("c").agg(F.min("p").alias("p"))
-    stored = rows.join(owners, (F.col("content_key") == F.col("c")) & F.col("page_id").eqNullSafe(F.col("p")), "left_semi")
-    stored = stored.select("page_id", "content_key", "payload").dropDuplicates(["page_id", "content_key"])
+    owners = spark.read.parquet(f"{path}/records").filter("record_type = 'response'")
+    # Where small payloads are all responses, the least page_id stores the bytes.  The keys are never null, so the
+    # join and the removal of repeated rows share one exchange of the payloads.
+    no_id = F.lit(-(1 << 63))
+    owners = owners.groupBy("content_key").agg(F.coalesce(F.min("page_id"), no_id).alias("owner"))
+    stored = rows.select("content_key", F.coalesce("page_id", no_id).alias("owner"), "payload").join(owners, ["content_key", "owner"], "left_semi")
+    stored = stored.dropDuplicates(["content_key", "owner"])
     stored.select("content_key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
