@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +35,10 @@ from granary.llm.kernels import chunks, mix, powers, utf8
 TRIGGER = 12
 #: A phrase has about this many bytes; a power of two.
 PHRASE = 128
-GRAM = 24
+GRAM = 22
+#: Bits of a gram's hash that travel: a chance agreement costs a needless comparison, never a wrong result.
+_GRAM_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _RAW = mix(np.arange(256).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51ED2701))
-_RAW2 = mix(np.arange(256).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x1234567))
 
 
 def _sums(data: np.ndarray, table: np.ndarray = _RAW) -> np.ndarray:
@@ -70,12 +72,12 @@ def phrases(sums: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return starts, np.minimum(np.append(starts[1:], n) + length - 1, ends)
 
 
-def anchors(sums: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Positions of the grams that the strings of ``length`` bytes choose."""
+def anchors(sums: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the grams that the strings of ``length`` bytes choose; first and last start of those strings."""
     width = length - GRAM + 1
     grams = _gram_hashes(sums, GRAM)
     if len(grams) < width:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     best = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
@@ -88,13 +90,17 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     lo, hi = offsets[:-1], np.maximum(offsets[1:] - length + 1, offsets[:-1])
     np.add.at(inside, np.minimum(lo, len(best)), 1)
     np.add.at(inside, np.minimum(hi, len(best)), -1)
-    chosen = np.zeros(len(grams), bool)
-    chosen[(best[np.cumsum(inside[:-1]) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-    return np.flatnonzero(chosen)
+    starts = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    chosen = (best[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    new = np.ones(len(chosen), bool)
+    new[1:] = chosen[1:] != chosen[:-1]
+    return chosen[new], starts[new], starts[np.append(new[1:], True)]
 
 
 def _elements(length: int):
-    """(h, h2, doc, pos) of every phrase (pos = -1 - start) and every chosen gram (pos = start)."""
+    """(doc, h, pos) of every phrase (pos = -1 - start) and every chosen gram (pos = start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,38 +110,51 @@ def _elements(length: int):
                 own, at = data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
                 if not len(own):
                     continue
-                sums, sums2 = _sums(own), _sums(own, _RAW2)
+                sums = _sums(own)
                 s, e = phrases(sums, at, length)
                 s, e = s[e - s >= length], e[e - s >= length]
-                a = anchors(sums, at, length)
+                a = anchors(sums, at, length)[0]
                 where = np.concatenate([s, a])
                 text = np.searchsorted(at, where, "right") - 1
-                h = np.concatenate([_span_hash(sums, s, e), _span_hash(sums, a, a + GRAM)])
-                h2 = np.concatenate([_span_hash(sums2, s, e), np.zeros(len(a), np.uint64)])
+                h = np.concatenate([_span_hash(sums, s, e), _span_hash(sums, a, a + GRAM) & _GRAM_BITS])
                 pos = where - at[text]
                 pos[: len(s)] = -1 - pos[: len(s)]
                 for k in range(0, len(h), 100_000):
                     z = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(h2[z].view(np.int64)), pa.array(ids[x + text[z]]), pa.array(pos[z])], ["h", "h2", "doc", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x + text[z]]), pa.array(h[z].view(np.int64)), pa.array(pos[z])], ["doc", "h", "pos"])
 
     return run
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the one exchange that carries them."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        data, offsets = utf8(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(data[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "z"])
+
+
+def _texts(column: pa.Array) -> Iterator[np.ndarray]:
+    press = zstandard.ZstdDecompressor()
+    for z in column.to_pylist():
+        yield np.frombuffer(press.decompress(z), np.uint8)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, h2, doc): phrases outside their owner, and grams that two documents have.
+    """Of rows sorted by (h, doc): phrases outside their owner, and grams that two documents have.
 
     State between batches is one key, its least document, and that document's rows while they are alone.
     """
     key, least, shared = None, None, False
     held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     for b in batches:
-        h, h2, doc, pos = (c.to_numpy() for c in b.columns)
+        doc, h, pos = (c.to_numpy() for c in b.columns)
         n = len(h)
         if not n:
             continue
         new = np.ones(n, bool)
-        new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-        goes_on = key == (h[0], h2[0])
+        new[1:] = h[1:] != h[:-1]
+        goes_on = key == h[0]
         starts = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         low, high = doc[starts].copy(), doc[np.append(starts[1:], n) - 1]
@@ -155,7 +174,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_doc.append(doc[take])
         out_pos.append(pos[take])
         last = len(starts) - 1
-        key, least, shared = (h[-1], h2[-1]), low[last], bool(both[last])
+        key, least, shared = h[-1], low[last], bool(both[last])
         alone = slice(starts[last], n)
         if not shared:
             before = held if goes_on and last == 0 else (held[0][:0], held[1][:0])
@@ -176,31 +195,33 @@ def _covered(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _context(length: int):
-    """(h, lead, bytes, doc, pos) for the shared grams outside covered bytes of each text."""
-    reach = length - GRAM
+    """(h, lead, around, doc, pos) for the shared grams outside covered bytes of each text.
+
+    ``around`` are the bytes of the strings that chose the gram, ``lead`` how many of them stand before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = utf8(b.column(1))
-            at = b.column(2)
             cols: list[list] = [[], [], [], [], []]
-            for k, doc in enumerate(b.column(0).to_pylist()):
-                found = at[k].values.to_numpy(zero_copy_only=False)
-                own = data[offsets[k] : offsets[k + 1]]
-                pos = found[found >= 0]
-                if len(pos) and len(pos) < len(found):
-                    done = _covered(own, -1 - found[found < 0], length)
-                    # A gram is settled when no byte that its strings reach is left.
-                    left = np.concatenate([[0], np.cumsum(~done)])
-                    lo, hi = np.maximum(pos - reach, 0), np.minimum(pos + length, len(own))
-                    pos = pos[left[hi] > left[lo]]
-                if not len(pos):
+            for k, (doc, own) in enumerate(zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True)):
+                if not b.column(2)[k].is_valid:
                     continue
-                h = _span_hash(_sums(own), pos, pos + GRAM).view(np.int64)
+                found = b.column(2)[k].values.to_numpy(zero_copy_only=False)
+                wanted = found[found >= 0]
+                if not len(wanted):
+                    continue
+                sums = _sums(own)
+                pos, first, last = anchors(sums, np.array([0, len(own)]), length)
+                take = np.isin(pos, wanted)
+                if len(wanted) < len(found):
+                    # A gram is settled when no byte that its strings reach is left.
+                    left = np.concatenate([[0], np.cumsum(~_covered(own, -1 - found[found < 0], length))])
+                    take &= left[last + length] > left[first]
+                pos, first, last = pos[take], first[take], last[take]
                 raw = own.tobytes()
-                cols[0].append(h)
-                cols[1].append(np.minimum(pos, reach))
-                cols[2] += [raw[max(0, p - reach) : p + length] for p in pos.tolist()]
+                cols[0].append((_span_hash(sums, pos, pos + GRAM) & _GRAM_BITS).view(np.int64))
+                cols[1].append(pos - first)
+                cols[2] += [raw[s:e] for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)]
                 cols[3].append(np.full(len(pos), doc, np.int64))
                 cols[4].append(pos)
             flat = lambda c: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))
@@ -272,11 +293,9 @@ def _spans(out) -> pa.RecordBatch:
 def _remove(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = utf8(b.column(1))
             cols: list[list] = [[], [], [], []]
             left = []
-            for k in range(b.num_rows):
-                own = data[offsets[k] : offsets[k + 1]]
+            for k, own in enumerate(_texts(b.column(1))):
                 gone = np.zeros(len(own), bool)
                 if b.column(2)[k].is_valid:
                     found = b.column(2)[k].values.to_numpy(zero_copy_only=False)
@@ -304,13 +323,13 @@ def _remove(length: int, texts: bool):
 def remove_repeats(docs: DataFrame, *, length: int = 50, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row, and with ``texts`` the kept bytes themselves."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.filter("doc_id IS NOT NULL").mapInArrow(_elements(length), "h long, h2 long, doc long, pos long")
-    shared = found.repartition("h").sortWithinPartitions("h", "h2", "doc").mapInArrow(_shared, "doc long, pos long")
+    found = rows.filter("doc_id IS NOT NULL").mapInArrow(_elements(length), "doc long, h long, pos long")
+    shared = found.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "doc long, pos long")
     parse = shared.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    near = rows.join(parse.filter(F.exists("at", lambda p: p >= 0)), F.col("doc_id") == F.col("doc")).select("doc", "text", "at")
-    around = near.mapInArrow(_context(length), "h long, lead long, around binary, doc long, pos long")
+    # Joined once in form, twice in use: the exchange of the texts is the same in both branches, so Spark reuses it.
+    joined = rows.mapInArrow(_zipped, "doc_id long, z binary").join(parse, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", "at")
+    around = joined.mapInArrow(_context(length), "h long, lead long, around binary, doc long, pos long")
     spans = around.repartition("h").sortWithinPartitions("h", "lead", "around", "doc").mapInArrow(_sorted_suffixes(length), "doc long, start long, end long")
     spans = spans.groupBy(F.col("doc").alias("d2")).agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    every = rows.join(parse, F.col("doc_id") == F.col("doc"), "left").join(spans, F.col("doc_id") == F.col("d2"), "left")
-    every = every.select("doc_id", "text", "at", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    every = joined.join(spans, F.col("doc_id") == F.col("d2"), "left").select("doc_id", "z", "at", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     return every.mapInArrow(_remove(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
