@@ -328,3 +328,763 @@ def q_row_asymmetry(s, d):
     n = lambda df, e, t: df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(e).alias("env"), F.lit(t).alias("table"), "n_rows")
     c = T(s, d, "customer")
     return profile.row_asymmetry(n(T(s, d, "orders"), "a", "orders").unionByName(n(T(s, d, "orders").filter("o_orderkey % 3 = 0"), "b", "orders")).unionByName(n(c, "a", "customer")).unionByName(n(c, "b", "customer")))
+
+
+# -- 2.4 decisions --------------------------------------------------------------------------------------------------
+def not_null_evidence(s, d) -> DataFrame:
+    c = F.col("column")
+    nulls = profile.null_counts(faulty_customers(s, d), "customer")
+    return nulls.select("table", "column", "n_rows", "n_nulls", (c == "c_custkey").alias("is_key"), (c == "c_nationkey").alias("physically_not_null"), c.isin("c_name", "c_mktsegment").alias("mandatory"), F.lit(None).cast("string").alias("override"))
+
+
+NN = _each(CCOLS, "SELECT 'customer' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls, '{c}' = 'c_custkey' AS is_key, '{c}' = 'c_nationkey' AS physically_not_null, '{c}' IN ('c_name', 'c_mktsegment') AS mandatory FROM {source}", FAULTY)
+NND = f"SELECT *, reason NOT IN ('needs_approval', 'nullable') AS enforce FROM (SELECT *, CASE WHEN is_key THEN 'primary_key' WHEN physically_not_null THEN 'already_not_null' WHEN mandatory AND n_nulls = 0 THEN 'mandatory_no_nulls' WHEN mandatory AND n_nulls <= n_rows * 0.001 THEN 'mandatory_within_budget' WHEN mandatory THEN 'needs_approval' ELSE 'nullable' END AS reason FROM ({NN}))"
+
+
+@query(NND)
+def q_decide_not_null(s, d):
+    return decide.decide_not_null(not_null_evidence(s, d), 0.001).drop("override")
+
+
+def unique_evidence(s, d) -> DataFrame:
+    u = profile.unique_candidate(T(s, d, "documents"), "documents", ["text"]).unionByName(profile.unique_candidate(T(s, d, "customer"), "customer", ["c_name"]))
+    return u.select("table", "columns", "n_duplicate_keys", "has_duplicates", F.lit(False).alias("already_unique"), F.lit("Succeeded").alias("outcome"))
+
+
+UQ = "SELECT 'documents' AS \"table\", 'text' AS columns, (SELECT count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)) AS n_duplicate_keys UNION ALL SELECT 'customer', 'c_name', (SELECT count(*) FROM (SELECT c_name FROM customer GROUP BY 1 HAVING count(*) > 1))"
+
+
+@query(f"SELECT \"table\", columns, CASE WHEN n_duplicate_keys > 0 THEN 'duplicates' ELSE 'clean' END AS reason, n_duplicate_keys = 0 AS enforce FROM ({UQ})")
+def q_decide_unique(s, d):
+    return decide.decide_unique(unique_evidence(s, d)).select("table", "columns", "reason", "enforce")
+
+
+def fk_evidence(s, d) -> DataFrame:
+    e = profile.fk_reality(T(s, d, "orders"), ORD, some_customers(s, d)).unionByName(profile.fk_reality(T(s, d, "events"), REF["events.user_id"], T(s, d, "customer")))
+    return e.select("*", F.lit(True).alias("tracked"), F.lit(True).alias("target_exists"), F.lit(False).alias("has_constraint"), F.lit(False).alias("crosses_schema"))
+
+
+FKE = f"SELECT 'orders.o_custkey' AS reference, count(*) AS n_orphans {ORPHANS} UNION ALL SELECT 'events.user_id', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)"
+
+
+@query(f"SELECT reference, n_orphans, CASE WHEN n_orphans > 0 THEN 'orphans' ELSE 'clean' END AS reason, n_orphans = 0 AS enforce FROM ({FKE})")
+def q_decide_fk(s, d):
+    return decide.decide_fk(fk_evidence(s, d)).select("reference", "n_orphans", "reason", "enforce")
+
+
+NKE = " UNION ALL ".join(f"SELECT 'customer' AS \"table\", '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM customer" for c in ("c_name", "c_mktsegment", "c_nationkey"))
+
+
+@query(f"SELECT \"table\", \"column\" FROM ({NKE}) WHERE n_distinct = n_rows - n_nulls AND n_nulls = 0 AND n_distinct >= 10")
+def q_suggest_natural_key(s, d):
+    c = T(s, d, "customer")
+    row = c.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(x).alias(x) for x in ("c_name", "c_mktsegment", "c_nationkey")], *[F.count_if(F.col(x).isNull()).alias(f"{x}_0") for x in ("c_name", "c_mktsegment", "c_nationkey")])
+    e = row.select("n_rows", F.explode(F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).alias("n_distinct"), F.col(f"{x}_0").alias("n_nulls")) for x in ("c_name", "c_mktsegment", "c_nationkey")])).alias("x"))
+    e = e.select(F.lit("customer").alias("table"), "x.*", "n_rows", F.lit(False).alias("truncated"))
+    return decide.suggest_natural_key(e).select("table", "column")
+
+
+@query(f"SELECT \"table\", \"column\" FROM (SELECT *, avg(s) OVER () + 0.5 * stddev_pop(s) OVER () AS l FROM (SELECT *, n_nulls / n_rows AS s FROM ({NN}))) WHERE false OR s > (SELECT avg(n_nulls / n_rows) + 2 * stddev_pop(n_nulls / n_rows) FROM ({NN}))")
+def q_profile_anomalies(s, d):
+    return decide.profile_anomalies(profile.column_profile(faulty_customers(s, d), "customer")).select("table", "column")
+
+
+REFS = " UNION ALL ".join(f"SELECT '{r.name}' AS reference, count({r.column}) AS n_rows, count(DISTINCT {r.column}) AS n_distinct FROM {r.child}" for r in STAR.references)
+
+
+def ref_counts(s, d) -> DataFrame:
+    out = None
+    for r in STAR.references:
+        part = T(s, d, r.child).agg(F.count(r.column).alias("n_rows"), F.count_distinct(r.column).alias("n_distinct")).select(F.lit(r.name).alias("reference"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"SELECT * FROM ({REFS}) WHERE n_distinct >= 10 AND n_rows < 2 * n_distinct")
+def q_high_selectivity_fk(s, d):
+    return decide.high_selectivity_fk(ref_counts(s, d))
+
+
+@query("SELECT 'lineitem' AS \"table\", count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem)) AS n_distinct FROM lineitem HAVING (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem)) >= count(*) * 0.95")
+def q_near_unique_composite(s, d):
+    e = T(s, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
+    return decide.near_unique_composite(e.select(F.lit("lineitem").alias("table"), "*"))
+
+
+@query(f"SELECT \"table\", \"column\", n_nulls FROM ({NN}) WHERE mandatory AND n_nulls > 0")
+def q_tightening_preflight(s, d):
+    e = not_null_evidence(s, d)
+    return decide.tightening_preflight(e.select("table", "column", "n_nulls"), decide.decide_not_null(e, 1.0))
+
+
+LEN = "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\", max(length(c_mktsegment)) AS max_length, 8 AS declared_length FROM customer HAVING max(length(c_mktsegment)) > 8"
+
+
+def overflow(s, d) -> DataFrame:
+    declared = s.createDataFrame([("customer", "c_mktsegment", 8), ("customer", "c_name", 500)], "table string, column string, declared_length int")
+    return decide.length_overflow(profile.column_profile(T(s, d, "customer"), "customer", ["c_mktsegment", "c_name"]), declared)
+
+
+@query(LEN)
+def q_length_overflow(s, d):
+    return overflow(s, d)
+
+
+VIO = (
+    f"SELECT *, CASE WHEN coalesce(n_rows, 0) <= 100000 THEN 'repair' ELSE 'relax' END AS action FROM (SELECT 'NOT NULL' AS category, 'customer.' || \"column\" AS subject, n_nulls AS n_rows FROM ({NN}) WHERE mandatory AND n_nulls > 0"
+    f" UNION ALL SELECT 'UNIQUE', \"table\" || '.' || columns, n_duplicate_keys FROM ({UQ}) WHERE n_duplicate_keys > 0 UNION ALL SELECT 'FOREIGN KEY', reference, n_orphans FROM ({FKE}) WHERE n_orphans > 0 UNION ALL SELECT 'LENGTH', \"table\" || '.' || \"column\", NULL FROM ({LEN}))"
+)
+
+
+def violations(s, d) -> DataFrame:
+    return decide.data_violations(not_null_evidence(s, d).filter("mandatory"), unique_evidence(s, d), fk_evidence(s, d), overflow(s, d))
+
+
+@query(VIO)
+def q_data_violations(s, d):
+    return violations(s, d)
+
+
+@query(f"SELECT category, count(*) AS n_subjects, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM ({VIO}) GROUP BY 1")
+def q_violation_rollup(s, d):
+    return decide.violation_rollup(violations(s, d))
+
+
+@query(VIO)
+def q_compare_evidence(s, d):
+    return decide.compare_evidence(not_null_evidence(s, d).filter("mandatory"), unique_evidence(s, d), fk_evidence(s, d), overflow(s, d))
+
+
+def two_envs(s, d) -> DataFrame:
+    """Customer profiles of two environments: clean (prod) and faulty (dev)."""
+    one = lambda df, e: profile.null_counts(df, "customer").select(F.lit(e).alias("env"), "table", "column", "n_rows", "n_nulls", (F.col("column") == "c_name").alias("not_null"), F.lit(False).alias("has_duplicates"), F.lit(False).alias("unique"), F.lit(0).cast("long").alias("n_orphans"), F.lit("Succeeded").alias("outcome"))
+    return one(T(s, d, "customer"), "prod").unionByName(one(faulty_customers(s, d), "dev"))
+
+
+@query(f"SELECT \"table\", \"column\", 0 AS least, n_nulls AS most FROM ({NN}) WHERE n_nulls > 0")
+def q_null_variance(s, d):
+    return decide.null_variance(two_envs(s, d))
+
+
+@query(f"SELECT 'dev' AS env, \"table\", \"column\", 'nulls_in_not_null' AS finding FROM ({NN}) WHERE \"column\" = 'c_name' AND n_nulls > 0 UNION ALL SELECT '*', \"table\", \"column\", 'null_variance' FROM ({NN}) WHERE n_nulls > 0")
+def q_validate_profiles(s, d):
+    return decide.validate_profiles(two_envs(s, d))
+
+
+@query(f"SELECT \"column\" AS \"constraint\", 2 AS n_present, CASE WHEN n_nulls = 0 THEN 2 ELSE 1 END AS n_safe, CASE WHEN n_nulls = 0 THEN [] ELSE ['dev'] END AS unsafe_in, 2 AS n_envs, CASE WHEN n_nulls = 0 THEN 1.0 ELSE 0.5 END AS ratio, n_nulls = 0 AS safe FROM ({NN})")
+def q_constraint_consensus(s, d):
+    return decide.constraint_consensus(two_envs(s, d).select("env", F.col("column").alias("constraint"), (F.col("n_nulls") == 0).alias("safe")))
+
+
+@query(f"SELECT 'dev' AS env, \"table\", \"column\", 'more_nulls' AS finding FROM ({NN}) WHERE n_nulls > 0")
+def q_environment_findings(s, d):
+    return decide.environment_findings(two_envs(s, d), "prod")
+
+
+@query(f"SELECT \"table\", \"column\", CASE WHEN n_nulls = 0 THEN 'nullable with zero NULLs' ELSE 'NULLs in a NOT NULL column' END AS insight FROM ({NN}) WHERE (\"column\" <> 'c_name' AND n_nulls = 0) OR (\"column\" = 'c_name' AND n_nulls > 0)")
+def q_profiling_insights(s, d):
+    return decide.profiling_insights(two_envs(s, d).filter("env = 'dev'"))
+
+
+decided = lambda s, d: decide.decide_not_null(not_null_evidence(s, d), 1.0).withColumn("n_violations", F.col("n_nulls"))
+ND1 = NND.replace("* 0.001", "* 1.0")
+RISK = "CASE WHEN enforce AND n_nulls > 0 THEN 'High' WHEN n_nulls > 0 THEN 'Moderate' ELSE 'Low' END"
+
+
+@query(f"SELECT \"table\", \"column\", {RISK} AS risk FROM ({ND1})")
+def q_change_risk(s, d):
+    return decide.change_risk(decided(s, d)).select("table", "column", "risk")
+
+
+@query(f"SELECT 'not_null' AS kind, CASE WHEN enforce AND n_nulls = 0 THEN 'validated' WHEN enforce THEN 'contradiction' ELSE 'recommendation' END AS category, {RISK} AS risk, count(*) AS n FROM ({ND1}) GROUP BY ALL")
+def q_opportunities(s, d):
+    return decide.opportunities(decided(s, d).withColumn("kind", F.lit("not_null")))
+
+
+@query(f"SELECT enforce, reason, count(*) AS n FROM ({ND1}) GROUP BY ALL")
+def q_decision_summary(s, d):
+    return decide.decision_summary(decided(s, d))
+
+
+@query(f"SELECT 'nulls' AS kind, c_custkey AS key FROM {FAULTY} WHERE c_name IS NULL UNION ALL SELECT 'duplicates', doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r > 1 UNION ALL SELECT 'orphans', o_orderkey {ORPHANS}")
+def q_remediation_rows(s, d):
+    a = decide.remediation_rows(faulty_customers(s, d), "nulls", "c_custkey", "c_name").select(F.lit("nulls").alias("kind"), "key")
+    b = decide.remediation_rows(T(s, d, "documents"), "duplicates", "doc_id", "text").select(F.lit("duplicates").alias("kind"), "key")
+    c = decide.remediation_rows(T(s, d, "orders"), "orphans", "o_orderkey", "o_custkey", some_customers(s, d), "c_custkey").select(F.lit("orphans").alias("kind"), "key")
+    return a.unionByName(b).unionByName(c)
+
+
+@query("SELECT c_custkey AS finding, CASE WHEN c_custkey % 6 = 0 THEN 'persisting' WHEN c_custkey % 2 = 0 THEN 'resolved' ELSE 'new' END AS state FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def q_burndown(s, d):
+    c = T(s, d, "customer").select(F.col("c_custkey").alias("finding"))
+    return decide.burndown(c.filter("finding % 2 = 0"), c.filter("finding % 3 = 0"))
+
+
+# -- 2.5 reconciliation ---------------------------------------------------------------------------------------------
+def target_customers(s, d) -> DataFrame:
+    """The customers of the other environment: keys shifted, names in other case, some missing, one name twice."""
+    c = T(s, d, "customer").filter("c_custkey % 97 <> 0")
+    moved = c.withColumn("c_custkey", F.col("c_custkey") + 1_000_000).withColumn("c_name", F.upper("c_name"))
+    return moved.unionByName(c.filter("c_custkey % 50 = 1").withColumn("c_custkey", F.col("c_custkey") + 2_000_000))
+
+
+TGT = "(SELECT c_custkey + 1000000 AS c_custkey, upper(c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 97 <> 0 UNION ALL SELECT c_custkey + 2000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 97 <> 0 AND c_custkey % 50 = 1)"
+MATCH = f"(SELECT c.c_custkey AS source_key, min(t.c_custkey) AS target_key FROM customer c LEFT JOIN {TGT} t ON lower(rtrim(c.c_name)) = lower(rtrim(t.c_name)) GROUP BY 1)"
+matched = lambda s, d: reconcile.reconcile_by_column(T(s, d, "customer"), target_customers(s, d), "c_custkey", "c_name")
+
+
+@query(f"SELECT * FROM {MATCH}")
+def q_reconcile_by_column(s, d):
+    return matched(s, d)
+
+
+@query(f"SELECT c.c_custkey AS source_key, min(t.c_custkey) AS target_key FROM customer c LEFT JOIN {TGT} t ON lower(rtrim(c.c_name)) = lower(rtrim(t.c_name)) AND lower(rtrim(c.c_mktsegment)) = lower(rtrim(t.c_mktsegment)) GROUP BY 1")
+def q_reconcile_by_columns(s, d):
+    return reconcile.reconcile_by_columns(T(s, d, "customer"), target_customers(s, d), "c_custkey", ["c_name", "c_mktsegment"])
+
+
+@query(f"SELECT source_key, CASE WHEN source_key % 31 = 0 THEN source_key + 5 ELSE target_key END AS target_key FROM {MATCH}")
+def q_reconcile_override(s, d):
+    o = T(s, d, "customer").filter("c_custkey % 31 = 0").select(F.col("c_custkey").alias("source_key"), (F.col("c_custkey") + 5).alias("target_key"))
+    return reconcile.reconcile_override(matched(s, d), o)
+
+
+@query(f"SELECT source_key, coalesce(target_key, 1000001) AS target_key, CASE WHEN target_key IS NULL THEN 'fallback' ELSE 'match' END AS by FROM {MATCH}")
+def q_reconcile_fallback(s, d):
+    return reconcile.reconcile_fallback(matched(s, d), 1000001, target_customers(s, d), "c_custkey")[0]
+
+
+@query(f"SELECT 'unmatched' AS kind, source_key AS key FROM {MATCH} WHERE target_key IS NULL UNION ALL SELECT 'displaced', c_custkey FROM (SELECT c_custkey, row_number() OVER (PARTITION BY lower(rtrim(c_name)) ORDER BY c_custkey) AS r FROM {TGT}) WHERE r > 1 UNION ALL SELECT 'ambiguous', c_custkey FROM (SELECT c_custkey, row_number() OVER (PARTITION BY lower(rtrim(c_name)) ORDER BY c_custkey) AS r FROM customer) WHERE r > 1")
+def q_reconcile_report(s, d):
+    return reconcile.reconcile_report(T(s, d, "customer"), target_customers(s, d), "c_custkey", "c_name")
+
+
+@query(f"SELECT source_key, CASE WHEN c_custkey % 89 = 0 THEN 'no email' ELSE 'email did not match' END AS reason FROM {MATCH} m JOIN customer c ON c.c_custkey = m.source_key WHERE target_key IS NULL OR c_custkey % 89 = 0")
+def q_unmatched_reason(s, d):
+    c = faulty_customers(s, d)
+    m = reconcile.reconcile_by_column(c, target_customers(s, d), "c_custkey", "c_name").join(c.select(F.col("c_custkey").alias("source_key"), "c_name"), "source_key")
+    return reconcile.unmatched_reason(m, "c_name").select("source_key", "reason")
+
+
+@query(f"SELECT 'o_orderstatus' AS \"column\", count(*) AS n_differing, list(k ORDER BY k)[1:3] AS samples FROM (SELECT o.o_orderkey AS k FROM orders o JOIN {EDITED} e USING (o_orderkey) WHERE o.o_orderstatus IS DISTINCT FROM e.o_orderstatus)")
+def q_matched_divergence(s, d):
+    return reconcile.matched_divergence(T(s, d, "orders"), edited_orders(s, d), "o_orderkey", OCOLS[1:], ["o_totalprice"])
+
+
+@query(f"SELECT 'missing' AS kind, o_orderkey AS key, '' AS \"column\" FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT 'drift', o.o_orderkey, 'o_orderstatus' FROM orders o JOIN {EDITED} e USING (o_orderkey) WHERE o.o_orderstatus <> e.o_orderstatus")
+def q_lookup_identity(s, d):
+    return reconcile.lookup_identity(T(s, d, "orders"), edited_orders(s, d), "o_orderkey", OCOLS[1:])
+
+
+order_values = lambda s, d: T(s, d, "orders").select(F.col("o_custkey").alias("value"))
+roster = lambda s, d: some_customers(s, d).select(F.col("c_custkey").alias("id"))
+ORPH = f"(SELECT DISTINCT o_custkey AS value {ORPHANS})"
+
+
+@query(f"SELECT value FROM {ORPH}")
+def q_orphan_ids(s, d):
+    return reconcile.orphan_ids(order_values(s, d), roster(s, d))
+
+
+MU = f"(SELECT c.c_custkey AS source_key, CASE WHEN n = 1 THEN one END AS target_key, CASE WHEN n IS NULL THEN 'no candidate' WHEN n > 1 THEN 'several candidates' END AS reason FROM customer c LEFT JOIN (SELECT lower(rtrim(c_name)) AS m, count(*) AS n, min(c_custkey) AS one FROM {TGT} GROUP BY 1) t ON lower(rtrim(c.c_name)) = t.m)"
+
+
+@query(f"SELECT * FROM {MU}")
+def q_match_users(s, d):
+    return reconcile.match_users(T(s, d, "customer"), target_customers(s, d), "c_custkey", "c_name")
+
+
+@query(f"SELECT source_key, [10, 20, 30][CAST((row_number() OVER (ORDER BY source_key) - 1) % 3 + 1 AS INT)] AS target_key FROM {MU} WHERE target_key IS NULL")
+def q_match_fallback(s, d):
+    m = reconcile.match_users(T(s, d, "customer"), target_customers(s, d), "c_custkey", "c_name").filter("target_key IS NULL")
+    return reconcile.match_fallback(m, [10, 20, 30])
+
+
+def the_user_map(s, d) -> DataFrame:
+    orphans = reconcile.orphan_ids(order_values(s, d), roster(s, d))
+    auto = orphans.filter("value % 2 = 0").select(F.col("value").alias("source_key"), (F.col("value") - 1).alias("target_key"))
+    operator = orphans.filter("value % 3 = 0").select(F.col("value").alias("source_key"), F.when(F.col("value") % 9 != 0, F.lit(1).cast("long")).alias("target_key"))
+    return reconcile.merge_user_map(orphans, operator, auto)
+
+
+UM = f"(SELECT value AS source_key, CASE WHEN value % 3 = 0 AND value % 9 <> 0 THEN 1 WHEN value % 2 = 0 THEN value - 1 END AS target_key FROM {ORPH})"
+
+
+@query(f"SELECT * FROM {UM}")
+def q_merge_user_map(s, d):
+    return the_user_map(s, d)
+
+
+@query(f"SELECT 'unmapped orphan' AS finding, source_key AS key FROM {UM} WHERE target_key IS NULL UNION ALL SELECT 'unknown target', target_key FROM {UM} WHERE target_key NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 97 <> 0)")
+def q_verify_user_map(s, d):
+    return reconcile.verify_user_map(the_user_map(s, d), T(s, d, "customer").select(F.col("c_custkey").alias("id")), roster(s, d), reconcile.orphan_ids(order_values(s, d), roster(s, d)))
+
+
+@query(f"SELECT 'orders.o_custkey' AS reference, o_custkey AS value, target_key, count(*) AS n FROM orders JOIN {UM} m ON o_custkey = source_key WHERE target_key IS NOT NULL GROUP BY ALL")
+def q_remap_preview(s, d):
+    return reconcile.remap_preview(profile.reference_value_counts(tables(s, d, "orders"), [ORD]), the_user_map(s, d))
+
+
+@query(f"SELECT o_orderkey, coalesce(target_key, o_custkey) AS o_custkey, coalesce(target_key <> o_custkey, false) AS changed FROM orders LEFT JOIN {UM} ON o_custkey = source_key")
+def q_apply_user_remap(s, d):
+    return reconcile.apply_user_remap(T(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", the_user_map(s, d))
+
+
+AS = "(SELECT c_custkey AS source_key, 1000 + row_number() OVER (ORDER BY c_custkey) AS assigned_key FROM customer WHERE c_custkey % 97 <> 0)"
+
+
+def surrogates(s, d) -> DataFrame:
+    top = T(s, d, "customer").agg(F.lit(1000).cast("long").alias("c_custkey"))
+    return reconcile.assign_surrogates(some_customers(s, d), "c_custkey", top)
+
+
+@query(f"SELECT * FROM {AS}")
+def q_assign_surrogates(s, d):
+    return surrogates(s, d)
+
+
+REMAP = f"(SELECT o_orderkey, coalesce(assigned_key, o_custkey) AS o_custkey, CASE WHEN assigned_key IS NULL THEN 'o_custkey' END AS failed_column, CASE WHEN assigned_key IS NULL THEN CAST(o_custkey AS VARCHAR) END AS failed_value FROM orders LEFT JOIN {AS} ON o_custkey = source_key)"
+remapped = lambda s, d: reconcile.remap_references(T(s, d, "orders").select("o_orderkey", "o_custkey"), {"o_custkey": surrogates(s, d)})
+
+
+@query(f"SELECT * FROM {REMAP}")
+def q_remap_references(s, d):
+    return remapped(s, d)
+
+
+@query(f"SELECT o_orderkey AS key, failed_column, failed_value FROM {REMAP} WHERE failed_column IS NOT NULL")
+def q_dropped_rows(s, d):
+    return reconcile.dropped_rows(remapped(s, d), "o_orderkey")
+
+
+@query(f"SELECT o_orderkey, coalesce(assigned_key, o_custkey) AS o_custkey FROM orders LEFT JOIN {AS} ON o_custkey = source_key")
+def q_keymap_repoint(s, d):
+    return reconcile.keymap_repoint(T(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "customer", surrogates(s, d).withColumn("table", F.lit("customer")))
+
+
+@query("SELECT count(c_name) = count(DISTINCT c_name) AS target_unique, (SELECT count(*) FROM (SELECT v FROM (SELECT DISTINCT c_name AS v FROM customer) ORDER BY md5(v), v LIMIT 100)) AS n_sampled, (SELECT count(*) FROM (SELECT v FROM (SELECT DISTINCT c_name AS v FROM customer) ORDER BY md5(v), v LIMIT 100) WHERE v IN (SELECT c_name FROM customer WHERE c_custkey % 97 <> 0)) AS n_found FROM customer WHERE c_custkey % 97 <> 0")
+def q_reconcile_evidence(s, d):
+    return reconcile.reconcile_evidence(T(s, d, "customer"), some_customers(s, d), "c_name", 100)
+
+
+@query(f"SELECT count(*) FILTER (failed_column IS NULL) AS n_rekeyed, count(*) FILTER (failed_column IS NOT NULL) AS n_dropped FROM {REMAP}")
+def q_forecast_answers(s, d):
+    return reconcile.forecast_answers(T(s, d, "orders").select("o_orderkey", "o_custkey"), {"o_custkey": surrogates(s, d)})
+
+
+@query("SELECT 'customer.c_nationkey' AS reference, 'escapes' AS direction, count(*) AS n_rows FROM customer UNION ALL SELECT 'lineitem.l_orderkey', 'points_in', count(*) FROM lineitem UNION ALL SELECT 'events.user_id', 'points_in', count(*) FROM events")
+def q_escaping_references(s, d):
+    return reconcile.escaping_references(STAR, tables(s, d, "customer", "orders", "lineitem", "events"), {"customer", "orders"})
+
+
+def bridge(s, d) -> DataFrame:
+    c = T(s, d, "customer")
+    source = c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("identity"))
+    there = c.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 7 == 0, "other").otherwise(F.col("c_name")).alias("identity"))
+    return reconcile.bridge_verdict(T(s, d, "orders").select(F.col("o_custkey").alias("key")), source.filter("key % 11 <> 0"), there)
+
+
+BV = "(SELECT DISTINCT o_custkey AS key, CASE WHEN o_custkey % 11 <> 0 THEN c_name END AS s_id, CASE WHEN o_custkey % 11 = 0 AND o_custkey % 5 = 0 THEN 'unknown' WHEN o_custkey % 5 = 0 THEN 'insert' WHEN o_custkey % 11 = 0 THEN 'bridge_only' WHEN o_custkey % 7 = 0 THEN 'update_identity' ELSE 'present' END AS verdict FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+@query(f"SELECT key, verdict FROM {BV}")
+def q_bridge_verdict(s, d):
+    return bridge(s, d).select("key", "verdict")
+
+
+@query(f"SELECT key, s_id AS identity, verdict FROM {BV} WHERE verdict IN ('insert', 'update_identity')")
+def q_bridge_stage(s, d):
+    return reconcile.bridge_stage(bridge(s, d))
+
+
+@query(f"SELECT count(*) AS n_keys, count(*) FILTER (verdict = 'insert') AS n_inserts, count(*) FILTER (verdict = 'update_identity') AS n_updates, bool_or(verdict = 'unknown') AS withheld FROM {BV}")
+def q_bridge_evidence(s, d):
+    return reconcile.bridge_evidence(bridge(s, d))
+
+
+@query(f"SELECT count(*) FILTER (verdict = 'unknown') AS n_unknown, count(*) FILTER (verdict = 'bridge_only') AS n_bridge_only, ['n_unknown'] AS blocked_by, ['n_bridge_only'] AS warned_by, 'Blocked' AS status FROM {BV}")
+def q_bridge_readiness(s, d):
+    m = bridge(s, d).agg(F.count_if(F.col("verdict") == "unknown").alias("n_unknown"), F.count_if(F.col("verdict") == "bridge_only").alias("n_bridge_only"))
+    return reconcile.bridge_readiness(m, ["n_unknown"], ["n_bridge_only"])
+
+
+# -- 2.6 diff and fidelity ------------------------------------------------------------------------------------------
+def _digest_sql(source: str) -> str:
+    """Row hashes of (o_custkey, o_orderkey, o_orderstatus, o_totalprice) and their sum modulo 2**256 as two halves' limbs."""
+    cells_ = "concat_ws(chr(30), 'o_custkey=' || o_custkey, 'o_orderkey=' || o_orderkey, 'o_orderstatus=' || o_orderstatus, 'o_totalprice=' || CAST(o_totalprice AS DECIMAL(38,6)))"
+    sums = ", ".join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIGINT)), 0) AS HUGEINT) AS s{i}" for i in range(8))
+    out = f"(SELECT count(*) AS n_rows, {sums} FROM (SELECT sha256({cells_}) AS h FROM {source}))"
+    for i in reversed(range(8)):
+        carry = "0" if i == 7 else f"t{i + 1} // 4294967296"
+        out = f"(SELECT *, s{i} + {carry} AS t{i} FROM {out})"
+    return f"SELECT n_rows, lower({' || '.join(f"lpad(to_hex(CAST(t{i} % 4294967296 AS BIGINT)), 8, '0')" for i in range(8))}) AS digest FROM {out}"
+
+
+DCOLS = ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"]
+orders4 = lambda s, d: T(s, d, "orders").select(*DCOLS)
+edited4 = lambda s, d: edited_orders(s, d).select(*DCOLS)
+
+
+@query("SELECT o_orderkey, sha256(concat_ws(chr(30), 'o_custkey=' || o_custkey, 'o_orderkey=' || o_orderkey, 'o_orderstatus=' || CASE WHEN o_orderkey % 89 <> 0 THEN o_orderstatus END, 'o_totalprice=' || CAST(o_totalprice AS DECIMAL(38,6)))) AS h FROM orders")
+def q_row_digest(s, d):
+    o = orders4(s, d).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 89 != 0, F.col("o_orderstatus")))
+    return o.select("o_orderkey", diff.row_digest(o).alias("h"))
+
+
+@query(_digest_sql("orders"))
+def q_table_digest(s, d):
+    return diff.table_digest(orders4(s, d))
+
+
+@query(_digest_sql(EDITED))
+def q_server_digest(s, d):
+    return diff.server_digest(edited4(s, d))
+
+
+RD = f"(SELECT o_orderkey, 'missing' AS state, CAST([] AS VARCHAR[]) AS columns FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT o.o_orderkey, 'differs', ['o_orderstatus'] FROM orders o JOIN {EDITED} e USING (o_orderkey) WHERE o.o_orderstatus <> e.o_orderstatus)"
+
+
+@query(f"SELECT * FROM {RD}")
+def q_row_diff(s, d):
+    return diff.row_diff(T(s, d, "orders"), edited_orders(s, d), ["o_orderkey"])
+
+
+@query(f"SELECT 'orders' AS \"table\", a.n_rows AS n_source, a.digest AS source_digest, b.n_rows AS n_target, b.digest AS target_digest, (SELECT count(*) FROM {RD}) AS n_differences, 'different' AS verdict FROM ({_digest_sql('orders')}) a, ({_digest_sql(EDITED)}) b")
+def q_fidelity_report(s, d):
+    return diff.fidelity_report({"orders": (orders4(s, d), edited4(s, d), ["o_orderkey"])})
+
+
+@query(f"SELECT o_orderkey + 500000 AS o_orderkey, coalesce(assigned_key, o_custkey) AS o_custkey FROM orders LEFT JOIN {AS} ON o_custkey = source_key")
+def q_replay_rewrites(s, d):
+    o = T(s, d, "orders").select("o_orderkey", "o_custkey")
+    keys = o.select(F.col("o_orderkey").alias("source_key"), (F.col("o_orderkey") + 500000).alias("assigned_key"))
+    return diff.replay_rewrites(o, "o_orderkey", keys, {"o_custkey": surrogates(s, d)})
+
+
+@query("SELECT 'orders' AS \"table\", false AS same UNION ALL SELECT 'again', true")
+def q_digest_reconcile(s, d):
+    live = diff.table_digest(orders4(s, d))
+    stored = diff.table_digest(edited4(s, d)).select(F.lit("orders").alias("table"), "*").unionByName(live.select(F.lit("again").alias("table"), "*"))
+    return diff.digest_reconcile(live.select(F.lit("orders").alias("table"), "*").unionByName(live.select(F.lit("again").alias("table"), "*")), stored)
+
+
+@query(f"SELECT \"table\", \"column\", 0 AS row_delta, n_nulls AS null_delta FROM ({NN}) WHERE n_nulls > 0")
+def q_integrity_check(s, d):
+    return diff.integrity_check(profile.null_counts(T(s, d, "customer"), "customer"), profile.null_counts(faulty_customers(s, d), "customer"))
+
+
+CH = f"(SELECT coalesce(o.o_orderkey, e.o_orderkey) AS o_orderkey, CASE WHEN e.o_orderkey IS NULL THEN 'Deleted' WHEN o.o_orderkey IS NULL THEN 'Added' WHEN o.o_orderstatus <> e.o_orderstatus THEN 'Changed' ELSE 'Unchanged' END AS change, o.o_orderstatus AS before, e.o_orderstatus AS after FROM (SELECT * FROM orders WHERE o_orderkey % 11 <> 0) o FULL JOIN {EDITED} e USING (o_orderkey))"
+
+
+def changes(s, d) -> DataFrame:
+    return diff.classify_changes(T(s, d, "orders").filter("o_orderkey % 11 <> 0"), edited_orders(s, d), ["o_orderkey"])
+
+
+@query(f"SELECT o_orderkey, change, CASE WHEN change = 'Changed' THEN before END AS before, CASE WHEN change = 'Changed' THEN after END AS after FROM {CH}")
+def q_classify_changes(s, d):
+    return changes(s, d).select("o_orderkey", "change", F.get("fields", F.lit(0))["before"].alias("before"), F.get("fields", F.lit(0))["after"].alias("after"))
+
+
+@query(f"SELECT 'orders' AS \"table\", count(*) FILTER (change <> 'Added') AS n_before, count(*) FILTER (change = 'Added') AS n_added, count(*) FILTER (change = 'Deleted') AS n_deleted, count(*) FILTER (change = 'Changed') AS n_changed, count(*) FILTER (change = 'Unchanged') AS n_unchanged FROM {CH}")
+def q_impact_summary(s, d):
+    return diff.impact_summary(changes(s, d).withColumn("table", F.lit("orders")))
+
+
+@query("SELECT o_orderkey, c_name, n_items FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n_items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey % 89 = 0")
+def q_impact_documents(s, d):
+    roots = T(s, d, "orders").filter("o_orderkey % 89 = 0")
+    out = diff.impact_documents(roots, "o_orderkey", {"o_custkey": (T(s, d, "customer"), "c_custkey")}, {"items": (T(s, d, "lineitem"), "l_orderkey")})
+    return out.select("o_orderkey", F.col("o_custkey_row.c_name").alias("c_name"), F.when(F.col("items").isNotNull(), F.size("items").cast("long")).alias("n_items"))
+
+
+TRI = f"(SELECT o.o_custkey AS unit, count(*) FILTER (change = 'Added') AS n_added, count(*) FILTER (change = 'Deleted') AS n_deleted, count(*) FILTER (change = 'Changed') AS n_changed, o.o_custkey % 10 = 0 AS escapes FROM {CH} JOIN orders o USING (o_orderkey) GROUP BY ALL)"
+
+
+@query(f"SELECT unit, CASE WHEN escapes THEN 'escaping' WHEN n_deleted > 0 THEN 'deleting' WHEN n_changed > 0 THEN 'changing' WHEN n_added > 0 THEN 'adding' ELSE 'quiet' END AS class, n_added + n_deleted + n_changed + CASE WHEN escapes THEN 1000 ELSE 0 END AS score FROM {TRI}")
+def q_impact_triage(s, d):
+    n = lambda k: F.count_if(F.col("change") == k)
+    u = changes(s, d).join(T(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(F.col("o_custkey").alias("unit")).agg(n("Added").alias("n_added"), n("Deleted").alias("n_deleted"), n("Changed").alias("n_changed"))
+    return diff.impact_triage(u.withColumn("escapes", F.col("unit") % 10 == 0)).select("unit", "class", "score")
+
+
+@query("SELECT 'missing' AS side, c_custkey, c_name FROM customer WHERE c_custkey % 97 = 0")
+def q_drift_guard(s, d):
+    return diff.drift_guard(T(s, d, "customer").select("c_custkey", "c_name"), some_customers(s, d).select("c_custkey", "c_name"))
+
+
+# -- 2.7 upserts ----------------------------------------------------------------------------------------------------
+def merge_sides(s, d) -> tuple[DataFrame, DataFrame]:
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    return T(s, d, "orders").filter("o_orderkey % 11 <> 0").select(*cols), edited_orders(s, d).select(*cols)
+
+
+def _merge_sql(scope: str) -> str:
+    return (
+        f"(SELECT coalesce(o.o_orderkey, e.o_orderkey) AS o_orderkey, coalesce(e.o_custkey, o.o_custkey) AS o_custkey, coalesce(e.o_orderstatus, o.o_orderstatus) AS o_orderstatus, CASE WHEN o.o_orderkey IS NULL THEN 'insert' WHEN e.o_orderkey IS NULL THEN CASE WHEN {scope} THEN 'delete' ELSE 'keep' END WHEN o.o_orderstatus <> e.o_orderstatus THEN 'update' ELSE 'keep' END AS action"
+        f" FROM (SELECT * FROM orders WHERE o_orderkey % 11 <> 0) o FULL JOIN {EDITED} e ON o.o_orderkey = e.o_orderkey)"
+    )
+
+
+@query(f"SELECT * FROM {_merge_sql('false')}")
+def q_merge_upsert(s, d):
+    return upsert.merge_upsert(*merge_sides(s, d), ["o_orderkey"])
+
+
+@query(f"SELECT * FROM {_merge_sql('o.o_orderstatus = ' + chr(39) + 'F' + chr(39))}")
+def q_merge_delete_scope(s, d):
+    return upsert.merge_delete_scope(*merge_sides(s, d), ["o_orderkey"], F.col("o_orderstatus") == "F")
+
+
+@query("SELECT c_name, c_mktsegment, CASE WHEN c_custkey % 97 = 0 THEN (SELECT max(c_custkey) FROM customer WHERE c_custkey % 97 <> 0) + row_number() OVER (PARTITION BY c_custkey % 97 = 0 ORDER BY c_name) ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'insert' ELSE 'keep' END AS action FROM customer")
+def q_align_by_business_key(s, d):
+    cols = ["c_custkey", "c_name", "c_mktsegment"]
+    return upsert.align_by_business_key(some_customers(s, d).select(*cols), T(s, d, "customer").select(*cols), "c_custkey", ["c_name"])
+
+
+@query(f"SELECT * FROM {_merge_sql('true')}")
+def q_sync_modes(s, d):
+    return upsert.sync_modes(*merge_sides(s, d), ["o_orderkey"], "authoritative")
+
+
+@query(f"SELECT action, count(*) AS n FROM {_merge_sql('false')} GROUP BY 1")
+def q_change_volume(s, d):
+    return upsert.change_volume(upsert.merge_upsert(*merge_sides(s, d), ["o_orderkey"]))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def q_two_phase_load(s, d):
+    """Orders load before customers here: the reference is deferred, then re-pointed by key."""
+    from granary.contract import Contract, Table
+
+    cyclic = Contract({t: Table(t, (k,)) for t, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))}, (ORD, Reference("customer", "c_last_order", "orders", "o_orderkey")))
+    c = T(s, d, "customer").withColumn("c_last_order", F.lit(1).cast("long"))
+    _, first, _ = upsert.two_phase_load(cyclic, {"orders": T(s, d, "orders"), "customer": c}, {"orders.o_custkey"})
+    return upsert.repoint(first["orders"], T(s, d, "orders"), "o_orderkey", ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 13 <> 0")
+def q_revert_set(s, d):
+    c = T(s, d, "customer").select("c_custkey", "c_name")
+    return upsert.revert_set(c, "c_custkey", c.filter("c_custkey % 13 = 0").select(F.col("c_custkey").alias("assigned_key")))
+
+
+# -- 2.8 closure and corrections ------------------------------------------------------------------------------------
+def closed(s, d) -> dict[str, DataFrame]:
+    t = tables(s, d, "orders", "customer", "nation", "region")
+    held = closure.referential_closure(STAR, t, {"orders": t["orders"].filter("o_orderkey % 499 = 0")})
+    return closure.closed_rows(STAR, t, held)
+
+
+CLO = "SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_orderkey % 499 = 0 UNION ALL SELECT 'customer', count(DISTINCT o_custkey) FROM orders WHERE o_orderkey % 499 = 0 UNION ALL SELECT 'nation', count(DISTINCT c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 499 = 0 UNION ALL SELECT 'region', count(DISTINCT n_regionkey) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 499 = 0"
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 499 = 0)")
+def q_referential_closure(s, d):
+    return closed(s, d)["customer"].select("c_custkey", "c_name")
+
+
+@query(f"SELECT 'rows' AS kind, name, n FROM ({CLO}) UNION ALL SELECT 'dangling', 'orders.o_custkey', 0")
+def q_closure_report(s, d):
+    return closure.closure_report(STAR, closed(s, d), {"orders.o_custkey"})
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def q_referenced_pull(s, d):
+    return closure.referenced_pull(STAR, tables(s, d, "customer", "nation", "region"), {"customer"})["nation"].select("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 499 = 0 AND o_orderkey % 11 = 0 THEN 'insert' ELSE 'keep' END AS action FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 499 = 0")
+def q_dataset_slice(s, d):
+    from granary.functions.scratch import new_path
+
+    folder = new_path(s, "slice")
+    cols = ["o_orderkey", "o_custkey"]
+    closure.write_slice({"orders": T(s, d, "orders").filter("o_orderkey % 499 = 0").select(*cols)}, folder)
+    return closure.apply_slice(s, STAR, folder, {"orders": T(s, d, "orders").filter("o_orderkey % 11 <> 0").select(*cols)})["orders"]
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 89 = 0 THEN c_mktsegment ELSE c_name END AS c_name FROM customer")
+def q_correct_same_row(s, d):
+    return correct.correct_same_row(faulty_customers(s, d), "c_custkey", "c_name", "c_mktsegment", correct.Guards(only_null=True))[0].select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 89 = 0 THEN n_name ELSE c_name END AS c_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def q_correct_from_parent(s, d):
+    return correct.correct_from_parent(faulty_customers(s, d), "c_custkey", "c_name", "c_nationkey", T(s, d, "nation"), "n_nationkey", "n_name", correct.Guards(only_null=True))[0].select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 97 = 0 THEN 1 ELSE o_custkey END AS o_custkey FROM orders")
+def q_correct_constant(s, d):
+    g = correct.Guards(only_orphans=(some_customers(s, d), "c_custkey"), at_most=10**9)
+    return correct.correct_constant(T(s, d, "orders"), "o_orderkey", "o_custkey", 1, g, (some_customers(s, d), "c_custkey"))[0].select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 97 <> 0")
+def q_correct_exclude(s, d):
+    inbound = [(T(s, d, "orders").filter("o_custkey % 97 <> 0"), "o_custkey")]
+    return correct.correct_exclude(T(s, d, "customer"), "c_custkey", F.col("c_custkey") % 97 == 0, inbound)[0].select("c_custkey")
+
+
+@query("SELECT 'at_most' AS guard, true AS ok, CAST(count(*) FILTER (c_custkey % 89 = 0) AS DOUBLE) AS measured FROM customer UNION ALL SELECT 'coverage', false, count(*) FILTER (c_custkey % 89 = 0) / count(*) FROM customer")
+def q_correction_guards(s, d):
+    g = correct.Guards(only_null=True, at_most=10**9, least_coverage=0.5)
+    return correct.correction_guards(correct._marked(faulty_customers(s, d), "c_name", F.col("c_mktsegment"), g), g)
+
+
+@query("SELECT count(*) AS n_before, count(*) AS n_after, count(*) FILTER (c_custkey % 89 = 0) AS n_changed, 0 AS n_excluded FROM customer")
+def q_correction_receipt(s, d):
+    before = faulty_customers(s, d)
+    after, rows = correct.correct_same_row(before, "c_custkey", "c_name", "c_mktsegment", correct.Guards(only_null=True))
+    return correct.correction_receipt(before, after, rows).drop("digest_before", "digest_after")
+
+
+# -- 2.9 synthetic data ---------------------------------------------------------------------------------------------
+DRAW = "CAST(('0x' || substr(md5('{seed}:{t}:{c}:' || row), 1, 15)) AS BIGINT)"
+ROWS = "(SELECT range AS row FROM range(1, (SELECT count(*) FROM orders) + 1))"
+
+
+def synth_rows(s, d) -> DataFrame:
+    """As many rows as the profile of orders has."""
+    return synth.mint_keys(s, T(s, d, "orders").count(), "o_orderkey")
+
+
+def order_weights(s, d, column: str = "o_orderpriority") -> list[tuple]:
+    return [(r.value, r.n) for r in profile.categorical_distribution(T(s, d, "orders"), "orders", column).orderBy("rank").collect()]
+
+
+def _weighted_sql(draw: str, column: str) -> str:
+    return f"(SELECT r.row, min_by(w.value, w.cum) AS value FROM (SELECT row, {draw} AS dr FROM {ROWS}) r, (SELECT value, sum(n) OVER (ORDER BY n DESC, value) AS cum, sum(n) OVER () AS total FROM (SELECT {column} AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 50)) w WHERE r.dr % CAST(w.total AS BIGINT) < w.cum GROUP BY r.row)"
+
+
+@query(f"SELECT row, row AS o_orderkey FROM {ROWS}")
+def q_mint_keys(s, d):
+    return synth_rows(s, d)
+
+
+POOL = "(SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer)"
+
+
+@query(f"SELECT row, o_orderkey, c_custkey AS o_custkey FROM (SELECT row, row AS o_orderkey, {DRAW.format(seed=7, t='orders', c='o_custkey')} % (SELECT count(*) FROM customer) + 1 AS p FROM {ROWS}) JOIN {POOL} USING (p)")
+def q_draw_fk_uniform(s, d):
+    return synth.draw_fk_uniform(synth_rows(s, d), 7, "orders", "o_custkey", T(s, d, "customer"), "c_custkey")
+
+
+@query(f"SELECT row, o_orderkey, c_custkey AS o_custkey FROM (SELECT row, row AS o_orderkey, {DRAW.format(seed=7, t='orders', c='o_custkey')} % CAST(ceil((SELECT count(*) FROM customer) * 0.3) AS BIGINT) + 1 AS p FROM {ROWS}) JOIN {POOL} USING (p)")
+def q_draw_fk_clustered(s, d):
+    return synth.draw_fk_clustered(synth_rows(s, d), 7, "orders", "o_custkey", T(s, d, "customer"), "c_custkey")
+
+
+@query(f"SELECT row, row AS o_orderkey, value AS o_custkey FROM {_weighted_sql(DRAW.format(seed=7, t='orders', c='o_custkey'), 'o_custkey')}")
+def q_draw_fk_weighted(s, d):
+    return synth.draw_fk_weighted(synth_rows(s, d), 7, "orders", "o_custkey", order_weights(s, d, "o_custkey"))
+
+
+@query()
+def q_draw_fk_joint(s, d):
+    joint = profile.joint_distribution(T(s, d, "lineitem"), ["l_partkey", "l_suppkey"])
+    return synth.draw_fk_joint(synth_rows(s, d), 7, "lineitem", ["l_partkey", "l_suppkey"], joint)
+
+
+@query(f"SELECT row, CASE WHEN {DRAW.format(seed=7, t='orders', c='note#null')} % (SELECT count(*) FROM orders) >= 100 THEN row END AS note FROM {ROWS}")
+def q_draw_null(s, d):
+    r = synth_rows(s, d)
+    return r.select("row", synth.draw_null(F.col("row"), 7, "orders", "note", 100, T(s, d, "orders").count()).alias("note"))
+
+
+@query(f"SELECT row, 'u:' || substr(md5('7:orders:code'), 1, 8) || ':' || row AS code FROM {ROWS}")
+def q_draw_unique(s, d):
+    return synth_rows(s, d).select("row", synth.draw_unique(7, "orders", "code").alias("code"))
+
+
+@query(f"SELECT row, value AS o_orderpriority FROM {_weighted_sql(DRAW.format(seed=7, t='orders', c='o_orderpriority'), 'o_orderpriority')}")
+def q_draw_categorical(s, d):
+    return synth_rows(s, d).select("row", synth.draw_categorical(7, "orders", "o_orderpriority", order_weights(s, d)).alias("o_orderpriority"))
+
+
+@query(f"SELECT row, round(CASE WHEN u < 0.5 THEN 0.0 + (u - 0.0) / (0.5 - 0.0) * (100.0 - 0.0) ELSE 100.0 + (u - 0.5) / 0.5 * 900.0 END, 6) AS v FROM (SELECT row, ({DRAW.format(seed=7, t='orders', c='v')} % 1000000) / 1000000.0 AS u FROM {ROWS})")
+def q_draw_numeric(s, d):
+    return synth_rows(s, d).select("row", F.round(synth.draw_numeric(7, "orders", "v", [(0.0, 0.0), (0.5, 100.0), (1.0, 1000.0)]), 6).alias("v"))
+
+
+@query(f"SELECT row, '' AS a, 0 AS b FROM {ROWS}")
+def q_draw_default(s, d):
+    return synth_rows(s, d).select("row", synth.draw_default("string").alias("a"), synth.draw_default("bigint").alias("b"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'authored' ELSE c_name END AS c_name FROM customer")
+def q_pin_rows(s, d):
+    c = T(s, d, "customer").select("c_custkey", "c_name")
+    return synth.pin_rows(c, c.filter("c_custkey % 97 = 0").withColumn("c_name", F.lit("authored")), "c_custkey")
+
+
+@query(f"SELECT row, round(10 + q * q * 90, 6) AS early, round(10 + (1 - (1 - q) * (1 - q)) * 90, 6) AS late FROM (SELECT row, ({DRAW.format(seed=7, t='orders', c='w')} % 1000000) / 1000000.0 AS q FROM {ROWS})")
+def q_scenario_between(s, d):
+    return synth_rows(s, d).select("row", F.round(synth.scenario_between(7, "orders", "w", 10, 100, "early"), 6).alias("early"), F.round(synth.scenario_between(7, "orders", "w", 10, 100, "late"), 6).alias("late"))
+
+
+@query("SELECT 'orders' AS \"table\", 'o_orderpriority' AS \"column\", 'v' || row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS value, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def q_evidence_shape(s, d):
+    return synth.evidence_shape(profile.categorical_distribution(T(s, d, "orders"), "orders", "o_orderpriority")).select("table", "column", "value", "n")
+
+
+@query("SELECT c_custkey, CASE CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 15)) AS BIGINT) % 2 WHEN 0 THEN 'Ada' ELSE 'Bo' END AS c_name FROM customer")
+def q_substitute_pii(s, d):
+    people = [("Ada", "a@x.invalid", "1", "A st"), ("Bo", "b@x.invalid", "2", "B st")]
+    c = T(s, d, "customer").select("c_custkey", "c_name")
+    return synth.substitute_pii(c, "c_custkey", synth.pii_columns(["c_name"]), people)
+
+
+@query("SELECT 'customer' AS \"table\", true AS covered UNION ALL SELECT 'orders', false")
+def q_evidence_coverage(s, d):
+    return synth.evidence_coverage(["customer", "orders"], profile.null_counts(T(s, d, "customer"), "customer"))
+
+
+@query("SELECT 0 AS n_orphans, 0 AS n_foreign_values")
+def q_synthetic_check(s, d):
+    rows = synth.draw_fk_uniform(synth_rows(s, d), 7, "orders", "o_custkey", T(s, d, "customer"), "c_custkey")
+    rows = rows.withColumn("p", synth.draw_categorical(7, "orders", "p", order_weights(s, d)))
+    a = profile.orphans(rows, ORD, T(s, d, "customer")).agg(F.count(F.lit(1)).alias("n_orphans"))
+    b = rows.join(T(s, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct(), "p", "left_anti").agg(F.count(F.lit(1)).alias("n_foreign_values"))
+    return a.join(b)
+
+
+@query("SELECT 'orders' AS \"table\", c AS \"column\", 0.0 AS null_share_delta FROM (VALUES ('o_orderkey'), ('o_custkey')) t(c)")
+def q_reprofile_fidelity(s, d):
+    rows = synth.draw_fk_uniform(synth_rows(s, d), 7, "orders", "o_custkey", T(s, d, "customer"), "c_custkey").drop("row")
+    return synth.reprofile_fidelity(profile.column_profile(T(s, d, "orders"), "orders", ["o_orderkey", "o_custkey"]), profile.column_profile(rows, "orders"))
+
+
+# -- 2.10 graphs ----------------------------------------------------------------------------------------------------
+def part_supplier(s, d) -> DataFrame:
+    return T(s, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst"))
+
+
+customer_orders = lambda s, d: T(s, d, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 10_000_000).alias("dst"))
+CO = "(SELECT o_custkey AS src, o_orderkey + 10000000 AS dst FROM orders WHERE o_orderkey % 7 = 0)"
+
+
+@query(f"SELECT DISTINCT src AS node, src AS component FROM {CO} UNION ALL SELECT dst, src FROM {CO}")
+def q_connected_components(s, d):
+    return connected_components(customer_orders(s, d))
+
+
+@query()
+def q_pagerank(s, d):
+    return graph.pagerank(part_supplier(s, d))
+
+
+@query()
+def q_label_propagation(s, d):
+    return graph.label_propagation(part_supplier(s, d))
+
+
+@query(f"WITH e AS (SELECT 'n' || c_nationkey AS a, 'c' || c_custkey AS b FROM customer UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation) SELECT a AS root, b AS node FROM e WHERE a LIKE 'r%' UNION ALL SELECT x.a, y.b FROM e x JOIN e y ON x.b = y.a WHERE x.a LIKE 'r%'")
+def q_reachable_sets(s, d):
+    e = T(s, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    n = T(s, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    return graph.reachable_sets(e.unionByName(n), n.select(F.col("src").alias("node")).distinct(), 1)
+
+
+@query(f"SELECT DISTINCT src AS node, 0 AS level FROM {CO} UNION ALL SELECT DISTINCT dst, 1 FROM {CO}")
+def q_dependency_levels(s, d):
+    return graph.dependency_levels(customer_orders(s, d))
