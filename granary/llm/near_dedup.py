@@ -61,24 +61,33 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _may_link(n: np.ndarray, sigs: list[np.ndarray], i: int, js: np.ndarray, threshold: float, k: int, want: int) -> np.ndarray:
-    """Of the rows js those whose size and union sketch allow a link with row i."""
-    small, big = np.minimum(n[js], n[i]), np.maximum(n[js], n[i])
-    js = js[small >= threshold * big]
-    out, own = [], sigs[i]
-    for j in js:
-        common = np.intersect1d(own, sigs[j], assume_unique=True)
-        if not len(common):
-            continue
-        union = len(own) + len(sigs[j]) - len(common)
-        if union <= k:
-            ok = len(common) >= threshold * union - 1e-9
-        else:
-            edge = np.sort(np.concatenate([own, np.setdiff1d(sigs[j], common, assume_unique=True)]))[k - 1]
-            ok = int(np.searchsorted(common, edge, "right")) >= want
-        if ok:
-            out.append(j)
-    return np.asarray(out, np.int64)
+def _may_link(own: np.ndarray, other: np.ndarray, threshold: float, k: int, want: int) -> bool:
+    """Whether two sketches allow a link: the share of common values among the k smallest of their union."""
+    common = np.intersect1d(own, other, assume_unique=True)
+    if not len(common):
+        return False
+    union = len(own) + len(other) - len(common)
+    if union <= k:
+        return len(common) >= threshold * union - 1e-9
+    edge = np.sort(np.concatenate([own, np.setdiff1d(other, common, assume_unique=True)]))[k - 1]
+    return int(np.searchsorted(common, edge, "right")) >= want
+
+
+def _earlier(posted: list[np.ndarray], value: int) -> np.ndarray:
+    """Bitmaps of the posted values under ``value`` that several rows have; a pair that shares one belongs to its list."""
+    flat, row = np.concatenate(posted), np.repeat(np.arange(len(posted)), [len(p) for p in posted])
+    flat, row = flat[flat < value], row[flat < value]
+    found, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    use = n[at] > 1
+    bit, row = place[at][use], row[use]
+    out = np.zeros((len(posted), max(1, -(-int((n > 1).sum()) // 64))), np.uint64)
+    np.bitwise_or.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _near_in_size(n: np.ndarray, x: int, ys: np.ndarray, threshold: float) -> np.ndarray:
+    return np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -93,12 +102,14 @@ def _lists(threshold: float, k: int, want: int):
         ids = np.array([r["doc"] for r in rows])
         n = np.array([r["n"] for r in rows])
         sigs = [np.array(r["sig"], np.int64).view(np.uint64) for r in rows]
-        posted = [set(r["posted"]) for r in rows]
-        for i in range(len(rows) - 1):
-            js = np.arange(i + 1, len(rows))
-            for j in _may_link(n, sigs, i, js, threshold, k, want):
-                if ids[i] != ids[j] and min(posted[i] & posted[j]) == value:
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+        before = _earlier([np.array(r["posted"], np.int64) for r in rows], value)
+        for x in range(len(rows) - 1):
+            ys = np.arange(x + 1, len(rows))
+            ys = ys[_near_in_size(n, x, ys, threshold) & (ids[ys] != ids[x])]
+            ys = ys[~(before[ys] & before[x]).any(axis=1)]
+            for y in ys:
+                if _may_link(sigs[x], sigs[y], threshold, k, want):
+                    yield min(ids[x], ids[y]), max(ids[x], ids[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, rows, out = None, [], []
@@ -147,17 +158,7 @@ def _verify(width: int, per_cent: int):
     return run
 
 
-class _Forest:
-    def __init__(self) -> None:
-        self.up: dict = {}
-
-    def find(self, x):
-        while (y := self.up.setdefault(x, x)) != x:
-            self.up[x] = x = self.up[y]
-        return x
-
-
-def _blocks(threshold: float, per_cent: int, k: int, want: int):
+def _blocks(threshold: float, per_cent: int):
     """Links within one block pair of a hot list; pairs that are already connected in the block need no second proof."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,29 +174,28 @@ def _blocks(threshold: float, per_cent: int, k: int, want: int):
 
     def flush(key: tuple, rows: list[dict]) -> list:
         value, i, j = key
+        ids = np.array([r["doc"] for r in rows])
         sets = [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
         n = np.array([len(s) for s in sets])
-        sigs = [s[:k] for s in sets]
-        posted = [set(r["posted"]) for r in rows]
+        before = _earlier([np.array(r["posted"], np.int64) for r in rows], value)
         side = np.array([r["block"] for r in rows])
-        forest, out = _Forest(), []
+        _, group = np.unique(ids, return_inverse=True)  # connected in this block
+        out = []
         for x in range(len(rows) - 1):
             ys = np.arange(x + 1, len(rows))
             if i != j:
                 ys = ys[side[ys] != side[x]]
-            ys = ys[np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x])]
-            root = forest.find(rows[x]["doc"])
-            ys = [y for y in ys if forest.find(rows[y]["doc"]) != root and min(posted[x] & posted[y]) == value]
-            if not ys:
+            ys = ys[_near_in_size(n, x, ys, threshold) & (group[ys] != group[x])]
+            ys = ys[~(before[ys] & before[x]).any(axis=1)]
+            if not len(ys):
                 continue
             flat = np.concatenate([sets[y] for y in ys])
             where = np.minimum(np.searchsorted(sets[x], flat), n[x] - 1)
             common = np.add.reduceat((sets[x][where] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(n[ys])[:-1]]))
-            for y, c in zip(ys, common, strict=True):
-                if 100 * c >= per_cent * (n[x] + n[y] - c) and (b := forest.find(rows[y]["doc"])) != (a := forest.find(rows[x]["doc"])):
-                    forest.up[max(a, b)] = min(a, b)
-                    one, two = rows[x]["doc"], rows[y]["doc"]
-                    out.append((min(one, two), max(one, two)))
+            for y in ys[100 * common >= per_cent * (n[x] + n[ys] - common)]:
+                if group[y] != group[x]:
+                    group[group == group[y]] = group[x]
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return out
 
     return run
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, per_cent: int = 85, k: i
         cut = cut.select("doc", "posted", "value", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         cut = cut.select("doc", "posted", "value", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         tasks = cut.join(sets, "doc").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "doc")
-        links = links.union(tasks.mapInArrow(_blocks(threshold, per_cent, k, want), "src long, dst long"))
+        links = links.union(tasks.mapInArrow(_blocks(threshold, per_cent), "src long, dst long"))
 
     components = connected_components(links, "src", "dst")
     out = sketches.join(classes, ["n_shingles", "fp1", "fp2"], "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
