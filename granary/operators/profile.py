@@ -81,7 +81,7 @@ def _top(counts: DataFrame, value: list[str], top: int) -> DataFrame:
     ranked = counts.orderBy(F.col("n").desc(), *value).limit(top)
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), *value))  # over at most ``top`` rows
     total = counts.agg(F.count(F.lit(1)).alias("n_distinct"))
-    return ranked.withColumn("rank", rank.cast("long")).join(F.broadcast(total)).withColumn("truncated", F.col("n_distinct") > top)
+    return ranked.withColumn("rank", rank.cast("long")).withColumn("n_distinct", total.scalar()).withColumn("truncated", F.col("n_distinct") > top)
 
 
 def categorical_distribution(df: DataFrame, table: str, column: str, top: int = 50) -> DataFrame:

@@ -159,7 +159,7 @@ def assign_surrogates(new_rows: DataFrame, key: str, existing: DataFrame, dispos
     if disposition == "reconciled":
         return matches.filter("target_key IS NOT NULL").select("source_key", F.col("target_key").alias("assigned_key"))
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return numbered(new_rows.select(F.col(key).alias("source_key")), ["source_key"]).join(F.broadcast(top)).select("source_key", (F.col("_top") + F.col("row")).alias("assigned_key"))
+    return numbered(new_rows.select(F.col(key).alias("source_key")), ["source_key"]).select("source_key", (top.scalar() + F.col("row")).alias("assigned_key"))
 
 
 def remap_references(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
@@ -201,7 +201,7 @@ def reconcile_evidence(source: DataFrame, target: DataFrame, column: str, sample
 def forecast_answers(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     """Rows rekeyed, and rows dropped, if these maps were the answer."""
     out = remap_references(df, maps)
-    return out.agg(F.count_if("failed_column IS NULL" if False else F.col("failed_column").isNull()).alias("n_rekeyed"), F.count_if(F.col("failed_column").isNotNull()).alias("n_dropped"))
+    return out.agg(F.count_if(F.col("failed_column").isNull()).alias("n_rekeyed"), F.count_if(F.col("failed_column").isNotNull()).alias("n_dropped"))
 
 
 def escaping_references(contract, tables: dict[str, DataFrame], subset: set[str]) -> DataFrame:

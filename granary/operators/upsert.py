@@ -42,7 +42,7 @@ def align_by_business_key(target: DataFrame, source: DataFrame, surrogate: str,
     rest = [c for c in target.columns if c not in (surrogate, *business)]
     merged = merge_upsert(target.select(*business, surrogate, *rest), source.select(*business, F.lit(None).cast(dict(target.dtypes)[surrogate]).alias(surrogate), *rest), business, deferred=(surrogate,))
     top = target.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("_top"))
-    new = numbered(merged.filter("action = 'insert'").drop(surrogate), business, "_row").join(F.broadcast(top)).withColumn(surrogate, F.col("_top") + F.col("_row")).drop("_top", "_row")
+    new = numbered(merged.filter("action = 'insert'").drop(surrogate), business, "_row").withColumn(surrogate, top.scalar() + F.col("_row")).drop("_row")
     return merged.filter("action <> 'insert'").unionByName(new.withColumn(surrogate, F.col(surrogate).cast(dict(target.dtypes)[surrogate])))
 
 

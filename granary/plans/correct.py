@@ -49,7 +49,7 @@ def _marked(df: DataFrame, column: str, new: Column, g: Guards) -> DataFrame:
 
 
 def correction_guards(marked: DataFrame, g: Guards) -> DataFrame:
-    """(guard, ok, measured) of the guards that can refuse, evaluated before any write."""
+    """(guard, ok, measured) of the guards that can refuse, evaluated before any write; the key is the first column."""
     row = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if("_matched").alias("hit"), F.count_if(F.col("_matched") & (F.col("_new").eqNullSafe(F.lit(g.not_sentinel)) if g.not_sentinel is not None else F.lit(False))).alias("sentinel")).first()
     found = []
     if g.expected is not None:
@@ -63,15 +63,11 @@ def correction_guards(marked: DataFrame, g: Guards) -> DataFrame:
         found.append(("sentinel", row.sentinel == 0, float(row.sentinel)))
     if g.inbound is not None:
         child, fk = g.inbound
-        n = child.join(marked.filter("_matched").select(F.col(g_key(marked)).alias(fk)), fk, "left_semi").count()
+        n = child.join(marked.filter("_matched").select(F.col(marked.columns[0]).alias(fk)), fk, "left_semi").count()
         found.append(("inbound_references", n == 0, float(n)))
     return marked.sparkSession.createDataFrame(found, "guard string, ok boolean, measured double")
 
 
-def g_key(df: DataFrame) -> str:
-    return df.columns[0]
-
-
 def _apply(df: DataFrame, key: str, column: str, new: Column, g: Guards, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     marked = _marked(df, column, new, g)
     bad = [r.guard for r in correction_guards(marked.select(key, *[c for c in marked.columns if c != key]), g).collect() if not r.ok]

@@ -123,7 +123,7 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
     own = profiles.select("env", "table", "column", F.explode(findings).alias("finding"))
     envs = profiles.agg(F.count_distinct("env").alias("n_envs"))
     by_table = profiles.groupBy(F.lower("table").alias("folded")).agg(F.count_distinct("env").alias("n"), F.count_distinct("table").alias("forms"))
-    across = by_table.join(F.broadcast(envs)).select(F.lit("*").alias("env"), F.col("folded").alias("table"), F.lit("*").alias("column"), F.explode(F.array_compact(F.array(F.when(F.col("n") < F.col("n_envs"), "table_missing"), F.when(F.col("forms") > 1, "name_case")))).alias("finding"))
+    across = by_table.withColumn("n_envs", envs.scalar()).select(F.lit("*").alias("env"), F.col("folded").alias("table"), F.lit("*").alias("column"), F.explode(F.array_compact(F.array(F.when(F.col("n") < F.col("n_envs"), "table_missing"), F.when(F.col("forms") > 1, "name_case")))).alias("finding"))
     disagree = profiles.groupBy("table", "column").agg(F.count_distinct("unique").alias("k")).filter("k > 1").select(F.lit("*").alias("env"), "table", "column", F.lit("unique_disagreement").alias("finding"))
     varied = null_variance(profiles).select(F.lit("*").alias("env"), "table", "column", F.lit("null_variance").alias("finding"))
     return own.unionByName(across).unionByName(disagree).unionByName(varied)
@@ -133,7 +133,7 @@ def constraint_consensus(evidence: DataFrame, threshold: float = 1.0) -> DataFra
     """Of (env, constraint, safe): the share of environments where it is safe; safe overall if present in all and at the threshold."""
     envs = evidence.agg(F.count_distinct("env").alias("n_envs"))
     by = evidence.groupBy("constraint").agg(F.count_distinct("env").alias("n_present"), F.count_if("safe").alias("n_safe"), F.sort_array(F.collect_set(F.when(~F.col("safe"), F.col("env")))).alias("unsafe_in"))
-    out = by.join(F.broadcast(envs)).withColumn("ratio", F.col("n_safe") / F.col("n_envs"))
+    out = by.withColumn("n_envs", envs.scalar()).withColumn("ratio", F.col("n_safe") / F.col("n_envs"))
     return out.withColumn("safe", (F.col("n_present") == F.col("n_envs")) & (F.col("ratio") >= threshold))
 
 
