@@ -35,7 +35,7 @@ from granary.llm.kernels import chunks, mix, powers, utf8
 TRIGGER = 12
 #: A phrase has about this many bytes; a power of two.
 PHRASE = 128
-GRAM = 22
+GRAM = 24
 #: Bits of a gram's hash that travel: a chance agreement costs a needless comparison, never a wrong result.
 _GRAM_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _RAW = mix(np.arange(256).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51ED2701))
@@ -128,7 +128,7 @@ def _elements(length: int):
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the one exchange that carries them."""
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=6)
     for b in batches:
         data, offsets = utf8(b.column(1))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(data[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "z"])
@@ -195,14 +195,14 @@ def _covered(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _context(length: int):
-    """(h, lead, around, doc, pos) for the shared grams outside covered bytes of each text.
+    """(doc, h, start, around) for the shared grams outside covered bytes of each text.
 
-    ``around`` are the bytes of the strings that chose the gram, ``lead`` how many of them stand before it.
+    ``around`` are the bytes of the strings that chose the gram, ``start`` where they begin.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for k, (doc, own) in enumerate(zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True)):
                 if not b.column(2)[k].is_valid:
                     continue
@@ -219,21 +219,20 @@ def _context(length: int):
                     take &= left[last + length] > left[first]
                 pos, first, last = pos[take], first[take], last[take]
                 raw = own.tobytes()
-                cols[0].append((_span_hash(sums, pos, pos + GRAM) & _GRAM_BITS).view(np.int64))
-                cols[1].append(pos - first)
-                cols[2] += [raw[s:e] for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)]
-                cols[3].append(np.full(len(pos), doc, np.int64))
-                cols[4].append(pos)
+                cols[0].append(np.full(len(pos), doc, np.int64))
+                cols[1].append((_span_hash(sums, pos, pos + GRAM) & _GRAM_BITS).view(np.int64))
+                cols[2].append(first)
+                cols[3] += [raw[s:e] for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)]
             flat = lambda c: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([flat(cols[0]), flat(cols[1]), pa.array(cols[2], pa.binary()), flat(cols[3]), flat(cols[4])], ["h", "lead", "around", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([*map(flat, cols[:3]), pa.array(cols[3], pa.binary())], ["doc", "h", "start", "around"])
 
     return run
 
 
 def _sorted_suffixes(length: int, group: int = 20_000):
-    """Of contexts sorted by (h, lead, around, doc): the spans (doc, start, end) of strings that a smaller document has."""
+    """Of contexts sorted by (h, around, doc): the spans (doc, start, end) of strings that a smaller document has."""
 
-    def settle(h: list, lead: list, around: list, doc: list, pos: list) -> tuple[list, list, list]:
+    def settle(doc: list, h: list, begin: list, around: list) -> tuple[list, list, list]:
         size = np.array([len(x) for x in around])
         off = np.concatenate([[0], np.cumsum(size)])
         sums = _sums(np.frombuffer(b"".join(around), np.uint8))
@@ -253,7 +252,7 @@ def _sorted_suffixes(length: int, group: int = 20_000):
         where = np.flatnonzero(hit)
         if not len(where):
             return [], [], []
-        start = (np.array(pos) - np.array(lead))[row[where]] + shift[where]
+        start = np.array(begin)[row[where]] + shift[where]
         owner = row[where]
         head = np.ones(len(where), bool)
         head[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
@@ -261,23 +260,22 @@ def _sorted_suffixes(length: int, group: int = 20_000):
         return np.array(doc)[owner[head]].tolist(), start[head].tolist(), (start[tail] + length).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], []]
         before = None
         for b in batches:
             out: list[list] = [[], [], []]
-            for h, lead, around, doc, pos in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if before == (h, lead, around):
-                    if doc != rows[3][-1]:  # same bytes around: all of it is a repeat
-                        if len(around) >= length:
-                            for o, v in zip(out, (doc, pos - lead, pos - lead + len(around)), strict=True):
-                                o.append(v)
+            for doc, h, start, around in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if before == (h, around):
+                    if doc != rows[0][-1]:  # same bytes around: all of it is a repeat
+                        for o, v in zip(out, (doc, start, start + len(around)), strict=True):
+                            o.append(v)
                         continue
-                elif len(rows[0]) >= group and h != rows[0][-1]:
+                elif len(rows[0]) >= group and h != rows[1][-1]:
                     for o, v in zip(out, settle(*rows), strict=True):
                         o += v
-                    rows = [[], [], [], [], []]
-                before = (h, lead, around)
-                for r, v in zip(rows, (h, lead, around, doc, pos), strict=True):
+                    rows = [[], [], [], []]
+                before = (h, around)
+                for r, v in zip(rows, (doc, h, start, around), strict=True):
                     r.append(v)
             yield _spans(out)
         if rows[0]:
@@ -328,8 +326,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, texts: bool = False) ->
     parse = shared.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     # Joined once in form, twice in use: the exchange of the texts is the same in both branches, so Spark reuses it.
     joined = rows.mapInArrow(_zipped, "doc_id long, z binary").join(parse, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", "at")
-    around = joined.mapInArrow(_context(length), "h long, lead long, around binary, doc long, pos long")
-    spans = around.repartition("h").sortWithinPartitions("h", "lead", "around", "doc").mapInArrow(_sorted_suffixes(length), "doc long, start long, end long")
+    around = joined.mapInArrow(_context(length), "doc long, h long, start long, around binary")
+    spans = around.repartition("h").sortWithinPartitions("h", "around", "doc").mapInArrow(_sorted_suffixes(length), "doc long, start long, end long")
     spans = spans.groupBy(F.col("doc").alias("d2")).agg(F.collect_list(F.struct("start", "end")).alias("s"))
     every = joined.join(spans, F.col("doc_id") == F.col("d2"), "left").select("doc_id", "z", "at", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     return every.mapInArrow(_remove(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)

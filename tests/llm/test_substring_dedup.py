@@ -50,6 +50,17 @@ def test_periodic_texts(spark, text):
     assert got(remove_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
+def test_a_passage_twice_in_one_document(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    rows = []
+    for k in range(40):
+        p = word(rng.randrange(50, 75))
+        around = word(40)
+        rows += [(10 * k, word(90) + p + word(90)), (10 * k + 1, (around + p + around) * 2 + word(20) + around + p + around)]
+    assert got(remove_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
 def test_nulls_empty_and_repeated_rows(spark):
     t = "the quick brown fox jumps over the lazy dog and then it sleeps for a very long time"
     rows = [(1, None), (2, ""), (3, t), (3, t), (4, t + t)]
