@@ -1088,3 +1088,118 @@ def q_reachable_sets(s, d):
 @query(f"SELECT DISTINCT src AS node, 0 AS level FROM {CO} UNION ALL SELECT DISTINCT dst, 1 FROM {CO}")
 def q_dependency_levels(s, d):
     return graph.dependency_levels(customer_orders(s, d))
+
+
+# -- sinks and files: written to the shared folder and read back ----------------------------------------------------
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 89 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS c_name FROM customer")
+def q_csv_sink(s, d):
+    from granary.functions.scratch import new_path
+
+    path = new_path(s, "csv")
+    src.csv_sink(faulty_customers(s, d).withColumn("c_name", F.when((F.col("c_custkey") % 7 == 0) & F.col("c_name").isNotNull(), "").otherwise(F.col("c_name"))), path, ["c_custkey", "c_name"])
+    return s.read.option("header", True).option("lineSep", "\r\n").option("nullValue", "\\N").option("emptyValue", "").schema("c_custkey string, c_name string").csv(path)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS username, lower(c_name) || '@x.invalid' AS email, CASE WHEN c_custkey % 89 = 0 THEN 'rejected' ELSE 'kept' END AS state FROM customer WHERE c_custkey % 89 <> 0 UNION ALL SELECT NULL, c_name, lower(c_name) || '@x.invalid', 'rejected' FROM customer WHERE c_custkey % 89 = 0")
+def q_read_user_inventory(s, d):
+    from granary.functions.scratch import new_path
+
+    path = new_path(s, "users")
+    rows = T(s, d, "customer").select(F.when(F.col("c_custkey") % 89 != 0, F.concat(F.lit(" "), "c_custkey")).alias("UserId"), F.col("c_name").alias("User_Name"), F.concat(F.lower("c_name"), F.lit("@x.invalid")).alias("E_Mail"))
+    rows.write.option("header", True).csv(path)
+    good, bad = src.read_user_inventory(s, path)
+    cols = ["id", "username", "email"]
+    return good.select(*cols, F.lit("kept").alias("state")).unionByName(bad.select(*cols, F.lit("rejected").alias("state")))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS source_key, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey + 1 AS VARCHAR) END AS target_key FROM customer")
+def q_read_user_map(s, d):
+    from granary.functions.scratch import new_path
+
+    path = new_path(s, "map")
+    rows = T(s, d, "customer").select(F.col("c_custkey").cast("string").alias("SourceUserId"), F.when(F.col("c_custkey") % 2 == 0, (F.col("c_custkey") + 1).cast("string")).alias("TargetUserId"), F.lit("auto").alias("Rationale"))
+    rows.write.option("header", True).csv(path)
+    return src.read_user_map(s, path).select("source_key", "target_key")
+
+
+@query(f"SELECT 'dev' AS env, \"table\", \"column\", n_rows, n_nulls FROM ({NN}) UNION ALL SELECT 'prod', \"table\", \"column\", n_rows, 0 FROM ({NN})")
+def q_profile_store(s, d):
+    from granary.functions.scratch import new_path
+
+    path = new_path(s, "profiles")
+    src.save_profile(profile.null_counts(faulty_customers(s, d), "customer"), path, "dev")
+    src.save_profile(profile.null_counts(T(s, d, "customer"), "customer"), path, "prod")
+    return src.load_profile(s, path).select("env", "table", "column", "n_rows", "n_nulls")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
+def q_distribution_export(s, d):
+    from granary.functions.scratch import new_path
+
+    path = new_path(s, "distributions")
+    src.distribution_export(profile.categorical_distribution(T(s, d, "orders"), "orders", "o_orderpriority"), path)
+    return s.read.schema("value string, n long").json(path)
+
+
+@query("SELECT 2 * count(*) AS n_changes, (SELECT count(*) FROM orders) AS n_rows FROM orders WHERE o_orderkey % 97 <> 0")
+def q_wipe_and_load(s, d):
+    from granary.functions.scratch import new_path
+
+    path = new_path(s, "wipe")
+    src.wipe_and_load(edited_orders(s, d), path)
+    n = src.wipe_and_load(T(s, d, "orders"), path)
+    return s.read.parquet(path).agg(F.lit(n).cast("long").alias("n_changes"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("SELECT 'customer' AS \"table\", (c_custkey - m) // w AS chunk, min(c_custkey) AS first_key, max(c_custkey) AS last_key, count(*) AS n_rows FROM customer, (SELECT min(c_custkey) AS m, (max(c_custkey) - min(c_custkey)) // 4 + 1 AS w FROM customer) GROUP BY ALL")
+def q_resumable_load(s, d):
+    from granary.functions.scratch import new_path
+
+    path, c = new_path(s, "load"), T(s, d, "customer")
+    low, high = c.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    src.resumable_load(c, path, "c_custkey", (high - low) // 4 + 1, "customer")
+    return src.resumable_load(c, path, "c_custkey", (high - low) // 4 + 1, "customer").drop("mark")
+
+
+# -- the rest of the expressions and of the synthesis ---------------------------------------------------------------
+@query(f"SELECT c_custkey, coalesce(c_name, '') = '' AS none, coalesce(c_mktsegment, '') IN ('BUILDING', '') AS some, c_acctbal IS NULL AS empty, c_acctbal > 0 AND c_nationkey < 9 AS free FROM {FAULTY}")
+def q_predicate(s, d):
+    return faulty_customers(s, d).select("c_custkey", cells.equals("c_name", "").alias("none"), cells.is_in("c_mktsegment", ["BUILDING", ""]).alias("some"), F.col("c_acctbal").isNull().alias("empty"), cells.raw("c_acctbal > 0 AND c_nationkey < 9").alias("free"))
+
+
+@query(f"SELECT c_custkey, coalesce(trim(c_name) <> '', false) AS is_key FROM {FAULTY}")
+def q_is_key(s, d):
+    return faulty_customers(s, d).select("c_custkey", cells.is_key("c_name").alias("is_key"))
+
+
+@query(f"SELECT o.o_orderkey, CASE WHEN o.o_orderstatus <> e.o_orderstatus THEN ['o_orderstatus'] ELSE [] END AS columns FROM orders o JOIN {EDITED} e USING (o_orderkey)")
+def q_differing_columns(s, d):
+    both = diff._sides(T(s, d, "orders"), edited_orders(s, d), ["o_orderkey"]).filter("in_a AND in_b")
+    return both.select(F.col("a_o_orderkey").alias("o_orderkey"), diff.differing_columns(OCOLS[1:]).alias("columns"))
+
+
+@query("SELECT 'orders.o_custkey' AS reference")
+def q_unsatisfiable_fk(s, d):
+    found = synth.unsatisfiable_fk({"customer": T(s, d, "customer").filter("c_custkey < 0"), "nation": T(s, d, "nation")}, {"orders.o_custkey": "customer", "customer.c_nationkey": "nation"})
+    return s.createDataFrame([(x,) for x in found], "reference string").join(profile.reference_value_counts(tables(s, d, "orders"), [ORD]).select("reference").distinct(), "reference", "left_semi")
+
+
+@query(f"SELECT row, row AS o_orderkey, [10, 20, 30][CAST({DRAW.format(seed=7, t='orders', c='o_custkey')} % 3 + 1 AS INT)] AS o_custkey FROM {ROWS}")
+def q_provided_pools(s, d):
+    return synth.draw_fk_uniform(synth_rows(s, d), 7, "orders", "o_custkey", synth.provided_pool(s, [10, 20, 30], "c_custkey"), "c_custkey")
+
+
+@query(f"SELECT row, CASE WHEN {DRAW.format(seed=7, t='orders', c='tier')} % 10 < 9 THEN 'a' ELSE 'c' END AS tier FROM {ROWS}")
+def q_scenario_weights(s, d):
+    return synth_rows(s, d).select("row", synth.draw_categorical(7, "orders", "tier", synth.scenario_weights([("a", 6), ("b", 3)], {"a": 9, "b": 0, "c": 1})).alias("tier"))
+
+
+@query("SELECT CAST(round(2.5 * count(*)) AS BIGINT) AS n FROM customer")
+def q_scenario_per_parent(s, d):
+    return synth.mint_keys(s, synth.scenario_per_parent(2.5, T(s, d, "customer").count()), "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT \"table\", \"column\", n_rows, CASE WHEN \"column\" = 'c_name' THEN n_nulls ELSE 0 END AS n_nulls FROM ({NN})")
+def q_layer_evidence(s, d):
+    over = profile.null_counts(faulty_customers(s, d), "customer", ["c_name"])
+    return synth.layer_evidence(profile.null_counts(T(s, d, "customer"), "customer"), over, ["table", "column"])
