@@ -102,7 +102,7 @@ composite_unique_candidate = unique_candidate
 
 def orphans(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:
     """Rows whose non-NULL reference is missing from the parent's key."""
-    keys = parent.select(F.col(ref.key).alias("parent_key")).distinct()
+    keys = parent.select(F.col(ref.key).alias("parent_key"))
     return child.filter(F.col(ref.column).isNotNull()).join(keys, F.col(ref.column) == F.col("parent_key"), "left_anti")
 
 

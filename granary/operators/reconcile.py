@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.cells import is_key, match_key, regex_extract
+from granary.functions.scratch import save
 
 
 def _all_keys(columns: list[str]) -> Column:
@@ -102,8 +103,11 @@ def match_users(source: DataFrame, target: DataFrame, key: str, attribute: str,
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """1-based numbers in a total order without a single task: range partitions, their counts, offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """1-based numbers in a total order without a single task: range partitions, their counts, offsets.
+
+    The ranges are written once: bounds come from a sample, so a second evaluation could draw others.
+    """
+    ranged = save(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
     local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.alias("x").join(sizes.alias("y"), F.col("y._p") < F.col("x._p"), "left").groupBy("x._p").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_o"))

@@ -178,7 +178,7 @@ def remediation_rows(df: DataFrame, kind: str, key: str, column: str, parent: Da
     if kind == "nulls":
         return df.filter(F.col(column).isNull()).select(F.col(key).alias("key"))
     if kind == "orphans":
-        return df.filter(F.col(column).isNotNull()).join(parent.select(F.col(parent_key).alias("pk")).distinct(), F.col(column) == F.col("pk"), "left_anti").select(F.col(key).alias("key"))
+        return df.filter(F.col(column).isNotNull()).join(parent.select(F.col(parent_key).alias("pk")), F.col(column) == F.col("pk"), "left_anti").select(F.col(key).alias("key"))
     folded = F.lower(column) if kind == "collisions" else F.col(column)
     rows = df.filter(F.col(column).isNotNull()).withColumn("folded", folded)
     by = rows.groupBy("folded").agg(F.min(key).alias("least"), F.count_distinct(column).alias("forms"), F.count(F.lit(1)).alias("n"))

@@ -23,7 +23,7 @@ def threshold_sample(df: DataFrame, key: str, threshold: int, sample: int, cap:
 
 def keyed_fetch(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows whose key is in a key set; Spark broadcasts the set while it is under its threshold."""
-    return df.join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_semi")
+    return df.join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi")
 
 
 def predicate_fetch(df: DataFrame, predicate: Column) -> DataFrame:
