@@ -35,7 +35,7 @@ from granary.llm.kernels import chunks, mix, powers, utf8
 TRIGGER = 12
 #: A phrase has about this many bytes; a power of two.
 PHRASE = 128
-GRAM = 24
+GRAM = 22
 #: Bits of a gram's hash that travel: a chance agreement costs a needless comparison, never a wrong result.
 _GRAM_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _RAW = mix(np.arange(256).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51ED2701))
@@ -140,13 +140,30 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(press.decompress(z), np.uint8)
 
 
+#: A code is a kind, a number of occurrences (0: not known) and a start, so that one long travels for each.
+_GRAM_KIND, _COVERED, _OWNED = 0, 1, 2
+_START_BITS, _COUNT_BITS = 37, 24
+
+
+def _code(kind: int, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (kind << (_START_BITS + _COUNT_BITS)) | (n << _START_BITS) | start
+
+
+def _parts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds, numbers of occurrences and starts."""
+    return codes >> (_START_BITS + _COUNT_BITS), (codes >> _START_BITS) & ((1 << _COUNT_BITS) - 1), codes & ((1 << _START_BITS) - 1)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc): phrases outside their owner, and grams that two documents have.
+    """Of rows sorted by (h, doc): grams that two documents have, phrases outside their owner, and repeated phrases of
+    the owner with their number.
 
-    State between batches is one key, its least document, and that document's rows while they are alone.
+    State between batches is one key, its least document, and that document's grams while they are alone.  Numbers are
+    given for keys that lie inside a batch; they only save work.
     """
     key, least, shared = None, None, False
-    held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = np.zeros(0, np.int64)
+    held = (none, none)
     for b in batches:
         doc, h, pos = (c.to_numpy() for c in b.columns)
         n = len(h)
@@ -163,25 +180,31 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = high != low
         if goes_on and shared:
             both[0] = True
-        out_doc, out_pos = [], []
+        count = np.diff(np.append(starts, n))
+        count[count >= 1 << _COUNT_BITS] = 0
+        count[-1] = 0
+        if goes_on:
+            count[0] = 0
+        out_doc, out = [], []
         if goes_on and both[0]:  # what was held is shared now; phrases of the owner stay
-            out_doc.append(held[0][held[1] >= 0])
-            out_pos.append(held[1][held[1] >= 0])
-            held = (held[0][:0], held[1][:0])
-        elif not goes_on:
-            held = (held[0][:0], held[1][:0])
-        take = both[group] & ((pos >= 0) | (doc != low[group]))
-        out_doc.append(doc[take])
-        out_pos.append(pos[take])
+            gram = held[1] >= 0
+            out_doc.append(held[0][gram])
+            out.append(held[1][gram])
+        if not goes_on or both[0]:
+            held = (none, none)
+        times, gram, own = count[group], pos >= 0, doc == low[group]
+        for kind, take in ((_GRAM_KIND, gram), (_COVERED, ~gram & ~own), (_OWNED, ~gram & own & (times > 0))):
+            take = take & both[group]
+            out_doc.append(doc[take])
+            out.append(_code(kind, times[take], np.where(gram, pos, -1 - pos)[take]))
         last = len(starts) - 1
         key, least, shared = h[-1], low[last], bool(both[last])
-        alone = slice(starts[last], n)
-        if not shared:
-            before = held if goes_on and last == 0 else (held[0][:0], held[1][:0])
-            held = (np.concatenate([before[0], doc[alone]]), np.concatenate([before[1], pos[alone]]))
+        if shared:
+            held = (none, none)
         else:
-            held = (held[0][:0], held[1][:0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_pos))], ["doc", "pos"])
+            before = held if goes_on and last == 0 else (none, none)
+            held = (np.concatenate([before[0], doc[starts[last] :]]), np.concatenate([before[1], pos[starts[last] :]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out))], ["doc", "code"])
 
 
 def _covered(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -206,17 +229,27 @@ def _context(length: int):
             for k, (doc, own) in enumerate(zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True)):
                 if not b.column(2)[k].is_valid:
                     continue
-                found = b.column(2)[k].values.to_numpy(zero_copy_only=False)
-                wanted = found[found >= 0]
+                kind, times, at = _parts(b.column(2)[k].values.to_numpy(zero_copy_only=False))
+                wanted = at[kind == _GRAM_KIND]
                 if not len(wanted):
                     continue
                 sums = _sums(own)
                 pos, first, last = anchors(sums, np.array([0, len(own)]), length)
-                take = np.isin(pos, wanted)
-                if len(wanted) < len(found):
+                order = np.argsort(wanted)
+                where = np.minimum(np.searchsorted(wanted[order], pos), len(wanted) - 1)
+                take = wanted[order][where] == pos
+                if (kind == _COVERED).any():
                     # A gram is settled when no byte that its strings reach is left.
-                    left = np.concatenate([[0], np.cumsum(~_covered(own, -1 - found[found < 0], length))])
+                    left = np.concatenate([[0], np.cumsum(~_covered(own, at[kind == _COVERED], length))])
                     take &= left[last + length] > left[first]
+                if (kind == _OWNED).any():
+                    # And when it occurs as often as the phrases its strings start in: then it occurs nowhere else.
+                    begins = phrases(sums, np.array([0, len(own)]), length)[0]
+                    often = np.zeros(len(begins), np.int64)
+                    often[np.searchsorted(begins, at[kind == _OWNED])] = times[kind == _OWNED]
+                    i, j = np.searchsorted(begins, first, "right") - 1, np.searchsorted(begins, last, "right") - 1
+                    n = times[kind == _GRAM_KIND][order][where]
+                    take &= ~((n > 0) & (often[i] == n) & (often[j] == n) & (j - i <= 1))
                 pos, first, last = pos[take], first[take], last[take]
                 raw = own.tobytes()
                 cols[0].append(np.full(len(pos), doc, np.int64))
@@ -296,9 +329,9 @@ def _remove(length: int, texts: bool):
             for k, own in enumerate(_texts(b.column(1))):
                 gone = np.zeros(len(own), bool)
                 if b.column(2)[k].is_valid:
-                    found = b.column(2)[k].values.to_numpy(zero_copy_only=False)
-                    if (found < 0).any():
-                        gone = _covered(own, -1 - found[found < 0], length)
+                    kind, _, at = _parts(b.column(2)[k].values.to_numpy(zero_copy_only=False))
+                    if (kind == _COVERED).any():
+                        gone = _covered(own, at[kind == _COVERED], length)
                 if b.column(3)[k].is_valid:
                     for s, e in zip(b.column(3)[k].values.to_numpy(zero_copy_only=False), b.column(4)[k].values.to_numpy(zero_copy_only=False), strict=True):
                         gone[s:e] = True
@@ -322,8 +355,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, texts: bool = False) ->
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row, and with ``texts`` the kept bytes themselves."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.filter("doc_id IS NOT NULL").mapInArrow(_elements(length), "doc long, h long, pos long")
-    shared = found.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "doc long, pos long")
-    parse = shared.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    shared = found.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "doc long, code long")
+    parse = shared.groupBy("doc").agg(F.array_sort(F.collect_list("code")).alias("at"))
     # Joined once in form, twice in use: the exchange of the texts is the same in both branches, so Spark reuses it.
     joined = rows.mapInArrow(_zipped, "doc_id long, z binary").join(parse, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", "at")
     around = joined.mapInArrow(_context(length), "doc long, h long, start long, around binary")
