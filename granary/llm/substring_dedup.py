@@ -9,7 +9,8 @@ Suffixes.  What is left are phrases in the document that owns them: the dictiona
 bytes, are sorted, and neighbours that agree in ``length`` bytes take the least document of their phrases, which is
 corpus order.  To sort only where something can meet, each string is assigned its least hashed ``GRAM``-byte gram
 (leftmost of equals); equal strings choose equal grams, so suffixes are compared only under grams that two documents
-have.  A gram travels with the bytes around it; equal surroundings are merged before the sort, so a passage in very
+have.  A gram that occurs as often as the phrase its strings start in occurs nowhere else, so copies of a phrase bring
+nothing to the sort.  A gram travels with the bytes around it; equal surroundings are merged before the sort, so a passage in very
 many documents is one row there.
 
 The texts are shuffled once by document; both joins below use that exchange.
