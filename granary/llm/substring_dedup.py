@@ -219,9 +219,9 @@ def _covered(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _context(length: int):
-    """(doc, h, start, around) for the shared grams outside covered bytes of each text.
+    """(doc, h, start, around) for the shared grams of each text that strings outside covered phrases chose.
 
-    ``around`` are the bytes of the strings that chose the gram, ``start`` where they begin.
+    ``around`` are the bytes of those strings, ``start`` where they begin.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,16 +239,23 @@ def _context(length: int):
                 order = np.argsort(wanted)
                 where = np.minimum(np.searchsorted(wanted[order], pos), len(wanted) - 1)
                 take = wanted[order][where] == pos
+                begins = phrases(sums, np.array([0, len(own)]), length)[0]
+                i, j = np.searchsorted(begins, first, "right") - 1, np.searchsorted(begins, last, "right") - 1
                 if (kind == _COVERED).any():
-                    # A gram is settled when no byte that its strings reach is left.
-                    left = np.concatenate([[0], np.cumsum(~_covered(own, at[kind == _COVERED], length))])
-                    take &= left[last + length] > left[first]
+                    # Strings that start in a covered phrase are settled, others aren't, even where all their bytes are
+                    # covered: what a gram brings begins and ends in phrases that are left, or it brings nothing.
+                    left, index = np.ones(len(begins), bool), np.arange(len(begins))
+                    left[np.searchsorted(begins, at[kind == _COVERED])] = False
+                    after = np.minimum.accumulate(np.where(left, index, len(begins))[::-1])[::-1][i]
+                    before = np.maximum.accumulate(np.where(left, index, -1))[j]
+                    take &= after <= j
+                    first = np.where(take & (after > i), begins[np.minimum(after, len(begins) - 1)], first)
+                    last = np.where(take & (before < j), begins[np.minimum(before + 1, len(begins) - 1)] - 1, last)
+                    i, j = np.where(take, after, i), np.where(take, before, j)
                 if (kind == _OWNED).any():
                     # And when it occurs as often as the phrases its strings start in: then it occurs nowhere else.
-                    begins = phrases(sums, np.array([0, len(own)]), length)[0]
                     often = np.zeros(len(begins), np.int64)
                     often[np.searchsorted(begins, at[kind == _OWNED])] = times[kind == _OWNED]
-                    i, j = np.searchsorted(begins, first, "right") - 1, np.searchsorted(begins, last, "right") - 1
                     n = times[kind == _GRAM_KIND][order][where]
                     take &= ~((n > 0) & (often[i] == n) & (often[j] == n) & (j - i <= 1))
                 pos, first, last = pos[take], first[take], last[take]

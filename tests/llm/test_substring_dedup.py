@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from granary.llm.substring_dedup import remove_repeats
+from granary.llm.substring_dedup import _sums, phrases, remove_repeats
 
 SCHEMA = "doc_id long, text string"
 
@@ -68,3 +69,20 @@ def test_nulls_empty_and_repeated_rows(spark):
     extra = spark.createDataFrame([(None, t, 1), (1, t, 2)], "doc_id long, text string, h long")
     assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(extra).collect()) == [(0, 0), (1, 0)]
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_strings_of_an_owned_phrase_between_covered_ones(spark):
+    """All bytes of M lie in phrases of Z1 and Z2, but the strings that start in [a, b) are first in M; C repeats them."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    while len(rows) < 160:
+        m = word(400)
+        raw = np.frombuffer(m.encode(), np.uint8)
+        s = phrases(_sums(raw), np.array([0, len(raw)]), 50)[0].tolist()
+        for a, b in zip(s[1:], s[2:], strict=False):
+            if 60 < a < 300 and 12 <= b - a <= 49:
+                i = len(rows)
+                rows += [(i, m[: a + 49]), (i + 1, m[b:]), (i + 2, m), (i + 3, word(30) + m[a + 1 : b + 49] + word(30))]
+                break
+    assert got(remove_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
