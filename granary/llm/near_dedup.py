@@ -6,9 +6,9 @@ the overlaps: each sketch's values are ordered rarest first, and only the prefix
 The share of common values among the k smallest of both sketches together estimates the Jaccard similarity and
 discards clear misses, the full sets decide, and connected components of the links are the result.
 
-Exactness.  For texts with at most k shingles the sketch is the whole set and the prefix bound is exact.  For longer
-ones a linked pair keeps fewer than the wanted common values with a probability below 1e-7 (binomial tail), see
-``_wanted``.  Lists are never cut: those of a value found in over ``HOT`` sketches are compared in blocks of about
+Exactness.  For texts with at most k shingles the sketch is the whole set and the prefix bound allows for what the
+sketch of a longer partner lacks, see ``_needed``.  Of two longer ones a linked pair keeps fewer than the wanted common
+values with a probability below 1e-7 (binomial tail), see ``_wanted``.  Lists are never cut: those of a value found in over ``HOT`` sketches are compared in blocks of about
 ``BLOCK`` by ``BLOCK`` rows, each block pair in a task of its own.
 
 Defined results: a null or empty text, or one without words, has an empty set and no link.  Rows with one doc_id are
@@ -45,6 +45,16 @@ def _wanted(threshold: float, k: int) -> int:
     return k
 
 
+def _needed(n: int, per_cent: int, k: int) -> int:
+    """Values that the sketch of a text with n <= k shingles shares at least with the sketch of any linked partner.
+
+    A link of sizes n and m has per_cent * (n + m) / (100 + per_cent) common shingles or more; the sketch of a partner
+    with m > k lacks its m - k largest.
+    """
+    sizes = range(-(-per_cent * n // 100), 100 * n // per_cent + 1)
+    return max(1, min((-(-per_cent * (n + m) // (100 + per_cent)) - max(0, m - k) for m in sizes), default=1))
+
+
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +224,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, per_cent: int = 85, k: i
     # Rarest first: a value seen once can't make a pair, but takes a place in the prefix.
     values = reps.select("doc", "n", F.size("sig").alias("kept"), F.explode("sig").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    need = F.when(F.col("n") > k, F.lit(want)).otherwise(F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))).cast("int")
+    short = F.array(*[F.lit(_needed(n, per_cent, k)) for n in range(1, k + 1)])
+    need = F.when(F.col("n") > k, F.lit(want)).otherwise(F.element_at(short, F.least("n", F.lit(k)).cast("int")))
     ordered = values.join(often, "value").groupBy("doc", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     chosen = ordered.select("doc", "n", F.col("v"), (F.col("kept") - need + 1 - (F.col("kept") - F.size("v"))).alias("take")).filter("take > 0")
     chosen = chosen.select("doc", "n", F.slice("v", 1, F.col("take")).alias("v"))

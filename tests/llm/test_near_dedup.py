@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.near_dedup import near_duplicates
+from granary.llm.near_dedup import _needed, _wanted, near_duplicates
 
 SCHEMA = "doc_id long, text string"
 
@@ -55,3 +55,23 @@ def test_edges_nulls_ties_and_extra_columns(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("width,per_cent,sizes", [(3, 85, [(32, 37), (31, 36), (30, 35)]), (5, 80, [(32, 39), (32, 40), (30, 37)])])
+def test_whole_sets_within_sets_longer_than_a_sketch(spark, width, per_cent, sizes):
+    rows = []
+    for seed in range(240):
+        n, m = sizes[seed % len(sizes)]
+        words = [f"w{seed}x{k}" for k in range(m + width - 1)]
+        rows += [(2 * seed, " ".join(words[: n + width - 1])), (2 * seed + 1, " ".join(words))]
+    got = rows_of(near_duplicates(spark.createDataFrame(rows, SCHEMA), width=width, per_cent=per_cent))
+    assert got == brute(rows, width, per_cent)
+    assert sum(not r[3] for r in got) == 240
+
+
+@pytest.mark.parametrize("per_cent", [80, 85])
+def test_short_prefixes_follow_from_the_sizes(per_cent):
+    for n in range(1, 33):
+        shared = [c - max(0, m - 32) for m in range(1, 60) for c in range(1, min(n, m) + 1) if 100 * c >= per_cent * (n + m - c)]
+        assert _needed(n, per_cent, 32) == min(shared)
+        assert n < 32 * per_cent / 100 or min(shared) >= _wanted(per_cent / 100, 32)
