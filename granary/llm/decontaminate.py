@@ -1,15 +1,17 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, weighted-shingle proof.
 
-Word shingles of ``WIDTH`` words (fewer for shorter items) are hashed.  A window as long as a benchmark item is worth
-a fingerprint only if it holds a shingle of the benchmark in the item's place, since similarity needs common shingles;
-this loses nothing.  The window's SimHash, weighted as below, is looked up in ``BLOCKS`` tables of ``64 / BLOCKS`` bits:
-a fingerprint within ``RADIUS`` bits of an item's differs by at most ``RADIUS // BLOCKS`` bits in one block (pigeonhole),
-so each table lists the items by all block values that near.  Candidates within the radius are verified exactly:
-weighted Jaccard similarity of the window's and the item's shingles of at least ``threshold``.  A shingle's weight is
-1 / the number of items that have it, and 1 outside the benchmark.
-
-Items come to the tasks in blocks of ``ITEMS``; a larger benchmark means more passes over the documents.  Documents
-are one scan, without any shuffle but that of the few leaks.
+Word shingles of ``WIDTH`` words (fewer for shorter items) are hashed.  A window as long as a benchmark item, wherever
+it starts, is worth a fingerprint if the weights of its shingles allow ``threshold`` with some item; prefix sums over
+the document give a bound that loses nothing.  The window's SimHash is looked up in ``BLOCKS`` tables of
+``64 / BLOCKS`` bits: a fingerprint within ``RADIUS`` bits of an item's differs by at most ``RADIUS // BLOCKS`` bits in
+one block (pigeonhole), so each table lists the items by all block values that near.  Candidates within the radius are
+verified exactly: weighted Jaccard similarity of the window's and the item's shingles of at least ``threshold``.  A
+shingle's weight is 1 / the number of items that have it, and 1 outside the benchmark.  Fingerprints take the roots of
+the weights: then the cosine of two sets of similarity t is at least 2t / (1 + t), 0.89 at 0.8, whatever the weights.
+
+The numbers of items are counted once over the whole benchmark.  Items come to the tasks in blocks of ``ITEMS``, with
+all lengths of items and the weights under 1; a larger benchmark means more passes over the documents, with the same
+results.  Documents are one scan, without any shuffle but that of the few leaks.
 
 Defined results: null or empty texts on either side never match; items that repeat are each reported; the leak of a
 document by an item is its most similar window, the first of equals; a null doc_id is reported as null.
@@ -37,17 +39,35 @@ LEAK = "doc_id long, item_id long, similarity double, start_word long, n_words l
 
 
 def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.uint64:
-    """The 64-bit SimHash of weighted shingle hashes."""
+    """The 64-bit SimHash of weighted shingle hashes, whose vector has the roots of the weights."""
     bits = np.unpackbits(mix(shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits((weights @ (2.0 * bits - 1.0)) > 0).view("<u8")[0]
+    return np.packbits((np.sqrt(weights) @ (2.0 * bits - 1.0)) > 0).view("<u8")[0]
+
+
+class Common:
+    """Of the whole benchmark: shingles that several items have, with the number of these, and all lengths of items."""
+
+    def __init__(self, shingles: np.ndarray, items: np.ndarray, lengths: list[int]) -> None:
+        order = np.argsort(shingles)
+        self.shingles, self.weight, self.lengths = shingles[order], 1.0 / items[order], sorted(lengths)
+
+    def weights(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.ones(len(shingles))
+        where = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[where] == shingles, self.weight[where], 1.0)
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(values)])
 
 
 class Index:
-    """Benchmark items: shingles by hash with their places, fingerprints by block."""
+    """Benchmark items: shingles by hash with the items that have them, fingerprints by block."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, threshold: float = THRESHOLD) -> None:
-        self.width, self.threshold, self.ids = width, threshold, []
-        self.n_words, self.sets, grams = [], [], []
+    def __init__(self, items: list[tuple[int, str]], common: Common, width: int = WIDTH, threshold: float = THRESHOLD) -> None:
+        self.width, self.threshold, self.weights, self.ids = width, threshold, common.weights, []
+        self.n_words, self.sets = [], []
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         words, at = word_hashes(data, offsets)
         for k, (i, _) in enumerate(items):
@@ -55,18 +75,18 @@ class Index:
             if len(own):
                 self.ids.append(i)
                 self.n_words.append(len(own))
-                grams.append(shingle_hashes(own, width))
-                self.sets.append(np.unique(grams[-1]))
-        self.keys, df = np.unique(np.concatenate(self.sets), return_counts=True) if self.sets else (np.zeros(0, np.uint64), np.zeros(0))
-        self.key_weight = 1.0 / np.maximum(df, 1)
+                self.sets.append(np.unique(shingle_hashes(own, width)))
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+        self.owners = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])[order]
+        self.total = np.array([self.weights(x).sum() for x in self.sets])
+        # Lengths of windows by words in a shingle; an item shorter than a shingle is met by windows of its length.
+        self.lengths = {w: [n for n in common.lengths if n == w or n > w == width] for w in {min(width, n) for n in self.n_words}}
         self.bloom = np.zeros(_BLOOM, bool)
         self.bloom[(self.keys & np.uint64(_BLOOM - 1)).astype(np.int64)] = True
         self.widths = sorted({min(width, n) for n in self.n_words})
-        # Places: for every key the (words in the item, offset in it, words in a shingle) it stands at.
-        self.places: dict[int, set[tuple[int, int, int]]] = {}
-        for n, g in zip(self.n_words, grams, strict=True):
-            for o, v in enumerate(g.tolist()):
-                self.places.setdefault(v, set()).add((n, o, min(width, n)))
         self.prints = np.array([simhash(s, self.weights(s)) for s in self.sets], np.uint64)
         size = 64 // BLOCKS
         values = np.arange(1 << size, dtype=np.uint64)
@@ -76,10 +96,6 @@ class Index:
             near = np.bitwise_count(values[:, None] ^ part[None, :]) <= RADIUS // BLOCKS
             self.tables.append([np.flatnonzero(row) for row in near])
 
-    def weights(self, shingles: np.ndarray) -> np.ndarray:
-        where = np.minimum(np.searchsorted(self.keys, shingles), max(len(self.keys) - 1, 0))
-        return np.where(self.keys[where] == shingles, self.key_weight[where], 1.0) if len(self.keys) else np.ones(len(shingles))
-
     def near(self, fingerprint: np.uint64) -> np.ndarray:
         """Items within the radius of a fingerprint; the block tables miss none of them."""
         size = np.uint64(64 // BLOCKS)
@@ -94,21 +110,55 @@ class Index:
         where = np.minimum(np.searchsorted(self.keys, grams[some]), len(self.keys) - 1)
         return some[self.keys[where] == grams[some]]
 
-    def leaks(self, words: np.ndarray, hits: list[tuple[int, int]]) -> Iterator[tuple[int, float, int, int]]:
-        """(item, similarity, start, words) of a document given the places (word, key) of its benchmark shingles."""
-        windows = sorted({(max(0, min(p - o, len(words) - n)), min(n, len(words)), width) for p, v in hits for n, o, width in self.places[v]})
-        best: dict[int, tuple[float, int, int]] = {}
-        for start, n, width in windows:
-            own = np.unique(shingle_hashes(words[start : start + n], width))
-            weight = self.weights(own)
-            for k in self.near(simhash(own, weight)):
-                both = np.isin(own, self.sets[k], assume_unique=True)
-                common = weight[both].sum()
-                similarity = float(common / (weight.sum() + self.weights(self.sets[k]).sum() - common))
-                if similarity >= self.threshold - 1e-12 and similarity > best.get(k, (0.0,))[0]:
-                    best[k] = (similarity, start, n)
-        for k, (similarity, start, n) in sorted(best.items()):
-            yield k, similarity, start, n
+    def _windows(self, words: np.ndarray, places: np.ndarray, width: int) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
+        """Per item (-bound, start, words) of the windows whose shingles allow the threshold with it.
+
+        What a window has of an item is at most the sum over its places; its own weight is at least that of the
+        shingles which the text has once.
+        """
+        grams = shingle_hashes(words, width)
+        key = np.searchsorted(self.keys, grams[places])
+        times = self.first[key + 1] - self.first[key]
+        shift = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, place = self.owners[np.repeat(self.first[key], times) + shift], np.repeat(places, times)
+        weight = self.weights(grams)
+        least = self.threshold * self.total - 1e-9
+        some = np.flatnonzero(np.bincount(item, weight[place], len(self.total)) >= least)
+        if not len(some):
+            return
+        _, at, n = np.unique(grams, return_inverse=True, return_counts=True)
+        alone = _sums(np.where(n[at] == 1, weight, 0.0))
+        for k in some:
+            held = np.zeros(len(grams))
+            held[place[item == k]] = weight[place[item == k]]
+            held, out = _sums(held), []
+            for n_words in {min(n, len(words)) for n in self.lengths[width]}:
+                m = n_words - width + 1
+                has = np.minimum(held[m:] - held[:-m], self.total[k])
+                bound = has / np.maximum(alone[m:] - alone[:-m] + self.total[k] - has, has)
+                start = np.flatnonzero((has >= least[k]) & (bound >= self.threshold - 1e-9))
+                out += zip((-bound[start]).tolist(), start.tolist(), [n_words] * len(start), strict=True)
+            yield int(k), sorted(out)
+
+    def leaks(self, words: np.ndarray, hits: dict[int, np.ndarray]) -> Iterator[tuple[int, float, int, int]]:
+        """(item, similarity, start, words) of a document given the places of its benchmark shingles by their words."""
+        seen: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width, places in hits.items():
+            for k, windows in self._windows(words, places, width):
+                best = (-self.threshold + 1e-12, -1, 0)
+                for bound, start, n in windows:  # none behind the best can be more alike than its bound
+                    if bound > best[0] + 1e-9:
+                        break
+                    if (start, n) not in seen:
+                        own = np.unique(shingle_hashes(words[start : start + n], width))
+                        weight = self.weights(own)
+                        seen[start, n] = own, weight, self.near(simhash(own, weight))
+                    own, weight, near = seen[start, n]
+                    if k in near:
+                        common = weight[np.isin(own, self.sets[k], assume_unique=True)].sum()
+                        best = min(best, (-float(common / (weight.sum() + self.total[k] - common)), start, n))
+                if best[2]:
+                    yield k, -best[0], best[1], best[2]
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, similarity, start, words) over the texts of a column."""
@@ -117,7 +167,7 @@ class Index:
         data, offsets = utf8(column)
         for a, b in chunks(offsets):
             words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            by_text: dict[int, list[tuple[int, int]]] = {}
+            by_text: dict[int, dict[int, np.ndarray]] = {}
             for width in self.widths:
                 if len(words) < width:
                     continue
@@ -125,8 +175,10 @@ class Index:
                 where = self.hits(grams)
                 text = np.searchsorted(at, where, "right") - 1
                 inside = where + width <= at[text + 1]
-                for p, k in zip(where[inside].tolist(), text[inside].tolist(), strict=True):
-                    by_text.setdefault(k, []).append((p - int(at[k]), int(grams[p])))
+                where, text = where[inside], text[inside]
+                edge = np.flatnonzero(np.diff(text, prepend=-1, append=-1)) if len(text) else text
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    by_text.setdefault(int(text[x]), {})[width] = where[x:y] - at[text[x]]
             for k, hits in sorted(by_text.items()):
                 for item, similarity, start, n in self.leaks(words[at[k] : at[k + 1]], hits):
                     yield a + k, self.ids[item], similarity, start, n
@@ -140,14 +192,32 @@ def _blocks(benchmark: DataFrame, items: int) -> Iterator[list[tuple[int, str]]]
         yield [(r.item_id, r.text) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()]
 
 
+def _common(benchmark: DataFrame, width: int) -> Common:
+    """What blocks need to know of the whole benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(0))
+            words, at = word_hashes(data, offsets)
+            sets = [np.unique(shingle_hashes(words[x:y], width)) for x, y in zip(at[:-1], at[1:], strict=True)]
+            n = np.diff(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)), pa.array(np.repeat(n, [len(x) for x in sets]), pa.int64())], ["shingle", "words"])
+
+    rows = benchmark.filter("text IS NOT NULL").select(F.col("text").cast("string").alias("text")).mapInArrow(run, "shingle long, words long")
+    lengths = [r.words for r in rows.select("words").distinct().collect()]
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    return Common(shared["shingle"].to_numpy().view(np.uint64), shared["n"].to_numpy(), lengths)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): one row per document and item that it holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = _common(benchmark, width)
     out = None
     for block in _blocks(benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, width, threshold)
+            index = Index(block, common, width, threshold)
             for b in batches:
                 found = list(index.scan(b.column(1)))
                 ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
@@ -162,10 +232,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, thr
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, items: int = ITEMS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows pass through the scan, nothing is joined."""
     names = docs.columns
+    common = _common(benchmark, width)
     for block in _blocks(benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, width, threshold)
+            index = Index(block, common, width, threshold)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[f[0] for f in index.scan(b.column(names.index("text")))]] = False

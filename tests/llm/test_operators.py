@@ -209,6 +209,28 @@ def test_leaks_equal_brute_force_on_windows(spark, docs):
     assert left == {i for i, _ in rows} - {i for i, _ in got}
     assert len(planted) > 10
 
+def test_leaks_with_parts_swapped_and_of_one_benchmark_in_blocks(spark):
+    rng = random.Random(15)
+    word = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    items, rows = [], []
+    for k in range(20):
+        a, b = word(50), word(50)
+        items.append((k, " ".join(a + b)))
+        rows.append((k, " ".join(word(70 + k) + b + a + word(90))))
+    # A shingle of several items counts less in every block: ten items share 60 words, each has 20 of its own.
+    head = word(60)
+    for k in range(10):
+        tail = word(20)
+        items.append((100 + k, " ".join(head + tail)))
+        rows.append((100 + k, " ".join(word(40) + head + tail[:16] + word(40))))
+        rows.append((200 + k, " ".join(word(40) + tail[:10] + head[10:] + tail + word(40))))
+    d, b = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, find_leaks(d, b).collect()))
+    assert {(k, k) for k in range(20)} <= {r[:2] for r in whole}
+    assert all(r[2] > 0.9 for r in whole if r[0] < 20)
+    assert {(200 + k, 100 + k) for k in range(10)} <= {r[:2] for r in whole}  # heavy own words, light shared ones
+    assert sorted(map(tuple, find_leaks(d, b, items=4).collect())) == whole
+
 
 def test_leaks_of_nulls_short_items_and_empty_tables(spark):
     d = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (None, "x one two y"), (5, "two one")], SCHEMA)
