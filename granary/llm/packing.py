@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.near_dedup import near_duplicates
+
 CAPACITY = 2048
 SHARD = 4096
 PACKED = "doc_id long, piece long, start_word long, n_words long, bin_id string, source string, cluster long"
@@ -82,17 +84,26 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
+def near_clusters(docs: DataFrame) -> DataFrame:
+    """(doc_id, cluster): near copies, 0.8 alike in five-word shingles, are a cluster; texts without words have none."""
+    found = near_duplicates(docs.select("doc_id", "text"), width=5, per_cent=80).filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    return found.groupBy("doc_id").agg(F.min("component_id").alias("cluster"))
+
+
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """(doc_id, piece, start_word, n_words, bin_id, source, cluster): one row per piece.
 
     ``cluster`` names a column of ``docs`` with the duplicate cluster; without it, texts that agree but for case and
-    white space at the ends are a cluster.
+    white space at the ends are a cluster.  ``clusters`` has (doc_id, cluster), one row per doc_id, which goes first.
     """
     text = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE))
     size = F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"[\x20\x09-\x0D]+"))).cast("long")
     group = F.col(cluster).cast("long") if cluster else F.xxhash64(F.lower(text))
     shards = max(1, -(-docs.count() // shard))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), group.alias("cluster"))
+    if clusters is not None:  # sizes travel to this join, not texts
+        found = clusters.select(F.col("doc_id").alias("d"), F.col("cluster").cast("long").alias("c"))
+        rows = rows.join(found, F.col("doc_id") == F.col("d"), "left").select("doc_id", "size", "source", F.coalesce("c", "cluster").alias("cluster"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).withColumn("rest", F.col("size") % capacity)
     rows = rows.select("shard", "rest", "doc_id", "source", "cluster", "size").repartition("shard")
     # Full pieces fill a bin each, so the order that counts is that of the rests.

@@ -11,7 +11,7 @@ from granary.llm.decontaminate import find_leaks
 from granary.llm.html_text import extract_main_text
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.near_dedup import near_duplicates
-from granary.llm.packing import pack
+from granary.llm.packing import near_clusters, pack
 from granary.llm.quality import quality_rules
 from granary.llm.secrets import scan_secrets
 from granary.llm.substring_dedup import remove_repeats
@@ -32,7 +32,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return pack(docs, clusters=near_clusters(docs))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
