@@ -1,23 +1,29 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-Dictionary and parse.  A rolling hash of ``TRIGGER`` bytes cuts every text into phrases; a phrase is taken with the
-``length - 1`` bytes behind it, so phrases overlap, each string of ``length`` bytes starts in exactly one phrase, and
-equal phrases have equal strings.  The parse lists (phrase, document); its least document owns the phrase, and in any
-other document all strings that start in it are repeats.  This settles copies and long shared passages at once.
-
-Suffixes.  What is left are phrases in the document that owns them: the dictionary.  Its suffixes, cut at ``length``
-bytes, are sorted, and neighbours that agree in ``length`` bytes take the least document of their phrases, which is
-corpus order.  To sort only where something can meet, each string is assigned its least hashed ``GRAM``-byte gram
-(leftmost of equals); equal strings choose equal grams, so suffixes are compared only under grams that two documents
-have.  A gram that occurs as often as the phrase its strings start in occurs nowhere else, so copies of a phrase bring
-nothing to the sort.  A gram travels with the bytes around it; equal surroundings are merged before the sort, so a passage in very
-many documents is one row there.
-
-The texts are shuffled once by document; both joins below use that exchange.
-
-Defined results: a null text is empty; matches never cross documents; rows with one doc_id are one document (equal
-rows get equal results; texts that differ under one doc_id are not supported as separate documents); rows with a null
-doc_id neither match nor change; extra columns are ignored.
+Parse.  A rolling hash of ``TRIGGER`` bytes cuts every text into phrases.  Neighbouring phrases overlap by ``length - 1``
+bytes, so each string of ``length`` bytes starts in exactly one phrase, and no suffix of a phrase that is as long is a
+prefix of another one.  The parse is the list of (phrase, document), a phrase being named by 128 bits of BLAKE2b.
+Sorted, it is the suffix array of the parse, cut at one phrase since a phrase already spans ``length`` bytes: the
+least document of an interval owns the phrase, and in any other document all strings that start in it are repeats.
+
+Dictionary.  What is left are phrases in the document that owns them, each once: the dictionary.  Its suffixes are
+sorted by their bytes down to ``length`` (``equal_suffixes``); an interval of suffixes that agree so far, with the owners
+that the parse gives to their phrases, is corpus order, and its least document keeps the string.
+
+Distribution.  A suffix array of everything would ship ``length`` bytes for each byte.  Each string chooses its least
+hashed ``GRAM``-byte gram (leftmost of equals), equal strings choose equal grams, and runs of strings with one gram
+travel as one context.  The suffixes are sorted gram by gram, only under grams that two documents have in the dictionary.
+
+Hot grams and phrases.  Every task settles what it can see itself before a shuffle: occurrences of a phrase behind the
+least document of the task, contexts that the task has for a lesser document, and grams that it has ``HOT`` times or
+more.  These go to their document at once, and one representative stands for them, so a key has at most one row from
+each task, or for a gram under ``HOT`` in all tasks fewer than that.  Strings under a hot gram travel one by one, dealt by all
+their bytes, so documents with one line between different neighbours spread out.
+
+The texts are shuffled once by document; the three joins below use that exchange.
+
+Defined results: a null text is empty; matches never cross documents; rows with one doc_id are one document, each row
+with its own positions; rows with a null doc_id neither match nor change; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +43,16 @@ TRIGGER = 12
 #: A phrase has about this many bytes; a power of two.
 PHRASE = 128
 GRAM = 22
+#: A gram that one task finds so often in ``SEEN`` bytes is hot.
+HOT = 64
+#: Bytes of text over which a task gathers what it settles itself.
+SEEN = 1 << 24
 #: Bits of a gram's hash that travel: a chance agreement costs a needless comparison, never a wrong result.
 _GRAM_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _RAW = mix(np.arange(256).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51ED2701))
+#: A code is the start of a gram, with a bit for a hot one; what a task has settled itself is below 0.
+_HOT_BIT = 1 << 40
+_START = _HOT_BIT - 1
 
 
 def _sums(data: np.ndarray, table: np.ndarray = _RAW) -> np.ndarray:
@@ -73,12 +86,16 @@ def phrases(sums: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return starts, np.minimum(np.append(starts[1:], n) + length - 1, ends)
 
 
-def anchors(sums: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the grams that the strings of ``length`` bytes choose; first and last start of those strings."""
+def anchors(sums: np.ndarray, offsets: np.ndarray, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of ``length`` bytes that choose one gram: its position, first and last start of the strings.
+
+    Only strings whose start is ``wanted``, and inside one text.
+    """
+    none = (np.zeros(0, np.int64),) * 3
     width = length - GRAM + 1
     grams = _gram_hashes(sums, GRAM)
     if len(grams) < width:
-        return (np.zeros(0, np.int64),) * 3
+        return none
     best = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
@@ -91,232 +108,325 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     lo, hi = offsets[:-1], np.maximum(offsets[1:] - length + 1, offsets[:-1])
     np.add.at(inside, np.minimum(lo, len(best)), 1)
     np.add.at(inside, np.minimum(hi, len(best)), -1)
-    starts = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    chosen = (best[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    take = np.cumsum(inside[:-1]) > 0
+    if wanted is not None:
+        take &= wanted[: len(best)]
+    starts = np.flatnonzero(take)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3
+        return none
+    chosen = (best[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(chosen), bool)
-    new[1:] = chosen[1:] != chosen[:-1]
+    new[1:] = (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)
     return chosen[new], starts[new], starts[np.append(new[1:], True)]
 
 
-def _elements(length: int):
-    """(doc, h, pos) of every phrase (pos = -1 - start) and every chosen gram (pos = start)."""
+def _dealt(doc: np.ndarray) -> np.ndarray:
+    """A key for rows that only pass through an exchange."""
+    return mix(doc.astype(np.int64).view(np.uint64) + np.uint64(0x77)).view(np.int64)
+
+
+def _frame(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names.split())
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+# -- the parse ------------------------------------------------------------------------------------------------------
+_PARSE = "k1 long, k2 long, doc long, row long, start long"
+
+
+def _parse(length: int):
+    """(k1, k2, doc, row, start) of every phrase; below 0 for those the task has in a lesser document."""
+
+    def settle(k: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, k[:, 1], k[:, 0]))
+        k1, k2, doc, row, start = k[order, 0], k[order, 1], doc[order], row[order], start[order]
+        at = _groups(k1, k2)
+        known = doc > np.repeat(doc[at], np.diff(np.append(at, len(doc))))
+        return _frame("k1 k2 doc row start", np.where(known, _dealt(doc), k1), np.where(known, 0, k2), doc, row, np.where(known, -1 - start, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for b in batches:
-            data, offsets = utf8(b.column(1))
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(b.column(2))
+            ids, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
             for x, y in chunks(offsets):
                 own, at = data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
                 if not len(own):
                     continue
-                sums = _sums(own)
-                s, e = phrases(sums, at, length)
+                s, e = phrases(_sums(own), at, length)
                 s, e = s[e - s >= length], e[e - s >= length]
-                a = anchors(sums, at, length)[0]
-                where = np.concatenate([s, a])
-                text = np.searchsorted(at, where, "right") - 1
-                h = np.concatenate([_span_hash(sums, s, e), _span_hash(sums, a, a + GRAM) & _GRAM_BITS])
-                pos = where - at[text]
-                pos[: len(s)] = -1 - pos[: len(s)]
-                for k in range(0, len(h), 100_000):
-                    z = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x + text[z]]), pa.array(h[z].view(np.int64)), pa.array(pos[z])], ["doc", "h", "pos"])
+                raw = own.tobytes()
+                k = np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(s.tolist(), e.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                text = np.searchsorted(at, s, "right") - 1
+                held.append((k, ids[x + text], rows[x + text], s - at[text]))
+                size += len(own)
+                if size >= SEEN:
+                    yield settle(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield settle(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
+def _outside_owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the parse sorted by phrase and document: occurrences of phrases outside the document that owns them."""
+    key, owner = None, 0
+    for b in batches:
+        k1, k2, doc, row, start = (c.to_numpy() for c in b.columns)
+        known = start < 0
+        out = [(doc[known], row[known], -1 - start[known])]
+        k1, k2, doc, row, start = (c[~known] for c in (k1, k2, doc, row, start))
+        if len(doc):
+            at = _groups(k1, k2)
+            low = doc[at]
+            if key == (k1[0], k2[0]):
+                low[0] = owner
+            key, owner = (k1[-1], k2[-1]), low[-1]
+            later = doc > np.repeat(low, np.diff(np.append(at, len(doc))))
+            out.append((doc[later], row[later], start[later]))
+        yield _frame("doc row start", *map(np.concatenate, zip(*out, strict=True)))
+
+
+# -- texts on their way ---------------------------------------------------------------------------------------------
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the one exchange that carries them."""
     press = zstandard.ZstdCompressor(level=6)
     for b in batches:
-        data, offsets = utf8(b.column(1))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(data[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "z"])
+        data, offsets = utf8(b.column(2))
+        yield _frame("doc_id row z", b.column(0), b.column(1), pa.array([press.compress(data[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()))
 
 
-def _texts(column: pa.Array) -> Iterator[np.ndarray]:
-    press = zstandard.ZstdDecompressor()
-    for z in column.to_pylist():
-        yield np.frombuffer(press.decompress(z), np.uint8)
+def _lists(column: pa.Array, k: int) -> np.ndarray:
+    return column[k].values.to_numpy(zero_copy_only=False) if column[k].is_valid else np.zeros(0, np.int64)
 
 
-#: A code is a kind, a number of occurrences (0: not known) and a start, so that one long travels for each.
-_GRAM_KIND, _COVERED, _OWNED = 0, 1, 2
-_START_BITS, _COUNT_BITS = 37, 24
-
-
-def _code(kind: int, n: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return (kind << (_START_BITS + _COUNT_BITS)) | (n << _START_BITS) | start
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Chunks of texts in the order of their documents: (documents, rows, bytes, offsets, their place in the batch, batch)."""
+    press = zstandard.ZstdDecompressor()
+    for b in batches:
+        ids = b.column(0)
+        some = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+        ids, rows = ids.fill_null(0).to_numpy(), b.column(1).to_numpy()
+        some = some[np.argsort(ids[some], kind="stable")]
+        texts: list[bytes] = []
+        place: list[int] = []
+        size = 0
+        for k in [*some.tolist(), -1]:
+            if texts and (k < 0 or size >= 1 << 20):
+                yield ids[place], rows[place], np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), place, b
+                texts, place, size = [], [], 0
+            if k >= 0:
+                texts.append(press.decompress(b.column(2)[k].as_py()))
+                place.append(k)
+                size += len(texts[-1])
+
+
+def _unsettled(sums: np.ndarray, offsets: np.ndarray, length: int, covered: pa.Array, place: list[int]) -> np.ndarray:
+    """For every byte whether its phrase is in the dictionary with this document as owner."""
+    starts = phrases(sums, offsets, length)[0]
+    left = np.ones(len(starts), bool)
+    left[np.searchsorted(starts, np.concatenate([_lists(covered, k) + o for k, o in zip(place, offsets, strict=False)]))] = False
+    return np.repeat(left, np.diff(np.append(starts, offsets[-1])))
+
+
+# -- the dictionary: grams that two documents have -------------------------------------------------------------------
+_GRAMS = "deal long, doc long, row long, code long"
+
+
+def _grams(length: int, hot: int):
+    """(deal, doc, row, code) of the chosen grams of owned phrases, dealt by hash; see ``_HOT_BIT`` for codes."""
+
+    def settle(h: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, h))
+        h, doc, row, start = h[order], doc[order], row[order], start[order]
+        at = _groups(h)
+        n = np.diff(np.append(at, len(h)))
+        often = np.repeat((n >= hot) & (doc[at] != doc[at + n - 1]), n)
+        other = often.copy()
+        other[at] = False
+        return _frame("deal doc row code", np.where(other, _dealt(doc), h), doc, row, np.where(often, -1 - start - np.where(other, _HOT_BIT, 0), start))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for ids, rows, own, at, place, b in _texts(batches):
+            if not len(own):
+                continue
+            sums = _sums(own)
+            pos = anchors(sums, at, length, _unsettled(sums, at, length, b.column(3), place))[0]
+            text = np.searchsorted(at, pos, "right") - 1
+            h = (_span_hash(sums, pos, pos + GRAM) & _GRAM_BITS).view(np.int64)
+            held.append((h, ids[text], rows[text], pos - at[text]))
+            size += len(own)
+            if size >= SEEN:
+                yield settle(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield settle(*map(np.concatenate, zip(*held, strict=True)))
 
-def _parts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kinds, numbers of occurrences and starts."""
-    return codes >> (_START_BITS + _COUNT_BITS), (codes >> _START_BITS) & ((1 << _COUNT_BITS) - 1), codes & ((1 << _START_BITS) - 1)
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc): grams that two documents have, phrases outside their owner, and repeated phrases of
-    the owner with their number.
+    """Of rows sorted by gram, hot ones first, and document: (doc, row, code) of grams that two documents have.
 
-    State between batches is one key, its least document, and that document's grams while they are alone.  Numbers are
-    given for keys that lie inside a batch; they only save work.
+    State between batches is one gram with its least document, and that document's rows while they are alone.
     """
-    key, least, shared = None, None, False
     none = np.zeros(0, np.int64)
-    held = (none, none)
+    key, least, shared, hot, held = None, 0, False, False, (none, none, none)
     for b in batches:
-        doc, h, pos = (c.to_numpy() for c in b.columns)
-        n = len(h)
-        if not n:
-            continue
-        new = np.ones(n, bool)
-        new[1:] = h[1:] != h[:-1]
-        goes_on = key == h[0]
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        low, high = doc[starts].copy(), doc[np.append(starts[1:], n) - 1]
-        if goes_on:
-            low[0] = least
-        both = high != low
-        if goes_on and shared:
-            both[0] = True
-        count = np.diff(np.append(starts, n))
-        count[count >= 1 << _COUNT_BITS] = 0
-        count[-1] = 0
-        if goes_on:
-            count[0] = 0
-        out_doc, out = [], []
-        if goes_on and both[0]:  # what was held is shared now; phrases of the owner stay
-            gram = held[1] >= 0
-            out_doc.append(held[0][gram])
-            out.append(held[1][gram])
-        if not goes_on or both[0]:
-            held = (none, none)
-        times, gram, own = count[group], pos >= 0, doc == low[group]
-        for kind, take in ((_GRAM_KIND, gram), (_COVERED, ~gram & ~own), (_OWNED, ~gram & own & (times > 0))):
-            take = take & both[group]
-            out_doc.append(doc[take])
-            out.append(_code(kind, times[take], np.where(gram, pos, -1 - pos)[take]))
-        last = len(starts) - 1
-        key, least, shared = h[-1], low[last], bool(both[last])
-        if shared:
-            held = (none, none)
-        else:
-            before = held if goes_on and last == 0 else (none, none)
-            held = (np.concatenate([before[0], doc[starts[last] :]]), np.concatenate([before[1], pos[starts[last] :]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out))], ["doc", "code"])
-
-
-def _covered(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Bytes of one text that the phrases at these starts cover."""
-    s, e = phrases(_sums(data), np.array([0, len(data)]), length)
-    keep = np.isin(s, starts)
-    step = np.zeros(len(data) + 1, np.int32)
-    np.add.at(step, s[keep], 1)
-    np.add.at(step, e[keep], -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def _context(length: int):
-    """(doc, h, start, around) for the shared grams of each text that strings outside covered phrases chose.
-
-    ``around`` are the bytes of those strings, ``start`` where they begin.
+        deal, doc, row, code = (c.to_numpy() for c in b.columns)
+        known = code < -_HOT_BIT
+        out = [(doc[known], row[known], -1 - code[known])]
+        deal, doc, row, code = (c[~known] for c in (deal, doc, row, code))
+        if len(deal):
+            at = _groups(deal)
+            n = np.diff(np.append(at, len(deal)))
+            low, warm = doc[at].copy(), code[at] < 0
+            both = warm | (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))
+            if goes_on := key == deal[0]:
+                both[0] |= shared or bool((doc[: n[0]] != least).any())
+                warm[0] |= hot
+                low[0] = least
+                if both[0]:
+                    out.append(held)
+            if not goes_on or both[0]:
+                held = (none, none, none)
+            take = np.repeat(both, n)
+            start = np.where(code < 0, -1 - code, code) | np.where(np.repeat(warm, n), _HOT_BIT, 0)
+            out.append((doc[take], row[take], start[take]))
+            key, least, shared, hot = deal[-1], low[-1], bool(both[-1]), bool(warm[-1])
+            if not shared:
+                held = tuple(np.concatenate([a, c[at[-1] :]]) for a, c in zip(held if goes_on and len(at) == 1 else (none,) * 3, (doc, row, start), strict=True))  # type: ignore[assignment]
+        yield _frame("doc row code", *map(np.concatenate, zip(*out, strict=True)))
+
+
+# -- the dictionary: its suffixes -------------------------------------------------------------------------------------
+_CONTEXT = "deal long, doc long, row long, start long, n long, around binary"
+
+
+def _spans_of(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Spans joined where they follow or overlap each other in this order."""
+    if not len(doc):
+        return []
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > end[:-1]) | (start[1:] < start[:-1])
+    last = np.append(new[1:], True)
+    return list(zip(doc[new].tolist(), row[new].tolist(), start[new].tolist(), end[last].tolist(), strict=True))
+
+
+def _contexts(length: int):
+    """(deal, doc, row, start, n, around): bytes ``around`` a shared gram that strings outside covered phrases chose.
+
+    ``start`` is where they begin.  Strings under a hot gram are rows of their own.  What the task has in a lesser
+    document is settled: a span of n bytes, without its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for k, (doc, own) in enumerate(zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True)):
-                if not b.column(2)[k].is_valid:
-                    continue
-                kind, times, at = _parts(b.column(2)[k].values.to_numpy(zero_copy_only=False))
-                wanted = at[kind == _GRAM_KIND]
-                if not len(wanted):
-                    continue
-                sums = _sums(own)
-                pos, first, last = anchors(sums, np.array([0, len(own)]), length)
-                order = np.argsort(wanted)
-                where = np.minimum(np.searchsorted(wanted[order], pos), len(wanted) - 1)
-                take = wanted[order][where] == pos
-                begins = phrases(sums, np.array([0, len(own)]), length)[0]
-                i, j = np.searchsorted(begins, first, "right") - 1, np.searchsorted(begins, last, "right") - 1
-                if (kind == _COVERED).any():
-                    # Strings that start in a covered phrase are settled, others aren't, even where all their bytes are
-                    # covered: what a gram brings begins and ends in phrases that are left, or it brings nothing.
-                    left, index = np.ones(len(begins), bool), np.arange(len(begins))
-                    left[np.searchsorted(begins, at[kind == _COVERED])] = False
-                    after = np.minimum.accumulate(np.where(left, index, len(begins))[::-1])[::-1][i]
-                    before = np.maximum.accumulate(np.where(left, index, -1))[j]
-                    take &= after <= j
-                    first = np.where(take & (after > i), begins[np.minimum(after, len(begins) - 1)], first)
-                    last = np.where(take & (before < j), begins[np.minimum(before + 1, len(begins) - 1)] - 1, last)
-                    i, j = np.where(take, after, i), np.where(take, before, j)
-                if (kind == _OWNED).any():
-                    # And when it occurs as often as the phrases its strings start in: then it occurs nowhere else.
-                    often = np.zeros(len(begins), np.int64)
-                    often[np.searchsorted(begins, at[kind == _OWNED])] = times[kind == _OWNED]
-                    n = times[kind == _GRAM_KIND][order][where]
-                    take &= ~((n > 0) & (often[i] == n) & (often[j] == n) & (j - i <= 1))
-                pos, first, last = pos[take], first[take], last[take]
-                raw = own.tobytes()
-                cols[0].append(np.full(len(pos), doc, np.int64))
-                cols[1].append((_span_hash(sums, pos, pos + GRAM) & _GRAM_BITS).view(np.int64))
-                cols[2].append(first)
-                cols[3] += [raw[s:e] for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)]
-            flat = lambda c: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*map(flat, cols[:3]), pa.array(cols[3], pa.binary())], ["doc", "h", "start", "around"])
+        seen: dict[bytes, int] = {}
+        size, batch = 0, None
+        for ids, rows, own, at, place, b in _texts(batches):
+            if batch is not b and size >= SEEN:  # documents are in order within a batch only
+                seen, size = {}, 0
+            batch = b
+            wanted = [_lists(b.column(4), k) for k in place]
+            codes = np.concatenate([(w & _START) + o for w, o in zip(wanted, at, strict=False)])
+            if not len(codes):
+                continue
+            size += len(own)
+            sums = _sums(own)
+            pos, first, last = anchors(sums, at, length, _unsettled(sums, at, length, b.column(3), place))
+            order = np.argsort(codes)
+            where = np.minimum(np.searchsorted(codes[order], pos), len(codes) - 1)
+            take = codes[order][where] == pos
+            hot = (np.concatenate(wanted)[order][where] & _HOT_BIT > 0)[take]
+            pos, first, last = pos[take], first[take], last[take]
+            # A run under a hot gram becomes runs of one string.
+            n = np.where(hot, last - first + 1, 1)
+            shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pos, hot = np.repeat(pos, n), np.repeat(hot, n)
+            first, last = np.repeat(first, n) + shift, np.where(hot, np.repeat(first, n) + shift, np.repeat(last, n))
+            text = np.searchsorted(at, first, "right") - 1
+            doc, row, end = ids[text], rows[text], last + length
+            deal = np.where(hot, _span_hash(sums, first, end), _span_hash(sums, pos, pos + GRAM) & _GRAM_BITS).view(np.int64)
+            raw = own.tobytes()
+            around = [raw[s:e] for s, e in zip(first.tolist(), end.tolist(), strict=True)]
+            known = np.array([seen.setdefault(x, d) < d for x, d in zip(around, doc.tolist(), strict=True)], bool)
+            start = first - at[text]
+            spans = _spans_of(doc[known], row[known], start[known], start[known] + (end - first)[known])
+            if spans:
+                d, r, s, e = (np.array(c, np.int64) for c in zip(*spans, strict=True))
+                yield _frame("deal doc row start n around", _dealt(d), d, r, s, e - s, pa.nulls(len(d), pa.binary()))
+            fresh = ~known
+            bytes_left = pa.array([x for x, k in zip(around, known.tolist(), strict=True) if not k], pa.binary())
+            yield _frame("deal doc row start n around", deal[fresh], doc[fresh], row[fresh], start[fresh], (end - first)[fresh], bytes_left)
 
     return run
 
 
+def equal_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of the suffix array that agree in ``depth`` bytes: members in order, and where each interval starts.
+
+    Suffixes are sorted by eight bytes at a time; those alone in their interval need no more.
+    """
+    some, name = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    eight = np.arange(8)
+    for d in [*range(0, depth - 8, 8), depth - 8]:
+        value = data[(starts[some] + d)[:, None] + eight].view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((value, name))
+        value, name, some = value[order], name[order], some[order]
+        new = np.ones(len(some), bool)
+        new[1:] = (name[1:] != name[:-1]) | (value[1:] != value[:-1])
+        alone = new & np.append(new[1:], True)
+        name = np.cumsum(new)[~alone]
+        some = some[~alone]
+        if not len(some):
+            break
+    return some, _groups(name) if len(some) else some
+
+
 def _sorted_suffixes(length: int, group: int = 20_000):
-    """Of contexts sorted by (h, around, doc): the spans (doc, start, end) of strings that a smaller document has."""
+    """Of contexts sorted by key: the spans (doc, row, start, end) of strings that a smaller document has."""
 
-    def settle(doc: list, h: list, begin: list, around: list) -> tuple[list, list, list]:
+    def settle(doc: list, row: list, begin: list, around: list) -> list[tuple[int, int, int, int]]:
         size = np.array([len(x) for x in around])
         off = np.concatenate([[0], np.cumsum(size)])
-        sums = _sums(np.frombuffer(b"".join(around), np.uint8))
-        count = np.maximum(size - length + 1, 0)
-        row = np.repeat(np.arange(len(around)), count)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        s = off[row] + shift
-        w = _span_hash(sums, s, s + length)
-        docs, keys = np.array(doc)[row], np.array(h)[row]
-        order = np.lexsort((docs, keys, w))  # the sorted suffixes, each under its gram
-        ws, ks, ds = w[order], keys[order], docs[order]
-        new = np.ones(len(ws), bool)
-        new[1:] = (ws[1:] != ws[:-1]) | (ks[1:] != ks[:-1])
-        low = ds[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ws) else ds
-        hit = np.zeros(len(w), bool)
-        hit[order] = ds > low
-        where = np.flatnonzero(hit)
-        if not len(where):
-            return [], [], []
-        start = np.array(begin)[row[where]] + shift[where]
-        owner = row[where]
-        head = np.ones(len(where), bool)
-        head[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-        tail = np.append(head[1:], True)
-        return np.array(doc)[owner[head]].tolist(), start[head].tolist(), (start[tail] + length).tolist()
+        count = size - length + 1
+        owner = np.repeat(np.arange(len(around)), count)
+        shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        some, at = equal_suffixes(np.frombuffer(b"".join(around), np.uint8), off[owner] + shift, length)
+        if not len(some):
+            return []
+        docs, rows = np.array(doc), np.array(row)
+        mine = docs[owner[some]]
+        low = np.repeat(np.minimum.reduceat(mine, at), np.diff(np.append(at, len(some))))
+        hit = np.sort(some[mine > low])
+        start = np.array(begin)[owner[hit]] + shift[hit]
+        return _spans_of(docs[owner[hit]], rows[owner[hit]], start, start + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[], [], [], []]
-        before = None
+        key = None
         for b in batches:
-            out: list[list] = [[], [], []]
-            for doc, h, start, around in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if before == (h, around):
-                    if doc != rows[0][-1]:  # same bytes around: all of it is a repeat
-                        for o, v in zip(out, (doc, start, start + len(around)), strict=True):
-                            o.append(v)
-                        continue
-                elif len(rows[0]) >= group and h != rows[1][-1]:
-                    for o, v in zip(out, settle(*rows), strict=True):
-                        o += v
-                    rows = [[], [], [], []]
-                before = (h, around)
-                for r, v in zip(rows, (doc, h, start, around), strict=True):
+            known = b.filter(b.column(5).is_null())
+            s = known.column(3).to_numpy()
+            out = list(zip(known.column(1).to_pylist(), known.column(2).to_pylist(), s.tolist(), (s + known.column(4).to_numpy()).tolist(), strict=True))
+            left = b.filter(b.column(5).is_valid())
+            for deal, doc, row, start, around in zip(*(left.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
+                if deal != key:
+                    if len(rows[0]) >= group:
+                        out += settle(*rows)
+                        rows = [[], [], [], []]
+                    key = deal
+                for r, v in zip(rows, (doc, row, start, around), strict=True):
                     r.append(v)
             yield _spans(out)
         if rows[0]:
@@ -325,24 +435,28 @@ def _sorted_suffixes(length: int, group: int = 20_000):
     return run
 
 
-def _spans(out) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "start", "end"])
+def _spans(out: list) -> pa.RecordBatch:
+    return _frame("doc row start end", *(pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([],) * 4)))
 
 
 def _remove(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for b in batches:
             cols: list[list] = [[], [], [], []]
             left = []
-            for k, own in enumerate(_texts(b.column(1))):
-                gone = np.zeros(len(own), bool)
-                if b.column(2)[k].is_valid:
-                    kind, _, at = _parts(b.column(2)[k].values.to_numpy(zero_copy_only=False))
-                    if (kind == _COVERED).any():
-                        gone = _covered(own, at[kind == _COVERED], length)
-                if b.column(3)[k].is_valid:
-                    for s, e in zip(b.column(3)[k].values.to_numpy(zero_copy_only=False), b.column(4)[k].values.to_numpy(zero_copy_only=False), strict=True):
-                        gone[s:e] = True
+            for k, z in enumerate(b.column(2).to_pylist()):
+                own = np.frombuffer(press.decompress(z), np.uint8)
+                step = np.zeros(len(own) + 1, np.int32)
+                covered = _lists(b.column(3), k)
+                if len(covered):
+                    s, e = phrases(_sums(own), np.array([0, len(own)]), length)
+                    at = np.searchsorted(s, covered)
+                    np.add.at(step, s[at], 1)
+                    np.add.at(step, e[at], -1)
+                np.add.at(step, _lists(b.column(4), k), 1)
+                np.add.at(step, _lists(b.column(5), k), -1)
+                gone = np.cumsum(step[:-1]) > 0
                 kept = own[~gone].tobytes()
                 cols[0].append(len(own))
                 cols[1].append(int(gone.sum()))
@@ -359,16 +473,27 @@ def _remove(length: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, hot: int = HOT, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row, and with ``texts`` the kept bytes themselves."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.filter("doc_id IS NOT NULL").mapInArrow(_elements(length), "doc long, h long, pos long")
-    shared = found.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "doc long, code long")
-    parse = shared.groupBy("doc").agg(F.array_sort(F.collect_list("code")).alias("at"))
-    # Joined once in form, twice in use: the exchange of the texts is the same in both branches, so Spark reuses it.
-    joined = rows.mapInArrow(_zipped, "doc_id long, z binary").join(parse, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", "at")
-    around = joined.mapInArrow(_context(length), "doc long, h long, start long, around binary")
-    spans = around.repartition("h").sortWithinPartitions("h", "around", "doc").mapInArrow(_sorted_suffixes(length), "doc long, start long, end long")
-    spans = spans.groupBy(F.col("doc").alias("d2")).agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    every = joined.join(spans, F.col("doc_id") == F.col("d2"), "left").select("doc_id", "z", "at", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    if length < GRAM + 8:
+        raise ValueError(f"strings of {GRAM + 8} bytes at least")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    parse = rows.filter("doc_id IS NOT NULL").mapInArrow(_parse(length), _PARSE)
+    outside = parse.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc").mapInArrow(_outside_owner, "doc long, row long, start long")
+    by_text = lambda df, *values: df.groupBy("doc", "row").agg(*(F.collect_list(v).alias(v) for v in values))
+
+    def beside(left, right, *values: str) -> DataFrame:
+        on = (left["doc_id"] == right["doc"]) & (left["row"] == right["r"])
+        return left.join(right, on, "left").select(*left.columns, *values)
+
+    # Joined thrice in form: the exchange of the texts is the same in all branches, so Spark reuses it.
+    covered = by_text(outside, "start").select("doc", F.col("row").alias("r"), F.array_distinct("start").alias("covered"))
+    parsed = beside(rows.mapInArrow(_zipped, "doc_id long, row long, z binary"), covered, "covered")
+    grams = parsed.mapInArrow(_grams(length, hot), _GRAMS)
+    shared = grams.repartition("deal").sortWithinPartitions("deal", F.col("code") >= 0, "doc").mapInArrow(_shared, "doc long, row long, code long")
+    marked = beside(parsed, by_text(shared, "code").select("doc", F.col("row").alias("r"), "code"), "code")
+    contexts = marked.mapInArrow(_contexts(length), _CONTEXT)
+    spans = contexts.repartition("deal").sortWithinPartitions("deal").mapInArrow(_sorted_suffixes(length), "doc long, row long, start long, end long")
+    every = beside(parsed, by_text(spans, "start", "end").select("doc", F.col("row").alias("r"), "start", "end"), "start", "end")
     return every.mapInArrow(_remove(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)

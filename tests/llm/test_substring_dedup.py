@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from granary.llm.substring_dedup import _sums, phrases, remove_repeats
+from granary.llm.substring_dedup import _sums, equal_suffixes, phrases, remove_repeats
 
 SCHEMA = "doc_id long, text string"
 
@@ -86,3 +86,40 @@ def test_strings_of_an_owned_phrase_between_covered_ones(spark):
                 rows += [(i, m[: a + 49]), (i + 1, m[b:]), (i + 2, m), (i + 3, word(30) + m[a + 1 : b + 49] + word(30))]
                 break
     assert got(remove_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_two_texts_under_one_id(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    p, q = word(600), word(500)
+    rows = [(1, word(30) + p), (2, q + word(9)), (3, word(700) + p), (3, word(10) + q + word(90) + p), (3, word(50)), (4, p + q)]
+    assert got(remove_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+@pytest.mark.parametrize("hot,parts", [(2, 1), (2, 7), (8, 3), (64, 4)])
+def test_a_line_that_most_documents_share(spark, hot, parts):
+    """Between different neighbours, and in copies; keys that a task finds ``hot`` times go another way."""
+    rng = random.Random(hot)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line, long_line, copy = word(64), word(420), word(300)
+    rows = [(i, word(rng.randrange(90)) + rng.choice([line, long_line, line[:49], line + long_line]) + word(rng.randrange(90))) for i in range(150)]
+    rows += [(200 + i, copy if i % 2 else copy + word(20)) for i in range(60)] + [(300, line * 30), (301, "a" * 700), (302, "a" * 400), (303, "a" * 400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    assert got(remove_repeats(df, hot=hot)) == brute(rows)
+
+
+def test_equal_suffixes_is_a_suffix_array_cut_at_a_depth():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    starts = np.arange(2900)
+    for depth in (9, 12, 16, 50):
+        some, at = equal_suffixes(data, starts, depth)
+        text = data.tobytes()
+        runs = [[text[s : s + depth] for s in x.tolist()] for x in np.split(some, at[1:])] if len(some) else []
+        assert all(len(set(r)) == 1 and len(r) > 1 for r in runs)
+        heads = [r[0] for r in runs]
+        assert heads == sorted(set(heads))
+        every = [text[s : s + depth] for s in starts.tolist()]
+        assert sum(map(len, runs)) == sum(every.count(h) for h in heads)
+        assert {w for w in every if every.count(w) > 1} == set(heads)
