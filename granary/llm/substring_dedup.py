@@ -145,9 +145,10 @@ def _parse(length: int):
 
     def settle(k: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((doc, k[:, 1], k[:, 0]))
-        k1, k2, doc, row, start = k[order, 0], k[order, 1], doc[order], row[order], start[order]
-        at = _groups(k1, k2)
-        known = doc > np.repeat(doc[at], np.diff(np.append(at, len(doc))))
+        k1, k2 = k[:, 0], k[:, 1]
+        at = _groups(k1[order], k2[order])
+        known = np.zeros(len(doc), bool)  # rows stay in the order of the texts, which compresses well
+        known[order] = doc[order] > np.repeat(doc[order][at], np.diff(np.append(at, len(doc))))
         return _frame("k1 k2 doc row start", np.where(known, _dealt(doc), k1), np.where(known, 0, k2), doc, row, np.where(known, -1 - start, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +247,13 @@ def _grams(length: int, hot: int):
 
     def settle(h: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((doc, h))
-        h, doc, row, start = h[order], doc[order], row[order], start[order]
-        at = _groups(h)
+        at = _groups(h[order])
         n = np.diff(np.append(at, len(h)))
-        often = np.repeat((n >= hot) & (doc[at] != doc[at + n - 1]), n)
-        other = often.copy()
-        other[at] = False
+        least, most = doc[order[at]], doc[order[at + n - 1]]
+        often, other = np.zeros((2, len(h)), bool)  # rows stay in the order of the texts, which compresses well
+        often[order] = np.repeat((n >= hot) & (least != most), n)
+        other[:] = often
+        other[order[at]] = False
         return _frame("deal doc row code", np.where(other, _dealt(doc), h), doc, row, np.where(often, -1 - start - np.where(other, _HOT_BIT, 0), start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
