@@ -42,9 +42,9 @@ from granary.llm.kernels import chunks, mix, powers, utf8
 TRIGGER = 12
 #: A phrase has about this many bytes; a power of two.
 PHRASE = 128
-GRAM = 22
+GRAM = 18
 #: A gram that one task finds so often in ``SEEN`` bytes is hot.
-HOT = 64
+HOT = 128
 #: Bytes of text over which a task gathers what it settles itself.
 SEEN = 1 << 24
 #: Bits of a gram's hash that travel: a chance agreement costs a needless comparison, never a wrong result.
@@ -312,7 +312,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # -- the dictionary: its suffixes -------------------------------------------------------------------------------------
-_CONTEXT = "deal long, doc long, row long, start long, n long, around binary"
+_CONTEXT = "deal long, doc long, row long, start long, n long, around binary, more binary"
 
 
 def _spans_of(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -325,12 +325,26 @@ def _spans_of(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarr
     return list(zip(doc[new].tolist(), row[new].tolist(), start[new].tolist(), end[last].tolist(), strict=True))
 
 
+def _once(around: list[bytes], text: list[int], some: list[int]) -> tuple[list[int], dict[int, list[int]]]:
+    """Of some contexts those that are the first of their bytes in a text, and by these the later ones."""
+    heads, again, mine, last = [], {}, {}, -1  # type: ignore[var-annotated]
+    for k in some:
+        if text[k] != last:
+            mine, last = {}, text[k]
+        if (j := mine.setdefault(around[k], k)) == k:
+            heads.append(k)
+        else:
+            again.setdefault(j, []).append(k)
+    return heads, again
+
+
 def _contexts(length: int):
-    """(deal, doc, row, start, n, around): bytes ``around`` a shared gram that strings outside covered phrases chose.
+    """(deal, doc, row, start, n, around, more): bytes ``around`` a shared gram that strings outside covered phrases chose.
 
-    ``start`` is where they begin.  Strings under a hot gram are rows of their own.  What the task has in a lesser
-    document is settled: a span of n bytes, without its bytes.
+    ``start`` is where they begin, ``more`` where else in the text.  Strings under a hot gram are rows of their own.
+    What the task has in a lesser document is settled: a span of n bytes, without its bytes.
     """
+    names = "deal doc row start n around more"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -366,10 +380,10 @@ def _contexts(length: int):
             spans = _spans_of(doc[known], row[known], start[known], start[known] + (end - first)[known])
             if spans:
                 d, r, s, e = (np.array(c, np.int64) for c in zip(*spans, strict=True))
-                yield _frame("deal doc row start n around", _dealt(d), d, r, s, e - s, pa.nulls(len(d), pa.binary()))
-            fresh = ~known
-            bytes_left = pa.array([x for x, k in zip(around, known.tolist(), strict=True) if not k], pa.binary())
-            yield _frame("deal doc row start n around", deal[fresh], doc[fresh], row[fresh], start[fresh], (end - first)[fresh], bytes_left)
+                yield _frame(names, _dealt(d), d, r, s, e - s, pa.nulls(len(d), pa.binary()), pa.nulls(len(d), pa.binary()))
+            heads, again = _once(around, text.tolist(), np.flatnonzero(~known).tolist())
+            more = [start[again[k]].tobytes() if k in again else None for k in heads] if again else pa.nulls(len(heads), pa.binary())
+            yield _frame(names, deal[heads], doc[heads], row[heads], start[heads], (end - first)[heads], pa.array([around[k] for k in heads], pa.binary()), more)
 
     return run
 
@@ -398,7 +412,7 @@ def equal_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
 def _sorted_suffixes(length: int, group: int = 20_000):
     """Of contexts sorted by key: the spans (doc, row, start, end) of strings that a smaller document has."""
 
-    def settle(doc: list, row: list, begin: list, around: list) -> list[tuple[int, int, int, int]]:
+    def settle(doc: list, row: list, begin: list, around: list, more: list) -> list[tuple[int, int, int, int]]:
         size = np.array([len(x) for x in around])
         off = np.concatenate([[0], np.cumsum(size)])
         count = size - length + 1
@@ -407,28 +421,31 @@ def _sorted_suffixes(length: int, group: int = 20_000):
         some, at = equal_suffixes(np.frombuffer(b"".join(around), np.uint8), off[owner] + shift, length)
         if not len(some):
             return []
-        docs, rows = np.array(doc), np.array(row)
-        mine = docs[owner[some]]
+        mine = np.array(doc)[owner[some]]
         low = np.repeat(np.minimum.reduceat(mine, at), np.diff(np.append(at, len(some))))
         hit = np.sort(some[mine > low])
-        start = np.array(begin)[owner[hit]] + shift[hit]
-        return _spans_of(docs[owner[hit]], rows[owner[hit]], start, start + length)
+        out = []
+        for k, _, s, e in _spans_of(owner[hit], owner[hit], shift[hit], shift[hit] + length):
+            out.append((doc[k], row[k], begin[k] + s, begin[k] + e))
+            if more[k] is not None:
+                out += [(doc[k], row[k], b + s, b + e) for b in np.frombuffer(more[k], np.int64).tolist()]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         key = None
         for b in batches:
             known = b.filter(b.column(5).is_null())
             s = known.column(3).to_numpy()
             out = list(zip(known.column(1).to_pylist(), known.column(2).to_pylist(), s.tolist(), (s + known.column(4).to_numpy()).tolist(), strict=True))
             left = b.filter(b.column(5).is_valid())
-            for deal, doc, row, start, around in zip(*(left.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
+            for deal, *values in zip(*(left.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)), strict=True):
                 if deal != key:
                     if len(rows[0]) >= group:
                         out += settle(*rows)
-                        rows = [[], [], [], []]
+                        rows = [[], [], [], [], []]
                     key = deal
-                for r, v in zip(rows, (doc, row, start, around), strict=True):
+                for r, v in zip(rows, values, strict=True):
                     r.append(v)
             yield _spans(out)
         if rows[0]:
@@ -480,7 +497,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, hot: int = HOT, texts:
     if length < GRAM + 8:
         raise ValueError(f"strings of {GRAM + 8} bytes at least")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), text.alias("text"))
     parse = rows.filter("doc_id IS NOT NULL").mapInArrow(_parse(length), _PARSE)
     outside = parse.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc").mapInArrow(_outside_owner, "doc long, row long, start long")
     by_text = lambda df, *values: df.groupBy("doc", "row").agg(*(F.collect_list(v).alias(v) for v in values))
