@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Reference:
+    """Columns of a child that name a row of a parent; for a composite reference both sides are tuples in one order."""
+
     child: str
-    column: str
+    column: str | tuple[str, ...]
     parent: str
-    key: str
+    key: str | tuple[str, ...]
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (self.column,) if isinstance(self.column, str) else self.column
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return (self.key,) if isinstance(self.key, str) else self.key
 
     @property
     def name(self) -> str:
-        return f"{self.child}.{self.column}"
+        return f"{self.child}.{'+'.join(self.columns)}"
 
 
 @dataclass(frozen=True)

@@ -35,7 +35,10 @@ def raw(sql: str) -> Column:
 
 # -- text forms -----------------------------------------------------------------------------------------------------
 def canonical_text(c: COL, kind: T.DataType) -> Column:
-    """One text form per type; NULL stays NULL."""
+    """One text form per type, different for different values; NULL stays NULL.
+
+    Binary floating point has the digits that tell it from its neighbours, NaN and Infinity by name.
+    """
     c = _c(c)
     if isinstance(kind, T.BooleanType):
         return F.when(c, "true").when(~c, "false")
@@ -45,8 +48,6 @@ def canonical_text(c: COL, kind: T.DataType) -> Column:
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(kind, T.BinaryType):
         return F.hex(c)
-    if isinstance(kind, T.DoubleType | T.FloatType | T.DecimalType):
-        return c.cast("decimal(38,6)").cast("string")
     return c.cast("string")
 
 

@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a temporary folder."""
+    """The folder in ``spark.checkpoint.dir``; only where it is unset on one machine (tests) a temporary folder."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-granary-")
@@ -34,6 +36,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def compact(parts: list[DataFrame], name: str, most: int = 16) -> list[DataFrame]:
+    """Tables of one schema as one, once there are ``most`` of them, so that plans over many rounds stay short."""
+    if len(parts) < most:
+        return parts
+    out = [save(union(parts), name)]
+    for p in parts:
+        drop(p)
+    return out
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete a table made by ``save`` that no later step reads."""
     path = getattr(df, "_granary_path", None)

@@ -6,49 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.contract import Contract
-from granary.functions.scratch import drop, save
+from granary.functions.scratch import compact, drop, save, union
 from granary.operators.upsert import merge_upsert
 
 
-def referential_closure(contract: Contract, tables: dict[str, DataFrame], roots: dict[str, DataFrame], stop: set[str] = frozenset(), rounds: int = 100) -> dict[str, DataFrame]:
-    """Per table the keys of all rows that the root rows need.
+def referential_closure(contract: Contract, tables: dict[str, DataFrame], roots: dict[str, DataFrame], stop: set[str] = frozenset()) -> dict[str, DataFrame]:
+    """Per table the keys (all key columns) of all rows that the root rows need.
 
     Each round takes the parents referenced by rows that are new, less those already held; keys are distinct, so
-    cycles end.  References named in ``stop`` aren't followed.  Key tables are written every round.
+    cycles end, and the work goes on until nothing is new, however long the chains.  References named in ``stop`` aren't
+    followed; one with a NULL column names nothing.  Key tables are written every round.  Tables without a key can be
+    roots only.
     """
-    key = {t: contract.tables[t].key[0] if contract.tables[t].key else None for t in tables}
-    held: dict[str, DataFrame] = {}
-    new = dict(roots)
-    for t, df in list(new.items()):
+    key = {t: list(contract.tables[t].key) for t in tables}
+    held: dict[str, list[DataFrame]] = {}
+    rows = dict(roots)
+    for t, df in roots.items():
         if key[t]:
-            new[t] = held[t] = save(df.select(key[t]).distinct(), "closure")
-    rows = {t: tables[t].join(new[t], key[t], "left_semi") if key[t] else df for t, df in new.items()}
-    for _ in range(rounds):
-        asked: dict[str, DataFrame] = {}
+            held[t] = [save(df.select(*key[t]).dropna().distinct(), "closure")]
+            rows[t] = tables[t].join(held[t][0], key[t], "left_semi")
+    while rows:
+        asked: dict[str, list[DataFrame]] = {}
         for child, part in rows.items():
             for r in contract.of(child):
                 if r.name in stop or r.parent not in tables:
                     continue
-                values = part.select(F.col(r.column).cast(dict(tables[r.parent].dtypes)[r.key]).alias(r.key)).dropna().distinct()
-                asked[r.parent] = asked[r.parent].union(values) if r.parent in asked else values
+                kinds = dict(tables[r.parent].dtypes)
+                values = part.select(*[F.col(c).cast(kinds[k]).alias(k) for c, k in zip(r.columns, r.keys, strict=True)]).dropna().distinct()
+                asked.setdefault(r.parent, []).append(tables[r.parent].join(values, list(r.keys), "left_semi").select(*key[r.parent]))
         rows = {}
-        for parent, values in asked.items():
-            fresh = values.distinct().join(tables[parent].select(r_key := key[parent]), r_key, "left_semi")
+        for parent, found in asked.items():
+            fresh = union(found).distinct()
             if parent in held:
-                fresh = fresh.join(held[parent], r_key, "left_anti")
+                fresh = fresh.join(union(held[parent]), key[parent], "left_anti")
             fresh = save(fresh, "closure")
             if not fresh.limit(1).count():
                 drop(fresh)
                 continue
-            held[parent] = held[parent].union(fresh) if parent in held else fresh
-            rows[parent] = tables[parent].join(fresh, r_key, "left_semi")
-        if not rows:
-            break
-    return held
+            held[parent] = [*compact(held.get(parent, []), "closure"), fresh]
+            rows[parent] = tables[parent].join(fresh, key[parent], "left_semi")
+    return {t: union(parts) for t, parts in held.items()}
 
 
 def closed_rows(contract: Contract, tables: dict[str, DataFrame], held: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {t: tables[t].join(k, contract.tables[t].key[0], "left_semi") for t, k in held.items()}
+    return {t: tables[t].join(k, list(contract.tables[t].key), "left_semi") for t, k in held.items()}
 
 
 def closure_report(contract: Contract, rows: dict[str, DataFrame], mandatory: set[str]) -> DataFrame:
@@ -59,9 +60,9 @@ def closure_report(contract: Contract, rows: dict[str, DataFrame], mandatory: se
         out = part if out is None else out.unionByName(part)
         for r in contract.of(t):
             if r.name in mandatory:
-                values = df.select(F.col(r.column).alias("v")).dropna().distinct()
+                values = df.select(*[F.col(c).alias(k) for c, k in zip(r.columns, r.keys, strict=True)]).dropna().distinct()
                 if r.parent in rows:
-                    values = values.join(rows[r.parent].select(F.col(r.key).alias("v")), "v", "left_anti")
+                    values = values.join(rows[r.parent].select(*r.keys), list(r.keys), "left_anti")
                 out = out.unionByName(values.agg(F.count(F.lit(1)).alias("n")).select(F.lit("dangling").alias("kind"), F.lit(r.name).alias("name"), "n"))
     return out
 

@@ -11,27 +11,34 @@ SEP = "\x1e"
 
 
 def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """SHA-256 of name=value joined, names sorted, NULL cells left out."""
+    """SHA-256 of name=length:value joined, names sorted, NULL cells left out; the length keeps cells apart."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    cells = [F.concat(F.lit(f"{c}="), canonical_text(c, kinds[c])) for c in sorted(columns or df.columns)]
-    return F.sha2(F.concat_ws(SEP, *cells), 256)
+
+    def cell(c: str) -> Column:
+        text = canonical_text(c, kinds[c])
+        return F.concat(F.lit(f"{c}="), F.length(text).cast("string"), F.lit(":"), text)
+
+    return F.sha2(F.concat_ws(SEP, *[cell(c) for c in sorted(columns or df.columns)]), 256)
+
+
+#: Hex digits of a limb of a digest; sums of so many bits as longs hold for 2**35 rows in one partial sum.
+_DIGITS = 7
 
 
 def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(n_rows, digest): the sum of all row hashes modulo 2**256 as hex; order and partitions don't matter.
 
-    Eight limbs of 32 bits are summed apart; the carries run on the one row of the result.
+    Limbs of 28 bits are summed apart as longs; more rows than these hold raise an overflow.  The carries run on the one
+    row of the result, as an array.
     """
     h = df.select(row_digest(df, columns).alias("h"))
-    limb = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
-    sums = h.agg(F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(limb(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(8)])
-    base = F.lit(1 << 32).cast("decimal(20,0)")
-    out, carry = sums, F.lit(0).cast("decimal(38,0)")
-    for i in reversed(range(8)):
-        out = out.withColumn(f"t{i}", (F.col(f"s{i}") + carry).cast("decimal(38,0)"))
-        out = out.withColumn(f"r{i}", F.lpad(F.hex((F.col(f"t{i}") % base).cast("long")), 8, "0"))
-        carry = F.floor(F.col(f"t{i}") / base)
-    return out.select("n_rows", F.lower(F.concat(*[F.col(f"r{i}") for i in range(8)])).alias("digest"))
+    cuts = [(max(0, 64 - _DIGITS * (k + 1)), 64 - _DIGITS * k) for k in range(-(-64 // _DIGITS))]  # lowest first
+    limb = lambda a, b: F.conv(F.substring("h", a + 1, b - a), 16, 10).cast("long")
+    sums = h.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*[F.coalesce(F.sum(limb(a, b)), F.lit(0)) for a, b in cuts]).alias("s"))
+    base = 1 << (4 * _DIGITS)
+    step = lambda acc, x: F.struct((F.shiftright(acc["carry"] + x, 4 * _DIGITS)).alias("carry"), F.concat(F.lpad(F.hex((acc["carry"] + x).bitwiseAND(F.lit(base - 1))), _DIGITS, "0"), acc["text"]).alias("text"))
+    text = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("carry"), F.lit("").alias("text")), step)["text"]
+    return sums.select("n_rows", F.lower(F.right(text, F.lit(64))).alias("digest"))
 
 
 server_digest = table_digest

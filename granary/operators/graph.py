@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.scratch import drop, save
+from granary.functions.scratch import compact, drop, save, union
 from granary.operators.components import connected_components
 
 __all__ = ["connected_components", "dependency_levels", "label_propagation", "pagerank", "reachable_sets"]
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 30) -> DataFrame:
-    """(node, score): scores sum to 1; dangling mass is spread evenly; stops on the largest change."""
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int | None = None) -> DataFrame:
+    """(node, score): scores sum to 1; dangling mass is spread evenly; ends when the largest change is under ``tolerance``.
+
+    Changes shrink by ``damping`` each round, so the end comes.  ``rounds`` asks for so many iterations instead.
+    """
     e = save(edges.select("src", "dst").distinct(), "pr-edges")
     nodes = save(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out")), "node", "left"), "pr-nodes")
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
     ranks = save(nodes.select("node", "out", F.lit(1.0 / n).alias("score")), "pr")
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         lost = ranks.filter("out IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         given = e.join(ranks.filter("out IS NOT NULL"), e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("out")).alias("got"))
         now = nodes.join(given, nodes["node"] == given["dst"], "left")
@@ -27,56 +32,80 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, r
         change = new.alias("a").join(ranks.alias("b"), "node").agg(F.max(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
         drop(ranks)
         ranks = new
-        if change is None or change < tolerance:
+        if rounds is None and change < tolerance:
             break
     return ranks.select("node", "score")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label): each round a node takes its neighbours' most frequent label, the smallest of equals."""
+def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, label): each round a node takes its neighbours' most frequent label, the smallest of equals.
+
+    All nodes move at once, until none does.  Labels may end in a cycle of two (two sides of a graph that swap theirs);
+    then both are states of rest, and each node has the smaller of its two.  ``rounds`` asks for so many rounds instead.
+    """
     e = save(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().filter("src <> dst"), "lp-edges")
-    labels = save(e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "lp")
-    for _ in range(rounds):
-        votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
+    start = e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+    older, old = None, save(start, "lp")
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        votes = e.join(old, e["dst"] == old["node"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("node", F.col("b.label").alias("label"))
         new = save(best, "lp")
-        moved = new.alias("a").join(labels.alias("b"), "node").filter(F.col("a.label") != F.col("b.label")).limit(1).count()
-        drop(labels)
-        labels = new
-        if not moved:
-            break
-    return labels
+        if rounds is None and _same(new, old):
+            return new
+        if rounds is None and older is not None and _same(new, older):
+            both = new.alias("a").join(old.alias("b"), "node")
+            return both.select("node", F.least("a.label", "b.label").alias("label"))
+        drop(older)
+        older, old = old, new
+    return old
 
 
-def reachable_sets(edges: DataFrame, roots: DataFrame, least: int = 3, rounds: int = 50) -> DataFrame:
-    """(root, node): everything reachable from each root, for roots that reach ``least`` nodes or more."""
-    e = edges.select("src", "dst").distinct()
-    frontier = save(roots.select(F.col("node").alias("root")).distinct().join(e, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct(), "reach")
-    found = frontier
-    for _ in range(rounds):
-        step = frontier.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(found, ["root", "node"], "left_anti")
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    return not a.alias("a").join(b.alias("b"), "node").filter(F.col("a.label") != F.col("b.label")).limit(1).count()
+
+
+def reachable_sets(edges: DataFrame, roots: DataFrame, least: int = 3) -> DataFrame:
+    """(root, node): everything reachable from each root, for roots that reach ``least`` nodes or more.
+
+    Ends when a round finds nothing new, however long the paths.
+    """
+    e = save(edges.select("src", "dst").distinct(), "reach-edges")
+    first = roots.select(F.col("node").alias("root")).distinct().join(e, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+    frontier = save(first, "reach")
+    found = [frontier]
+    while True:
+        step = frontier.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(union(found), ["root", "node"], "left_anti")
         frontier = save(step, "reach")
         if not frontier.limit(1).count():
             break
-        found = found.unionByName(frontier)
-    big = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("root")
-    return found.join(big, "root")
+        found = [*compact(found, "reach"), frontier]
+    every = union(found)
+    big = every.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("root")
+    return every.join(big, "root")
 
 
-def dependency_levels(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def dependency_levels(edges: DataFrame) -> DataFrame:
     """(node, level): 0 without parents, else one more than the highest parent; NULL on or below a cycle.
 
-    An edge goes from a parent (src) to its dependent (dst).
+    An edge goes from a parent (src) to its dependent (dst).  Ends when no node is ready, however deep the levels.
     """
     e = save(edges.select("src", "dst").distinct(), "levels")
     left = save(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "levels")
-    done = None
-    for level in range(rounds):
-        blocked = e.join(left.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+    done: list[DataFrame] = []
+    level = 0
+    while True:
+        # Edges of nodes that are done block nothing any more.
+        blocked = e.select(F.col("dst").alias("node")).distinct()
         ready = save(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)), "levels")
         if not ready.limit(1).count():
             break
-        done = ready if done is None else done.unionByName(ready)
-        left = save(left.join(ready, "node", "left_anti"), "levels")
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        rest, edges_left = left.join(ready, "node", "left_anti"), e.join(ready.select(F.col("node").alias("src")), "src", "left_anti")
+        old = (left, e)
+        left, e = save(rest, "levels"), save(edges_left, "levels")
+        for t in old:
+            drop(t)
+        done = [*compact(done, "levels"), ready]
+        level += 1
+    return union([*done, left.withColumn("level", F.lit(None).cast("int"))])

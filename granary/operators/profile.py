@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.contract import Contract, Reference
+from granary.operators.diff import row_digest
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 LEAST_SAMPLE = 5
-#: Over so many rows percentiles are approximated; the outcome column says so.
-EXACT_ROWS = 100_000_000
 
 
 def _long(row: DataFrame, columns: list[str], fields: dict) -> DataFrame:
@@ -101,9 +100,10 @@ composite_unique_candidate = unique_candidate
 
 
 def orphans(child: DataFrame, ref: Reference, parent: DataFrame) -> DataFrame:
-    """Rows whose non-NULL reference is missing from the parent's key."""
-    keys = parent.select(F.col(ref.key).alias("parent_key"))
-    return child.filter(F.col(ref.column).isNotNull()).join(keys, F.col(ref.column) == F.col("parent_key"), "left_anti")
+    """Rows whose reference, with no column NULL, is missing from the parent's key."""
+    keys = parent.select(*[F.col(k).alias(f"parent_key_{i}") for i, k in enumerate(ref.keys)])
+    on = [F.col(c) == F.col(f"parent_key_{i}") for i, c in enumerate(ref.columns)]
+    return child.dropna(subset=list(ref.columns)).join(keys, on, "left_anti")
 
 
 def fk_reality(child: DataFrame, ref: Reference, parent: DataFrame | None, trusted: bool = False) -> DataFrame:
@@ -163,9 +163,15 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("value")).dropna().distinct()
 
 
+def content_mark(df: DataFrame) -> Column:
+    """An aggregate: the sum, as text, of 60 bits of every row's digest.  Order doesn't count; equal rows add up."""
+    row = F.conv(F.substring(row_digest(df), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.coalesce(F.sum(row), F.lit(0)).cast("decimal(38,0)").cast("string")
+
+
 def table_fingerprint(df: DataFrame, table: str, key: str) -> DataFrame:
     """Rows, largest key and an order-free content checksum in one scan."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.max(key).cast("string").alias("max_key"), F.bit_xor(F.xxhash64(*df.columns)).alias("checksum")).select(F.lit(table).alias("table"), "*")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.max(key).cast("string").alias("max_key"), content_mark(df).alias("checksum")).select(F.lit(table).alias("table"), "*")
 
 
 def stale_tables(cached: DataFrame, live: DataFrame) -> DataFrame:
@@ -175,8 +181,8 @@ def stale_tables(cached: DataFrame, live: DataFrame) -> DataFrame:
     return both.filter(~same).select(F.coalesce("a.table", "b.table").alias("table"))
 
 
-def full_profile(tables: dict[str, DataFrame], contract: Contract) -> dict[str, DataFrame]:
-    """All axes over all tables of a contract, one frame per axis."""
+def full_profile(tables: dict[str, DataFrame], contract: Contract, top: int = 50) -> dict[str, DataFrame]:
+    """All axes over all tables of a contract, one frame per axis; text columns have their ``top`` values."""
     out: dict[str, DataFrame] = {}
 
     def add(axis: str, part: DataFrame) -> None:
@@ -187,8 +193,23 @@ def full_profile(tables: dict[str, DataFrame], contract: Contract) -> dict[str,
         numeric = [c for c, k in df.dtypes if k in ("double", "float", "int", "bigint") or k.startswith("decimal")]
         if numeric:
             add("numeric_distribution", numeric_distribution(df, name, numeric))
-        for r in contract.of(name):
+        for c, k in df.dtypes:
+            if k == "string":
+                add("categorical_distribution", categorical_distribution(df, name, c, top))
+        declared = contract.tables[name]
+        for columns in dict.fromkeys([declared.key, *declared.unique]):
+            if columns:
+                add("unique_candidate", unique_candidate(df, name, list(columns)))
+        refs = contract.of(name)
+        for r in refs:
             add("fk_reality", fk_reality(df, r, tables.get(r.parent)))
+            if len(r.columns) == 1:
+                add("fk_cardinality", fk_cardinality(df, r))
+                add("fk_selectivity", fk_selectivity(df, r, top).withColumn("parent_key", F.col("parent_key").cast("string")))
+        if len(refs) > 1:
+            columns = [c for r in refs for c in r.columns]
+            joint = joint_distribution(df, columns)
+            add("joint_distribution", joint.select(F.lit(name).alias("table"), F.concat_ws(",", *columns).alias("values"), "n", "rank", "n_distinct", "truncated"))
     return out
 
 
@@ -205,6 +226,13 @@ def profile_merge(profiles: DataFrame, worst: bool = False) -> DataFrame:
     return profiles.groupBy("table", "column").agg(F.max("n_rows").alias("n_rows"), F.max("n_nulls").alias("n_nulls"), F.bool_or("has_duplicates").alias("has_duplicates"), outcome.alias("outcome"), F.max("captured_at").alias("captured_at"))
 
 
+def distribution_merge(distributions: DataFrame) -> DataFrame:
+    """Of several captures of ``numeric_distribution`` with captured_at, per column the one with the larger sample; of equals the newest."""
+    rest = [c for c in distributions.columns if c not in ("table", "column")]
+    best = distributions.groupBy("table", "column").agg(F.max_by(F.struct(*rest), F.struct("sample_size", "captured_at")).alias("b"))
+    return best.select("table", "column", "b.*")
+
+
 def worst_case_merge(profiles: DataFrame) -> DataFrame:
     return profile_merge(profiles, worst=True)
 

@@ -243,8 +243,52 @@ def bridge_evidence(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("verdict") == "insert").alias("n_inserts"), F.count_if(F.col("verdict") == "update_identity").alias("n_updates"), F.coalesce(F.bool_or(F.col("verdict").isin(*BLOCKING)), F.lit(False)).alias("withheld"))
 
 
-def bridge_readiness(measures: DataFrame, blocks: list[str], warnings: list[str]) -> DataFrame:
-    """Of one row of counts: the checks that failed, and Ready, ReadyWithWarnings or Blocked."""
-    failed = lambda names: F.array_compact(F.array(*[F.when(F.col(c) > 0, c) for c in names]))
-    out = measures.withColumn("blocked_by", failed(blocks)).withColumn("warned_by", failed(warnings))
-    return out.withColumn("status", F.when(F.size("blocked_by") > 0, "Blocked").when(F.size("warned_by") > 0, "ReadyWithWarnings").otherwise("Ready"))
+#: The checks of a retarget through a bridge: severity, and the condition on the measures that passes.
+BRIDGE_CHECKS = {
+    "bridge_key_exists": ("block", "bridge_key_present"),
+    "bridge_key_unique": ("block", "n_duplicate_bridge_keys = 0"),
+    "bridge_key_declared_unique": ("block", "bridge_key_declared_unique"),
+    "bridge_key_non_null": ("block", "n_null_bridge_keys = 0"),
+    "key_types_match": ("block", "key_types_match"),
+    "not_the_bridge_primary_key": ("block", "NOT targets_bridge_primary_key"),
+    "all_values_resolve": ("block", "n_unresolved = 0"),
+    "original_parent_still_resolves": ("block", "n_broken_original_parent = 0"),
+    "no_other_retarget": ("block", "NOT other_retarget"),
+    "trusted_constraint_possible": ("block", "trusted_constraint_possible"),
+    "no_orphaned_bridge_rows": ("warn", "n_orphaned_bridge_rows = 0"),
+    "no_payload_conflicts": ("warn", "n_payload_conflicts = 0"),
+    "identity_evidence_present": ("warn", "identity_evidence <> 'missing'"),
+    "identity_evidence_unambiguous": ("warn", "identity_evidence <> 'ambiguous'"),
+    "only_audit_references": ("warn", "only_audit_references"),
+    "existing_constraint_trusted": ("warn", "coalesce(existing_constraint_trusted, true)"),
+}
+
+
+def bridge_measures(source: DataFrame, bridge: DataFrame, referenced: DataFrame) -> DataFrame:
+    """One row of what the data say, from rows (key, identity) of source and bridge and the referenced ``key`` values."""
+    of_bridge = bridge.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("b_n"), F.min("identity").alias("b_id"))
+    of_source = source.filter("key IS NOT NULL").groupBy(F.col("key").alias("s_key")).agg(F.count(F.lit(1)).alias("s_n"), F.min("identity").alias("s_id"))
+    both = of_bridge.join(of_source, F.col("key") == F.col("s_key"), "full_outer").agg(
+        F.count_if(F.col("b_n") > 1).alias("n_duplicate_bridge_keys"), F.count_if(F.col("b_n").isNotNull() & F.col("s_n").isNull()).alias("n_orphaned_bridge_rows"),
+        F.count_if(F.col("b_n").isNotNull() & F.col("s_n").isNotNull() & ~F.col("b_id").eqNullSafe(F.col("s_id"))).alias("n_payload_conflicts"),
+    )
+    asked = referenced.select(F.col("key").alias("r_key")).dropna().distinct()
+    found = asked.join(of_bridge, F.col("r_key") == F.col("key"), "left").select("r_key", "b_n").join(of_source, F.col("r_key") == F.col("s_key"), "left")
+    counts = found.agg(F.count_if(~F.col("b_n").eqNullSafe(F.lit(1))).alias("n_unresolved"), F.count_if(F.col("s_n").isNull()).alias("n_broken_original_parent"))
+    nulls = bridge.agg(F.count_if(F.col("key").isNull()).alias("n_null_bridge_keys"), (F.count(F.lit(1)) > 0).alias("bridge_key_present"))
+    same = dict(source.dtypes)["key"] == dict(bridge.dtypes)["key"]
+    return both.join(counts).join(nulls).withColumn("key_types_match", F.lit(same))
+
+
+def bridge_readiness(measures: DataFrame, checks: dict[str, tuple[str, str]] = BRIDGE_CHECKS) -> DataFrame:
+    """Of one row of measures: the checks that failed by severity, and Ready, ReadyWithWarnings or Blocked.
+
+    A measure that is NULL or missing fails the checks that need it, but for existing_constraint_trusted.
+    """
+    have = set(measures.columns)
+    names = {"bridge_key_declared_unique", "targets_bridge_primary_key", "other_retarget", "trusted_constraint_possible", "identity_evidence", "only_audit_references", "existing_constraint_trusted"}
+    out = measures.withColumns({c: F.lit(None).cast("string" if c == "identity_evidence" else "boolean") for c in sorted(names - have)})
+    failed = lambda kind: F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(test), F.lit(False)), name) for name, (severity, test) in checks.items() if severity == kind]))
+    out = out.withColumn("blocked_by", failed("block")).withColumn("warned_by", failed("warn"))
+    status = F.when(F.size("blocked_by") > 0, "Blocked").when(F.size("warned_by") > 0, "ReadyWithWarnings").otherwise("Ready")
+    return out.withColumn("status", status).select(*measures.columns, "blocked_by", "warned_by", "status")

@@ -10,23 +10,34 @@ from granary.operators.diff import _sides, drift_guard
 from granary.operators.reconcile import numbered
 
 
+def _once(source: DataFrame, key: list[str]) -> DataFrame:
+    """The source, whose rows raise an error where a key without NULL comes more than once."""
+    rest = [c for c in source.columns if c not in key]
+    known = F.lit(True)
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    whole = source.filter(known).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest) if rest else F.lit(1)).alias("_r"))
+    told = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("the source has a key more than once: "), F.concat_ws(",", *[F.col(k).cast("string") for k in key]))))
+    whole = whole.select(*key, told.alias("_r")).select(*key, *([F.col(f"_r.{c}").alias(c) for c in rest] if rest else []))
+    return whole.select(*source.columns).unionByName(source.filter(~known))
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, key: list[str], *, deferred: tuple[str, ...] = (), delete_scope: Column | None = None, insert: bool = True) -> DataFrame:
     """The target after the merge, with ``action``: insert, update, delete or keep.
 
     A matched row is updated only when a cell differs, so a second run changes nothing.  Deferred columns of matched
     rows stay as they are, those of inserted rows are NULL.  Unmatched target rows are deleted only inside
-    ``delete_scope``, a condition on target columns; deleted rows stay in the result, marked.
+    ``delete_scope``, a condition on target columns; deleted rows stay in the result, marked.  A key that the source has
+    twice is refused when the result is read.
     """
     rest = [c for c in target.columns if c not in key]
-    both = _sides(target, source, key)
+    marked = target if delete_scope is None else target.withColumn("_in_scope", F.coalesce(delete_scope, F.lit(False)))
+    both = _sides(marked, _once(source, key), key)
     live = [c for c in rest if c not in deferred]
     differs = F.lit(False)
     for c in live:
         differs = differs | ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    scope = F.lit(False)
-    if delete_scope is not None:
-        both = both.join(target.filter(delete_scope).select(*[F.col(k).alias(f"d_{k}") for k in key], F.lit(True).alias("in_scope")), [F.col(f"a_{k}") == F.col(f"d_{k}") for k in key], "left")
-        scope = F.coalesce("in_scope", F.lit(False))
+    scope = F.lit(False) if delete_scope is None else F.col("a__in_scope")
     action = F.when(F.col("in_a").isNull(), "insert" if insert else "skip").when(F.col("in_b").isNull(), F.when(scope, "delete").otherwise("keep")).when(differs, "update").otherwise("keep")
     cell = lambda c: F.when(F.col("in_b").isNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")) if c in live else F.col(f"a_{c}")
     out = both.select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) if c in key else cell(c).alias(c) for c in target.columns for k in [c]], action.alias("action"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.contract import Contract
+
 
 def _first(rules: list, other: str):
     out = None
@@ -102,7 +104,21 @@ def violation_rollup(violations: DataFrame) -> DataFrame:
     return violations.groupBy("category").agg(F.count(F.lit(1)).alias("n_subjects"), F.sum("n_rows").alias("n_rows"))
 
 
-compare_evidence = data_violations
+def compare_evidence(evidence: DataFrame, contract: Contract, n_orphans: DataFrame | None = None) -> DataFrame:
+    """Violations that the evidence of one environment has under the contract of another one.
+
+    ``evidence`` is (table, column, n_nulls, n_duplicate_keys) of single columns, ``n_orphans`` is (reference, n_orphans).
+    """
+    spark = evidence.sparkSession
+    rules = [(t.name, c, "not_null") for t in contract.tables.values() for c in (*t.key, *t.not_null)]
+    rules += [(t.name, u[0], "unique") for t in contract.tables.values() for u in (t.key, *t.unique) if len(u) == 1]
+    asked = spark.createDataFrame(sorted(set(rules)), "table string, column string, category string")
+    n_rows = F.when(F.col("category") == "not_null", F.col("n_nulls")).otherwise(F.col("n_duplicate_keys"))
+    out = evidence.join(F.broadcast(asked), ["table", "column"]).select("category", F.concat_ws(".", "table", "column").alias("subject"), n_rows.alias("n_rows"))
+    if n_orphans is not None:
+        names = [r.name for r in contract.references]
+        out = out.unionByName(n_orphans.filter(F.col("reference").isin(names)).select(F.lit("foreign_key").alias("category"), F.col("reference").alias("subject"), F.col("n_orphans").alias("n_rows")))
+    return out.filter("n_rows > 0")
 
 
 def null_variance(profiles: DataFrame, rows: int = 1000, share: float = 0.1) -> DataFrame:
@@ -113,18 +129,27 @@ def null_variance(profiles: DataFrame, rows: int = 1000, share: float = 0.1) ->
 
 
 def validate_profiles(profiles: DataFrame) -> DataFrame:
-    """Findings (env, table, column, finding) over (env, table, column, n_rows, n_nulls, not_null, has_duplicates, unique, n_orphans, outcome)."""
+    """Findings (env, table, column, finding) over (env, table, column, n_rows, n_nulls, not_null, has_duplicates, unique, n_orphans, outcome).
+
+    Further columns are read where they are there: ``unique_outcome`` and ``fk_outcome`` of their own probes,
+    ``composite`` (the row is about several columns, named together), ``no_check`` (a reference that isn't enforced).
+    """
+    more = {"unique_outcome": "string", "fk_outcome": "string", "composite": "boolean", "no_check": "boolean"}
+    profiles = profiles.withColumns({c: F.lit(None).cast(k) for c, k in more.items() if c not in profiles.columns})
+    failed = lambda c: F.col(c).isNotNull() & ~F.col(c).isin("Succeeded", "TrustedConstraint")
+    repeated, whole = F.col("unique") & F.col("has_duplicates"), F.coalesce("composite", F.lit(False))
     findings = F.array_compact(
         F.array(
             F.when(F.col("n_nulls") > F.col("n_rows"), "null_count_over_rows"), F.when(~F.col("outcome").isin("Succeeded", "TrustedConstraint"), "probe_failed"),
-            F.when(F.col("not_null") & (F.col("n_nulls") > 0), "nulls_in_not_null"), F.when(F.col("unique") & F.col("has_duplicates"), "duplicates"), F.when(F.col("n_orphans") > 0, "orphans"),
+            F.when(F.col("not_null") & (F.col("n_nulls") > 0), "nulls_in_not_null"), F.when(repeated & ~whole, "duplicates"), F.when(F.col("n_orphans") > 0, "orphans"),
+            F.when(repeated & whole, "composite_duplicates"), F.when(failed("unique_outcome"), "unique_probe_failed"), F.when(failed("fk_outcome"), "fk_probe_failed"), F.when(F.col("no_check"), "no_check"),
         )
     )
     own = profiles.select("env", "table", "column", F.explode(findings).alias("finding"))
     envs = profiles.agg(F.count_distinct("env").alias("n_envs"))
     by_table = profiles.groupBy(F.lower("table").alias("folded")).agg(F.count_distinct("env").alias("n"), F.count_distinct("table").alias("forms"))
     across = by_table.withColumn("n_envs", envs.scalar()).select(F.lit("*").alias("env"), F.col("folded").alias("table"), F.lit("*").alias("column"), F.explode(F.array_compact(F.array(F.when(F.col("n") < F.col("n_envs"), "table_missing"), F.when(F.col("forms") > 1, "name_case")))).alias("finding"))
-    disagree = profiles.groupBy("table", "column").agg(F.count_distinct("unique").alias("k")).filter("k > 1").select(F.lit("*").alias("env"), "table", "column", F.lit("unique_disagreement").alias("finding"))
+    disagree = profiles.groupBy("table", "column").agg(F.count_distinct("unique").alias("k"), F.count_distinct(F.when(F.col("unique"), F.col("has_duplicates"))).alias("mixed")).filter("k > 1 OR mixed > 1").select(F.lit("*").alias("env"), "table", "column", F.lit("unique_disagreement").alias("finding"))
     varied = null_variance(profiles).select(F.lit("*").alias("env"), "table", "column", F.lit("null_variance").alias("finding"))
     return own.unionByName(across).unionByName(disagree).unionByName(varied)
 

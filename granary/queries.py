@@ -58,9 +58,9 @@ CCOLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 # -- 2.1 sources ----------------------------------------------------------------------------------------------------
-@query("SELECT * FROM nation")
+@query("SELECT * FROM orders")
 def q_read_table(s, d):
-    return T(s, d, "nation")
+    return T(s, d, "orders")
 
 
 @query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS n_rows FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)")
@@ -91,14 +91,14 @@ def q_export_manifest(s, d):
 
 
 # -- 2.2 expressions ------------------------------------------------------------------------------------------------
-@query("SELECT r_regionkey AS id, r_name AS label FROM region")
+@query("SELECT p_partkey AS id, p_name AS label FROM part")
 def q_align_names(s, d):
-    return cells.align_names(T(s, d, "region"), {"r_regionkey": "id", "r_name": "label"})
+    return cells.align_names(T(s, d, "part").select("p_partkey", "p_name"), {"p_partkey": "id", "p_name": "label"})
 
 
-@query("SELECT n_name, n_nationkey FROM nation")
+@query("SELECT o_totalprice, o_orderkey FROM orders")
 def q_writable_projection(s, d):
-    return cells.writable_projection(T(s, d, "nation"), ["n_name", "n_nationkey", "n_regionkey"], ["n_regionkey"])
+    return cells.writable_projection(T(s, d, "orders"), ["o_totalprice", "o_orderkey", "o_custkey"], ["o_custkey"])
 
 
 @query(f"SELECT c_custkey, c_name FROM {FAULTY}")
@@ -106,9 +106,18 @@ def q_canonical_order(s, d):
     return cells.canonical_order(faulty_customers(s, d).select("c_custkey", "c_name"), ["c_name"])
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR) AS o_totalprice FROM orders")
+#: Orders with prices that are hard to tell apart or to write down, and their text.
+PRICE = "CASE WHEN o_orderkey % 101 = 0 THEN 'NaN' WHEN o_orderkey % 103 = 0 THEN '3.0E-7' WHEN o_orderkey % 107 = 0 THEN 'Infinity' WHEN o_orderkey % 109 = 0 THEN '0.0' ELSE CAST(o_totalprice AS VARCHAR) END"
+
+
+def odd_prices(o: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    return o.withColumn("o_totalprice", F.when(k % 101 == 0, float("nan")).when(k % 103 == 0, 3e-7).when(k % 107 == 0, float("inf")).when(k % 109 == 0, 0.0).otherwise(F.col("o_totalprice")))
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, {PRICE} AS o_totalprice FROM orders")
 def q_canonical_text(s, d):
-    o = T(s, d, "orders")
+    o = odd_prices(T(s, d, "orders"))
     kind = {f.name: f.dataType for f in o.schema.fields}
     return o.select("o_orderkey", *[cells.canonical_text(c, kind[c]).alias(c) for c in ("o_orderdate", "o_totalprice")])
 
@@ -265,9 +274,15 @@ def q_distinct_values(s, d):
     return profile.distinct_values(T(s, d, "customer"), "c_mktsegment")
 
 
-@query("SELECT 'orders' AS \"table\", count(*) AS n_rows, CAST(max(o_orderkey) AS VARCHAR) AS max_key FROM orders")
+FINGER = "SELECT 'customer' AS \"table\", count(*) AS n_rows, CAST(max(c_custkey) AS VARCHAR) AS max_key, CAST(sum(CAST(('0x' || substr(sha256(concat_ws(chr(30), CELLS)), 1, 15)) AS BIGINT)) AS VARCHAR) AS checksum FROM SOURCE"
+_CELLS = {"c_acctbal": "CAST(c_acctbal AS VARCHAR)", "c_custkey": "CAST(c_custkey AS VARCHAR)", "c_mktsegment": "c_mktsegment", "c_name": "c_name", "c_nationkey": "CAST(c_nationkey AS VARCHAR)"}
+_JOINED = ", ".join(f"'{c}=' || length({x}) || ':' || {x}" for c, x in _CELLS.items())
+
+
+@query(FINGER.replace("CELLS", _JOINED).replace("SOURCE", f"(SELECT * FROM {FAULTY} UNION ALL SELECT * FROM {FAULTY} WHERE c_custkey % 50 = 0)"))
 def q_table_fingerprint(s, d):
-    return profile.table_fingerprint(T(s, d, "orders"), "orders", "o_orderkey").drop("checksum")
+    c = faulty_customers(s, d)
+    return profile.table_fingerprint(c.unionByName(c.filter("c_custkey % 50 = 0")), "customer", "c_custkey")
 
 
 @query("SELECT 'orders' AS \"table\"")
@@ -277,9 +292,47 @@ def q_stale_tables(s, d):
     return profile.stale_tables(f(T(s, d, "orders"), "orders", "o_orderkey").unionByName(nation), f(edited_orders(s, d), "orders", "o_orderkey").unionByName(nation))
 
 
-@query(_each(["n_nationkey", "n_name", "n_regionkey"], "SELECT 'nation' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {source}", "nation") + " UNION ALL " + _each(["r_regionkey", "r_name"], "SELECT 'region', '{c}', count(*), count(*) - count({c}) FROM {source}", "region"))
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
+}
+NUMBERS = {"region": "r_regionkey", "nation": "n_nationkey n_regionkey", "customer": "c_custkey c_nationkey c_acctbal", "supplier": "s_suppkey s_nationkey s_acctbal", "part": "p_partkey p_size p_retailprice", "orders": "o_orderkey o_custkey o_totalprice", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax", "events": "event_id user_id value"}
+_UNIQUE = [(t.name, u) for t in STAR.tables.values() for u in dict.fromkeys([t.key, *t.unique]) if u]
+PROFILE = " UNION ALL ".join(
+    [f"SELECT 'column_profile' AS axis, '{t}.{c}' AS subject, CAST(count(*) AS DOUBLE) AS a, CAST(count(*) - count({c}) AS DOUBLE) AS b FROM {t}" for t, cs in COLUMNS.items() for c in cs.split()]
+    + [f"SELECT 'numeric_distribution', '{t}.{c}', CAST(quantile_cont({c}, 0.5) AS DOUBLE), CAST(max({c}) AS DOUBLE) FROM {t} HAVING count({c}) >= 5" for t, cs in NUMBERS.items() for c in cs.split()]
+    + [f"SELECT 'categorical_distribution', '{t}.{c}', CAST(max(n) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM (SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)" for t, cs in COLUMNS.items() for c in cs.split() if c not in NUMBERS[t].split() and c not in ("ts", "o_orderdate", "l_shipdate")]
+    + [f"SELECT 'unique_candidate', '{t}.{','.join(u)}', CAST(count(*) AS DOUBLE), 0.0 FROM (SELECT 1 FROM {t} GROUP BY {', '.join(u)} HAVING count(*) > 1)" for t, u in _UNIQUE]
+    + [f"SELECT 'fk_reality', '{r.name}', CAST(count(*) AS DOUBLE), 0.0 FROM {r.child} WHERE {r.column} IS NOT NULL AND {r.column} NOT IN (SELECT {r.key} FROM {r.parent})" for r in STAR.references]
+    + [f"SELECT 'fk_cardinality', '{r.name}', CAST(quantile_cont(n, 0.5) AS DOUBLE), CAST(max(n) AS DOUBLE) FROM (SELECT count(*) AS n FROM {r.child} WHERE {r.column} IS NOT NULL GROUP BY {r.column}) HAVING count(*) >= 5" for r in STAR.references]
+    + [f"SELECT 'fk_selectivity', '{r.name}', CAST(max(n) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM (SELECT count(*) AS n FROM {r.child} WHERE {r.column} IS NOT NULL GROUP BY {r.column})" for r in STAR.references]
+    + ["SELECT 'joint_distribution', 'lineitem', CAST(max(n) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey)"]
+)
+
+
+@query(PROFILE)
 def q_full_profile(s, d):
-    return profile.full_profile(tables(s, d, "nation", "region"), STAR)["column_profile"].select("table", "column", "n_rows", "n_nulls")
+    """Every axis of every table in long form: of lists the first entry and the number of entries."""
+    axes = profile.full_profile(tables(s, d, *COLUMNS), STAR)
+    dot, first = F.concat_ws(".", "table", "column"), F.col("rank") == 1
+    told = {
+        "column_profile": (None, dot, "n_rows", "n_nulls"), "numeric_distribution": (None, dot, "p50", "max"), "categorical_distribution": (first, dot, "n", "n_distinct"),
+        "unique_candidate": (None, F.concat_ws(".", "table", "columns"), "n_duplicate_keys", None), "fk_reality": (None, F.col("reference"), "n_orphans", None),
+        "fk_cardinality": (None, F.col("table"), "p50", "max"), "fk_selectivity": (first, F.col("reference"), "n", "n_distinct"), "joint_distribution": (first, F.col("table"), "n", "n_distinct"),
+    }
+    out = None
+    for axis, (only, subject, a, b) in told.items():
+        df = axes[axis] if only is None else axes[axis].filter(only)
+        part = df.select(F.lit(axis).alias("axis"), subject.alias("subject"), F.col(a).cast("double").alias("a"), (F.col(b) if b else F.lit(0.0)).cast("double").alias("b"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT 'customer' AS \"table\", 'c_acctbal' AS \"column\", count(c_acctbal) AS sample_size, max(c_acctbal) AS max FROM (SELECT CASE WHEN c_custkey % 97 <> 0 THEN c_acctbal END AS c_acctbal FROM customer)")
+def q_distribution_merge(s, d):
+    some = profile.numeric_distribution(T(s, d, "customer").filter("c_custkey % 2 = 0"), "customer", ["c_acctbal"]).withColumn("captured_at", F.lit(2))
+    return profile.distribution_merge(some.unionByName(profile.numeric_distribution(faulty_customers(s, d), "customer", ["c_acctbal"]).withColumn("captured_at", F.lit(1)))).select("table", "column", "sample_size", "max")
 
 
 def captures(s, d) -> DataFrame:
@@ -384,9 +437,14 @@ def q_suggest_natural_key(s, d):
     return decide.suggest_natural_key(e).select("table", "column")
 
 
-@query(f"SELECT \"table\", \"column\" FROM (SELECT *, avg(s) OVER () + 0.5 * stddev_pop(s) OVER () AS l FROM (SELECT *, n_nulls / n_rows AS s FROM ({NN}))) WHERE false OR s > (SELECT avg(n_nulls / n_rows) + 2 * stddev_pop(n_nulls / n_rows) FROM ({NN}))")
+LINE = "(SELECT * REPLACE (CASE WHEN l_orderkey % 2 = 0 THEN l_tax END AS l_tax) FROM lineitem)"
+LN = _each(COLUMNS["lineitem"].split(), "SELECT 'lineitem' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls FROM {source}", LINE)
+
+
+@query(f"SELECT \"table\", \"column\" FROM ({LN}) WHERE n_nulls / n_rows > (SELECT avg(n_nulls / n_rows) + 2 * stddev_pop(n_nulls / n_rows) FROM ({LN}))")
 def q_profile_anomalies(s, d):
-    return decide.profile_anomalies(profile.column_profile(faulty_customers(s, d), "customer")).select("table", "column")
+    line = T(s, d, "lineitem").withColumn("l_tax", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_tax")))
+    return decide.profile_anomalies(profile.column_profile(line, "lineitem")).select("table", "column")
 
 
 REFS = " UNION ALL ".join(f"SELECT '{r.name}' AS reference, count({r.column}) AS n_rows, count(DISTINCT {r.column}) AS n_distinct FROM {r.child}" for r in STAR.references)
@@ -400,9 +458,15 @@ def ref_counts(s, d) -> DataFrame:
     return out
 
 
-@query(f"SELECT * FROM ({REFS}) WHERE n_distinct >= 10 AND n_rows < 2 * n_distinct")
+FIRST = "SELECT 'first_order.o_custkey' AS reference, count(DISTINCT o_custkey) AS n_rows, count(DISTINCT o_custkey) AS n_distinct FROM orders"
+
+
+@query(f"SELECT * FROM ({REFS} UNION ALL {FIRST}) WHERE n_distinct >= 10 AND n_rows < 2 * n_distinct")
 def q_high_selectivity_fk(s, d):
-    return decide.high_selectivity_fk(ref_counts(s, d))
+    """With the first order of every customer as a table of its own."""
+    first = T(s, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    counts = first.agg(F.count("o_custkey").alias("n_rows"), F.count_distinct("o_custkey").alias("n_distinct")).select(F.lit("first_order.o_custkey").alias("reference"), "*")
+    return decide.high_selectivity_fk(ref_counts(s, d).unionByName(counts))
 
 
 @query("SELECT 'lineitem' AS \"table\", count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem)) AS n_distinct FROM lineitem HAVING (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem)) >= count(*) * 0.95")
@@ -450,9 +514,16 @@ def q_violation_rollup(s, d):
     return decide.violation_rollup(violations(s, d))
 
 
-@query(VIO)
+@query("SELECT 'not_null' AS category, 'customer.c_name' AS subject, count(*) AS n_rows FROM customer WHERE c_custkey % 89 = 0 HAVING count(*) > 0 UNION ALL SELECT 'foreign_key', 'orders.o_custkey', count(*) FROM orders WHERE o_custkey % 97 = 0 HAVING count(*) > 0")
 def q_compare_evidence(s, d):
-    return decide.compare_evidence(not_null_evidence(s, d).filter("mandatory"), unique_evidence(s, d), fk_evidence(s, d), overflow(s, d))
+    """Evidence of a faulty environment under the contract of the clean one."""
+    c = faulty_customers(s, d)
+    twice = None
+    for name in c.columns:
+        part = profile.unique_candidate(c, "customer", [name]).select("table", F.col("columns").alias("column"), "n_duplicate_keys")
+        twice = part if twice is None else twice.unionByName(part)
+    evidence = profile.null_counts(c, "customer").join(twice, ["table", "column"])
+    return decide.compare_evidence(evidence, STAR, profile.fk_reality(T(s, d, "orders"), ORD, some_customers(s, d)))
 
 
 def two_envs(s, d) -> DataFrame:
@@ -702,43 +773,53 @@ def q_bridge_evidence(s, d):
     return reconcile.bridge_evidence(bridge(s, d))
 
 
-@query(f"SELECT count(*) FILTER (verdict = 'unknown') AS n_unknown, count(*) FILTER (verdict = 'bridge_only') AS n_bridge_only, ['n_unknown'] AS blocked_by, ['n_bridge_only'] AS warned_by, 'Blocked' AS status FROM {BV}")
+@query("SELECT CAST(0 AS BIGINT) AS n_null_bridge_keys, count(*) FILTER (c_custkey % 97 <> 0 AND c_custkey % 89 = 0) AS n_payload_conflicts, count(*) FILTER (c_custkey % 97 = 0) AS n_unresolved, ['all_values_resolve'] AS blocked_by, ['no_payload_conflicts', 'only_audit_references'] AS warned_by, 'Blocked' AS status FROM customer")
 def q_bridge_readiness(s, d):
-    m = bridge(s, d).agg(F.count_if(F.col("verdict") == "unknown").alias("n_unknown"), F.count_if(F.col("verdict") == "bridge_only").alias("n_bridge_only"))
-    return reconcile.bridge_readiness(m, ["n_unknown"], ["n_bridge_only"])
+    c = T(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("identity"))
+    bridge_rows = faulty_customers(s, d).filter("c_custkey % 97 <> 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("identity"))
+    m = reconcile.bridge_measures(c, bridge_rows, c.select("key")).withColumns({"bridge_key_declared_unique": F.lit(True), "targets_bridge_primary_key": F.lit(False), "other_retarget": F.lit(False), "trusted_constraint_possible": F.lit(True), "identity_evidence": F.lit("present"), "only_audit_references": F.lit(False)})
+    return reconcile.bridge_readiness(m).select("n_null_bridge_keys", "n_payload_conflicts", "n_unresolved", "blocked_by", "warned_by", "status")
 
 
 # -- 2.6 diff and fidelity ------------------------------------------------------------------------------------------
-def _digest_sql(source: str) -> str:
-    """Row hashes of (o_custkey, o_orderkey, o_orderstatus, o_totalprice) and their sum modulo 2**256 as two halves' limbs."""
-    cells_ = "concat_ws(chr(30), 'o_custkey=' || o_custkey, 'o_orderkey=' || o_orderkey, 'o_orderstatus=' || o_orderstatus, 'o_totalprice=' || CAST(o_totalprice AS DECIMAL(38,6)))"
+ORDER_CELLS = {"o_custkey": "CAST(o_custkey AS VARCHAR)", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')", "o_orderkey": "CAST(o_orderkey AS VARCHAR)", "o_orderpriority": "o_orderpriority", "o_orderstatus": "o_orderstatus", "o_totalprice": PRICE}
+
+
+def _row_sql(cells_: dict[str, str]) -> str:
+    """The hash of a row: cells by name with their lengths."""
+    return f"sha256(concat_ws(chr(30), {', '.join(f"'{c}=' || length({x}) || ':' || {x}" for c, x in sorted(cells_.items()))}))"
+
+
+def _digest_sql(source: str, cells_: dict[str, str] = ORDER_CELLS, suffix: str = "digest") -> str:
+    """Row hashes and their sum modulo 2**256, by limbs of 32 bits."""
     sums = ", ".join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIGINT)), 0) AS HUGEINT) AS s{i}" for i in range(8))
-    out = f"(SELECT count(*) AS n_rows, {sums} FROM (SELECT sha256({cells_}) AS h FROM {source}))"
+    out = f"(SELECT count(*) AS n_rows, {sums} FROM (SELECT {_row_sql(cells_)} AS h FROM {source}))"
     for i in reversed(range(8)):
         carry = "0" if i == 7 else f"t{i + 1} // 4294967296"
         out = f"(SELECT *, s{i} + {carry} AS t{i} FROM {out})"
-    return f"SELECT n_rows, lower({' || '.join(f"lpad(to_hex(CAST(t{i} % 4294967296 AS BIGINT)), 8, '0')" for i in range(8))}) AS digest FROM {out}"
+    return f"SELECT n_rows, lower({' || '.join(f"lpad(to_hex(CAST(t{i} % 4294967296 AS BIGINT)), 8, '0')" for i in range(8))}) AS {suffix} FROM {out}"
 
 
-DCOLS = ["o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice"]
-orders4 = lambda s, d: T(s, d, "orders").select(*DCOLS)
-edited4 = lambda s, d: edited_orders(s, d).select(*DCOLS)
+TWICE = "(SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 50 = 0)"
+odd_orders = lambda s, d: odd_prices(T(s, d, "orders"))
+odd_edited = lambda s, d: odd_prices(edited_orders(s, d))
 
 
-@query("SELECT o_orderkey, sha256(concat_ws(chr(30), 'o_custkey=' || o_custkey, 'o_orderkey=' || o_orderkey, 'o_orderstatus=' || CASE WHEN o_orderkey % 89 <> 0 THEN o_orderstatus END, 'o_totalprice=' || CAST(o_totalprice AS DECIMAL(38,6)))) AS h FROM orders")
+@query(f"SELECT o_orderkey, {_row_sql({**ORDER_CELLS, 'o_orderstatus': 'CASE WHEN o_orderkey % 89 <> 0 THEN o_orderstatus END'})} AS h FROM orders")
 def q_row_digest(s, d):
-    o = orders4(s, d).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 89 != 0, F.col("o_orderstatus")))
+    o = odd_orders(s, d).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 89 != 0, F.col("o_orderstatus")))
     return o.select("o_orderkey", diff.row_digest(o).alias("h"))
 
 
-@query(_digest_sql("orders"))
+@query(_digest_sql(TWICE))
 def q_table_digest(s, d):
-    return diff.table_digest(orders4(s, d))
+    o = odd_orders(s, d)
+    return diff.table_digest(o.unionByName(o.filter("o_orderkey % 50 = 0")))
 
 
 @query(_digest_sql(EDITED))
 def q_server_digest(s, d):
-    return diff.server_digest(edited4(s, d))
+    return diff.server_digest(odd_edited(s, d))
 
 
 RD = f"(SELECT o_orderkey, 'missing' AS state, CAST([] AS VARCHAR[]) AS columns FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT o.o_orderkey, 'differs', ['o_orderstatus'] FROM orders o JOIN {EDITED} e USING (o_orderkey) WHERE o.o_orderstatus <> e.o_orderstatus)"
@@ -751,7 +832,7 @@ def q_row_diff(s, d):
 
 @query(f"SELECT 'orders' AS \"table\", a.n_rows AS n_source, a.digest AS source_digest, b.n_rows AS n_target, b.digest AS target_digest, (SELECT count(*) FROM {RD}) AS n_differences, 'different' AS verdict FROM ({_digest_sql('orders')}) a, ({_digest_sql(EDITED)}) b")
 def q_fidelity_report(s, d):
-    return diff.fidelity_report({"orders": (orders4(s, d), edited4(s, d), ["o_orderkey"])})
+    return diff.fidelity_report({"orders": (odd_orders(s, d), odd_edited(s, d), ["o_orderkey"])})
 
 
 @query(f"SELECT o_orderkey + 500000 AS o_orderkey, coalesce(assigned_key, o_custkey) AS o_custkey FROM orders LEFT JOIN {AS} ON o_custkey = source_key")
@@ -763,8 +844,8 @@ def q_replay_rewrites(s, d):
 
 @query("SELECT 'orders' AS \"table\", false AS same UNION ALL SELECT 'again', true")
 def q_digest_reconcile(s, d):
-    live = diff.table_digest(orders4(s, d))
-    stored = diff.table_digest(edited4(s, d)).select(F.lit("orders").alias("table"), "*").unionByName(live.select(F.lit("again").alias("table"), "*"))
+    live = diff.table_digest(odd_orders(s, d))
+    stored = diff.table_digest(odd_edited(s, d)).select(F.lit("orders").alias("table"), "*").unionByName(live.select(F.lit("again").alias("table"), "*"))
     return diff.digest_reconcile(live.select(F.lit("orders").alias("table"), "*").unionByName(live.select(F.lit("again").alias("table"), "*")), stored)
 
 
@@ -931,11 +1012,14 @@ def q_correction_guards(s, d):
     return correct.correction_guards(correct._marked(faulty_customers(s, d), "c_name", F.col("c_mktsegment"), g), g)
 
 
-@query("SELECT count(*) AS n_before, count(*) AS n_after, count(*) FILTER (c_custkey % 89 = 0) AS n_changed, 0 AS n_excluded FROM customer")
+CORRECTED = "(SELECT c_custkey, coalesce(c_name, c_mktsegment) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM " + FAULTY + ")"
+
+
+@query(f"SELECT a.n_rows AS n_before, a.digest AS digest_before, b.n_rows AS n_after, b.digest AS digest_after, (SELECT count(*) FROM customer WHERE c_custkey % 89 = 0) AS n_changed, 0 AS n_excluded FROM ({_digest_sql(FAULTY, _CELLS)}) a, ({_digest_sql(CORRECTED, _CELLS)}) b")
 def q_correction_receipt(s, d):
     before = faulty_customers(s, d)
     after, rows = correct.correct_same_row(before, "c_custkey", "c_name", "c_mktsegment", correct.Guards(only_null=True))
-    return correct.correction_receipt(before, after, rows).drop("digest_before", "digest_after")
+    return correct.correction_receipt(before, after, rows)
 
 
 # -- 2.9 synthetic data ---------------------------------------------------------------------------------------------
@@ -979,7 +1063,10 @@ def q_draw_fk_weighted(s, d):
     return synth.draw_fk_weighted(synth_rows(s, d), 7, "orders", "o_custkey", order_weights(s, d, "o_custkey"))
 
 
-@query()
+JOINT = "(SELECT *, sum(n) OVER (ORDER BY n DESC, l_partkey, l_suppkey) AS cum, sum(n) OVER () AS total FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, l_partkey, l_suppkey LIMIT 100))"
+
+
+@query(f"SELECT r.row, r.row AS o_orderkey, min_by(l_partkey, cum) AS l_partkey, min_by(l_suppkey, cum) AS l_suppkey FROM (SELECT row, {DRAW.format(seed=7, t='lineitem', c='l_partkey+l_suppkey')} AS dr FROM {ROWS}) r, {JOINT} w WHERE r.dr % CAST(w.total AS BIGINT) < w.cum GROUP BY r.row")
 def q_draw_fk_joint(s, d):
     joint = profile.joint_distribution(T(s, d, "lineitem"), ["l_partkey", "l_suppkey"])
     return synth.draw_fk_joint(synth_rows(s, d), 7, "lineitem", ["l_partkey", "l_suppkey"], joint)
@@ -1063,9 +1150,18 @@ customer_orders = lambda s, d: T(s, d, "orders").select(F.col("o_custkey").alias
 CO = "(SELECT o_custkey AS src, o_orderkey + 10000000 AS dst FROM orders)"
 
 
-@query(f"SELECT DISTINCT src AS node, src AS component FROM {CO} UNION ALL SELECT dst, src FROM {CO}")
+#: Chains of ``LINKS`` orders each: deeper than any number of rounds that one might think enough.
+LINKS = 150
+CHAIN = f"(SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders WHERE o_orderkey % {LINKS} <> {LINKS - 1})"
+
+
+def order_chains(s, d) -> DataFrame:
+    return T(s, d, "orders").filter(F.col("o_orderkey") % LINKS != LINKS - 1).select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst"))
+
+
+@query(f"SELECT src AS node, src // {LINKS} * {LINKS} AS component FROM {CHAIN} UNION SELECT dst, dst // {LINKS} * {LINKS} FROM {CHAIN}")
 def q_connected_components(s, d):
-    return connected_components(customer_orders(s, d))
+    return connected_components(order_chains(s, d))
 
 
 @query()
@@ -1090,6 +1186,12 @@ def q_dependency_levels(s, d):
     return graph.dependency_levels(customer_orders(s, d))
 
 
+@query(f"SELECT src AS node, src % 20 AS level FROM (SELECT o_orderkey AS src FROM orders) UNION SELECT o_orderkey + 1, (o_orderkey + 1) % 20 FROM orders WHERE o_orderkey % 20 <> 19")
+def q_dependency_levels_of_chains(s, d):
+    chains = T(s, d, "orders").filter("o_orderkey % 20 <> 19").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst"))
+    return graph.dependency_levels(chains)
+
+
 # -- sinks and files: written to the shared folder and read back ----------------------------------------------------
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 89 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS c_name FROM customer")
 def q_csv_sink(s, d):

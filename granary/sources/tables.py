@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scratch import delete
+from granary.operators.profile import content_mark
 
 
 def capped_scan(df: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +102,7 @@ def resumable_load(df: DataFrame, path: str, key: str, chunk: int, table: str) -
     its journal entry is written after it, so a crash repeats one chunk at most.
     """
     spark = df.sparkSession
-    facts = df.agg(F.count(F.lit(1)), F.min(key), F.max(key), F.bit_xor(F.xxhash64(*df.columns))).first()
+    facts = df.agg(F.count(F.lit(1)), F.min(key), F.max(key), content_mark(df)).first()
     mark = json.dumps([str(x) for x in facts] + [chunk])
     journal = f"{path}/_journal/{table}"
     schema = "table string, chunk long, first_key long, last_key long, n_rows long, mark string"

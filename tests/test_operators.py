@@ -7,11 +7,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from granary.contract import STAR
+from granary.contract import STAR, Contract, Reference, Table
 from granary.functions.scratch import new_path
-from granary.operators import diff, graph, reconcile, synth, upsert
+from granary.operators import closure, diff, graph, reconcile, synth, upsert
 from granary.operators.components import connected_components
-from granary.operators.profile import numeric_distribution, unique_candidate
+from granary.operators.profile import numeric_distribution, table_fingerprint, unique_candidate
 from granary.plans import correct
 from granary.sources import tables as src
 
@@ -77,6 +77,46 @@ def test_components_ranks_and_labels_equal_plain_python(spark):
     assert labels == {x: min(near[x] - {x}) for x in nodes if near[x] - {x}}
 
 
+def test_rounds_go_on_to_the_end(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(70, 71), (71, 70)], "src long, dst long")
+    assert {r.node: r.level for r in graph.dependency_levels(chain).collect()} == {**{k: k for k in range(21)}, 70: None, 71: None}
+    reach = graph.reachable_sets(chain, spark.createDataFrame([(0,), (15,), (70,)], "node long"), 3)
+    assert sorted(map(tuple, reach.collect())) == sorted([(0, k) for k in range(1, 21)] + [(15, k) for k in range(16, 21)])
+
+
+def test_labels_that_swap_for_ever_are_at_rest(spark):
+    star = spark.createDataFrame([(1, k) for k in range(2, 6)], "src long, dst long")
+    labels = {r.node: r.label for r in graph.label_propagation(star).collect()}
+    assert labels == dict.fromkeys(range(1, 6), 1)
+
+
+def test_closure_by_composite_keys_and_long_chains(spark):
+    c = Contract({"p": Table("p", ("a", "b")), "c": Table("c", ("id",))}, (Reference("c", ("x", "y"), "p", ("a", "b")), Reference("p", ("ua", "ub"), "p", ("a", "b"))))
+    p = spark.createDataFrame([(1, k, 1, k + 1 if k < 22 else None) for k in range(23)] + [(2, k, None, None) for k in range(23)], "a int, b int, ua int, ub int")
+    ch = spark.createDataFrame([(1, 1, 5), (2, 2, 7), (3, 2, None)], "id int, x int, y int")
+    held = closure.referential_closure(c, {"p": p, "c": ch}, {"c": ch})
+    assert sorted(map(tuple, held["p"].collect())) == [(1, k) for k in range(5, 23)] + [(2, 7)]
+    rows = closure.closed_rows(c, {"p": p, "c": ch}, held)
+    assert rows["p"].count() == 19
+    assert {(r.kind, r.name): r.n for r in closure.closure_report(c, rows, {"c.x+y"}).collect()}[("dangling", "c.x+y")] == 0
+
+
+def test_upsert_refuses_a_repeated_source_key(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="more than once"):
+        upsert.merge_upsert(t, spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), ["k"]).collect()
+
+
+def test_digests_tell_hard_values_apart(spark):
+    d = lambda *v: diff.table_digest(spark.createDataFrame([(x,) for x in v], "v double")).first().digest
+    values = [0.0, 3e-7, float("nan"), float("inf"), None, 1e300, 0.1 + 0.2, 0.3]
+    assert len({d(v) for v in values}) == len(values)
+    text = lambda *rows: diff.table_digest(spark.createDataFrame(rows, "a string, b string")).first().digest
+    assert text(("x\x1eb=3:y", "z")) != text(("x", "y\x1eb=1:z"))
+    mark = lambda *v: table_fingerprint(spark.createDataFrame([(x,) for x in v], "v string"), "t", "v").first().checksum
+    assert mark("a", "a") != mark("b", "b") and mark("a", "b") == mark("b", "a")
+
+
 def test_levels_leave_cycles_open(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (7, 8), (8, 7), (8, 9)], "src long, dst long")
     assert {r.node: r.level for r in graph.dependency_levels(df).collect()} == {1: 0, 2: 1, 3: 2, 7: None, 8: None, 9: None}
