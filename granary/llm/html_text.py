@@ -1,10 +1,17 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is cut into blocks, each with its path of open elements.  A linear classifier with fixed weights (pages carry
-no labels to train on) gives each block a cost of being boilerplate and a cost of being content; these are the
-capacities from the source and to the sink.  Neighbouring blocks, and the next block of the same parent, are tied by
-smoothness edges that weaken with their distance in the tree.  The maximum flow's minimum cut labels the blocks, and
-the source side is the main text.
+A page is cut into blocks, each with its path of open elements.  A linear classifier gives each block a cost of being
+boilerplate and a cost of being content; these are the capacities from the source and to the sink.  Its features are
+length, link density, sentence ends, the share of the page's text that the block's surroundings hold, and what tags and
+names of the path say; the weights are fixed, since pages carry no labels.  Neighbouring blocks, and the next block of
+the same parent, are tied by smoothness edges that weaken with their distance in the tree.  The minimum cut labels the
+blocks, and the source side is the main text.
+
+Tags and names.  What clearly is no article (navigation, adverts, consent, reader comments, forms, ...) costs its blocks
+``AGAINST`` once, however deep it is nested.  But an element that holds a main heading, an article, or several paragraphs
+with half of the page's text is a wrapper, whatever its name (a form around the whole page, ``layout-with-sidebar``):
+it becomes a node of the graph with a cost of its own, tied to its blocks, and so the cut overrules it when
+they are good enough together.  Reader comments are never a wrapper.
 
 Never text: scripts, styles, templates, frames, form controls, comments of the markup, and the document's head.
 Inside a block white space becomes one space, ends are trimmed, character references are decoded; a line break in the
@@ -26,27 +33,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements of HTML by what they mean for text blocks.
-SILENT = frozenset("script style noscript template svg math iframe object embed applet canvas audio video select option datalist textarea button head title map frameset noframes".split())
+SILENT = frozenset("script style noscript template svg iframe object embed applet canvas audio video select option datalist textarea button head title map frameset noframes".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp noembed template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - frozenset(("html", "body", "head", "title"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Marks of id, class and role values, split at anything but letters.
-BOILER_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus disclaimer footer form gdpr header login masthead menu menubar meta modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup promo promoted recommended related replies reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags taboola toolbar toc topbar widget widgets complementary contentinfo alert alertdialog dialog aside".split())
+#: Parts of the id, class and role values, by what they say of an element.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond shoutbox discussion".split())
+STRONG_NAMES = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright footer gdpr menu menubar modal nav navbar navigation newsletter outbrain overlay pager pagination paywall popup promo promoted share sharing skip social sponsor sponsored subscribe subscription taboola toolbar topbar".split())
+WEAK_NAMES = frozenset("alert alertdialog aside banner byline dialog disclaimer form header login masthead meta notice notices recommended related search sidebar signup tags toc widget widgets".split())
 CONTENT_NAMES = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
+#: First parts of names that tell of a state or a topic, and parts after which a name tells of something else.
+_STATES, _BESIDE = frozenset("has with without no is tag category page format status type layout js".split()), frozenset("with without has no".split())
+#: Cost of a block in an element that clearly is no article, in one that may be none, and of a wrapper as a whole.
+AGAINST, DOUBT, WRAPPER = 8.0, 5.0, 3.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_LETTERS = re.compile(r"[A-Za-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _END = re.compile(r"[.!?…:;。！？]['\"”’)\]]*$")
 
 
+def kind_of_names(attributes: str) -> str:
+    """What id, class and role say: comment, strong, weak, content or nothing."""
+    found = set()
+    for m in _NAMES.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            parts = [x.lower() for x in _PARTS.findall(token)]
+            if not parts or parts[0] in _STATES:
+                continue
+            parts = parts[: next((k for k, x in enumerate(parts) if x in _BESIDE), len(parts))]
+            for kind, names in (("comment", COMMENT_NAMES), ("strong", STRONG_NAMES), ("weak", WEAK_NAMES), ("content", CONTENT_NAMES)):
+                if names.intersection(parts):
+                    found.add(kind)
+                    break
+    if "weak" in found and "content" in found:
+        return ""
+    return next((k for k in ("comment", "strong", "weak", "content") if k in found), "")
+
+
 class _Node:
-    """An open element: its tag, parent, depth, and what its names and tag say (added up along the path)."""
+    """An open element: its tag, parent and depth, what its names and tag say, and what it came to hold."""
 
-    __slots__ = ("depth", "link", "parent", "score", "silent", "tag", "within")
+    __slots__ = ("chars", "depth", "kind", "link", "main", "paragraphs", "parent", "silent", "tag", "within")
 
     def __init__(self, tag: str, attributes: str, parent: _Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -54,22 +85,30 @@ class _Node:
         self.silent = bool(parent and parent.silent) or tag in SILENT
         self.link = bool(parent and parent.link) or tag == "a"
         self.within = bool(parent and parent.within) or tag in ("article", "main")
-        score = 0.0
-        if tag in ("nav", "aside", "form", "dialog", "menu"):
-            score -= 10.0
-        elif tag in ("footer", "header"):
-            score -= 1.0 if tag == "header" and parent is not None and parent.within else 10.0
-        elif tag in ("article", "main") and not (parent and parent.within):
-            score += 4.0
-        if attributes and tag not in ("html", "body"):
-            names = {w.lower() for m in _NAMES.finditer(attributes) for w in _LETTERS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or ""))}
-            if names & BOILER_NAMES:
-                score -= 10.0 if not names & CONTENT_NAMES or names & {"comment", "comments", "sidebar", "ad", "ads", "related", "share", "cookie"} else 1.0
-            elif names & CONTENT_NAMES:
-                score += 2.0
-            if _HIDDEN.search(attributes):
-                self.silent = True
-        self.score = score + (parent.score if parent else 0.0)
+        self.chars, self.main, self.paragraphs = 0, False, 0
+        self.kind = ""
+        if tag in ("nav", "menu", "aside", "dialog", "footer", "form"):
+            self.kind = "strong"
+        elif tag == "header":
+            self.kind = "title" if parent is not None and parent.within else "weak"
+        elif attributes and tag not in ("html", "body"):
+            self.kind = kind_of_names(attributes)
+            if self.kind == "weak" and self.within and tag in ("div", "span", "p", "header") and "header" in attributes.lower():
+                self.kind = "title"
+        if tag in ("article", "main") and self.kind != "comment":
+            self.kind = "content"
+        if attributes and tag not in ("html", "body") and _HIDDEN.search(attributes):
+            self.silent = True
+        if tag in ("h1", "article", "main", "p") and self.kind != "comment":
+            up = parent
+            while up is not None and up.kind != "comment":
+                up.paragraphs += tag == "p"
+                up.main |= tag != "p"
+                up = up.parent
+
+    def wraps(self, total: int) -> bool:
+        """Whether it holds the article itself, whatever it is called."""
+        return self.kind in ("strong", "weak") and (self.main and self.tag != "footer" or self.paragraphs > 2 and 2 * self.chars > total)
 
 
 class Block:
@@ -147,20 +186,43 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def score(block: Block) -> float:
-    """The classifier: above 0 for content.  The weights are fixed; a page has no labels to fit them on."""
-    s = block.node.score
+def _path(node: _Node | None) -> list[_Node]:
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
+def score(block: Block, total: int) -> tuple[float, _Node | None]:
+    """The classifier, above 0 for content, and the nearest wrapper with a doubtful name; the page has ``total`` characters outside links."""
+    s, against, bonus, wrapper = 0.0, 0.0, 0.0, None
+    for node in _path(block.node):
+        if node.kind == "comment":
+            against = AGAINST
+        elif node.kind in ("strong", "weak"):
+            if node.wraps(total):
+                wrapper = wrapper or node
+            else:
+                against = max(against, AGAINST if node.kind == "strong" else DOUBT)
+        elif node.kind == "title":
+            against = max(against, 1.0)
+        elif node.kind == "content":
+            bonus = max(bonus, 3.0 if node.tag in ("article", "main") else 1.5)
     share = min(1.0, block.linked / max(1, block.chars))
     words = block.text.count(" ") + 1
+    near = block.node.parent if block.node.tag not in ("div", "td", "body", "section", "#") and block.node.parent else block.node
+    around = max(near.chars, near.parent.chars if near.parent is not None and near.parent.tag not in ("body", "html", "#") else 0)
     s += 1.2 if block.node.tag in ("p", "blockquote", "pre", "figcaption") or block.node.tag in HEADINGS else 0.0
     s -= 0.6 if block.node.tag in ("li", "td", "th", "dd", "dt") and not block.node.within else 0.0
     s += min(2.0, words / 20)
     s += 0.5 if _END.search(block.text) else 0.0
+    s += 2.0 * around / max(1, total)
     s -= 3.0 * share * share
     s -= 0.8 if words < 4 and not block.node.within else 0.0
     if "©" in block.text and words < 40:
-        s -= 2.0
-    return s - 0.7
+        s -= 4.0
+    return s + bonus - against - 1.2, wrapper
 
 
 def _distance(a: _Node, b: _Node) -> int:
@@ -226,16 +288,24 @@ def main_blocks(html: str, smooth: float = SMOOTH) -> list[str]:
     blocks = blocks_of(html)
     if not blocks:
         return []
-    edges, last = [], {}
+    for b in blocks:
+        for node in _path(b.node):
+            node.chars += max(0, b.chars - b.linked)
+    total = sum(max(0, b.chars - b.linked) for b in blocks)
+    gain, edges, last, wrappers = [], [], {}, {}
     for k, b in enumerate(blocks):
+        own, wrapper = score(b, total)
+        gain.append(own)
         parent = b.node.parent
         if k:
             edges.append((k - 1, k, smooth / (1 + _distance(blocks[k - 1].node, b.node))))
         if (j := last.get(id(parent))) is not None and j < k - 1:
             edges.append((j, k, smooth / 2))
         last[id(parent)] = k
-    side = minimum_cut([score(b) for b in blocks], edges)
-    return [b.text for b, s in zip(blocks, side, strict=True) if s]
+        if wrapper is not None:
+            edges.append((k, wrappers.setdefault(id(wrapper), len(blocks) + len(wrappers)), smooth))
+    side = minimum_cut(gain + [-WRAPPER] * len(wrappers), edges)
+    return [b.text for b, s in zip(blocks, side, strict=False) if s]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,8 +43,8 @@ TRIGGER = 12
 #: A phrase has about this many bytes; a power of two.
 PHRASE = 128
 GRAM = 18
-#: A gram that one task finds so often in ``SEEN`` bytes is hot.
-HOT = 128
+#: A gram that one task finds so often in ``SEEN`` bytes is hot; in less text, by proportion, but ``LEAST_HOT`` at least.
+HOT, LEAST_HOT = 128, 8
 #: Bytes of text over which a task gathers what it settles itself.
 SEEN = 1 << 24
 #: Bits of a gram's hash that travel: a chance agreement costs a needless comparison, never a wrong result.
@@ -137,11 +137,12 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 # -- the parse ------------------------------------------------------------------------------------------------------
-_PARSE = "k1 long, k2 long, doc long, row long, start long"
+#: Columns that vary stand side by side behind those that repeat, which compresses well.
+_PARSE = "doc long, row long, k1 long, k2 long, start long"
 
 
 def _parse(length: int):
-    """(k1, k2, doc, row, start) of every phrase; below 0 for those the task has in a lesser document."""
+    """(doc, row, k1, k2, start) of every phrase; below 0 for those the task has in a lesser document."""
 
     def settle(k: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((doc, k[:, 1], k[:, 0]))
@@ -149,7 +150,7 @@ def _parse(length: int):
         at = _groups(k1[order], k2[order])
         known = np.zeros(len(doc), bool)  # rows stay in the order of the texts, which compresses well
         known[order] = doc[order] > np.repeat(doc[order][at], np.diff(np.append(at, len(doc))))
-        return _frame("k1 k2 doc row start", np.where(known, _dealt(doc), k1), np.where(known, 0, k2), doc, row, np.where(known, -1 - start, start))
+        return _frame("doc row k1 k2 start", doc, row, np.where(known, _dealt(doc), k1), np.where(known, 0, k2), np.where(known, -1 - start, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -181,7 +182,7 @@ def _outside_owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Of the parse sorted by phrase and document: occurrences of phrases outside the document that owns them."""
     key, owner = None, 0
     for b in batches:
-        k1, k2, doc, row, start = (c.to_numpy() for c in b.columns)
+        doc, row, k1, k2, start = (c.to_numpy() for c in b.columns)
         known = start < 0
         out = [(doc[known], row[known], -1 - start[known])]
         k1, k2, doc, row, start = (c[~known] for c in (k1, k2, doc, row, start))
@@ -239,22 +240,22 @@ def _unsettled(sums: np.ndarray, offsets: np.ndarray, length: int, covered: pa.A
 
 
 # -- the dictionary: grams that two documents have -------------------------------------------------------------------
-_GRAMS = "deal long, doc long, row long, code long"
+_GRAMS = "doc long, row long, deal long, code long"
 
 
 def _grams(length: int, hot: int):
-    """(deal, doc, row, code) of the chosen grams of owned phrases, dealt by hash; see ``_HOT_BIT`` for codes."""
+    """(doc, row, deal, code) of the chosen grams of owned phrases, dealt by hash; see ``_HOT_BIT`` for codes."""
 
-    def settle(h: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    def settle(size: int, h: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((doc, h))
         at = _groups(h[order])
         n = np.diff(np.append(at, len(h)))
         least, most = doc[order[at]], doc[order[at + n - 1]]
         often, other = np.zeros((2, len(h)), bool)  # rows stay in the order of the texts, which compresses well
-        often[order] = np.repeat((n >= hot) & (least != most), n)
+        often[order] = np.repeat((n >= min(hot, max(LEAST_HOT, hot * size // SEEN))) & (least != most), n)
         other[:] = often
         other[order[at]] = False
-        return _frame("deal doc row code", np.where(other, _dealt(doc), h), doc, row, np.where(often, -1 - start - np.where(other, _HOT_BIT, 0), start))
+        return _frame("doc row deal code", doc, row, np.where(other, _dealt(doc), h), np.where(often, -1 - start - np.where(other, _HOT_BIT, 0), start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -269,10 +270,10 @@ def _grams(length: int, hot: int):
             held.append((h, ids[text], rows[text], pos - at[text]))
             size += len(own)
             if size >= SEEN:
-                yield settle(*map(np.concatenate, zip(*held, strict=True)))
+                yield settle(size, *map(np.concatenate, zip(*held, strict=True)))
                 held, size = [], 0
         if held:
-            yield settle(*map(np.concatenate, zip(*held, strict=True)))
+            yield settle(size, *map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -285,7 +286,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = np.zeros(0, np.int64)
     key, least, shared, hot, held = None, 0, False, False, (none, none, none)
     for b in batches:
-        deal, doc, row, code = (c.to_numpy() for c in b.columns)
+        doc, row, deal, code = (c.to_numpy() for c in b.columns)
         known = code < -_HOT_BIT
         out = [(doc[known], row[known], -1 - code[known])]
         deal, doc, row, code = (c[~known] for c in (deal, doc, row, code))

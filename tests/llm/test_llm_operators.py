@@ -295,6 +295,35 @@ def test_minimum_cut_equals_all_labellings():
         assert cost(html_text.minimum_cut(gain, edges)) == pytest.approx(best)
 
 
+LONG = "This is a sentence of the article itself, with enough words to be read as prose by anyone."
+NAV = '<ul class="menu"><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul>'
+FOOT = '<div id="footer">© 2024 The Company. All rights reserved by the company and its owners.</div>'
+PROSE = [f"{k} {LONG}" for k in range(4)]
+PS = "".join(f"<p>{x}</p>" for x in PROSE)
+LINES = [f"line {k} of a short poem here" for k in range(12)]
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f'<form id="aspnetForm" action="/x"><input type="hidden" name="v">{NAV}<article><h1>Head</h1>{PS}</article>{FOOT}</form>', ["Head", *PROSE]),
+        (f'{NAV}<form id="aspnetForm"><h1>Head</h1><div>{PS}</div></form>{FOOT}', ["Head", *PROSE]),
+        (f'{NAV}<div class="main-content has-sidebar"><h1>Head</h1>{PS}</div>{FOOT}', ["Head", *PROSE]),
+        (f'<div class="with-sidebar">{NAV}<div><h2>Head</h2>{PS}</div></div>{FOOT}', ["Head", *PROSE]),
+        (f'<div class="layout sidebar-left">{NAV}<div>{PS}</div></div>{FOOT}', PROSE),
+        (f'<div class="post tag-search category-ads">{PS}</div><div class="sidebar"><p>Related stories that you may like to read now.</p></div>{FOOT}', PROSE),
+        (f'{NAV}<div>{"".join(f"<div>{x}</div>" for x in LINES)}</div>{FOOT}', LINES),
+        (f'{NAV}<table><tr><td>{"<br><br>".join(PROSE)}</td></tr></table>{FOOT}', [" ".join(PROSE)]),
+        (f"<article><p>{LONG}</p><p>The formula is <math><mi>x</mi><mo>=</mo><mn>1</mn></math> as shown above in the text.</p></article>{FOOT}", [LONG, "The formula is x=1 as shown above in the text."]),
+        (f'{NAV}<main>{PS}</main><section id="comments">{"".join(f"<p>Reader {k}: {LONG} {LONG}</p>" for k in range(9))}</section>{FOOT}', PROSE),
+        (f'{NAV}{PS}<div class="cookie-banner"><p>We use cookies. {LONG}</p></div><form><label>Your mail address please</label><input type="text"></form>{FOOT}', PROSE),
+        (f'{NAV}<section><h1>Head</h1>{PS}<aside><p>{LONG}</p></aside><p>{LONG}</p></section><div class="ad"><p>Buy now. {LONG}</p></div>{FOOT}', ["Head", *PROSE, LONG]),
+    ],
+)
+def test_layouts(body, want):
+    assert html_text.main_blocks(f"<html><head><title>T</title></head><body>{body}</body></html>") == want
+
+
 def test_extraction_on_pages_and_edges(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div id="cookie-notice">We use cookies on this site, accept them.</div>
     <main><article><h1>Big &amp; news</h1><p>First   paragraph with <a href=x>a link</a> and<br>words, of some length.</p><div class="ad"><p>Buy this thing now, it is the best thing.</p></div><ul><li>one item</li></ul>
@@ -306,6 +335,7 @@ def test_extraction_on_pages_and_edges(spark):
     assert (1, "Big & news\nFirst paragraph with a link and words, of some length.\none item", True) in text
     assert (2, "", True) in text and (3, "", True) in text
     assert len(got) == len(rows)
+    assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_text.extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
         inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
