@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from granary.functions.scratch import drop, save
 
 SPACE = " \t\n\x0b\f\r"
-BATCHES = 4
+#: Batches at least, and lines in one at most (about): a larger corpus has more batches.
+BATCHES, BATCH_LINES = 4, 2_000_000_000
 FAN = 2
 _H = ["h1", "h2"]
 
@@ -94,24 +95,32 @@ class LevelledRuns:
         return runs[0] if len(runs) == 1 else _compact(runs)
 
 
-def dedup_lines(docs: DataFrame, *, least_chars: int = 20, least_docs: int = 3, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
-    """``docs`` with the text that is left, and n_lines (before) and n_dropped."""
+def dedup_lines(docs: DataFrame, *, least_chars: int = 20, least_docs: int = 3, batches: int | None = None, fan: int = FAN) -> DataFrame:
+    """``docs`` with the text that is left, and n_lines (before) and n_dropped, which replace columns so named."""
+    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    docs = docs.select(F.struct(*names).alias("rest") if names else F.lit(None).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = save(_keys(docs, least_chars), "line-keys")
-    low, high = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
     runs = LevelledRuns(fan)
-    low, high = (low or 0), (high or 0)
-    width = (high - low) // batches + 1
-    for b in reversed(range(batches)):
-        part = keys.filter(F.col("doc_id").between(low + b * width, low + (b + 1) * width - 1)) if b or batches > 1 else keys
+    if batches is None:
+        batches = max(BATCHES, -(-keys.count() // BATCH_LINES))
+    # Cuts at approximate quantiles: where they fall changes no result, and an outlying doc_id doesn't fill a batch.
+    cuts = sorted(set(keys.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)), reverse=True) if batches > 1 else []
+    edges = [None, *(int(c) for c in dict.fromkeys(cuts)), None]
+    for upper, lower in zip(edges[:-1], edges[1:], strict=True):
+        part = keys
+        if upper is not None:
+            part = part.filter(F.col("doc_id") < upper)
+        if lower is not None:
+            part = part.filter(F.col("doc_id") >= lower)
         runs.add(part.select("doc_id", *_H).distinct().groupBy(*_H).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")))
     repeats = runs.all().filter(F.col("n_docs") >= least_docs).select(*_H, "keeper")
     lost = keys.join(repeats.hint("merge"), _H).filter("doc_id <> keeper")
     lost = lost.groupBy(F.col("doc_id").alias("lost_doc"), F.col("row_hash").alias("lost_row")).agg(F.sort_array(F.collect_set("pos")).alias("lost"))
-    on = (F.col("doc_id").cast("long") == F.col("lost_doc")) & (_row_hash(F.col("text")) == F.col("lost_row"))
+    on = (F.col("doc_id") == F.col("lost_doc")) & (_row_hash(F.col("text")) == F.col("lost_row"))
     joined = docs.join(lost, on, "left").withColumn("all_lines", _lines(F.col("text")))
     joined = joined.withColumn("cuts", F.concat(F.array(F.lit(-1)), F.coalesce("lost", F.array().cast("array<int>")), F.array(F.size("all_lines"))))
     piece = lambda j: F.slice("all_lines", F.get("cuts", j) + 2, F.get("cuts", j + 1) - F.get("cuts", j) - 1)
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), piece))
     left = F.when(F.size("cuts") == 2, F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    names = [c for c in docs.columns if c != "text"]
-    return joined.select(*names, left.alias("text"), F.size("all_lines").cast("long").alias("n_lines"), (F.size("cuts") - 2).cast("long").alias("n_dropped"))
+    out = F.struct(left.alias("text"), F.size("all_lines").cast("long").alias("n_lines"), (F.size("cuts") - 2).cast("long").alias("n_dropped"))
+    return joined.select("rest", out.alias("out")).select(*[F.col("rest")[c].alias(c) for c in names], *[F.col("out")[c].alias(c) for c in ("text", "n_lines", "n_dropped")])

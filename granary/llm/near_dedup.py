@@ -32,6 +32,8 @@ from granary.operators.components import connected_components
 K = 32
 HOT = 256
 BLOCK = 1024
+#: A class of more copies is looked up in so many parts.
+LARGE, SPREAD = 1000, 256
 _SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<long>"
 
 
@@ -218,8 +220,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, per_cent: int = 85, k: i
     # One scan makes all sketches; they are far smaller than the texts and are read several times.
     sketches = save(texts.mapInArrow(_sketches(width, k), _SKETCH), "sketches")
     filled = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    reps = save(filled.join(classes, ["n_shingles", "fp1", "fp2"]).filter("doc_id = rep").select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["doc", "n", "sig"]), "reps")
+    same = ["n_shingles", "fp1", "fp2"]
+    classes = save(filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
+    # Dealt by doc_id too, so the copies of a class don't meet in one task.
+    first = classes.select(F.col("rep").alias("doc_id"), *same)
+    reps = save(filled.join(first, ["doc_id", *same], "left_semi").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["doc", "n", "sig"]), "reps")
 
     # Rarest first: a value seen once can't make a pair, but takes a place in the prefix.
     values = reps.select("doc", "n", F.size("sig").alias("kept"), F.explode("sig").alias("value"))
@@ -248,9 +253,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, per_cent: int = 85, k: i
         tasks = cut.join(sets, "doc").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "doc")
         links = links.union(tasks.mapInArrow(_blocks(threshold, per_cent), "src long, dst long"))
 
-    components = connected_components(links, "src", "dst")
-    out = sketches.join(classes, ["n_shingles", "fp1", "fp2"], "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    components = connected_components(links, "src", "dst").withColumnRenamed("node", "rep")
+    # What a class of several members comes to is looked up.  Large classes are there ``SPREAD`` times, and every row
+    # asks for one of these, so copies spread; the rest then asks for the small classes.
+    told = classes.join(components, "rep", "left").select(*same, "members", F.coalesce("component", "rep").alias("c"))
+    large = told.filter(F.col("members") > LARGE).select(*[F.col(x).alias(f"l_{x}") for x in same], F.col("c").alias("of_large"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("l_part"))
+    small = told.filter(F.col("members") <= LARGE).select(*[F.col(x).alias(f"s_{x}") for x in same], F.col("c").alias("of_small"), F.lit(0).alias("s_part"))
+    rows = sketches.select("doc_id", *same, F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")).alias("part"))
+    by = lambda side, part: [F.col(x) == F.col(f"{side}_{x}") for x in same] + [part == F.col(f"{side}_part")]
+    rows = rows.join(large, by("l", F.col("part")), "left").select("doc_id", *same, "part", "of_large")
+    # Rows that are settled ask for part 1 and up, where no small class is.
+    ask = F.when(F.col("of_large").isNull(), F.lit(0)).otherwise(F.col("part") + 1)
+    rows = rows.withColumn("ask", F.when(F.col("part").isNotNull(), ask)).join(small, by("s", F.col("ask")), "left")
+    out = rows.select("doc_id", "n_shingles", F.coalesce("of_large", "of_small", "doc_id").alias("component_id"))
     for t in (reps, chosen, pairs):
         drop(t)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

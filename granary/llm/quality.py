@@ -20,6 +20,7 @@ BUCKETS = 1 << 14
 TRUSTED = 20_000
 SMOOTHING = 1.0
 THRESHOLD = -0.05
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\f\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -67,7 +68,9 @@ def _constant(weights: list[float]) -> Column:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, bound: int = TRUSTED) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept, which replace columns so named."""
+    names = [c for c in docs.columns if c not in RESULTS]
+    docs = docs.select(F.struct(*names).alias("rest"), "doc_id", "text")
     weights = _constant(bucket_weights(docs, trusted_ids(labels, bound)).first()["weights"])
     out = _hashed(docs)
     n = F.size("q_words")
@@ -83,14 +86,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     grams = F.size("q_words") + F.greatest(F.size("q_words") - 1, F.lit(0))
     total = F.aggregate(_ngrams(), F.lit(0.0), lambda a, b: a + F.get(weights, b))
     chars = lambda dropped: (F.length("q_text") - F.length(F.translate("q_text", dropped, ""))).cast("long")
-    names = list(docs.columns)
     # Not deterministic to the optimiser: a filter on the results stays above this step.  Pushed below, it would carry
     # the word arrays into the functions over their elements and make them anew for each.
     zero = F.monotonically_increasing_id() * F.lit(0)
     out = out.select(
-        *names, n.cast("long").alias("n_words"), (F.length("q_text").cast("long") - chars(SPACE)).alias("word_chars"), chars(SYMBOLS).alias("n_symbols"),
+        "rest", n.cast("long").alias("n_words"), (F.length("q_text").cast("long") - chars(SPACE)).alias("word_chars"), chars(SYMBOLS).alias("n_symbols"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         (F.when(n > 0, total / grams).otherwise(F.lit(0.0)) + zero).alias("score"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    return out.select(*[F.col("rest")[c].alias(c) for c in names], *RESULTS)

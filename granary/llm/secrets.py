@@ -3,9 +3,11 @@
 Base kinds (leftmost, not overlapping within a kind): ``assign``, ``access``, ``hex``.  The entropy method looks at
 every maximal run of ``[A-Za-z0-9+/_=-]`` of at least ``WINDOW`` characters.  A window of that length slides over the
 run; counts per character and the sum of c*log2(c) are changed by one step in and one step out, so each position
-costs constant time.  A window counts as random when its Shannon entropy reaches the limit of its character class
-(digits, hex, one-case letters with digits, mixed); random windows that touch make one span, reported as ``entropy``
-unless it overlaps a base span or an allow-list pattern matches the run.
+costs constant time.  A window counts as random when it has a letter and a digit and its Shannon entropy reaches the
+limit of its character class (hex, one-case letters with digits, mixed); windows of letters alone or digits alone are left
+out, since words and numbers written together reach any limit that keys of one kind do.  Random windows that touch make
+one span, reported as ``entropy`` unless it overlaps a base span.  The allow list suppresses by part: a window that
+touches a part of the run, between ``/`` or ``=``, in which an allowed pattern is found, isn't random.
 
 Defined results: a null text is empty; rows are kept one for one; spans are in code points, end exclusive; a run
 found twice is reported twice; extra columns are ignored.
@@ -38,25 +40,30 @@ LIMITS = {"hex": 3.0, "one case": 3.6, "mixed": 3.8}
 ALLOWED = tuple(
     re.compile(p)
     for p in (
-        r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
+        r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])",  # UUID
         r"EXAMPLE|example|placeholder|changeme|xxxxxxxx|XXXXXXXX",
         r"0123456789|abcdefghijkl|ABCDEFGHIJKL",
-        r"^[/_=-]*([A-Za-z]+[/_=-]+)*[A-Za-z]*$",  # words, paths and identifiers without a digit
     )
 )
-_XLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_XLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 
 
 def random_spans(run: str, allowed=ALLOWED, limits=LIMITS, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of a candidate run made of windows at or over the entropy limit of their class."""
-    if len(run) < window or any(p.search(run) for p in allowed):
+    if len(run) < window:
         return []
+    parts = []  # suppressed ones, in order
+    for a, b in sorted(m.span() for p in allowed for m in p.finditer(run)):
+        a, b = max(run.rfind("/", 0, a), run.rfind("=", 0, a)) + 1, min(x if x >= 0 else len(run) for x in (run.find("/", b), run.find("=", b)))
+        if not parts or parts[-1][1] < a:
+            parts.append((a, b))
+    at = 0
     counts: dict[str, int] = {}
     digits = upper = lower = beyond = 0  # per class: digits, capitals, small letters, and letters past f
     total, out = 0.0, []
-    xlog = _XLOG if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    xlog = _XLOG if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     for i, c in enumerate(run):
         for ch, step in ((c, 1), (run[i - window], -1)) if i >= window else ((c, 1),):
             n = counts.get(ch, 0)
@@ -70,7 +77,9 @@ def random_spans(run: str, allowed=ALLOWED, limits=LIMITS, window: int = WINDOW)
                 lower += step * ch.islower()
             else:
                 beyond += step
-        if i >= window - 1 and digits and upper + lower:
+        while at < len(parts) and parts[at][1] <= i - window + 1:
+            at += 1
+        if i >= window - 1 and digits and upper + lower and not (at < len(parts) and parts[at][0] <= i):
             kind = "hex" if not beyond and not (upper and lower) else "mixed" if upper and lower else "one case"
             if math.log2(window) - total / window >= limits[kind]:
                 start = i - window + 1
@@ -99,10 +108,15 @@ def scan(text: str, long_run: bool = True, allowed=ALLOWED) -> tuple[list[tuple[
     more: list[tuple[int, int, str]] = []
     if long_run:
         base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+        ends, reach = sorted((s, e) for s, e, _ in base), 0
+        at = 0  # base spans that start before the end of the window span, and how far they reach
         for m in RUN.finditer(text):
             for a, b in random_spans(m[0], allowed):
                 a, b = a + m.start(), b + m.start()
-                if not any(a < e and s < b for s, e, _ in base):
+                while at < len(ends) and ends[at][0] < b:
+                    reach = max(reach, ends[at][1])
+                    at += 1
+                if reach <= a:
                     more.append((a, b, "entropy"))
     return sorted(base, key=order), sorted(base + more, key=order)
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ def docs(spark):
 
 def clash(df):
     """The same frame with columns whose names the operators use inside."""
+    for c in ("n_words", "score", "n_lines", "lost", "lost_doc", "cuts", "all_lines", "q_words", "kept", "rest", "n_symbols", "deal", "doc", "start"):
+        df = df.withColumn(c, F.lit(5))
     return df.withColumn("value", F.lit(1)).withColumn("h1", F.lit("x")).withColumn("size", F.lit(2)).withColumn("score_", F.lit(0))
 
 
@@ -92,7 +95,29 @@ def test_token_counts_equal_the_library(spark, docs):
     want = sorted((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False)), n > 2048) for i, t in rows)
     assert got == want
     small = token_counts.Counter(token_counts.tokenizer_path("word_bpe_49k.json"), chunk=50, remembered=20)
-    assert small.counts([t for _, t in docs[:20]]) == [len(library.encode(t, add_special_tokens=False)) for _, t in docs[:20]]
+    assert small.counts(pa.array([t for _, t in docs[:20]])) == [len(library.encode(t, add_special_tokens=False)) for _, t in docs[:20]]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_files_without_a_safe_boundary_are_encoded_whole(docs, name):
+    path = token_counts.tokenizer_path(name)
+    texts = [t for _, t in docs[:40]] + [" a  b\n\n c", "", None, "word " * 700]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = [len(library.encode(t or "")) for t in texts]
+    else:
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        want = [len(library.encode(t or "", add_special_tokens=False)) for t in texts]
+    assert token_counts.Counter(path, chunk=200).counts(pa.array(texts)) == want
+
+
+def test_files_of_another_kind_are_refused():
+    with pytest.raises(ValueError, match=r"neither \.json nor \.model"):
+        token_counts.Counter(token_counts.tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 # -- lines ----------------------------------------------------------------------------------------------------------
@@ -283,6 +308,35 @@ def test_pack_keeps_every_word_and_no_conflict(spark, docs):
     assert pack(spark.createDataFrame([], SCHEMA + ", source string")).collect() == []
 
 
+def test_allowed_parts_hide_only_themselves():
+    rng = random.Random(9)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    spans = lambda t: [(a, b) for a, b, k in secrets.scan(t)[1] if k == "entropy"]
+    assert spans(key) == [(0, 40)]
+    (a, b), = spans(f"org/example/{key}")
+    assert a >= 11 and b == 52
+    assert spans(f"id/123e4567-e89b-12d3-a456-426614174000/{key}")[-1][1] == 80 and spans("123e4567-e89b-12d3-a456-426614174000") == []
+    assert spans(f"x={key[:10]}EXAMPLE{key[10:30]}") == []
+    assert spans("thisisalongwordwithoutanydigitsinit/and/another-one") == [] and spans("1" * 200) == []
+    many = " ".join(f"token={key} {key[::-1]}" for _ in range(2000))
+    assert len(spans(many)) == 2000
+
+
+def test_planted_keys_are_found_and_prose_is_not(docs):
+    rng = random.Random(10)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    hit = n = false = 0
+    for _, t in docs:
+        t = t or ""
+        false += sum(k == "entropy" for _, _, k in secrets.scan(t)[1])
+        key = "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.choice([32, 40, 64])))
+        at = rng.randrange(len(t) + 1)
+        spans = secrets.scan(f"{t[:at]} {key} {t[at:]}")[1]
+        n += 1
+        hit += any(a < at + 1 + len(key) and b > at + 1 for a, b, k in spans)
+    assert hit >= 0.97 * n and false <= 0.01 * n
+
+
 # -- pages ----------------------------------------------------------------------------------------------------------
 def test_minimum_cut_equals_all_labellings():
     rng = random.Random(7)

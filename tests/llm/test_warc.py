@@ -53,3 +53,25 @@ def test_a_damaged_payload_is_found(spark):
     spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit(b"x"))).write.parquet(f"{bad}/payloads")
     with pytest.raises(Exception, match="differs from its digest"):
         read_archive(spark, bad).collect()
+
+
+@pytest.mark.parametrize("old,new", [("WARC-Type: revisit", "WARC-Type: response"), ("Content-Length: ", "Content-Length: 1"), ("sha1:", "sha1:A"), ("Refers-To: <", "Refers-To: <x")])
+def test_a_damaged_header_is_found(spark, old, new):
+    from pyspark.sql import functions as F
+
+    path = write_archive(spark.createDataFrame(ROWS, SCHEMA), new_path(spark, "warc-test"))
+    bad = new_path(spark, "warc-bad")
+    spark.read.parquet(f"{path}/records").withColumn("header", F.replace("header", F.lit(old), F.lit(new))).write.parquet(f"{bad}/records")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{bad}/payloads")
+    with pytest.raises(Exception, match="a record differs"):
+        read_archive(spark, bad).collect()
+
+
+def test_hard_urls_long_pages_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "http://a/\r\nWARC-Type: revisit\r\n\r\n", "a"), (2, "http://é/%", "b" * 3_000_000), (3, "", "a")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("payload", "content_key", "header", "first", "sha1", "owner", "record_type", "response"):
+        df = df.withColumn(c, F.lit(1))
+    assert sorted((tuple(r) for r in archive_round_trip(df).collect()), key=str) == brute(rows)
