@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over ``documents``; each stage works on all that its predecessor kept."""
+"""A corpus pipeline of five stages over ``documents``; each stage works on all that its predecessor kept.
+
+Defined results: extra columns go at the first stage; documents with a null or empty text go there too, for want of words;
+a null doc_id is kept as a document of its own by every stage; equal rows of a doc_id are one document from the near-dedup
+on; a document that line dedup leaves empty stays (it is like no other and takes a place in a bin); empty tables pass
+through, and an empty benchmark or no labels remove nothing of their own.
+"""
 
 from __future__ import annotations
 
@@ -55,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-#: The log-likelihood score, near duplicates and packing aren't SQL; tests compare run() with brute force.
+#: The log-likelihood score, near duplicates and packing aren't SQL; tests compare each stage's operator with brute force.
 ORACLE_SQL: str | None = None
 
 
