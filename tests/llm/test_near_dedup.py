@@ -75,3 +75,17 @@ def test_short_prefixes_follow_from_the_sizes(per_cent):
         shared = [c - max(0, m - 32) for m in range(1, 60) for c in range(1, min(n, m) + 1) if 100 * c >= per_cent * (n + m - c)]
         assert _needed(n, per_cent, 32) == min(shared)
         assert n < 32 * per_cent / 100 or min(shared) >= _wanted(per_cent / 100, 32)
+
+
+@pytest.mark.parametrize("width,per_cent", [(3, 85), (5, 80)])
+def test_sizes_around_the_length_of_a_sketch(spark, width, per_cent):
+    """All pairs of sizes from 25 to 45, one set within the other or shifted against it."""
+    rows = []
+    for n in range(25, 46):
+        for m in range(n, min(46, n + 12)):
+            words = [f"w{n}x{m}x{k}" for k in range(m + width + 1)]
+            i = 10 * len(rows)
+            rows += [(i, " ".join(words[: n + width - 1])), (i + 1, " ".join(words[(n + m) % 3 : m + width - 1]))]
+    got = rows_of(near_duplicates(spark.createDataFrame(rows, SCHEMA), width=width, per_cent=per_cent))
+    assert got == brute(rows, width, per_cent)
+    assert sum(not r[3] for r in got) > 60
