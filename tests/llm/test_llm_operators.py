@@ -6,13 +6,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from granary.llm import html_text, packing, secrets, token_counts
-from granary.llm.decontaminate import find_leaks, remove_leaks
+from granary.llm.decontaminate import BITS, RADIUS, REACH, Common, Index, find_leaks, remove_leaks
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.packing import pack
 from granary.llm.quality import BUCKETS, quality_rules
@@ -199,6 +200,20 @@ def test_quality_equals_brute_force(spark, docs):
 
 
 # -- decontamination ------------------------------------------------------------------------------------------------
+def test_block_tables_miss_no_fingerprint_within_the_radius():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(4000)]
+    index = Index([(k, " ".join(rng.choice(words, 40))) for k in range(300)], Common(np.zeros(0, np.uint64), np.zeros(0), [40]))
+    n_found = 0
+    for k in range(300):
+        bits = np.unpackbits(index.prints[k].view(np.uint8))
+        bits[rng.choice(BITS, RADIUS - k % 2, replace=False)] ^= 1
+        assert k in index.near(np.packbits(bits).view("<u8"))
+        n_found += len(index.candidates(rng.integers(0, 1 << 64, BITS // 64, np.uint64)))
+    assert n_found < 0.5 * 300 * 300  # of random fingerprints
+    assert sum(t + 1 for t in REACH) == RADIUS + 1
+
+
 def test_leaks_equal_brute_force_on_windows(spark, docs):
     rng = random.Random(5)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -215,6 +230,9 @@ def test_leaks_equal_brute_force_on_windows(spark, docs):
     got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(clash(spark.createDataFrame(rows, SCHEMA)), spark.createDataFrame(items, "item_id long, text string"), items=25).collect()}
     low = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t)]
     grams = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    held = Counter(x for _, text in items for x in grams(low(text)))
+    weigh = lambda s: sum(1 / max(1, held[x]) for x in s)
+    lengths = {len(low(text)) for _, text in items}
     for i, t in rows:
         w = low(t)
         have = grams(w)
@@ -223,13 +241,12 @@ def test_leaks_equal_brute_force_on_windows(spark, docs):
             if not g & have:
                 assert (i, item) not in got
                 continue
-            n = len(low(text))
-            best = max(len(g & (x := grams(w[s : s + n]))) / len(g | x) for s in range(max(1, len(w) - n + 1)))
-            if best >= 0.85:  # weights are near 1 here, so only clear cases are compared
-                assert (i, item) in got
+            best = max(weigh(g & (x := grams(w[s : s + n]))) / weigh(g | x) for n in {min(k, len(w)) for k in lengths} for s in range(len(w) - n + 1))
+            if abs(best - 0.8) > 1e-9:
+                assert ((i, item) in got) == (best > 0.8)
+            if (i, item) in got:
+                assert got[i, item] == pytest.approx(best)
                 planted.add(i)
-            if best < 0.7:
-                assert (i, item) not in got
     left = {r.doc_id for r in remove_leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert left == {i for i, _ in rows} - {i for i, _ in got}
     assert len(planted) > 10
