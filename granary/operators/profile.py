@@ -79,7 +79,7 @@ def _top(counts: DataFrame, value: list[str], top: int) -> DataFrame:
     """The ``top`` most frequent of (value..., n), ties by value, with the true number and a truncated flag."""
     ranked = counts.orderBy(F.col("n").desc(), *value).limit(top)
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), *value))  # over at most ``top`` rows
-    total = counts.agg(F.count(F.lit(1)).alias("n_distinct"))
+    total = counts.agg(F.count_if(F.col("n") > 0).alias("n_distinct"))  # all values; naming n, it shares the shuffle of the counts
     return ranked.withColumn("rank", rank.cast("long")).withColumn("n_distinct", total.scalar()).withColumn("truncated", F.col("n_distinct") > top)
 
 

@@ -99,7 +99,7 @@ def resumable_load(df: DataFrame, path: str, key: str, chunk: int, table: str) -
     """Load in key ranges of ``chunk``; finished chunks of the journal are skipped, a changed source is refused.
 
     Returns the journal (table, chunk, first_key, last_key, n_rows).  A chunk is its own folder, overwritten whole, and
-    its journal entry is written after it, so a crash repeats one chunk at most.
+    its journal entry is written after it, so a crash repeats one chunk at most.  Rows with a NULL key are the chunk NULL.
     """
     spark = df.sparkSession
     facts = df.agg(F.count(F.lit(1)), F.min(key), F.max(key), content_mark(df)).first()
@@ -116,11 +116,14 @@ def resumable_load(df: DataFrame, path: str, key: str, chunk: int, table: str) -
     if any(m != mark for m in known.values()):
         raise ValueError("the source changed since the load began")
     parts = df.withColumn("chunk", F.floor((F.col(key) - F.lit(facts[1] or 0)) / chunk).cast("long"))
-    counts = parts.groupBy("chunk").agg(F.min(key).cast("long").alias("first_key"), F.max(key).cast("long").alias("last_key"), F.count(F.lit(1)).alias("n_rows")).orderBy("chunk")
+    counts = parts.groupBy("chunk").agg(F.min(key).alias("least"), F.max(key).alias("most"), F.count(F.lit(1)).alias("n_rows"))
+    counts = counts.select("*", F.col("least").cast("long").alias("first_key"), F.col("most").cast("long").alias("last_key")).orderBy("chunk")
     for r in counts.collect():
         if r.chunk in known:
             continue
-        parts.filter(F.col("chunk") == r.chunk).drop("chunk").write.mode("overwrite").parquet(f"{path}/{table}/chunk={r.chunk}")
+        # By the key itself, so that the scan skips row groups; rows without a key are a chunk of their own.
+        rows = F.col(key).isNull() if r.chunk is None else F.col(key).between(r.least, r.most)
+        df.filter(rows).write.mode("overwrite").parquet(f"{path}/{table}/chunk={'__HIVE_DEFAULT_PARTITION__' if r.chunk is None else r.chunk}")
         spark.createDataFrame([(table, r.chunk, r.first_key, r.last_key, r.n_rows, mark)], schema).coalesce(1).write.mode("append").parquet(journal)
     return spark.read.schema(schema).parquet(journal)
 

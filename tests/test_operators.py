@@ -181,6 +181,15 @@ def test_load_resumes_and_refuses_a_changed_source(spark):
         src.resumable_load(o.filter("o_orderkey > 3"), path, "o_orderkey", 500, "orders")
 
 
+def test_a_load_keeps_rows_without_a_key(spark):
+    path = new_path(spark, "load")
+    df = spark.createDataFrame([(1, "a"), (7, "b"), (None, "c"), (None, None)], "k int, v string")
+    journal = src.resumable_load(df, path, "k", 5, "t")
+    assert {(r.chunk, r.n_rows) for r in journal.collect()} == {(0, 1), (1, 1), (None, 2)}
+    assert {(r.k, r.v, r.chunk) for r in spark.read.parquet(f"{path}/t").collect()} == {(1, "a", 0), (7, "b", 1), (None, "c", None), (None, None, None)}
+    assert src.resumable_load(df, path, "k", 5, "t").count() == 3
+
+
 def test_load_order_of_the_star():
     levels = STAR.levels()
     assert levels[0] == ["region", "part"] and levels[-1] == ["lineitem"]
