@@ -199,6 +199,18 @@ def test_quality_equals_brute_force(spark, docs):
     assert quality_rules(spark.createDataFrame([], SCHEMA), frame).collect() == []
 
 
+def test_quality_score_ranks_held_out_labels(spark):
+    # The ranking only: with so few trusted documents the fixed threshold is too strict, see README.
+    base = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    scored = quality_rules(rows, labels.filter("doc_id % 2 = 0")).select("doc_id", "score", "kept")
+    held = scored.join(labels.filter("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id").collect()
+    good, bad = ([r for r in held if r.quality == q] for q in (1, 0))
+    above = sum((g.score > b.score) + 0.5 * (g.score == b.score) for g in good for b in bad)
+    assert above / (len(good) * len(bad)) > 0.95
+    assert sum(r.kept for r in bad) < 0.1 * len(bad)
+
+
 # -- decontamination ------------------------------------------------------------------------------------------------
 def test_block_tables_miss_no_fingerprint_within_the_radius():
     rng = np.random.default_rng(3)
