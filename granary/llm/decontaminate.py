@@ -1,17 +1,22 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, weighted-shingle proof.
 
 Word shingles of ``WIDTH`` words (fewer for shorter items) are hashed.  A window as long as a benchmark item, wherever
-it starts, is worth a fingerprint if the weights of its shingles allow ``threshold`` with some item; prefix sums over
-the document give a bound that loses nothing.  The window's SimHash of ``BITS`` bits is looked up in a table of the items
-for each block of 16 bits, at all values within the block's reach.  The reaches, each plus one, sum to ``RADIUS`` + 1, so a
-fingerprint within ``RADIUS`` bits of an item's is within reach in one block (pigeonhole).  Candidates within the radius
-are verified exactly: weighted Jaccard similarity of the window's and the item's shingles of at least ``threshold``.  A
+it starts, gets a fingerprint if its shingles can reach ``threshold`` with any item at all: its weight and the weight that
+benchmark shingles have in it are known exactly for every start, repeats counted once, from one pass of sums over the
+document per length.  The items that a window may be like come from its SimHash of ``BITS`` bits: fingerprints are cut in
+blocks of 16 bits, whose reaches, each plus one, sum to ``RADIUS`` + 1, so an item's fingerprint within ``RADIUS`` bits
+is within reach in one block (pigeonhole).  A block is looked up in its table at all values within reach; below
+``TABLES`` items all fingerprints are compared, which then costs less.  Candidates within the radius are verified
+exactly: weighted Jaccard similarity of the window's and the item's shingles of at least ``threshold``.  A
 shingle's weight is 1 / the number of items that have it, and 1 outside the benchmark.  Fingerprints take the roots of
 the weights: then the cosine of two sets of similarity t is at least 2t / (1 + t), 0.89 at 0.8, whatever the weights.
+Fingerprints slide: a window's is the difference of two running sums, less what it has twice.  An item's candidates are
+verified from the highest bound down, as far as they can be more alike than the best.
 
 The numbers of items are counted once over the whole benchmark.  Items come to the tasks in blocks of ``ITEMS``, with
 all lengths of items and the weights under 1; a larger benchmark means more passes over the documents, with the same
-results.  Documents are one scan, without any shuffle but that of the few leaks.
+results.  A worker builds the index of a block once.  Documents are one scan, without any shuffle but that of the few leaks.
+What is held per task grows with the benchmark only, not with the documents.
 
 Defined results: null or empty texts on either side never match; items that repeat are each reported; the leak of a
 document by an item is its most similar window, the first of equals; a null doc_id is reported as null.
@@ -19,10 +24,12 @@ document by an item is its most similar window, the first of equals; a null doc_
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +50,51 @@ LEAK = "doc_id long, item_id long, similarity double, start_word long, n_words l
 
 _VALUES = np.arange(1 << 16, dtype=np.uint16)
 _BALLS = {t: _VALUES[np.bitwise_count(_VALUES) <= t] for t in set(REACH)}
+#: Fewer items than this are compared with one by one, which is faster than all values within reach of the tables.
+TABLES = 8192
+#: Comparisons of fingerprints at once; starts of windows whose sums are kept at once.
+SLAB, STARTS = 1 << 18, 2048
 _SALTS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
 
 
-def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The SimHash of weighted shingle hashes in words of 64 bits; its vector has the roots of the weights."""
+def _signed(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per shingle the root of its weight in each of ``BITS`` places, with the sign of its bit."""
     salted = mix((shingles[:, None] ^ _SALTS).ravel()).astype("<u8")
     bits = np.unpackbits(salted.view(np.uint8).reshape(-1, BITS // 8), axis=1)
-    return np.packbits((np.sqrt(weights) @ (2.0 * bits - 1.0)) > 0).view("<u8")
+    return np.sqrt(weights)[:, None] * (2.0 * bits - 1.0)
+
+
+def _packed(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums > 1e-9, axis=-1).view("<u8")
+
+
+def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The SimHash of weighted shingle hashes in words of 64 bits; its vector has the roots of the weights."""
+    return _packed(_signed(shingles, weights).sum(axis=0))
+
+
+def _fingerprints(grams: np.ndarray, weight: np.ndarray, before: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The SimHashes of windows (start, shingles) from sums that slide over the text; repeats count once."""
+    if not len(start):
+        return np.zeros((0, BITS // 64), "<u8")
+    low = int(start.min())
+    high = int((start + size).max())
+    signed = _signed(grams[low:high], weight[low:high])
+    sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signed, axis=0)])
+    again = np.flatnonzero(before[low:high] >= low) + low
+    out = np.empty((len(start), BITS // 64), "<u8")
+    for m in np.unique(size):
+        own = np.flatnonzero(size == m)
+        found = sums[start[own] + m - low] - sums[start[own] - low]
+        repeats = again[again - before[again] < m]
+        if len(repeats):
+            # What a window from a to before(p) has of place p it has already.
+            twice = np.zeros((high - low + 1, BITS))
+            np.add.at(twice, np.maximum(repeats - m + 1, low) - low, signed[repeats - low])
+            np.subtract.at(twice, before[repeats] + 1 - low, signed[repeats - low])
+            found -= np.cumsum(twice, axis=0)[start[own] - low]
+        out[own] = _packed(found)
+    return out
 
 
 class Common:
@@ -71,6 +115,16 @@ def _sums(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(values)])
 
 
+def _bound(weight: np.ndarray, held: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The similarity that a window of some weight can have at most with an item, holding so much of the benchmark's."""
+    common = np.minimum(held, total)
+    return common / np.maximum(weight + total - common, 1e-300)
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Index:
     """Benchmark items: shingles by hash with the items that have them, fingerprints by block."""
 
@@ -98,11 +152,10 @@ class Index:
         self.widths = sorted({min(width, n) for n in self.n_words})
         self.prints = np.array([simhash(s, self.weights(s)) for s in self.sets], "<u8").reshape(-1, BITS // 64)
         # Per block: items in the order of its values, and where each value begins.
-        blocks = self.prints.view("<u2")
-        self.tables = [(np.argsort(x, kind="stable"), np.searchsorted(np.sort(x), np.arange((1 << 16) + 1)).astype(np.int32)) for x in blocks.T]
+        self.tables = [] if len(self.prints) < TABLES else [(np.argsort(x, kind="stable"), np.searchsorted(np.sort(x), np.arange((1 << 16) + 1)).astype(np.int32)) for x in self.prints.view("<u2").T]
 
     def candidates(self, fingerprint: np.ndarray) -> np.ndarray:
-        """Items that a block table finds; none within the radius is missing."""
+        """Items that a block table finds within reach; none within the radius is missing."""
         found = np.zeros(len(self.prints), bool)
         for (order, first), reach, value in zip(self.tables, REACH, fingerprint.view("<u2"), strict=True):
             values = (_BALLS[reach] ^ value).astype(np.int64)
@@ -112,10 +165,21 @@ class Index:
             found[order[np.arange(times.sum()) + np.repeat(start - np.cumsum(times) + times, times)]] = True
         return np.flatnonzero(found)
 
-    def near(self, fingerprint: np.ndarray) -> np.ndarray:
-        """Items within the radius of a fingerprint."""
-        some = self.candidates(fingerprint)
-        return some[np.bitwise_count(self.prints[some] ^ fingerprint).sum(axis=1) <= RADIUS]
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (fingerprint, item) within the radius."""
+        rows, items = [], []
+        few = max(1, SLAB // max(1, len(self.prints)))
+        for at in range(0, len(prints), few if not self.tables else 1):
+            if self.tables:
+                some = self.candidates(prints[at])
+                own = some[np.bitwise_count(self.prints[some] ^ prints[at]).sum(axis=1) <= RADIUS]
+                row = np.full(len(own), at)
+            else:
+                row, own = np.nonzero(np.bitwise_count(prints[at : at + few, None] ^ self.prints).sum(axis=2) <= RADIUS)
+                row = row + at
+            rows.append(row)
+            items.append(own)
+        return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *items])
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(self.bloom[(grams & np.uint64(_BLOOM - 1)).astype(np.int64)])
@@ -124,55 +188,84 @@ class Index:
         where = np.minimum(np.searchsorted(self.keys, grams[some]), len(self.keys) - 1)
         return some[self.keys[where] == grams[some]]
 
-    def _windows(self, words: np.ndarray, places: np.ndarray, width: int) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
-        """Per item (-bound, start, words) of the windows whose shingles allow the threshold with it.
-
-        What a window has of an item is at most the sum over its places; its own weight is at least that of the
-        shingles which the text has once.
-        """
-        grams = shingle_hashes(words, width)
+    def _possible(self, grams: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items of which the text has shingles enough, and the places of their shingles."""
         key = np.searchsorted(self.keys, grams[places])
-        times = self.first[key + 1] - self.first[key]
+        once = np.unique(key)
+        times = self.first[once + 1] - self.first[once]
         shift = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, place = self.owners[np.repeat(self.first[key], times) + shift], np.repeat(places, times)
-        weight = self.weights(grams)
-        least = self.threshold * self.total - 1e-9
-        some = np.flatnonzero(np.bincount(item, weight[place], len(self.total)) >= least)
-        if not len(some):
-            return
-        _, at, n = np.unique(grams, return_inverse=True, return_counts=True)
-        alone = _sums(np.where(n[at] == 1, weight, 0.0))
-        for k in some:
-            held = np.zeros(len(grams))
-            held[place[item == k]] = weight[place[item == k]]
-            held, out = _sums(held), []
-            for n_words in {min(n, len(words)) for n in self.lengths[width]}:
-                m = n_words - width + 1
-                has = np.minimum(held[m:] - held[:-m], self.total[k])
-                bound = has / np.maximum(alone[m:] - alone[:-m] + self.total[k] - has, has)
-                start = np.flatnonzero((has >= least[k]) & (bound >= self.threshold - 1e-9))
-                out += zip((-bound[start]).tolist(), start.tolist(), [n_words] * len(start), strict=True)
-            yield int(k), sorted(out)
+        owner, of = self.owners[np.repeat(self.first[once], times) + shift], np.repeat(once, times)
+        has = np.bincount(owner, self.weights(self.keys[of]), len(self.total))
+        some = has >= self.threshold * self.total - 1e-9
+        return np.flatnonzero(some), places[np.isin(key, of[some[owner]])]
+
+    def _windows(self, n_words: int, width: int, grams: np.ndarray, weight: np.ndarray, before: np.ndarray, held: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(weight, held weight, start, words) of the windows that may be like an item of one of the totals."""
+        at, out = np.arange(len(grams)), []
+        starts_w, starts_h = _sums(weight), _sums(held)
+        least, most = self.threshold * totals[0] - 1e-9, totals[-1] / self.threshold + 1e-9
+        for n in {min(n, n_words) for n in self.lengths[width]}:
+            m = n - width + 1
+            if m < least:
+                continue
+            # A shingle counts in the windows that begin behind its last place before and hold this one.
+            first = np.maximum(np.maximum(before + 1, at - m + 1), 0)
+            stop = len(grams) - m + 1
+            w = np.cumsum(np.bincount(first, weight, len(grams)))[:stop] - starts_w[:stop]
+            h = np.cumsum(np.bincount(first, held, len(grams)))[:stop] - starts_h[:stop]
+            start = np.flatnonzero((h >= np.maximum(self.threshold * w - 1e-9, least)) & (w <= most))
+            if len(start):
+                w, h = w[start], h[start]
+                # The most similar total is one of the two around what is held.
+                k = np.searchsorted(totals, h)
+                best = np.zeros(len(start))
+                for t in (totals[np.minimum(k, len(totals) - 1)], totals[np.maximum(k - 1, 0)]):
+                    best = np.maximum(best, _bound(w, h, t))
+                keep = best >= self.threshold - 1e-9
+                out.append((w[keep], h[keep], start[keep], np.full(int(keep.sum()), n)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def leaks(self, words: np.ndarray, hits: dict[int, np.ndarray]) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, start, words) of a document given the places of its benchmark shingles by their words."""
-        seen: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for width, places in hits.items():
-            for k, windows in self._windows(words, places, width):
-                best = (-self.threshold + 1e-12, -1, 0)
-                for bound, start, n in windows:  # none behind the best can be more alike than its bound
-                    if bound > best[0] + 1e-9:
-                        break
-                    if (start, n) not in seen:
-                        own = np.unique(shingle_hashes(words[start : start + n], width))
-                        weight = self.weights(own)
-                        seen[start, n] = own, weight, self.near(simhash(own, weight))
-                    own, weight, near = seen[start, n]
-                    if k in near:
-                        common = weight[np.isin(own, self.sets[k], assume_unique=True)].sum()
-                        best = min(best, (-float(common / (weight.sum() + self.total[k] - common)), start, n))
-                if best[2]:
-                    yield k, -best[0], best[1], best[2]
+            whole = shingle_hashes(words, width)
+            some, places = self._possible(whole, places)
+            if not len(some):
+                continue
+            # Beyond the longest window around the shingles that count there is nothing to find.
+            reach = max(self.lengths[width])
+            low, high = max(0, int(places.min()) - reach), min(len(whole), int(places.max()) + reach)
+            grams, n_words = whole[low:high], high - low + width - 1
+            weight = self.weights(grams)
+            held = np.zeros(len(grams))
+            held[places - low] = weight[places - low]
+            order = np.argsort(grams, kind="stable")
+            before = np.full(len(grams), -1)
+            again = np.flatnonzero(grams[order[1:]] == grams[order[:-1]])
+            before[order[again + 1]] = order[again]
+            wanted = np.zeros(len(self.total), bool)
+            wanted[some] = True
+            w, h, start, n = self._windows(n_words, width, grams, weight, before, held, np.sort(self.total[some]))
+            pairs = [np.zeros((4, 0))]
+            for low_start in np.unique(start // STARTS) * STARTS:
+                own = np.flatnonzero((start >= low_start) & (start < low_start + STARTS))
+                row, item = self.near(_fingerprints(grams, weight, before, start[own], n[own] - width + 1))
+                row, item = own[row[wanted[item]]], item[wanted[item]]
+                pairs.append(np.stack([_bound(w[row], h[row], self.total[item]), item, start[row], n[row]]))
+            bound, *rest = np.concatenate(pairs, axis=1)
+            item, first, words_in = (x.astype(np.int64) for x in rest)
+            best: dict[int, tuple[float, int, int]] = {}
+            for x in np.lexsort((-bound, item)).tolist():
+                k, a, m = int(item[x]), int(first[x]), int(words_in[x]) - width + 1
+                least = best.get(k, (-self.threshold + 1e-12, -1, 0))
+                if bound[x] >= -least[0] - 1e-9:  # none behind the best can be more alike than its bound
+                    inside = np.flatnonzero(before[a : a + m] < a) + a
+                    mine, heavy = grams[inside], weight[inside]
+                    common = heavy[_among(mine, self.sets[k])].sum()
+                    found = (-float(common / (heavy.sum() + self.total[k] - common)), low + a, int(words_in[x]))
+                    if found < least:
+                        best[k] = found
+            yield from ((k, -b[0], b[1], b[2]) for k, b in sorted(best.items()))
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, similarity, start, words) over the texts of a column."""
@@ -223,15 +316,32 @@ def _common(benchmark: DataFrame, width: int) -> Common:
     return Common(shared["shingle"].to_numpy().view(np.uint64), shared["n"].to_numpy(), lengths)
 
 
+_indexes: dict[str, Index] = {}
+
+
+def _index(name: str, shared: Broadcast, width: int, threshold: float) -> Index:
+    """The index of a block of items, built once in each Python worker."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(*shared.value, width, threshold)
+    return _indexes[name]
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, width: int, items: int) -> Iterator[tuple[str, Broadcast]]:
+    """Blocks of items, each sent to an executor once."""
+    common = _common(benchmark, width)
+    for block in _blocks(benchmark, items):
+        yield uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((block, common))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, items: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): one row per document and item that it holds."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = _common(benchmark, width)
     out = None
-    for block in _blocks(benchmark, items):
+    for name, shared in _shared(docs, benchmark, width, items):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, common, width, threshold)
+        def run(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared, width, threshold)
             for b in batches:
                 found = list(index.scan(b.column(1)))
                 ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
@@ -246,11 +356,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, thr
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, items: int = ITEMS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows pass through the scan, nothing is joined."""
     names = docs.columns
-    common = _common(benchmark, width)
-    for block in _blocks(benchmark, items):
+    for name, shared in _shared(docs, benchmark, width, items):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, common, width, threshold)
+        def run(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared, width, threshold)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[f[0] for f in index.scan(b.column(names.index("text")))]] = False

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from granary.llm import html_text, packing, secrets, token_counts
+from granary.llm import decontaminate, html_text, packing, secrets, token_counts
 from granary.llm.decontaminate import BITS, RADIUS, REACH, Common, Index, find_leaks, remove_leaks
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.packing import pack
@@ -212,7 +213,8 @@ def test_quality_score_ranks_held_out_labels(spark):
 
 
 # -- decontamination ------------------------------------------------------------------------------------------------
-def test_block_tables_miss_no_fingerprint_within_the_radius():
+def test_block_tables_miss_no_fingerprint_within_the_radius(monkeypatch):
+    monkeypatch.setattr(decontaminate, "TABLES", 0)
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(4000)]
     index = Index([(k, " ".join(rng.choice(words, 40))) for k in range(300)], Common(np.zeros(0, np.uint64), np.zeros(0), [40]))
@@ -220,7 +222,11 @@ def test_block_tables_miss_no_fingerprint_within_the_radius():
     for k in range(300):
         bits = np.unpackbits(index.prints[k].view(np.uint8))
         bits[rng.choice(BITS, RADIUS - k % 2, replace=False)] ^= 1
-        assert k in index.near(np.packbits(bits).view("<u8"))
+        near = index.near(np.packbits(bits).view("<u8")[None])[1]
+        assert k in near
+        index.tables, tables = [], index.tables
+        assert sorted(index.near(np.packbits(bits).view("<u8")[None])[1]) == sorted(near)
+        index.tables = tables
         n_found += len(index.candidates(rng.integers(0, 1 << 64, BITS // 64, np.uint64)))
     assert n_found < 0.5 * 300 * 300  # of random fingerprints
     assert sum(t + 1 for t in REACH) == RADIUS + 1
@@ -263,6 +269,35 @@ def test_leaks_equal_brute_force_on_windows(spark, docs):
     assert left == {i for i, _ in rows} - {i for i, _ in got}
     assert len(planted) > 10
 
+def test_fingerprints_slide_over_repeats():
+    rng = np.random.default_rng(9)
+    grams = rng.choice(rng.integers(0, 1 << 64, 40, np.uint64), 300)
+    weight = 1.0 / (1 + grams % np.uint64(3))
+    before = np.array([max([q for q in range(p) if grams[q] == grams[p]], default=-1) for p in range(len(grams))])
+    start = rng.integers(5, 200, 200)
+    size = rng.choice([1, 7, 30, 90], 200)
+    for a, m, got in zip(start, size, decontaminate._fingerprints(grams, weight, before, start, size), strict=True):
+        own, at = np.unique(grams[a : a + m], return_index=True)
+        assert (got == decontaminate.simhash(own, weight[a : a + m][at])).all()
+
+
+def test_long_and_repetitive_texts_take_linear_time():
+    rng = random.Random(16)
+    low = [" ".join(w for w in rng.choices(["re", "is", "on", "the", "of", "at"], k=6) for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    items = [(k, " ".join(x.split()[: rng.randint(15, 60)])) for k, x in enumerate(low)]
+    data, offsets = decontaminate.utf8(pa.array([t for _, t in items]))
+    words, at = decontaminate.word_hashes(data, offsets)
+    held = Counter(x for a, b in zip(at[:-1], at[1:], strict=True) for x in set(decontaminate.shingle_hashes(words[a:b], 5).tolist()))
+    shared = [x for x, n in held.items() if n > 1]
+    index = Index(items, Common(np.array(shared, np.uint64), np.array([held[x] for x in shared]), sorted({len(t.split()) for _, t in items})))
+    host = [" ".join(rng.choices(["tree", "road", "stone", "bird", "lamp"], k=300)) for _ in range(60)]
+    began = time.perf_counter()
+    assert {f[1] for f in index.scan(pa.array([host[0] + " " + items[7][1] + " " + host[1]]))} >= {7}
+    assert list(index.scan(pa.array([" ".join(host * 40)]))) == []
+    list(index.scan(pa.array([" ".join([low[3]] * 50 + [items[9][1]])])))
+    assert time.perf_counter() - began < 20
+
+
 def test_leaks_with_parts_swapped_and_of_one_benchmark_in_blocks(spark):
     rng = random.Random(15)
     word = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
