@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.contract import Contract, Reference
+from granary.functions.scratch import save
+from granary.operators import counts as vc
 from granary.operators.diff import row_digest
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
@@ -43,30 +45,46 @@ def column_profile(df: DataFrame, table: str, columns: list[str] | None = None)
 
 
 def attribute_reality(df: DataFrame, table: str, nullable: set[str], inactive: set[str] = frozenset()) -> DataFrame:
-    """has_nulls, has_duplicates (NULLs apart), declared_nullable, present_but_inactive by column."""
-    columns = df.columns
-    row = df.agg(
-        *[F.max(F.col(c).isNull()).alias(f"a_{i}") for i, c in enumerate(columns)],
-        *[(F.count(c) > F.count_distinct(c)).alias(f"b_{i}") for i, c in enumerate(columns)],
-        *[F.lit(c in nullable).alias(f"c_{i}") for i, c in enumerate(columns)],
-        *[F.lit(c in inactive).alias(f"d_{i}") for i, c in enumerate(columns)],
-    )
-    fields = {"has_nulls": "a", "has_duplicates": "b", "declared_nullable": "c", "present_but_inactive": "d"}
-    return _long(row, columns, fields).select(F.lit(table).alias("table"), "column", *fields)
+    """has_nulls, has_duplicates (NULLs apart), declared_nullable, present_but_inactive by column, from one count of all values."""
+    counts, subjects = vc.count_values({table: (df, [(c,) for c in df.columns])})
+    names = F.element_at(F.array(*[F.lit(c) for _, (c,) in subjects]), F.col("id").cast("int") + 1)
+    every = df.sparkSession.range(len(subjects)).join(vc.summary(counts), F.col("id") == F.col("subject"), "left").withColumn("column", names)
+    known = F.when(F.col("n_rows") > 0, F.col("n_nulls") > 0).alias("has_nulls")
+    return every.select(F.lit(table).alias("table"), "column", known, F.coalesce(F.col("n_repeated") > 0, F.lit(False)).alias("has_duplicates"), F.col("column").isin(*nullable).alias("declared_nullable"), F.col("column").isin(*inactive).alias("present_but_inactive"))
+
+
+def percentile_cont(df: DataFrame, column: str, share: float) -> DataFrame:
+    """(value): linear interpolation at (n - 1) * share of the non-NULL values; no row without any."""
+    counts = df.select(F.lit(0).alias("subject"), F.col(column).cast("double").alias("value")).dropna().groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n"))
+    return vc.quantiles(counts, "subject", (share,)).select(F.col("p")[0].alias("value"))
+
 
+def _distributions(counts: DataFrame, named: Column, outcome: str = "Succeeded") -> DataFrame:
+    """Distribution rows of counts (subject, value, n); ``named`` is a struct of table and column made of the subject."""
+    counts = save(counts, "numbers")
+    ps = [F.col("p")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)]
+    out = vc.moments(counts, "subject").filter(F.col("sample_size") >= LEAST_SAMPLE).join(vc.quantiles(counts, "subject", PERCENTILES), "subject")
+    return out.withColumn("_named", named).select("_named.table", "_named.column", "sample_size", "min", *ps, "max", "mean", "stddev", F.lit(outcome).alias("outcome"))
 
-def percentile_cont(column: str, share: float):
-    """Linear interpolation at (n - 1) * share."""
-    return F.percentile(column, F.lit(share))
+
+def _named(pairs: list[tuple[str, str]]) -> Column:
+    """(table, column) by subject number."""
+    return F.element_at(F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for t, c in pairs]), F.col("subject").cast("int") + 1)
 
 
 def numeric_distribution(df: DataFrame, table: str, columns: list[str], exact: bool = True) -> DataFrame:
-    """min, percentiles, max, mean, population deviation of non-NULL values; columns with under five are left out."""
-    quantile = (lambda c: F.percentile(c, F.array(*map(F.lit, PERCENTILES)))) if exact else (lambda c: F.percentile_approx(c, list(PERCENTILES), 100_000).cast("array<double>"))
+    """min, percentiles, max, mean, population deviation of non-NULL values; columns with under five are left out.
+
+    Exact: all columns' values are counted in one shuffle, and percentiles are found by rank, see ``counts.quantiles``.
+    """
+    if exact:
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("subject"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])).alias("x")).select("x.*")
+        return _distributions(rows.filter("value IS NOT NULL").groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n")), _named([(table, c) for c in columns]))
+    quantile = lambda c: F.percentile_approx(c, list(PERCENTILES), 100_000).cast("array<double>")
     row = df.agg(*[F.struct(F.count(c).alias("sample_size"), F.min(c).cast("double").alias("min"), quantile(c).alias("p"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("stddev")).alias(f"a_{i}") for i, c in enumerate(columns)])
     out = _long(row, columns, {"v": "a"}).filter(F.col("v.sample_size") >= LEAST_SAMPLE)
     ps = [F.col("v.p")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)]
-    return out.select(F.lit(table).alias("table"), "column", "v.sample_size", "v.min", *ps, "v.max", "v.mean", "v.stddev", F.lit("Succeeded" if exact else "Approximate").alias("outcome"))
+    return out.select(F.lit(table).alias("table"), "column", "v.sample_size", "v.min", *ps, "v.max", "v.mean", "v.stddev", F.lit("Approximate").alias("outcome"))
 
 
 def distribution_shape(dist: DataFrame) -> DataFrame:
@@ -116,7 +134,7 @@ def fk_reality(child: DataFrame, ref: Reference, parent: DataFrame | None, trust
 
 def fk_orphan_sample(child: DataFrame, ref: Reference, parent: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` least orphan values, with the rows of each."""
-    found = orphans(child, ref, parent).groupBy(F.col(ref.column).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = orphans(child, ref, parent).groupBy(_value(ref).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
     return found.orderBy("value").limit(k).select(F.lit(ref.name).alias("reference"), "value", "n_rows")
 
 
@@ -124,13 +142,19 @@ def null_row_sample(df: DataFrame, key: str, column: str, k: int = 10) -> DataFr
     return df.filter(F.col(column).isNull()).select(F.col(key).alias("key")).orderBy("key").limit(k)
 
 
+def _value(ref: Reference) -> Column:
+    """The value of a reference: its column, or a struct of several."""
+    return F.col(ref.columns[0]) if len(ref.columns) == 1 else F.struct(*ref.columns)
+
+
 def _children(child: DataFrame, ref: Reference) -> DataFrame:
-    return child.filter(F.col(ref.column).isNotNull()).groupBy(F.col(ref.column).alias("parent_key")).agg(F.count(F.lit(1)).alias("n"))
+    return child.dropna(subset=list(ref.columns)).groupBy(_value(ref).alias("parent_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fk_cardinality(child: DataFrame, ref: Reference) -> DataFrame:
     """Distribution of children per parent; needs five parents."""
-    return numeric_distribution(_children(child, ref), ref.name, ["n"])
+    sizes = _children(child, ref).groupBy(F.lit(0).alias("subject"), F.col("n").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return _distributions(sizes, _named([(ref.name, "n")]))
 
 
 def fk_selectivity(child: DataFrame, ref: Reference, top: int = 50) -> DataFrame:
@@ -145,10 +169,12 @@ def joint_distribution(child: DataFrame, columns: list[str], top: int = 100) ->
 
 
 def reference_value_counts(tables: dict[str, DataFrame], refs: list[Reference]) -> DataFrame:
-    """Rows per referenced value, for every reference column."""
+    """Rows per referenced value, for every reference; values are numbers, or text where one reference has several columns."""
     out = None
+    plain = all(len(r.columns) == 1 for r in refs)
     for r in refs:
-        part = _children(tables[r.child], r).select(F.lit(r.name).alias("reference"), F.col("parent_key").cast("long").alias("value"), "n")
+        value = F.col("parent_key").cast("long") if plain else F.col("parent_key").cast("string") if len(r.columns) == 1 else F.concat_ws(",", *[F.col(f"parent_key.{c}").cast("string") for c in r.columns])
+        part = _children(tables[r.child], r).select(F.lit(r.name).alias("reference"), value.alias("value"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -181,35 +207,70 @@ def stale_tables(cached: DataFrame, live: DataFrame) -> DataFrame:
     return both.filter(~same).select(F.coalesce("a.table", "b.table").alias("table"))
 
 
-def full_profile(tables: dict[str, DataFrame], contract: Contract, top: int = 50) -> dict[str, DataFrame]:
-    """All axes over all tables of a contract, one frame per axis; text columns have their ``top`` values."""
-    out: dict[str, DataFrame] = {}
-
-    def add(axis: str, part: DataFrame) -> None:
-        out[axis] = out[axis].unionByName(part) if axis in out else part
+def full_profile(tables: dict[str, DataFrame], contract: Contract, top: int = 50, joint_top: int = 100) -> dict[str, DataFrame]:
+    """All axes over all tables of a contract, one frame per axis; text columns have their ``top`` values.
 
+    Every table is read once: the values of all its columns, keys and tuples of references are counted together, in one
+    shuffle for all tables, and every axis is derived from these counts.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    wanted: dict[str, tuple[DataFrame, list[tuple[str, ...]]]] = {}
+    joint: dict[str, tuple[str, ...]] = {}
+    unique: dict[str, list[tuple[str, ...]]] = {}
     for name, df in tables.items():
-        add("column_profile", column_profile(df, name))
-        numeric = [c for c, k in df.dtypes if k in ("double", "float", "int", "bigint") or k.startswith("decimal")]
-        if numeric:
-            add("numeric_distribution", numeric_distribution(df, name, numeric))
-        for c, k in df.dtypes:
-            if k == "string":
-                add("categorical_distribution", categorical_distribution(df, name, c, top))
-        declared = contract.tables[name]
-        for columns in dict.fromkeys([declared.key, *declared.unique]):
-            if columns:
-                add("unique_candidate", unique_candidate(df, name, list(columns)))
-        refs = contract.of(name)
-        for r in refs:
-            add("fk_reality", fk_reality(df, r, tables.get(r.parent)))
-            if len(r.columns) == 1:
-                add("fk_cardinality", fk_cardinality(df, r))
-                add("fk_selectivity", fk_selectivity(df, r, top).withColumn("parent_key", F.col("parent_key").cast("string")))
+        declared, refs = contract.tables[name], contract.of(name)
+        unique[name] = [u for u in dict.fromkeys([declared.key, *declared.unique]) if u]
         if len(refs) > 1:
-            columns = [c for r in refs for c in r.columns]
-            joint = joint_distribution(df, columns)
-            add("joint_distribution", joint.select(F.lit(name).alias("table"), F.concat_ws(",", *columns).alias("values"), "n", "rank", "n_distinct", "truncated"))
+            joint[name] = tuple(c for r in refs for c in r.columns)
+        asked = [(c,) for c in df.columns] + unique[name] + [r.columns for r in refs] + [r.keys for r in contract.into(name)] + ([joint[name]] if name in joint else [])
+        wanted[name] = (df, list(dict.fromkeys(asked)))
+    counts, subjects = vc.count_values(wanted)
+    at = {x: k for k, x in enumerate(subjects)}
+    kinds = {(t, (f.name,)): f.dataType for t, df in tables.items() for f in df.schema.fields}
+    told = save(vc.summary(counts), "summary")
+    pick = lambda some, df: df.filter(F.col("subject").isin(*some))
+    names = lambda: _named([(t, ",".join(c)) for t, c in subjects])
+    out: dict[str, DataFrame] = {}
+
+    singles = [k for k, x in enumerate(subjects) if x in kinds]
+    every = spark.range(len(subjects)).select(F.col("id").cast("int").alias("subject")).join(told, "subject", "left").fillna(0, ["n_rows", "n_nulls", "n_distinct", "n_repeated"]).withColumn("_named", names())
+    share = F.when(F.col("n_rows") > 0, F.col("n_nulls") / F.col("n_rows")).otherwise(F.lit(0.0))
+    texts = [k for k in singles if kinds[subjects[k]].typeName() == "string"]
+    longest = F.when(F.col("subject").isin(*texts), F.col("max_length"))
+    all_null = (F.col("n_rows") > 0) & (F.col("n_nulls") == F.col("n_rows"))
+    out["column_profile"] = pick(singles, every).select("_named.table", "_named.column", "n_rows", "n_nulls", longest.alias("max_length"), share.alias("null_share"), all_null.alias("all_null"), (F.col("n_nulls") == 0).alias("zero_null"))
+    keys = [at[t, u] for t, us in unique.items() for u in us]
+    out["unique_candidate"] = pick(keys, every).select("_named.table", F.col("_named.column").alias("columns"), F.col("n_repeated").alias("n_duplicate_keys"), (F.col("n_repeated") > 0).alias("has_duplicates"))
+
+    # Children per parent are counts of counts; their subjects come behind the others.
+    refs = [r for t in tables for r in contract.of(t)]
+    numeric = [k for k in singles if vc.is_numeric(kinds[subjects[k]])]
+    values = pick(numeric, counts).filter(vc.filled()).groupBy("subject", vc.number().alias("value")).agg(F.sum("n").alias("n"))
+    of_ref = [at[r.child, r.columns] for r in refs]
+    sizes = pick(of_ref, counts).filter(vc.filled()).groupBy((F.col("subject") + len(subjects)).alias("subject"), F.col("n").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    behind = {at[r.child, r.columns]: r.name for r in refs}
+    both = save(_distributions(values.unionByName(sizes), _named([(t, ",".join(c)) for t, c in subjects] + [(behind.get(k, ""), "#children") for k in range(len(subjects))])), "distributions")
+    out["numeric_distribution"] = both.filter("column <> '#children'")
+    out["fk_cardinality"] = both.filter("column = '#children'").withColumn("column", F.lit("n"))
+
+    lists = save(vc.top_lists(pick([*texts, *of_ref, *[at[t, c] for t, c in joint.items()]], counts), max(top, joint_top)), "lists")
+    lists = lists.join(told.select("subject", "n_distinct"), "subject").withColumn("_named", names())
+    cut = lambda some, k: pick(some, lists).filter(F.col("rank") <= k).withColumn("truncated", F.col("n_distinct") > k)
+    out["categorical_distribution"] = cut(texts, top).select("_named.table", "_named.column", F.col("text").alias("value"), "n", "rank", "n_distinct", "truncated")
+    named_ref = F.element_at(F.create_map(*[F.lit(x) for k, name in behind.items() for x in (k, name)]), F.col("subject")) if behind else F.lit(None).cast("string")
+    out["fk_selectivity"] = cut(of_ref, top).select(named_ref.alias("reference"), vc.shown().alias("parent_key"), "n", "rank", "n_distinct", "truncated")
+    out["joint_distribution"] = cut([at[t, c] for t, c in joint.items()], joint_top).select("_named.table", F.col("text").alias("values"), "n", "rank", "n_distinct", "truncated")
+
+    # Orphans: values of references that aren't among the values of the parent's key.
+    probed = [r for r in refs if r.parent in tables]
+    pairs = spark.createDataFrame([(k, at[r.child, r.columns], at[r.parent, r.keys]) for k, r in enumerate(probed)], "ref int, subject int, of int")
+    child = counts.join(F.broadcast(pairs), "subject").filter(vc.filled())
+    parent = counts.filter(vc.filled()).select(F.col("subject").alias("of"), *[F.col(c).alias(f"k_{c}") for c in ("whole", "real", "text")])
+    on = [child["of"] == parent["of"]] + [child[c].eqNullSafe(parent[f"k_{c}"]) for c in ("whole", "real", "text")]
+    lost = child.join(parent, on, "left_anti").groupBy("ref").agg(F.sum("n").alias("n_orphans"))
+    found = pairs.join(lost, "ref", "left").select(F.element_at(F.array(*[F.lit(r.name) for r in probed]), F.col("ref") + 1).alias("reference"), F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"), F.lit("Succeeded").alias("outcome"))
+    open_ = spark.createDataFrame([(r.name, 0, "AmbiguousMapping") for r in refs if r.parent not in tables], "reference string, n_orphans long, outcome string")
+    out["fk_reality"] = found.unionByName(open_)
     return out
 
 
@@ -238,8 +299,11 @@ def worst_case_merge(profiles: DataFrame) -> DataFrame:
 
 
 def sentinel_split(child: DataFrame, ref: Reference, parent: DataFrame, sentinel: int = 0) -> DataFrame:
-    """Orphans that are the unset value, and true orphans."""
-    return orphans(child, ref, parent).agg(F.count_if(F.col(ref.column) == sentinel).alias("n_sentinel"), F.count_if(F.col(ref.column) != sentinel).alias("n_orphans"))
+    """Orphans that are the unset value, in all columns of the reference, and true orphans."""
+    unset = F.lit(True)
+    for c in ref.columns:
+        unset = unset & (F.col(c) == sentinel)
+    return orphans(child, ref, parent).agg(F.count_if(unset).alias("n_sentinel"), F.count_if(~unset).alias("n_orphans"))
 
 
 def date_sentinel(df: DataFrame, column: str, sentinel: str = "1900-01-01") -> DataFrame:

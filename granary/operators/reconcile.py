@@ -214,7 +214,7 @@ def escaping_references(contract, tables: dict[str, DataFrame], subset: set[str]
     for r in contract.references:
         inside, target = r.child in subset, r.parent in subset
         if inside != target and r.child in tables:
-            part = tables[r.child].agg(F.count(r.column).alias("n_rows")).select(F.lit(r.name).alias("reference"), F.lit("escapes" if inside else "points_in").alias("direction"), "n_rows")
+            part = tables[r.child].dropna(subset=list(r.columns)).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(r.name).alias("reference"), F.lit("escapes" if inside else "points_in").alias("direction"), "n_rows")
             out = part if out is None else out.unionByName(part)
     return out
 

@@ -189,7 +189,7 @@ def q_numeric_distribution(s, d):
 
 @query("SELECT quantile_cont(o_totalprice, 0.9) AS p90 FROM orders")
 def q_percentile_cont(s, d):
-    return T(s, d, "orders").agg(profile.percentile_cont("o_totalprice", 0.9).alias("p90"))
+    return profile.percentile_cont(T(s, d, "orders"), "o_totalprice", 0.9).withColumnRenamed("value", "p90")
 
 
 @query("SELECT 'orders' AS \"table\", 'o_totalprice' AS \"column\", round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr, round(max(o_totalprice) - min(o_totalprice), 4) AS range, round(stddev_pop(o_totalprice) / abs(avg(o_totalprice)), 6) AS cv, max(o_totalprice) = min(o_totalprice) AS degenerate FROM orders")
@@ -299,9 +299,12 @@ COLUMNS = {
 }
 NUMBERS = {"region": "r_regionkey", "nation": "n_nationkey n_regionkey", "customer": "c_custkey c_nationkey c_acctbal", "supplier": "s_suppkey s_nationkey s_acctbal", "part": "p_partkey p_size p_retailprice", "orders": "o_orderkey o_custkey o_totalprice", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax", "events": "event_id user_id value"}
 _UNIQUE = [(t.name, u) for t in STAR.tables.values() for u in dict.fromkeys([t.key, *t.unique]) if u]
+SPREAD = [("p25 p75", "CAST(quantile_cont({c}, 0.25) AS DOUBLE)", "CAST(quantile_cont({c}, 0.75) AS DOUBLE)"), ("p95 p99", "CAST(quantile_cont({c}, 0.95) AS DOUBLE)", "CAST(quantile_cont({c}, 0.99) AS DOUBLE)"), ("mean stddev", "round(avg({c}), 3)", "round(stddev_pop({c}), 3)")]
 PROFILE = " UNION ALL ".join(
     [f"SELECT 'column_profile' AS axis, '{t}.{c}' AS subject, CAST(count(*) AS DOUBLE) AS a, CAST(count(*) - count({c}) AS DOUBLE) AS b FROM {t}" for t, cs in COLUMNS.items() for c in cs.split()]
     + [f"SELECT 'numeric_distribution', '{t}.{c}', CAST(quantile_cont({c}, 0.5) AS DOUBLE), CAST(max({c}) AS DOUBLE) FROM {t} HAVING count({c}) >= 5" for t, cs in NUMBERS.items() for c in cs.split()]
+    + [f"SELECT 'numeric_distribution {label}', '{t}.{c}', {a.format(c=c)}, {b.format(c=c)} FROM {t} HAVING count({c}) >= 5" for label, a, b in SPREAD for t, cs in NUMBERS.items() for c in cs.split()]
+    + [f"SELECT 'fk_cardinality {label}', '{r.name}', {a.format(c='n')}, {b.format(c='n')} FROM (SELECT count(*) AS n FROM {r.child} WHERE {r.column} IS NOT NULL GROUP BY {r.column}) HAVING count(*) >= 5" for label, a, b in SPREAD for r in STAR.references]
     + [f"SELECT 'categorical_distribution', '{t}.{c}', CAST(max(n) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM (SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)" for t, cs in COLUMNS.items() for c in cs.split() if c not in NUMBERS[t].split() and c not in ("ts", "o_orderdate", "l_shipdate")]
     + [f"SELECT 'unique_candidate', '{t}.{','.join(u)}', CAST(count(*) AS DOUBLE), 0.0 FROM (SELECT 1 FROM {t} GROUP BY {', '.join(u)} HAVING count(*) > 1)" for t, u in _UNIQUE]
     + [f"SELECT 'fk_reality', '{r.name}', CAST(count(*) AS DOUBLE), 0.0 FROM {r.child} WHERE {r.column} IS NOT NULL AND {r.column} NOT IN (SELECT {r.key} FROM {r.parent})" for r in STAR.references]
@@ -313,7 +316,7 @@ PROFILE = " UNION ALL ".join(
 
 @query(PROFILE)
 def q_full_profile(s, d):
-    """Every axis of every table in long form: of lists the first entry and the number of entries."""
+    """Every axis of every table in long form: of lists the first entry and the number of entries, of distributions all figures."""
     axes = profile.full_profile(tables(s, d, *COLUMNS), STAR)
     dot, first = F.concat_ws(".", "table", "column"), F.col("rank") == 1
     told = {
@@ -322,6 +325,11 @@ def q_full_profile(s, d):
         "fk_cardinality": (None, F.col("table"), "p50", "max"), "fk_selectivity": (first, F.col("reference"), "n", "n_distinct"), "joint_distribution": (first, F.col("table"), "n", "n_distinct"),
     }
     out = None
+    for axis in ("numeric_distribution", "fk_cardinality"):
+        axes[axis] = axes[axis].withColumns({c: F.round(c, 3) for c in ("mean", "stddev")})
+        for label, _, _ in SPREAD:
+            axes[f"{axis} {label}"] = axes[axis]
+            told[f"{axis} {label}"] = (None, told[axis][1], *label.split())
     for axis, (only, subject, a, b) in told.items():
         df = axes[axis] if only is None else axes[axis].filter(only)
         part = df.select(F.lit(axis).alias("axis"), subject.alias("subject"), F.col(a).cast("double").alias("a"), (F.col(b) if b else F.lit(0.0)).cast("double").alias("b"))
