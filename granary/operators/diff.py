@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from granary.functions.cells import canonical_text
 
@@ -60,14 +63,112 @@ def differing_columns(columns: list[str], limit: int | None = 4) -> Column:
     return F.slice(names, 1, limit) if limit else names
 
 
+#: Most key ranges of a comparison, and rows in one at least.
+RANGES, RANGE_ROWS = 1 << 16, 256
+#: Most intervals of ranges that go to the scan as a condition on the key.
+INTERVALS = 200
+
+
+@dataclass(frozen=True)
+class KeyRanges:
+    """Equal widths of the first key column between two ends, or, for keys that aren't numbers, classes of hashes."""
+
+    key: tuple[str, ...]
+    n: int
+    low: float | None
+    width: float
+
+    @staticmethod
+    def of(a: DataFrame, b: DataFrame, key: list[str]) -> KeyRanges:
+        kind = a.schema[key[0]].dataType
+        if not isinstance(kind, IntegralType) or not isinstance(b.schema[key[0]].dataType, IntegralType):
+            rows = a.count() + b.count()
+            return KeyRanges(tuple(key), max(1, min(RANGES, rows // RANGE_ROWS)), None, 0)
+        ends = a.select(key[0]).union(b.select(key[0])).agg(F.count(F.lit(1)), F.min(key[0]), F.max(key[0])).first()
+        n = max(1, min(RANGES, ends[0] // RANGE_ROWS))
+        return KeyRanges(tuple(key), n, ends[1] or 0, max(1, -(-((ends[2] or 0) - (ends[1] or 0) + 1) // n)))
+
+    def number(self) -> Column:
+        """The range of a row; -1 for a NULL in the first key column."""
+        if self.low is None:
+            return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.key]), F.lit(self.n)).cast("int")
+        return F.coalesce(F.expr(f"cast((cast(`{self.key[0]}` as long) - {self.low}L) div {self.width}L as int)"), F.lit(-1))
+
+    def rows_of(self, df: DataFrame, numbers: list[int]) -> DataFrame:
+        """The rows in some ranges; few intervals are a condition on the key, so that the scan skips the rest."""
+        own = sorted(numbers)
+        if self.low is not None:
+            first = [x for k, x in enumerate(own) if x >= 0 and (not k or own[k - 1] != x - 1 or own[k - 1] < 0)]
+            last = [x for k, x in enumerate(own) if x >= 0 and (k + 1 == len(own) or own[k + 1] != x + 1)]
+            if len(first) <= INTERVALS:
+                key, some = F.col(f"`{self.key[0]}`"), F.lit(False)
+                for x, y in zip(first, last, strict=True):
+                    some = some | key.between(self.low + x * self.width, self.low + (y + 1) * self.width - 1)
+                return df.filter((some | key.isNull()) if -1 in own else some)
+        few = df.sparkSession.createDataFrame([(x,) for x in own], "_range int")  # at most RANGES numbers
+        return df.withColumn("_range", self.number()).join(F.broadcast(few), "_range", "left_semi").drop("_range")
+
+
+def range_digests(df: DataFrame, ranges: KeyRanges, columns: list[str]) -> DataFrame:
+    """(range, n, s): rows, and sums of two hashes of them in halves, per key range.  Order, copies of a range's parts and partitions don't matter."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    # A hash passes over NULL cells, so where they are is hashed too.
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    hashes = df.select(ranges.number().alias("range"), F.xxhash64(*cells, nulls).alias("_h"), F.xxhash64(nulls, F.lit(7), *cells).alias("_g"))
+    halves = [F.sum(x) for h in ("_h", "_g") for x in (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    return hashes.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.array(*halves).alias("s"))
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, ranges: KeyRanges, columns: list[str]) -> list[int]:
+    """The key ranges whose rows aren't the same on both sides; one scan of each."""
+    both = range_digests(a, ranges, columns).alias("a").join(range_digests(b, ranges, columns).alias("b"), "range", "full_outer")
+    return [r["range"] for r in both.filter(~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.s").eqNullSafe(F.col("b.s")))).select("range").collect()]
+
+
+def paired_rows(a: DataFrame, b: DataFrame, key: list[str], keep_equal: bool = False) -> DataFrame:
+    """Rows of both sides as multisets: (a_*, b_*, in_a, in_b, same), NULL keys being equal to each other.
+
+    Equal rows of both sides cancel out, copy by copy (with ``keep_equal`` they stay as pairs).  What is left of a key is
+    paired in the order of its cells, the rest stands alone.  Everything happens in one shuffle by the key.
+    """
+    columns = a.columns
+    side = lambda df, x, y: df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.lit(x).alias("_a"), F.lit(y).alias("_b"))
+    own = [f"c{columns.index(k)}" for k in key]
+    rest = [f"c{k}" for k in range(len(columns))]
+    counted = side(a, 1, 0).union(side(b, 0, 1)).repartition(*own).groupBy(*rest).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    entry = lambda x, n: F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(x))
+    none = F.array().cast("array<string>")
+    equal = F.least("_a", "_b")
+    copies = F.concat(
+        F.when((equal > 0) & F.lit(keep_equal), entry("=", equal)).otherwise(none), F.when(F.col("_a") > F.col("_b"), entry("a", F.col("_a") - F.col("_b"))).otherwise(none),
+        F.when(F.col("_b") > F.col("_a"), entry("b", F.col("_b") - F.col("_a"))).otherwise(none),
+    )
+    rows = counted.select(*rest, F.explode(copies).alias("_side"))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*own, "_side").orderBy(*[x for x in rest if x not in own], "_side")))
+    cells = F.struct(*rest)
+    of = lambda x: F.first(F.when(F.col("_side").isin(x, "="), cells), ignorenulls=True)
+    pairs = rows.groupBy(*own, F.when(F.col("_side") == "=", "=").otherwise("x").alias("_kind"), "_at").agg(of("a").alias("_a"), of("b").alias("_b"))
+    return pairs.select(
+        *[F.col(f"_a.c{k}").alias(f"a_{c}") for k, c in enumerate(columns)], *[F.col(f"_b.c{k}").alias(f"b_{c}") for k, c in enumerate(columns)],
+        F.when(F.col("_a").isNotNull(), True).alias("in_a"), F.when(F.col("_b").isNotNull(), True).alias("in_b"), (F.col("_kind") == "=").alias("same"),
+    )
+
+
 def row_diff(a: DataFrame, b: DataFrame, key: list[str], limit: int | None = 4) -> DataFrame:
-    """(key..., state, columns): rows that are missing from b, extra in b, or differ."""
-    rest = [c for c in a.columns if c not in key]
-    both = _sides(a, b, key)
-    names = differing_columns(rest, limit)
-    state = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").when(F.size(names) > 0, "differs")
-    out = both.select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in key], state.alias("state"), F.when(state == "differs", names).otherwise(F.array().cast("array<string>")).alias("columns"))
-    return out.filter("state IS NOT NULL")
+    """(key..., state, columns): rows that are missing from b, extra in b, or differ.
+
+    Additive digests per key range find the ranges that differ, in one scan of each side; only the rows of these are
+    read again and compared, so equal ranges never travel.  Rows of a key are compared as multisets and NULL keys are
+    equal, so a table never differs from itself.
+    """
+    columns = a.columns
+    b = b.select(*[F.col(f"`{c}`") for c in columns])
+    ranges = KeyRanges.of(a, b, key)
+    some = differing_ranges(a, b, ranges, columns)
+    both = paired_rows(ranges.rows_of(a, some), ranges.rows_of(b, some), key)
+    names = differing_columns([c for c in columns if c not in key], limit)
+    state = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").otherwise("differs")
+    return both.select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in key], state.alias("state"), F.when(state == "differs", names).otherwise(F.array().cast("array<string>")).alias("columns"))
 
 
 def fidelity_report(pairs: dict[str, tuple[DataFrame, DataFrame, list[str]]]) -> DataFrame:
@@ -109,11 +210,14 @@ def integrity_check(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def classify_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
-    """Added, Deleted, Changed or Unchanged per key, with the fields before and after; without a key all are added."""
+    """Added, Deleted, Changed or Unchanged per row, with the fields before and after; without a key all are added.
+
+    Rows of a repeated key are compared as multisets, and NULL keys are equal, see ``paired_rows``.
+    """
     if not key:
         return after.select(F.lit("Added").alias("change"))
     rest = [c for c in before.columns if c not in key]
-    both = _sides(before, after, key)
+    both = paired_rows(before, after.select(*before.columns), key, keep_equal=True)
     field = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").cast("string").alias("before"), F.col(f"b_{c}").cast("string").alias("after"))
     fields = F.array_compact(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), field(c)) for c in sorted(rest)]))
     change = F.when(F.col("in_a").isNull(), "Added").when(F.col("in_b").isNull(), "Deleted").when(F.size(fields) > 0, "Changed").otherwise("Unchanged")

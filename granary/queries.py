@@ -838,6 +838,25 @@ def q_row_diff(s, d):
     return diff.row_diff(T(s, d, "orders"), edited_orders(s, d), ["o_orderkey"])
 
 
+def keyless_lines(s, d) -> DataFrame:
+    """Line items, whose key repeats, with some keys NULL."""
+    return T(s, d, "lineitem").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 89 != 0, F.col("l_orderkey")))
+
+
+@query("SELECT CASE WHEN l_orderkey % 89 <> 0 THEN l_orderkey END AS l_orderkey, l_linenumber, state, CAST([] AS VARCHAR[]) AS columns FROM lineitem, (VALUES ('missing'), ('extra')) AS v(state) WHERE CASE state WHEN 'missing' THEN l_partkey % 97 = 0 ELSE l_partkey % 97 = 1 AND l_linenumber = 1 END")
+def q_row_diff_of_repeated_keys(s, d):
+    """Rows without their partner among repeated and NULL keys; the extra ones have a line number that no row has."""
+    lines = keyless_lines(s, d)
+    extra = lines.filter("l_partkey % 97 = 1 AND l_linenumber = 1").withColumn("l_linenumber", F.lit(99))
+    out = diff.row_diff(lines, lines.filter("l_partkey % 97 <> 0").unionByName(extra), ["l_orderkey", "l_linenumber"])
+    return out.withColumn("l_linenumber", F.when(F.col("state") == "extra", 1).otherwise(F.col("l_linenumber")))
+
+
+@query("SELECT 'Unchanged' AS change, count(*) AS n FROM lineitem")
+def q_classify_changes_of_repeated_keys(s, d):
+    return diff.classify_changes(keyless_lines(s, d), keyless_lines(s, d), ["l_orderkey", "l_linenumber"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT 'orders' AS \"table\", a.n_rows AS n_source, a.digest AS source_digest, b.n_rows AS n_target, b.digest AS target_digest, (SELECT count(*) FROM {RD}) AS n_differences, 'different' AS verdict FROM ({_digest_sql('orders')}) a, ({_digest_sql(EDITED)}) b")
 def q_fidelity_report(s, d):
     return diff.fidelity_report({"orders": (odd_orders(s, d), odd_edited(s, d), ["o_orderkey"])})
