@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from granary.contract import Contract
 from granary.functions.cells import canonical_text
+from granary.functions.scratch import save, union
+from granary.operators.components import connected_components
 
 SEP = "\x1e"
 
@@ -242,6 +245,65 @@ def impact_documents(roots: DataFrame, key: str, parents: dict[str, tuple[DataFr
     return out
 
 
+def nested_documents(contract: Contract, tables: dict[str, DataFrame], root: str, reconciled: set[str] = frozenset()) -> DataFrame:
+    """One document per row of ``root``: rows that refer to it nested as sorted arrays, to any depth, parents in ``reconciled`` inlined.
+
+    The nesting follows the contract from the leaves up: a table's rows get the documents of their children, are grouped
+    by the reference, and go on to their own parents, one shuffle per reference.  A table that is on the way from the root
+    already isn't nested again.  The array of a reference is named ``child.columns``, the struct of a parent ``columns_row``;
+    rows without children have NULL.
+    """
+
+    def documents(table: str, way: tuple[str, ...]) -> DataFrame:
+        out = tables[table]
+        for r in contract.of(table):
+            if r.parent in reconciled and r.parent in tables:
+                p = tables[r.parent]
+                inlined = p.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(r.keys)], F.struct(*p.columns).alias(f"{'+'.join(r.columns)}_row"))
+                out = out.join(inlined, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(r.columns)], "left").drop(*[f"_k{i}" for i in range(len(r.keys))])
+        for r in contract.into(table):
+            if r.child in tables and r.child not in reconciled and r.child not in way:
+                child = documents(r.child, (*way, r.child))
+                lists = child.dropna(subset=list(r.columns)).groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(r.columns)]).agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in child.columns]))).alias(r.name))
+                out = out.join(lists, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(r.keys)], "left").drop(*[f"_k{i}" for i in range(len(r.columns))])
+        return out
+
+    return documents(root, (root,))
+
+
+def change_units(contract: Contract, changed: dict[str, DataFrame], scope: set[str]) -> DataFrame:
+    """(unit, n_added, n_deleted, n_changed, escapes): changed rows that references tie together, over all tables.
+
+    ``changed`` holds per table its rows with ``change`` (see ``classify_changes``); unchanged rows tie nothing.  Two changed
+    rows are of one unit if one refers to the other, directly or over others; a unit is named by its least row
+    (``table:key``).  It escapes if a row of it refers to a table outside ``scope``.
+    """
+    node = lambda t, columns: F.concat(F.lit(f"{t}:"), F.concat_ws(",", *[F.col(c).cast("string") for c in columns]))
+    rows, edges = [], []
+    moved = {t: df.filter("change <> 'Unchanged'") for t, df in changed.items()}
+    for t, df in moved.items():
+        out = F.lit(False)
+        for r in contract.of(t):
+            filled = F.lit(True)
+            for c in r.columns:
+                filled = filled & F.col(c).isNotNull()
+            if r.parent not in scope:
+                out = out | filled
+            if r.parent in moved and tuple(r.keys) == tuple(contract.tables[r.parent].key):
+                edges.append(df.filter(filled).select(node(t, contract.tables[t].key).alias("src"), node(r.parent, r.columns).alias("dst")))
+        rows.append(df.select(node(t, contract.tables[t].key).alias("node"), "change", out.alias("_out")))
+    every = save(union(rows), "changed-rows")
+    if edges:
+        there = every.select("node").distinct()
+        ties = union(edges).join(there.select(F.col("node").alias("dst")), "dst", "left_semi")
+        of = connected_components(ties)
+        every = every.join(of, "node", "left").withColumn("unit", F.coalesce("component", "node"))
+    else:
+        every = every.withColumn("unit", F.col("node"))
+    n = lambda k: F.count_if(F.col("change") == k)
+    return every.groupBy("unit").agg(n("Added").alias("n_added"), n("Deleted").alias("n_deleted"), n("Changed").alias("n_changed"), F.bool_or("_out").alias("escapes"))
+
+
 def impact_triage(units: DataFrame) -> DataFrame:
     """Rank units (unit, n_added, n_deleted, n_changed, escapes): band first, then churn, 1000 more if it escapes."""
     churn = F.col("n_added") + F.col("n_deleted") + F.col("n_changed")

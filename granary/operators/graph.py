@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.scratch import compact, drop, save, union
 from granary.operators.components import connected_components
 
-__all__ = ["connected_components", "dependency_levels", "label_propagation", "pagerank", "reachable_sets"]
+__all__ = ["connected_components", "dependency_levels", "dependency_order", "label_propagation", "pagerank", "reachable_sets", "strong_components"]
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int | None = None) -> DataFrame:
@@ -109,3 +109,97 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
         done = [*compact(done, "levels"), ready]
         level += 1
     return union([*done, left.withColumn("level", F.lit(None).cast("int"))])
+
+
+def _trimmed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Without the nodes that nothing points to or that point to nothing, again and again: each of them stands alone."""
+    alone: list[DataFrame] = []
+    while True:
+        both = edges.select(F.col("src").alias("node")).intersect(edges.select("dst"))
+        gone = save(nodes.join(both, "node", "left_anti"), "scc-alone")
+        if not gone.limit(1).count():
+            drop(gone)
+            return nodes, edges, alone
+        alone = [*compact(alone, "scc-alone"), gone]
+        rest = save(both, "scc-nodes")
+        left = save(edges.join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(rest.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc-edges")
+        drop(nodes)
+        drop(edges)
+        nodes, edges = rest, left
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for all nodes of (src, dst): the least node that it reaches and that reaches it; alone, itself.
+
+    Each round trims the nodes that are on no cycle, hands the least node that reaches a node forward as its colour, and
+    goes backward from the node that gave a colour, within the colour: what it meets is its component.  The rest goes into the
+    next round.  Every step is a join that ends when nothing changes; NULL ends are left out.
+    """
+    known = edges.select("src", "dst").dropna()
+    nodes = save(known.select(F.col("src").alias("node")).union(known.select("dst")).distinct(), "scc-nodes")
+    left = save(known.filter("src <> dst").distinct(), "scc-edges")
+    done: list[DataFrame] = []
+    while True:
+        nodes, left, alone = _trimmed(nodes, left)
+        done += [x.select("node", F.col("node").alias("component")) for x in alone]
+        if not left.limit(1).count():
+            break
+        colours = save(nodes.select("node", F.col("node").alias("colour")), "scc-colours")
+        while True:
+            told = left.join(colours, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("least"))
+            now = save(colours.join(told, "node", "left").select("node", F.least("colour", F.coalesce("least", "colour")).alias("colour"), (F.col("least") < F.col("colour")).alias("moved")), "scc-colours")
+            moved = now.filter("moved").limit(1).count()
+            drop(colours)
+            colours = now
+            if not moved:
+                break
+        colours = colours.select("node", "colour")
+        inside = left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst").filter("c = d")
+        inside = save(inside.select("src", "dst", F.col("c").alias("colour")), "scc-inside")
+        front = save(colours.filter("node = colour"), "scc-found")
+        found = [front]
+        while True:
+            step = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(union(found).select("node"), "node", "left_anti")
+            front = save(step.select("node", "colour"), "scc-found")
+            if not front.limit(1).count():
+                break
+            found = [*compact(found, "scc-found"), front]
+        met = save(union(found), "scc-done")
+        done.append(met.select("node", F.col("colour").alias("component")))
+        rest = save(nodes.join(met, "node", "left_anti"), "scc-nodes")
+        smaller = save(left.join(met.select(F.col("node").alias("src")), "src", "left_anti").join(met.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges")
+        for t in (nodes, left, inside):
+            drop(t)
+        nodes, left = rest, smaller
+    return union([*done, nodes.select("node", F.col("node").alias("component"))]).distinct()
+
+
+def dependency_order(edges: DataFrame) -> DataFrame:
+    """(node, component, level, state) of (parent src, dependent dst): an order that holds with cycles too.
+
+    Nodes of a cycle are one component and share a level; a component is one above the highest that it depends on.  ``state``
+    is cycle for nodes on one (a node that depends on itself too), below_cycle for those that depend on one, else ordered.
+    """
+    e = save(edges.select("src", "dst").dropna().distinct(), "order-edges")
+    of = save(strong_components(e), "order-components")
+    ends = e.join(of.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    between = save(ends.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "order-between")
+    loops = ends.filter("a = b").select(F.col("a").alias("component")).distinct()  # a component with an edge inside is a cycle
+    cycles = save(loops, "order-cycles")
+    levels = dependency_levels(between)
+    below = reachable_from(between, cycles.select(F.col("component").alias("node")))
+    out = of.join(levels.withColumnRenamed("node", "component"), "component", "left").join(cycles.withColumn("_cycle", F.lit(True)), "component", "left").join(below.select(F.col("node").alias("component"), F.lit(True).alias("_below")), "component", "left")
+    state = F.when(F.col("_cycle"), "cycle").when(F.col("_below"), "below_cycle").otherwise("ordered")
+    return out.select("node", "component", F.coalesce("level", F.lit(0)).alias("level"), state.alias("state"))
+
+
+def reachable_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): what any root reaches over (src, dst), the roots themselves only where an edge leads to them."""
+    e = save(edges.select("src", "dst").distinct(), "reach-edges")
+    front = save(e.join(roots.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct(), "reach")
+    found = [front]
+    while front.limit(1).count():
+        step = e.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(union(found), "node", "left_anti")
+        front = save(step, "reach")
+        found = [*compact(found, "reach"), front]
+    return union(found)

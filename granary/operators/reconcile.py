@@ -208,6 +208,55 @@ def forecast_answers(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     return out.agg(F.count_if(F.col("failed_column").isNull()).alias("n_rekeyed"), F.count_if(F.col("failed_column").isNotNull()).alias("n_dropped"))
 
 
+def forecast_candidates(df: DataFrame, references: dict[str, str], answers: dict[str, dict[str, DataFrame | None]], chosen: dict[str, str], entering: dict[str, dict[str, DataFrame]] | None = None) -> DataFrame:
+    """(target, answer, chosen, n_rekeyed, n_dropped, n_entering) for every candidate answer of every target, from one scan.
+
+    ``references`` names the target of each reference column; an answer is the frame of keys (source_key) that it resolves, or
+    None for one that resolves nothing.  Per target, keys carry a bitmap of the answers that resolve them, so a row meets
+    each target once per column however many answers there are.  An answer is looked at with the other targets at
+    their chosen ones: a reference is rekeyed if it resolves and every other filled reference of its row does too; it is
+    dropped if it doesn't resolve; one that resolves in a row that a sibling drops is neither.  ``entering`` are the rows
+    that an answer brings into scope.
+    """
+    rows, exprs, names = df, [], []
+    bit: dict[tuple[str, str], int] = {}
+    for target, own in answers.items():
+        parts = None
+        for k, (answer, keys) in enumerate(own.items()):
+            bit[target, answer] = k
+            if keys is not None:
+                part = keys.select(F.col("source_key"), F.lit(1 << k).cast("long").alias("b"))
+                parts = part if parts is None else parts.unionByName(part)
+        for c in (c for c, t in references.items() if t == target):
+            if parts is None:
+                rows = rows.withColumn(f"_bits_{c}", F.lit(0).cast("long"))
+                continue
+            found = parts.groupBy(F.col("source_key").alias(f"_key_{c}")).agg(F.bit_or("b").alias(f"_bits_{c}"))
+            rows = rows.join(found, F.col(c) == F.col(f"_key_{c}"), "left").withColumn(f"_bits_{c}", F.coalesce(f"_bits_{c}", F.lit(0)))
+    filled = {c: F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in references}
+    resolves = lambda c, answer: F.col(f"_bits_{c}").bitwiseAND(F.lit(1 << bit[references[c], answer])) != 0
+    for target, own in answers.items():
+        for answer in own:
+            survives = F.lit(True)
+            for c, t in references.items():
+                survives = survives & (~filled[c] | resolves(c, answer if t == target else chosen[t]))
+            mine = [c for c, t in references.items() if t == target]
+            rekeyed = sum((F.count_if(filled[c] & resolves(c, answer) & survives) for c in mine), F.lit(0))
+            dropped = sum((F.count_if(filled[c] & ~resolves(c, answer)) for c in mine), F.lit(0))
+            exprs += [rekeyed.cast("long").alias(f"r{len(names)}"), dropped.cast("long").alias(f"d{len(names)}")]
+            names.append((target, answer))
+    row = rows.agg(*exprs)
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(a).alias("answer"), F.lit(chosen[t] == a).alias("chosen"), F.col(f"r{k}").alias("n_rekeyed"), F.col(f"d{k}").alias("n_dropped")) for k, (t, a) in enumerate(names)])).alias("x")).select("x.*")
+    sizes = None
+    for t, own in (entering or {}).items():
+        for a, frame in own.items():
+            part = frame.agg(F.count(F.lit(1)).alias("n_entering")).select(F.lit(t).alias("target"), F.lit(a).alias("answer"), "n_entering")
+            sizes = part if sizes is None else sizes.unionByName(part)
+    if sizes is None:
+        return out.withColumn("n_entering", F.lit(0).cast("long"))
+    return out.join(sizes, ["target", "answer"], "left").withColumn("n_entering", F.coalesce("n_entering", F.lit(0)))
+
+
 def escaping_references(contract, tables: dict[str, DataFrame], subset: set[str]) -> DataFrame:
     """(reference, direction, n_rows): references that leave a table subset, and dependents that point into it."""
     out = None

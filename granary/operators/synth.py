@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.cells import cell_draw, weighted_pick
-from granary.operators.profile import table_fingerprint  # noqa: F401
+from granary.functions.scratch import union
+from granary.operators.diff import table_digest
 from granary.operators.reconcile import numbered
 
 
@@ -42,17 +43,51 @@ def draw_fk_clustered(rows: DataFrame, seed: int, table: str, column: str, paren
     return rows.withColumn("_at", at).join(pool.withColumnRenamed("pool_row", "_at"), "_at", "left").withColumnRenamed("pool_key", column).drop("_at")
 
 
-def draw_fk_weighted(rows: DataFrame, seed: int, table: str, column: str, weights: list[tuple[int, int]]) -> DataFrame:
-    """A parent by its observed frequency; ``weights`` is a top list of (key, n)."""
-    return rows.withColumn(column, weighted_pick(cell_draw(seed, table, column, "row"), weights))
+def _at_pool(rows: DataFrame, at: Column, column: str, parent: DataFrame, key: str) -> DataFrame:
+    """The pool's key at a position from 0, the last one beyond its end; NULL when the pool is empty."""
+    pool = _pool(parent, key)
+    n = pool.count()
+    rows = rows.withColumn("_at", F.least(at, F.lit(max(n, 1) - 1)) + 1)
+    return rows.join(pool.withColumnRenamed("pool_row", "_at"), "_at", "left").withColumnRenamed("pool_key", column).drop("_at")
+
+
+def draw_fk_weighted(rows: DataFrame, seed: int, table: str, column: str, weights: list[tuple[int, int]], parent: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """A parent by its observed frequency; ``weights`` is a top list of (key, n), the most frequent first.
+
+    With ``parent`` and ``key`` the evidence holds by rank: the most referenced key stands for the first of the parent's
+    keys in order, and so on, so keys that were minted anew have the fan-out of the source and no orphan comes to be; ranks
+    behind the pool's end have no weight.
+    """
+    draw = cell_draw(seed, table, column, "row")
+    if parent is None or key is None:
+        return rows.withColumn(column, weighted_pick(draw, weights))
+    n = parent.select(key).distinct().count()
+    ranked = [(rank, w) for rank, (_, w) in enumerate(sorted(weights, key=lambda x: -x[1]))][: max(n, 1)]
+    return _at_pool(rows, weighted_pick(draw, ranked).cast("long"), column, parent, key)
 
 
-def draw_fk_joint(rows: DataFrame, seed: int, table: str, columns: list[str], tuples: DataFrame) -> DataFrame:
-    """Correlated references: one draw per row picks a tuple of (columns..., n), a list of at most some hundred."""
+def draw_fk_joint(rows: DataFrame, seed: int, table: str, columns: list[str], tuples: DataFrame, pools: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """Correlated references: one draw per row picks a tuple of (columns..., n), a list of at most some hundred.
+
+    With ``pools`` (column -> parent and key) each position's values are ranked by how often the tuples have them, and a
+    value stands for the pool's key at its rank (the last one beyond the pool's end), so which parents go together is kept.
+    """
     found = tuples.orderBy(F.col("n").desc(), *columns).select(*columns, "n").collect()
     at = weighted_pick(cell_draw(seed, table, "+".join(columns), "row"), [(i, r["n"]) for i, r in enumerate(found)])
-    few = rows.sparkSession.createDataFrame([(i, *[r[c] for c in columns]) for i, r in enumerate(found)], "_at int, " + ", ".join(f"{c} {dict(tuples.dtypes)[c]}" for c in columns))
-    return rows.withColumn("_at", at).join(F.broadcast(few), "_at", "left").drop("_at")
+    if pools is None:
+        few = rows.sparkSession.createDataFrame([(i, *[r[c] for c in columns]) for i, r in enumerate(found)], "_at int, " + ", ".join(f"{c} {dict(tuples.dtypes)[c]}" for c in columns))
+        return rows.withColumn("_at", at).join(F.broadcast(few), "_at", "left").drop("_at")
+    ranks = {}
+    for c in columns:
+        n: dict = {}
+        for r in found:
+            n[r[c]] = n.get(r[c], 0) + r["n"]
+        ranks[c] = {v: k for k, v in enumerate(sorted(n, key=lambda v: (-n[v], v)))}
+    few = rows.sparkSession.createDataFrame([(i, *[ranks[c][r[c]] for c in columns]) for i, r in enumerate(found)], "_tuple int, " + ", ".join(f"_rank_{c} long" for c in columns))
+    out = rows.withColumn("_tuple", at).join(F.broadcast(few), "_tuple", "left").drop("_tuple")
+    for c in columns:
+        out = _at_pool(out, F.col(f"_rank_{c}"), c, *pools[c]).drop(f"_rank_{c}")
+    return out
 
 
 def draw_null(value: Column, seed: int, table: str, column: str, n_nulls: int, n_rows: int) -> Column:
@@ -125,8 +160,8 @@ def layer_evidence(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFra
     return over.unionByName(base.join(over.select(*keys).distinct(), keys, "left_anti"))
 
 
-#: Name stems that mark a column as personal.
-PII_STEMS = {"email": ("email", "mail"), "phone": ("phone", "mobile", "fax"), "address": ("address", "street", "city", "zip", "postal"), "person": ("name", "first", "last", "person")}
+#: Name stems that mark a column as personal; of names only those of people, so p_name or last_update aren't.
+PII_STEMS = {"email": ("email", "e_mail"), "phone": ("phone", "mobile"), "address": ("address", "street", "postal", "zip"), "person": ("firstname", "lastname", "fullname", "surname", "givenname")}
 
 
 def pii_columns(columns: list[str]) -> dict[str, str]:
@@ -158,3 +193,74 @@ def reprofile_fidelity(source: DataFrame, generated: DataFrame) -> DataFrame:
     """Deltas between two ``column_profile`` frames by table and column."""
     both = source.alias("a").join(generated.alias("b"), ["table", "column"])
     return both.select("table", "column", F.abs(F.col("a.null_share") - F.col("b.null_share")).alias("null_share_delta"))
+
+
+def _total_variation(a: DataFrame, b: DataFrame, subject: list[str], value: list[str]) -> DataFrame:
+    """Half the sum of differences of shares between two lists (subject..., value..., n); a subject on one side only is 1 apart."""
+    share = lambda df, name: df.withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy(*subject))).select(*subject, *value, name)
+    both = share(a, "_p").join(share(b, "_q"), [*subject, *value], "full_outer")
+    sums = both.groupBy(*subject).agg(F.sum(F.abs(F.coalesce("_p", F.lit(0.0)) - F.coalesce("_q", F.lit(0.0)))).alias("_d"), F.count("_p").alias("_m"), F.count("_q").alias("_n"))
+    return sums.select(*subject, F.when((F.col("_m") == 0) | (F.col("_n") == 0), 1.0).otherwise(F.col("_d") / 2).alias("distance"))
+
+
+#: Shares of the points of a numeric distribution, with the columns that hold them.
+_POINTS = [(0.0, "min"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95"), (0.99, "p99"), (1.0, "max")]
+
+
+def _share_below(x: Column, points: list[Column]) -> Column:
+    """The share of values up to x by straight lines between a distribution's points; of equal points the last counts."""
+    out = F.when(x >= points[-1], 1.0).when(x < points[0], 0.0)
+    for k in reversed(range(len(points) - 1)):
+        (p, _), (q, _) = _POINTS[k], _POINTS[k + 1]
+        out = out.when(x >= points[k], F.lit(p) + (q - p) * (x - points[k]) / (points[k + 1] - points[k]))
+    return out
+
+
+def _kolmogorov(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The largest difference of shares below, at the points of either side, of two ``numeric_distribution`` frames."""
+    own = [F.col(f"a.{c}") for _, c in _POINTS]
+    other = [F.col(f"b.{c}") for _, c in _POINTS]
+    both = a.alias("a").join(b.alias("b"), ["table", "column"])
+    apart = [F.abs(_share_below(x, own) - _share_below(x, other)) for x in own + other]
+    return both.select("table", "column", F.greatest(*apart).alias("distance"))
+
+
+def reprofile_distances(source: dict[str, DataFrame], generated: dict[str, DataFrame]) -> DataFrame:
+    """(axis, subject, distance) between two profiles (axis -> frame, see ``full_profile``), for every axis that both have.
+
+    NULL shares by difference; lists of values, of referenced parents and of tuples by total variation, the referenced
+    parents by rank, since keys are minted anew; numbers and children per parent by the largest difference of shares below.
+    """
+    dot = F.concat_ws(".", "table", "column")
+    out: list[DataFrame] = []
+    add = lambda axis, df, subject: out.append(df.select(F.lit(axis).alias("axis"), subject.alias("subject"), "distance"))
+    both = [x for x in source if x in generated]
+    if "column_profile" in both:
+        add("null_share", reprofile_fidelity(source["column_profile"], generated["column_profile"]).withColumnRenamed("null_share_delta", "distance"), dot)
+    if "categorical_distribution" in both:
+        add("categorical_distribution", _total_variation(source["categorical_distribution"], generated["categorical_distribution"], ["table", "column"], ["value"]), dot)
+    for axis in ("numeric_distribution", "fk_cardinality"):
+        if axis in both:
+            add(axis, _kolmogorov(source[axis], generated[axis]), dot)
+    if "fk_selectivity" in both:
+        add("fk_selectivity", _total_variation(source["fk_selectivity"], generated["fk_selectivity"], ["reference"], ["rank"]), F.col("reference"))
+    if "joint_distribution" in both:
+        add("joint_distribution", _total_variation(source["joint_distribution"], generated["joint_distribution"], ["table"], ["rank"]), F.col("table"))
+    return union(out)
+
+
+def synthetic_check(rows: DataFrame, again: DataFrame, references: dict[str, tuple[DataFrame, str]], values: dict[str, DataFrame]) -> DataFrame:
+    """(check, subject, n, passed): orphans per reference column, values that no evidence has, and the digest of a second run with the same seed.
+
+    ``references``: column -> parent and key; ``values``: column -> frame (value) of the vocabulary.  NULLs aren't looked at.
+    """
+    parts = []
+    for c, (parent, key) in references.items():
+        lost = rows.select(F.col(c).alias("_v")).dropna().join(parent.select(F.col(key).alias("_v")), "_v", "left_anti")
+        parts.append(lost.agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphans").alias("check"), F.lit(c).alias("subject"), "n"))
+    for c, known in values.items():
+        odd = rows.select(F.col(c).alias("_v")).dropna().join(known.select(F.col("value").alias("_v")), "_v", "left_anti")
+        parts.append(odd.agg(F.count(F.lit(1)).alias("n")).select(F.lit("foreign_values").alias("check"), F.lit(c).alias("subject"), "n"))
+    one, two = table_digest(rows).select(F.col("digest").alias("a")), table_digest(again.select(*rows.columns)).select(F.col("digest").alias("b"))
+    parts.append(one.join(two).select(F.lit("same_seed").alias("check"), F.lit("rows").alias("subject"), (F.col("a") != F.col("b")).cast("long").alias("n")))
+    return union(parts).withColumn("passed", F.col("n") == 0)

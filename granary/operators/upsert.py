@@ -11,15 +11,14 @@ from granary.operators.reconcile import numbered
 
 
 def _once(source: DataFrame, key: list[str]) -> DataFrame:
-    """The source, whose rows raise an error where a key without NULL comes more than once."""
-    rest = [c for c in source.columns if c not in key]
-    known = F.lit(True)
-    for k in key:
-        known = known & F.col(k).isNotNull()
-    whole = source.filter(known).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest) if rest else F.lit(1)).alias("_r"))
-    told = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("the source has a key more than once: "), F.concat_ws(",", *[F.col(k).cast("string") for k in key]))))
-    whole = whole.select(*key, told.alias("_r")).select(*key, *([F.col(f"_r.{c}").alias(c) for c in rest] if rest else []))
-    return whole.select(*source.columns).unionByName(source.filter(~known))
+    """The source, whose rows raise an error where a key without NULL comes more than once.
+
+    The keys alone are counted, in a subquery of their own, so the rows go straight to the join.
+    """
+    named = F.concat_ws(",", *[F.col(k).cast("string") for k in key])
+    twice = source.select(*key).dropna().groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").agg(F.min(named).alias("_twice"))
+    told = F.raise_error(F.concat(F.lit("the source has a key more than once: "), twice.scalar()))
+    return source.filter(F.when(twice.scalar().isNotNull(), told).otherwise(F.lit(True)))
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, key: list[str], *, deferred: tuple[str, ...] = (), delete_scope: Column | None = None, insert: bool = True) -> DataFrame:
@@ -76,7 +75,8 @@ def two_phase_load(contract: Contract, tables: dict[str, DataFrame], nullable: s
         for r in contract.of(name):
             if r.parent not in seen:
                 if r.name in nullable:
-                    df = df.withColumn(r.column, F.lit(None).cast(dict(df.dtypes)[r.column]))
+                    kinds = dict(df.dtypes)
+                    df = df.withColumns({c: F.lit(None).cast(kinds[c]) for c in r.columns})
                 elif r.parent != name:
                     stuck.append(r.name)
         first[name] = df
@@ -84,6 +84,34 @@ def two_phase_load(contract: Contract, tables: dict[str, DataFrame], nullable: s
     return order, first, stuck
 
 
+def load_cycles(contract: Contract, nullable: set[str]) -> list[tuple[list[str], str, list[str]]]:
+    """Per cycle of tables: (members, Resolved or Refused, references).
+
+    Resolved: the references that can be NULL at first, without which the members have an order.  Refused: references of
+    a cycle on which none can be NULL; one of them has to be made so.  A table that refers to itself is a cycle of one.
+    """
+    reach = {t: _reached(contract, t, set()) for t in contract.tables}
+    out = []
+    for t in contract.tables:
+        members = [u for u in contract.tables if u in reach[t] and t in reach[u]]
+        if t not in reach[t] or members[0] != t:
+            continue
+        inside = [r for r in contract.references if r.child in members and r.parent in members]
+        strong = Contract({u: contract.tables[u] for u in members}, tuple(r for r in inside if r.name not in nullable))
+        stuck = [r.name for r in strong.references if r.child in _reached(strong, r.parent, set()) | {r.parent}]
+        out.append((members, "Refused", stuck) if stuck else (members, "Resolved", [r.name for r in inside if r.name in nullable]))
+    return out
+
+
+def _reached(contract: Contract, table: str, seen: set[str]) -> set[str]:
+    """Tables that a table refers to, directly or not."""
+    for r in contract.of(table):
+        if r.parent not in seen:
+            seen.add(r.parent)
+            _reached(contract, r.parent, seen)
+    return seen
+
+
 def repoint(loaded: DataFrame, original: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Second phase: deferred references from the original rows, by key."""
     o = original.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o_{c}") for c in columns])
@@ -96,3 +124,34 @@ def repoint(loaded: DataFrame, original: DataFrame, key: str, columns: list[str]
 def revert_set(df: DataFrame, key: str, minted: DataFrame) -> DataFrame:
     """The table without exactly the keys (assigned_key) that a load minted."""
     return df.join(minted.select(F.col("assigned_key").alias(key)), key, "left_anti")
+
+
+def revert_sequence(contract: Contract, tables: dict[str, DataFrame], minted: dict[str, DataFrame]) -> tuple[list[tuple[str, DataFrame]], DataFrame]:
+    """What to remove, children first, as (table, its keys to remove); and what forbids it: (reference, n_rows).
+
+    Removed are the minted keys (assigned_key) that a table still has.  A row that stays and points at a removed one forbids the
+    whole: rows (reference, n_rows) say how many do.  Tables on a cycle of references stand together.
+    """
+    order = [t for level in reversed(contract.levels()) for t in level if t in minted]
+    gone = {t: tables[t].select(contract.tables[t].key[0]).join(minted[t].select(F.col("assigned_key").alias(contract.tables[t].key[0])), contract.tables[t].key[0], "left_semi").distinct() for t in order}
+    held = None
+    for t in order:
+        for r in contract.into(t):
+            if r.child not in tables:
+                continue
+            kept = revert_set(tables[r.child], contract.tables[r.child].key[0], minted[r.child]) if r.child in gone else tables[r.child]
+            lost = tables[t].join(gone[t], list(contract.tables[t].key[:1]), "left_semi").select(*[F.col(k).alias(f"_p_{i}") for i, k in enumerate(r.keys)])
+            on = [F.col(c) == F.col(f"_p_{i}") for i, c in enumerate(r.columns)]
+            part = kept.join(lost, on, "left_semi").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(r.name).alias("reference"), "n_rows")
+            held = part if held is None else held.unionByName(part)
+    if held is None:
+        held = next(iter(tables.values())).sparkSession.createDataFrame([], "reference string, n_rows long")
+    return [(t, gone[t]) for t in order], held.filter("n_rows > 0")
+
+
+def revert_load(contract: Contract, tables: dict[str, DataFrame], minted: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without what a load minted; refused where a row that stays would lose its parent."""
+    sequence, held = revert_sequence(contract, tables, minted)
+    if found := held.limit(10).collect():
+        raise ValueError("rows that stay point at rows to remove: " + ", ".join(f"{r.reference} ({r.n_rows})" for r in found))
+    return tables | {t: tables[t].join(keys, contract.tables[t].key[0], "left_anti") for t, keys in sequence}

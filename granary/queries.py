@@ -751,6 +751,20 @@ def q_forecast_answers(s, d):
     return reconcile.forecast_answers(T(s, d, "orders").select("o_orderkey", "o_custkey"), {"o_custkey": surrogates(s, d)})
 
 
+ANSWERS = {"o": {"match": "IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 <> 0)", "widen": "IN (SELECT o_orderkey FROM orders)", "pin": "IS NULL"}, "s": {"match": "IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 13 <> 0)", "pin": "IS NULL"}}
+_forecast = lambda target, column, side, other: " UNION ALL ".join(f"SELECT '{target}' AS target, '{a}' AS answer, {a == 'match'} AS chosen, count(*) FILTER ({column} {test} AND {other}) AS n_rekeyed, count(*) FILTER (NOT ({column} {test})) AS n_dropped, {'(SELECT count(*) FROM orders)' if a == 'widen' else '0'} AS n_entering FROM lineitem" for a, test in ANSWERS[side].items())
+
+
+@query(_forecast("orders", "l_orderkey", "o", f"l_suppkey {ANSWERS['s']['match']}") + " UNION ALL " + _forecast("supplier", "l_suppkey", "s", f"l_orderkey {ANSWERS['o']['match']}"))
+def q_forecast_candidates(s, d):
+    keys = lambda table, key, test: T(s, d, table).filter(test).select(F.col(key).alias("source_key"))
+    answers = {
+        "orders": {"match": keys("orders", "o_orderkey", "o_orderkey % 97 <> 0"), "widen": keys("orders", "o_orderkey", "true"), "pin": None},
+        "supplier": {"match": keys("supplier", "s_suppkey", "s_suppkey % 13 <> 0"), "pin": None},
+    }
+    return reconcile.forecast_candidates(T(s, d, "lineitem").select("l_orderkey", "l_suppkey"), {"l_orderkey": "orders", "l_suppkey": "supplier"}, answers, {"orders": "match", "supplier": "match"}, {"orders": {"widen": T(s, d, "orders")}})
+
+
 @query("SELECT 'customer.c_nationkey' AS reference, 'escapes' AS direction, count(*) AS n_rows FROM customer UNION ALL SELECT 'lineitem.l_orderkey', 'points_in', count(*) FROM lineitem UNION ALL SELECT 'events.user_id', 'points_in', count(*) FROM events")
 def q_escaping_references(s, d):
     return reconcile.escaping_references(STAR, tables(s, d, "customer", "orders", "lineitem", "events"), {"customer", "orders"})
@@ -915,6 +929,26 @@ def q_impact_triage(s, d):
     return diff.impact_triage(u.withColumn("escapes", F.col("unit") % 10 == 0)).select("unit", "class", "score")
 
 
+@query("SELECT c_custkey, n_name, n_orders, n_items FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, CAST(sum(n) AS BIGINT) AS n_items FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 19 = 0")
+def q_nested_documents(s, d):
+    """Customers with their orders, and these with their items: counts from inside the documents."""
+    t = tables(s, d, "customer", "orders", "lineitem", "nation")
+    out = diff.nested_documents(STAR, t | {"customer": t["customer"].filter("c_custkey % 19 = 0")}, "customer", {"nation"})
+    items = F.aggregate(F.filter(F.transform(F.col("`orders.o_custkey`"), lambda o: F.size(o["lineitem.l_orderkey"])), lambda x: x > 0), F.lit(None).cast("long"), lambda a, x: F.coalesce(a, F.lit(0)) + x)
+    return out.select("c_custkey", F.col("c_nationkey_row.n_name").alias("n_name"), F.when(F.col("`orders.o_custkey`").isNotNull(), F.size(F.col("`orders.o_custkey`")).cast("long")).alias("n_orders"), items.alias("n_items"))
+
+
+UNITS = f"(SELECT CASE WHEN o.o_custkey % 13 = 0 THEN 'customer:' || o.o_custkey ELSE 'orders:' || o_orderkey END AS unit, change, false AS out FROM {CH} JOIN orders o USING (o_orderkey) WHERE change <> 'Unchanged' UNION ALL SELECT 'customer:' || c_custkey, 'Changed', true FROM customer WHERE c_custkey % 13 = 0)"
+
+
+@query(f"SELECT unit, count(*) FILTER (change = 'Added') AS n_added, count(*) FILTER (change = 'Deleted') AS n_deleted, count(*) FILTER (change = 'Changed') AS n_changed, bool_or(out) AS escapes FROM {UNITS} GROUP BY unit")
+def q_change_units(s, d):
+    """Changed orders and customers, tied by the reference between them; customers refer to nations, which aren't moved."""
+    o = changes(s, d).join(T(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", "o_custkey", "change")
+    c = T(s, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 13 == 0, "Changed").otherwise("Unchanged").alias("change"))
+    return diff.change_units(STAR, {"orders": o, "customer": c}, {"orders", "customer"})
+
+
 @query("SELECT 'missing' AS side, c_custkey, c_name FROM customer WHERE c_custkey % 97 = 0")
 def q_drift_guard(s, d):
     return diff.drift_guard(T(s, d, "customer").select("c_custkey", "c_name"), some_customers(s, d).select("c_custkey", "c_name"))
@@ -976,6 +1010,18 @@ def q_revert_set(s, d):
     return upsert.revert_set(c, "c_custkey", c.filter("c_custkey % 13 = 0").select(F.col("c_custkey").alias("assigned_key")))
 
 
+@query("SELECT 1 AS step, 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey % 13 = 0 AND o_orderkey % 2 = 0 UNION ALL SELECT 2, 'customer', count(*) FROM customer WHERE c_custkey % 13 = 0 UNION ALL SELECT 0, 'orders.o_custkey', count(*) FROM orders WHERE o_custkey % 13 = 0 AND o_orderkey % 2 <> 0 HAVING count(*) > 0 UNION ALL SELECT 0, 'events.user_id', count(*) FROM events WHERE user_id % 13 = 0 HAVING count(*) > 0 UNION ALL SELECT 0, 'lineitem.l_orderkey', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 13 = 0 AND o_orderkey % 2 = 0) HAVING count(*) > 0")
+def q_revert_sequence(s, d):
+    """Keys to remove by step, and (step 0) rows that stay and forbid it."""
+    t = tables(s, d, "customer", "orders", "lineitem", "events")
+    minted = {"customer": t["customer"].filter("c_custkey % 13 = 0").select(F.col("c_custkey").alias("assigned_key")), "orders": t["orders"].filter("o_custkey % 13 = 0 AND o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("assigned_key"))}
+    steps, held = upsert.revert_sequence(STAR, t, minted)
+    out = held.select(F.lit(0).alias("step"), F.col("reference").alias("name"), F.col("n_rows").alias("n"))
+    for k, (name, keys) in enumerate(steps):
+        out = out.unionByName(keys.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k + 1).alias("step"), F.lit(name).alias("name"), "n"))
+    return out
+
+
 # -- 2.8 closure and corrections ------------------------------------------------------------------------------------
 def closed(s, d) -> dict[str, DataFrame]:
     t = tables(s, d, "orders", "customer", "nation", "region")
@@ -1099,6 +1145,26 @@ def q_draw_fk_joint(s, d):
     return synth.draw_fk_joint(synth_rows(s, d), 7, "lineitem", ["l_partkey", "l_suppkey"], joint)
 
 
+MINTED = "(SELECT 'k:' || range AS key, row_number() OVER (ORDER BY 'k:' || range) AS p FROM range(1, (SELECT count(*) FROM {t}) + 1))"
+
+
+@query(f"SELECT row, o_orderkey, key AS o_custkey FROM (SELECT r.row, r.row AS o_orderkey, min(w.p) AS p FROM (SELECT row, {DRAW.format(seed=7, t='orders', c='o_custkey')} AS dr FROM {ROWS}) r, (SELECT row_number() OVER (ORDER BY n DESC, value) AS p, sum(n) OVER (ORDER BY n DESC, value) AS cum, sum(n) OVER () AS total FROM (SELECT o_custkey AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 50)) w WHERE r.dr % CAST(w.total AS BIGINT) < w.cum GROUP BY r.row) JOIN {MINTED.format(t='customer')} USING (p)")
+def q_draw_fk_weighted_of_minted_pool(s, d):
+    """The fan-out of the source over parents whose keys were minted anew."""
+    parents = synth.mint_keys(s, T(s, d, "customer").count(), "c_custkey", "string")
+    return synth.draw_fk_weighted(synth_rows(s, d), 7, "orders", "o_custkey", order_weights(s, d, "o_custkey"), parents, "c_custkey")
+
+
+_ranks = lambda c: f"(SELECT {c}, row_number() OVER (ORDER BY sum(n) DESC, {c}) AS rank FROM {JOINT} GROUP BY {c})"
+
+
+@query(f"SELECT row, o_orderkey, a.key AS l_partkey, b.key AS l_suppkey FROM (SELECT r.row, r.row AS o_orderkey, min_by(l_partkey, cum) AS l_partkey, min_by(l_suppkey, cum) AS l_suppkey FROM (SELECT row, {DRAW.format(seed=7, t='lineitem', c='l_partkey+l_suppkey')} AS dr FROM {ROWS}) r, {JOINT} w WHERE r.dr % CAST(w.total AS BIGINT) < w.cum GROUP BY r.row) JOIN {_ranks('l_partkey')} x USING (l_partkey) JOIN {_ranks('l_suppkey')} y USING (l_suppkey) JOIN {MINTED.format(t='part')} a ON a.p = least(x.rank, (SELECT count(*) FROM part)) JOIN {MINTED.format(t='supplier')} b ON b.p = least(y.rank, (SELECT count(*) FROM supplier))")
+def q_draw_fk_joint_of_minted_pools(s, d):
+    joint = profile.joint_distribution(T(s, d, "lineitem"), ["l_partkey", "l_suppkey"])
+    pools = {"l_partkey": (synth.mint_keys(s, T(s, d, "part").count(), "p_partkey", "string"), "p_partkey"), "l_suppkey": (synth.mint_keys(s, T(s, d, "supplier").count(), "s_suppkey", "string"), "s_suppkey")}
+    return synth.draw_fk_joint(synth_rows(s, d), 7, "lineitem", ["l_partkey", "l_suppkey"], joint, pools)
+
+
 @query(f"SELECT row, CASE WHEN {DRAW.format(seed=7, t='orders', c='note#null')} % (SELECT count(*) FROM orders) >= 100 THEN row END AS note FROM {ROWS}")
 def q_draw_null(s, d):
     r = synth_rows(s, d)
@@ -1145,7 +1211,7 @@ def q_evidence_shape(s, d):
 def q_substitute_pii(s, d):
     people = [("Ada", "a@x.invalid", "1", "A st"), ("Bo", "b@x.invalid", "2", "B st")]
     c = T(s, d, "customer").select("c_custkey", "c_name")
-    return synth.substitute_pii(c, "c_custkey", synth.pii_columns(["c_name"]), people)
+    return synth.substitute_pii(c, "c_custkey", {"c_name": "person"}, people)
 
 
 @query("SELECT 'customer' AS \"table\", true AS covered UNION ALL SELECT 'orders', false")
@@ -1168,6 +1234,46 @@ def q_reprofile_fidelity(s, d):
     return synth.reprofile_fidelity(profile.column_profile(T(s, d, "orders"), "orders", ["o_orderkey", "o_custkey"]), profile.column_profile(rows, "orders"))
 
 
+_PTS = [0.0, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+
+
+def _below(x: str, v: str) -> str:
+    """The share of values up to x by straight lines between the points in a list."""
+    lines = "".join(f" WHEN {x} >= {v}[{k + 1}] THEN {p} + ({q} - {p}) * ({x} - {v}[{k + 1}]) / ({v}[{k + 2}] - {v}[{k + 1}])" for k, (p, q) in reversed(list(enumerate(zip(_PTS[:-1], _PTS[1:], strict=True)))))
+    return f"CASE WHEN {x} >= {v}[7] THEN 1.0 WHEN {x} < {v}[1] THEN 0.0{lines} END"
+
+
+OTHERS = f"(SELECT * FROM {FAULTY} WHERE c_custkey % 2 = 0 AND c_acctbal > 0)"
+
+
+@query(
+    " UNION ALL ".join(f"SELECT 'null_share' AS axis, 'customer.{c}' AS subject, round(abs((SELECT (count(*) - count({c})) / count(*) FROM customer) - (SELECT (count(*) - count({c})) / count(*) FROM {OTHERS})), 6) AS distance" for c in ("c_name", "c_mktsegment"))
+    + f" UNION ALL SELECT 'categorical_distribution', 'customer.c_mktsegment', round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) FROM (SELECT c_mktsegment AS v, count(*) / sum(count(*)) OVER () AS p FROM customer GROUP BY 1) FULL JOIN (SELECT c_mktsegment AS v, count(*) / sum(count(*)) OVER () AS q FROM {OTHERS} GROUP BY 1) USING (v)"
+    + f" UNION ALL SELECT 'numeric_distribution', 'customer.c_acctbal', round(max(abs({_below('x', 'a')} - {_below('x', 'b')})), 6) FROM (SELECT a, b, unnest(list_concat(a, b)) AS x FROM (SELECT quantile_cont(c_acctbal, {_PTS}) AS a FROM customer), (SELECT quantile_cont(c_acctbal, {_PTS}) AS b FROM {OTHERS}))"
+)
+def q_reprofile_distances(s, d):
+    """How far customers of one kind, with faults, are from all customers, on every axis."""
+
+    def axes(df: DataFrame) -> dict[str, DataFrame]:
+        return {"column_profile": profile.column_profile(df, "customer", ["c_name", "c_mktsegment"]), "categorical_distribution": profile.categorical_distribution(df, "customer", "c_mktsegment"), "numeric_distribution": profile.numeric_distribution(df, "customer", ["c_acctbal"])}
+
+    found = synth.reprofile_distances(axes(T(s, d, "customer")), axes(faulty_customers(s, d).filter("c_custkey % 2 = 0 AND c_acctbal > 0")))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"SELECT 'orphans' AS \"check\", 'o_custkey' AS subject, count(*) AS n, count(*) = 0 AS passed FROM (SELECT {DRAW.format(seed=7, t='orders', c='o_custkey')} % (SELECT count(*) FROM customer) + 1 AS p FROM {ROWS}) JOIN {POOL} USING (p) WHERE c_custkey % 97 = 0 UNION ALL SELECT 'foreign_values', 'p', count(*), count(*) = 0 FROM {_weighted_sql(DRAW.format(seed=7, t='orders', c='p'), 'o_orderpriority')} WHERE value = (SELECT min(o_orderpriority) FROM orders) UNION ALL SELECT 'same_seed', 'rows', 0, true")
+def q_synthetic_check_of_faults(s, d):
+    """Rows drawn from more parents and more values than they are held against."""
+
+    def rows() -> DataFrame:
+        out = synth.draw_fk_uniform(synth_rows(s, d), 7, "orders", "o_custkey", T(s, d, "customer"), "c_custkey")
+        return out.withColumn("p", synth.draw_categorical(7, "orders", "p", order_weights(s, d)))
+
+    least = T(s, d, "orders").agg(F.min("o_orderpriority"))
+    known = T(s, d, "orders").select(F.col("o_orderpriority").alias("value")).distinct().filter(F.col("value") != least.scalar())
+    return synth.synthetic_check(rows(), rows(), {"o_custkey": (some_customers(s, d), "c_custkey")}, {"p": known})
+
+
 # -- 2.10 graphs ----------------------------------------------------------------------------------------------------
 def part_supplier(s, d) -> DataFrame:
     return T(s, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst"))
@@ -1219,6 +1325,28 @@ def q_dependency_levels_of_chains(s, d):
     return graph.dependency_levels(chains)
 
 
+#: In each ten orders a cycle of three, two below it, a chain of three and an order that depends on itself.
+CYCLIC = "(SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders WHERE o_orderkey % 10 IN (0, 1, 2, 3, 5, 6) UNION ALL SELECT o_orderkey, o_orderkey - 2 FROM orders WHERE o_orderkey % 10 = 2 UNION ALL SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderkey % 10 = 8)"
+_REACH = f"e AS (SELECT * FROM {CYCLIC}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT node, coalesce(min(x.b), node) AS component, count(x.b) > 0 AS cycle FROM n LEFT JOIN (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a) x ON x.a = node GROUP BY node)"
+
+
+def cyclic_orders(s, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    last = F.pmod(k, F.lit(10))
+    to = F.array_compact(F.array(F.when(last.isin(0, 1, 2, 3, 5, 6), k + 1), F.when(last == 2, k - 2), F.when(last == 8, k)))
+    return T(s, d, "orders").select(k.alias("src"), F.explode(to).alias("dst"))
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT node, component FROM c")
+def q_strong_components(s, d):
+    return graph.strong_components(cyclic_orders(s, d))
+
+
+@query(f"WITH RECURSIVE {_REACH}, g AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c x ON x.node = e.src JOIN c y ON y.node = e.dst WHERE x.component <> y.component), p AS (SELECT DISTINCT component, 0 AS level FROM c UNION SELECT g.b, p.level + 1 FROM p JOIN g ON g.a = p.component), l AS (SELECT component, max(level) AS level FROM p GROUP BY 1) SELECT node, component, level, CASE WHEN cycle THEN 'cycle' WHEN EXISTS (SELECT 1 FROM r JOIN c q ON q.node = r.a WHERE r.b = c.node AND q.cycle) THEN 'below_cycle' ELSE 'ordered' END AS state FROM c JOIN l USING (component)")
+def q_dependency_order(s, d):
+    return graph.dependency_order(cyclic_orders(s, d))
+
+
 # -- sinks and files: written to the shared folder and read back ----------------------------------------------------
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 89 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS c_name FROM customer")
 def q_csv_sink(s, d):

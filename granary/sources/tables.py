@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.scratch import delete
+from granary.functions.scratch import delete, drop, save
 from granary.operators.profile import content_mark
 
 
@@ -95,16 +95,18 @@ def wipe_and_load(df: DataFrame, path: str) -> int:
     return 2 * old
 
 
-def resumable_load(df: DataFrame, path: str, key: str, chunk: int, table: str) -> DataFrame:
+def resumable_load(df: DataFrame, path: str, key: str, chunk: int, table: str, jobs: int = 16) -> DataFrame:
     """Load in key ranges of ``chunk``; finished chunks of the journal are skipped, a changed source is refused.
 
-    Returns the journal (table, chunk, first_key, last_key, n_rows).  A chunk is its own folder, overwritten whole, and
-    its journal entry is written after it, so a crash repeats one chunk at most.  Rows with a NULL key are the chunk NULL.
+    Returns the journal (table, chunk, first_key, last_key, n_rows).  Chunks are folders.  At most ``jobs`` jobs write them, each
+    all unfinished chunks of its share of the key range; they replace the folders they write, and a job's journal
+    entries, one per chunk, come after it.  So a crash repeats one job's chunks at most, and what is finished is found by an
+    anti-join with the journal, never by a list on the driver.  Rows with a NULL key are the chunk NULL.
     """
     spark = df.sparkSession
     facts = df.agg(F.count(F.lit(1)), F.min(key), F.max(key), content_mark(df)).first()
     mark = json.dumps([str(x) for x in facts] + [chunk])
-    journal = f"{path}/_journal/{table}"
+    journal, folder = f"{path}/_journal/{table}", f"{path}/{table}"
     schema = "table string, chunk long, first_key long, last_key long, n_rows long, mark string"
     try:
         done = spark.read.schema(schema).parquet(journal)
@@ -112,19 +114,21 @@ def resumable_load(df: DataFrame, path: str, key: str, chunk: int, table: str) -
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = spark.createDataFrame([], schema)
-    known = {r.chunk: r.mark for r in done.collect()}
-    if any(m != mark for m in known.values()):
+    if done.filter(F.col("mark") != mark).limit(1).count():
         raise ValueError("the source changed since the load began")
-    parts = df.withColumn("chunk", F.floor((F.col(key) - F.lit(facts[1] or 0)) / chunk).cast("long"))
-    counts = parts.groupBy("chunk").agg(F.min(key).alias("least"), F.max(key).alias("most"), F.count(F.lit(1)).alias("n_rows"))
-    counts = counts.select("*", F.col("least").cast("long").alias("first_key"), F.col("most").cast("long").alias("last_key")).orderBy("chunk")
-    for r in counts.collect():
-        if r.chunk in known:
-            continue
-        # By the key itself, so that the scan skips row groups; rows without a key are a chunk of their own.
-        rows = F.col(key).isNull() if r.chunk is None else F.col(key).between(r.least, r.most)
-        df.filter(rows).write.mode("overwrite").parquet(f"{path}/{table}/chunk={'__HIVE_DEFAULT_PARTITION__' if r.chunk is None else r.chunk}")
-        spark.createDataFrame([(table, r.chunk, r.first_key, r.last_key, r.n_rows, mark)], schema).coalesce(1).write.mode("append").parquet(journal)
+    low, high = facts[1] or 0, facts[2] or 0
+    parts = df.withColumn("chunk", F.floor((F.col(key) - F.lit(low)) / chunk).cast("long"))
+    finished = done.select(F.col("chunk").alias("_done"))
+    share = max(1, -(-int((high - low) // chunk + 1) // jobs))
+    ranges = [F.col(key).between(low + a * chunk, low + (a + share) * chunk - 1) for a in range(0, int((high - low) // chunk) + 1, share)] if facts[1] is not None else []
+    for rows in [*ranges, F.col(key).isNull()]:  # conditions on the key itself, so that the scan skips row groups
+        left = parts.filter(rows).join(finished, F.col("chunk").eqNullSafe(F.col("_done")), "left_anti")
+        entries = left.groupBy("chunk").agg(F.min(key).cast("long").alias("first_key"), F.max(key).cast("long").alias("last_key"), F.count(F.lit(1)).alias("n_rows"))
+        entries = save(entries.select(F.lit(table).alias("table"), "chunk", "first_key", "last_key", "n_rows", F.lit(mark).alias("mark")), "entries")
+        if entries.limit(1).count():
+            left.write.partitionBy("chunk").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+            entries.write.mode("append").parquet(journal)
+        drop(entries)
     return spark.read.schema(schema).parquet(journal)
 
 
