@@ -54,20 +54,33 @@ def _cells(df: DataFrame, columns: tuple[str, ...]) -> list[Column]:
     return [none[k].alias(k) for k in ("whole", "real", "text")]
 
 
+def _fixed(columns: tuple[str, ...], kinds: dict[str, DataType]) -> bool:
+    """Whether a subject's values are numbers or dates of fixed width."""
+    return len(columns) == 1 and isinstance(kinds[columns[0]], IntegralType | DoubleType | FloatType | DateType | TimestampType)
+
+
 def count_values(wanted: dict[str, tuple[DataFrame, list[tuple[str, ...]]]]) -> tuple[DataFrame, list[Subject]]:
     """(subject, whole, real, text, n) and the subjects by number; NULL, or a tuple with one, has all three NULL.
 
-    One scan of each table and one shuffle for all of them.
+    Numbers and dates have short keys of fixed width and are counted apart from texts and tuples, so a table is read twice
+    at most, each time only the columns of its kind; each kind is one shuffle for all tables.
     """
     subjects: list[Subject] = []
-    parts = []
+    parts: dict[bool, list[DataFrame]] = {False: [], True: []}
     for name, (df, columns) in wanted.items():
         first = len(subjects)
         subjects += [(name, c) for c in columns]
-        rows = F.array(*[F.struct(F.lit(first + k).alias("subject"), *_cells(df, c)) for k, c in enumerate(columns)])
-        parts.append(df.select(F.explode(rows).alias("x")).select("x.*"))
-    counts = union(parts).groupBy("subject", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
-    return save(counts, "counts"), subjects
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        for fixed in parts:
+            own = [(k, c) for k, c in enumerate(columns) if _fixed(c, kinds) is fixed]
+            if own:
+                rows = F.array(*[F.struct(F.lit(first + k).alias("subject"), *_cells(df, c)) for k, c in own])
+                parts[fixed].append(df.select(F.explode(rows).alias("x")).select("x.*"))
+    counted = [
+        union(rows).groupBy("subject", "whole", "real", *(() if fixed else ("text",))).agg(F.count(F.lit(1)).alias("n")).select("subject", "whole", "real", F.lit(None).cast("string").alias("text") if fixed else F.col("text"), "n")
+        for fixed, rows in parts.items() if rows
+    ]
+    return save(union(counted), "counts"), subjects
 
 
 def filled() -> Column:
@@ -92,36 +105,34 @@ def summary(counts: DataFrame) -> DataFrame:
     )
 
 
-def quantiles(counts: DataFrame, group: str, shares: tuple[float, ...]) -> DataFrame:
-    """(group, p): linear interpolation at (rows - 1) * share for each share, from rows (group, value, n).
+def distributions(counts: DataFrame, group: str, shares: tuple[float, ...]) -> DataFrame:
+    """(group, sample_size, min, max, mean, stddev, p) of rows (group, value, n); a value may come in several rows.
 
-    The counts are dealt once into ranges of (group, value).  Sums per group and range tell in which range each wanted rank
-    lies, and only these ranges are summed up value by value to find the two neighbours of a share.
+    ``p`` has the linear interpolation at (sample_size - 1) * share for each share, deviations are taken from the mean.  The
+    counts are dealt once into ranges of (group, value).  Sums per group and range tell in which range each wanted rank lies,
+    and only these ranges are summed up value by value to find the two neighbours of a share.
     """
     ranged = save(counts.select(group, "value", "n").repartitionByRange(group, "value").withColumn("_part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy(group)
-    spans = ranged.groupBy(group, "_part").agg(F.sum("n").alias("_rows"))
-    spans = spans.withColumn("_before", F.sum("_rows").over(own.orderBy("_part")) - F.col("_rows")).withColumn("_all", F.sum("_rows").over(own))
+    spans = ranged.groupBy(group, "_part").agg(F.sum("n").alias("_rows"), F.min("value").alias("_min"), F.max("value").alias("_max"), F.sum(F.col("value") * F.col("n")).alias("_sum"))
+    spans = save(spans.withColumn("_before", F.sum("_rows").over(own.orderBy("_part")) - F.col("_rows")).withColumn("_all", F.sum("_rows").over(own)), "spans")
     asked = spans.select(group, "_part", "_before", "_rows", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("_all") - 1) * F.lit(p)).alias("at")) for k, p in enumerate(shares)])).alias("s"))
     asked = asked.select(group, "_part", "_before", "_rows", "s.k", "s.at", F.floor("s.at").alias("low"), F.ceil("s.at").alias("high"))
     inside = lambda rank, first, n: (F.col(rank) >= first) & (F.col(rank) < first + n)
     asked = asked.filter(inside("low", F.col("_before"), F.col("_rows")) | inside("high", F.col("_before"), F.col("_rows"))).drop("_rows")
     near = ranged.join(asked.select(group, "_part").distinct(), [group, "_part"], "left_semi")
-    near = near.withColumn("_upto", F.sum("n").over(Window.partitionBy(group, "_part").orderBy("value")))
+    running = Window.partitionBy(group, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("_upto", F.sum("n").over(running))
     first = F.col("_before") + F.col("_upto") - F.col("n")
     found = near.join(asked, [group, "_part"]).filter(inside("low", first, F.col("n")) | inside("high", first, F.col("n")))
     hit = lambda rank: F.max(F.when(inside(rank, first, F.col("n")), F.col("value")))
     ends = found.groupBy(group, "k", "at", "low", "high").agg(hit("low").alias("a"), hit("high").alias("b"))
     value = F.when(F.col("low") == F.col("high"), F.col("a")).otherwise((F.col("high") - F.col("at")) * F.col("a") + (F.col("at") - F.col("low")) * F.col("b"))
-    return ends.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"]).alias("p"))
-
-
-def moments(counts: DataFrame, group: str) -> DataFrame:
-    """(group, sample_size, min, max, mean, stddev) of rows (group, value, n); deviations are taken from the mean."""
-    one = counts.groupBy(group).agg(F.sum("n").alias("sample_size"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
-    apart = counts.join(one.select(group, F.col("mean").alias("_mean")), group)
-    two = apart.groupBy(group).agg(F.sqrt(F.sum(F.col("n") * (F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean"))) / F.sum("n")).alias("stddev"))
-    return one.join(two, group)
+    points = ends.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"]).alias("p"))
+    whole = spans.groupBy(group).agg(F.sum("_rows").alias("sample_size"), F.min("_min").alias("min"), F.max("_max").alias("max"), (F.sum("_sum") / F.sum("_rows")).alias("mean"))
+    apart = F.col("value") - F.col("_mean")
+    spread = ranged.join(whole.select(group, F.col("mean").alias("_mean")), group).groupBy(group).agg(F.sqrt(F.sum(F.col("n") * apart * apart) / F.sum("n")).alias("stddev"))
+    return whole.join(spread, group).join(points, group)
 
 
 def top_lists(counts: DataFrame, top: int) -> DataFrame:

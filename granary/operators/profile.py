@@ -55,15 +55,14 @@ def attribute_reality(df: DataFrame, table: str, nullable: set[str], inactive: s
 
 def percentile_cont(df: DataFrame, column: str, share: float) -> DataFrame:
     """(value): linear interpolation at (n - 1) * share of the non-NULL values; no row without any."""
-    counts = df.select(F.lit(0).alias("subject"), F.col(column).cast("double").alias("value")).dropna().groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n"))
-    return vc.quantiles(counts, "subject", (share,)).select(F.col("p")[0].alias("value"))
+    counts = save(df.select(F.lit(0).alias("subject"), F.col(column).cast("double").alias("value")).dropna().groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n")), "numbers")
+    return vc.distributions(counts, "subject", (share,)).select(F.col("p")[0].alias("value"))
 
 
 def _distributions(counts: DataFrame, named: Column, outcome: str = "Succeeded") -> DataFrame:
     """Distribution rows of counts (subject, value, n); ``named`` is a struct of table and column made of the subject."""
-    counts = save(counts, "numbers")
     ps = [F.col("p")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)]
-    out = vc.moments(counts, "subject").filter(F.col("sample_size") >= LEAST_SAMPLE).join(vc.quantiles(counts, "subject", PERCENTILES), "subject")
+    out = vc.distributions(counts, "subject", PERCENTILES).filter(F.col("sample_size") >= LEAST_SAMPLE)
     return out.withColumn("_named", named).select("_named.table", "_named.column", "sample_size", "min", *ps, "max", "mean", "stddev", F.lit(outcome).alias("outcome"))
 
 
@@ -79,7 +78,8 @@ def numeric_distribution(df: DataFrame, table: str, columns: list[str], exact: b
     """
     if exact:
         rows = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("subject"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])).alias("x")).select("x.*")
-        return _distributions(rows.filter("value IS NOT NULL").groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n")), _named([(table, c) for c in columns]))
+        counts = rows.filter("value IS NOT NULL").groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n"))
+        return _distributions(save(counts, "numbers"), _named([(table, c) for c in columns]))
     quantile = lambda c: F.percentile_approx(c, list(PERCENTILES), 100_000).cast("array<double>")
     row = df.agg(*[F.struct(F.count(c).alias("sample_size"), F.min(c).cast("double").alias("min"), quantile(c).alias("p"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("stddev")).alias(f"a_{i}") for i, c in enumerate(columns)])
     out = _long(row, columns, {"v": "a"}).filter(F.col("v.sample_size") >= LEAST_SAMPLE)
@@ -245,7 +245,7 @@ def full_profile(tables: dict[str, DataFrame], contract: Contract, top: int = 50
     # Children per parent are counts of counts; their subjects come behind the others.
     refs = [r for t in tables for r in contract.of(t)]
     numeric = [k for k in singles if vc.is_numeric(kinds[subjects[k]])]
-    values = pick(numeric, counts).filter(vc.filled()).groupBy("subject", vc.number().alias("value")).agg(F.sum("n").alias("n"))
+    values = pick(numeric, counts).filter(vc.filled()).select("subject", vc.number().alias("value"), "n")
     of_ref = [at[r.child, r.columns] for r in refs]
     sizes = pick(of_ref, counts).filter(vc.filled()).groupBy((F.col("subject") + len(subjects)).alias("subject"), F.col("n").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     behind = {at[r.child, r.columns]: r.name for r in refs}

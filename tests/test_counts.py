@@ -19,9 +19,10 @@ def test_quantiles_equal_sorted_values(spark):
     rows = [(g, v, n) for g, vs in groups.items() for v, n in Counter(vs).items()]
     df = spark.createDataFrame(rows, "g int, value double, n long").repartition(6)
     shares = (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)
-    got = {r.g: r.p for r in vc.quantiles(df, "g", shares).collect()}
-    assert {g: pytest.approx([np.quantile(vs, p) for p in shares]) for g, vs in groups.items()} == got
-    found = {r.g: r for r in vc.moments(df, "g").collect()}
+    found = {r.g: r for r in vc.distributions(df.union(df.filter("value > 1").withColumn("n", F.lit(0))), "g", shares).collect()}
+    assert {g: pytest.approx([np.quantile(vs, p) for p in shares]) for g, vs in groups.items()} == {g: r.p for g, r in found.items()}
+    twice = {r.g: r.p for r in vc.distributions(df.union(df), "g", (0.5,)).collect()}
+    assert twice == {g: pytest.approx([np.quantile(vs * 2, 0.5)]) for g, vs in groups.items()}
     for g, vs in groups.items():
         assert (found[g].sample_size, found[g].min, found[g].max) == (len(vs), min(vs), max(vs))
         assert found[g].mean == pytest.approx(np.mean(vs)) and found[g].stddev == pytest.approx(np.std(vs), abs=1e-9)
