@@ -98,7 +98,7 @@ class LevelledRuns:
 def dedup_lines(docs: DataFrame, *, least_chars: int = 20, least_docs: int = 3, batches: int | None = None, fan: int = FAN) -> DataFrame:
     """``docs`` with the text that is left, and n_lines (before) and n_dropped, which replace columns so named."""
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    docs = docs.select(F.struct(*names).alias("rest") if names else F.lit(None).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names]).alias("rest") if names else F.lit(None).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = save(_keys(docs, least_chars), "line-keys")
     runs = LevelledRuns(fan)
     if batches is None:

@@ -70,7 +70,7 @@ def _constant(weights: list[float]) -> Column:
 def quality_rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, bound: int = TRUSTED) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept, which replace columns so named."""
     names = [c for c in docs.columns if c not in RESULTS]
-    docs = docs.select(F.struct(*names).alias("rest"), "doc_id", "text")
+    docs = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names]).alias("rest"), "doc_id", "text")
     weights = _constant(bucket_weights(docs, trusted_ids(labels, bound)).first()["weights"])
     out = _hashed(docs)
     n = F.size("q_words")

@@ -461,3 +461,21 @@ def test_extraction_on_pages_and_edges(spark):
 
         want = [" ".join(unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inside)]
         assert r.text == "\n".join(x for x in want if x)
+
+
+def test_columns_with_dots_pass_through(spark):
+    d = spark.createDataFrame([(1, "a line that is long enough to be a key", 5, 6)], "doc_id long, text string, `a.b` int, `c``d` int")
+    got = dedup_lines(d).first()
+    assert (got["a.b"], got["c`d"], got["n_lines"]) == (5, 6, 1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    scored = quality_rules(d, labels).first()
+    assert (scored["a.b"], scored["c`d"], scored["n_words"]) == (5, 6, 10)
+
+
+def test_filters_stay_above_the_scores(spark):
+    """Pushed below the step that makes the word arrays, a filter would make them anew for every element."""
+    d = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = quality_rules(d, labels).filter("kept")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x]
+    assert any("score" in x for x in filters) and not any("lambda" in x or "xxhash64" in x for x in filters)

@@ -1,6 +1,9 @@
 """The pipeline's stages: each takes effect, keeps the columns, and equals its operator run apart."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from granary.llm.decontaminate import find_leaks
@@ -36,3 +39,37 @@ def test_run_reads_the_folder(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         corpus_pipeline.run(spark, "/nowhere")
     assert find_leaks(spark.read.parquet(f"{SF}/documents.parquet").join(out.select("doc_id").distinct(), "doc_id", "left_semi"), spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+
+
+def folder(spark, path, docs, benchmark=(), labels=()):
+    """A folder with the tables that the pipeline reads."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_run_of_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_run_of_hard_rows(spark, tmp_path):
+    """Null ids and cells, very long and repeated texts, a leak, and columns with the names that stages use."""
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(3000)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    item, long = prose(40), "\n".join(prose(30) for _ in range(3000))
+    fine = [(k, prose(60), "en", f"s{k % 3}", 1) for k in range(30)]
+    rows = [*fine, (100, fine[0][1], None, None, None), (5, fine[5][1], "en", "s2", 1), (101, long, "en", "s1", 1), (None, prose(50), "en", "s1", 1), (102, None, None, None, None), (103, "", "en", "s", 0), (104, prose(30) + " " + item + " " + prose(30), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("score", "kept", "n_words", "component_id", "bin_id", "a.b", "keeper"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = corpus_pipeline.run(spark, folder(spark, tmp_path, docs, [(1, item), (2, None), (3, "")])).collect()  # without labels no score rejects
+    kept = {r.doc_id for r in got}
+    assert {r[0] for r in fine} <= kept | {0} and len(kept & {0, 100}) == 1  # of two equal documents one
+    assert not kept & {102, 103, 104} and 101 in kept and None in kept
+    size = lambda i: sum(r.n_words for r in got if r.doc_id == i)
+    assert size(101) == 90_000 and size(5) == 60 and size(None) == 50
