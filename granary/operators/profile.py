@@ -294,6 +294,46 @@ def distribution_merge(distributions: DataFrame) -> DataFrame:
     return best.select("table", "column", "b.*")
 
 
+#: Axes that are lists or distributions: what names a subject, and what the larger evidence is told by.
+_EVIDENCE = {
+    "numeric_distribution": (("table", "column"), "sample_size"), "fk_cardinality": (("table", "column"), "sample_size"), "categorical_distribution": (("table", "column"), "n_distinct"),
+    "fk_selectivity": (("reference",), "n_distinct"), "joint_distribution": (("table",), "n_distinct"),
+}
+
+
+def merge_profiles(profiles: list[dict[str, DataFrame]], worst: bool = False) -> dict[str, DataFrame]:
+    """Profiles of several environments (axis -> frame, see ``full_profile``) as one, on every axis that any of them has.
+
+    Counts, lengths and orphans are the largest, flags hold if they hold anywhere; of lists and distributions a subject has
+    the whole of the environment with the most evidence (distinct values or sample, then rows, then by content, so the order
+    of the environments doesn't count).  An orphan probe that succeeded anywhere did,
+    or with ``worst`` the worst outcome stands.
+    """
+    out: dict[str, DataFrame] = {}
+    for axis in dict.fromkeys(a for p in profiles for a in p):
+        parts = [p[axis].withColumn("_env", F.lit(k)) for k, p in enumerate(profiles) if axis in p]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        if axis in _EVIDENCE:
+            subject, by = _EVIDENCE[axis]
+            columns = [c for c in parts[0].columns if c != "_env"]
+            size = F.sum("n") if "n" in columns else F.max(by)
+            told = every.groupBy(*subject, "_env").agg(F.max(by).alias("_by"), size.alias("_size"), F.sum(F.shiftright(F.xxhash64(*columns), 16)).alias("_mark"))
+            best = told.groupBy(*subject).agg(F.max_by("_env", F.struct("_by", "_size", "_mark", -F.col("_env"))).alias("_best"))
+            out[axis] = every.join(best, list(subject)).filter("_env = _best").select(*columns)
+        elif axis == "column_profile":
+            most = every.groupBy("table", "column").agg(*[F.max(c).alias(c) for c in ("n_rows", "n_nulls", "max_length")])
+            share = F.when(F.col("n_rows") > 0, F.col("n_nulls") / F.col("n_rows")).otherwise(F.lit(0.0))
+            out[axis] = most.select("*", share.alias("null_share"), ((F.col("n_rows") > 0) & (F.col("n_nulls") == F.col("n_rows"))).alias("all_null"), (F.col("n_nulls") == 0).alias("zero_null"))
+        elif axis == "unique_candidate":
+            out[axis] = every.groupBy("table", "columns").agg(F.max("n_duplicate_keys").alias("n_duplicate_keys"), F.bool_or("has_duplicates").alias("has_duplicates"))
+        elif axis == "fk_reality":
+            rank = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("outcome"))
+            out[axis] = every.groupBy("reference").agg(F.max("n_orphans").alias("n_orphans"), (F.max_by("outcome", rank) if worst else F.min_by("outcome", rank)).alias("outcome"))
+    return out
+
+
 def worst_case_merge(profiles: DataFrame) -> DataFrame:
     return profile_merge(profiles, worst=True)
 

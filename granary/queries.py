@@ -350,6 +350,26 @@ def captures(s, d) -> DataFrame:
     return one.unionByName(two)
 
 
+FEWER = "(SELECT * FROM customer WHERE c_custkey % 2 = 0)"
+_LIST = "SELECT 'categorical_distribution' AS axis, value AS subject, n AS a, rank AS b FROM (" + TOPN.format(head="'x' AS x", v="value", o="value", e="c_name AS value", t="customer", k=50) + ")"
+
+
+@query(
+    f"SELECT 'column_profile' AS axis, 'c_name' AS subject, (SELECT count(*) FROM customer) AS a, (SELECT count(*) FILTER (c_custkey % 89 = 0) FROM {FEWER}) AS b UNION ALL SELECT 'column_profile', 'c_custkey', (SELECT count(*) FROM customer), 0"
+    + f" UNION ALL SELECT 'unique_candidate', 'c_custkey', 0, 0 UNION ALL SELECT 'fk_reality', 'orders.o_custkey', (SELECT count(*) {ORPHANS}), 0 UNION ALL {_LIST}"
+)
+def q_merge_profiles(s, d):
+    """All customers, and half of them with empty names and lost orders, as one profile."""
+    few = faulty_customers(s, d).filter("c_custkey % 2 = 0")
+
+    def axes(c: DataFrame, parent: DataFrame) -> dict[str, DataFrame]:
+        return {"column_profile": profile.column_profile(c, "customer", ["c_custkey", "c_name"]), "unique_candidate": profile.unique_candidate(c, "customer", ["c_custkey"]), "fk_reality": profile.fk_reality(T(s, d, "orders"), ORD, parent), "categorical_distribution": profile.categorical_distribution(c, "customer", "c_name")}
+
+    m = profile.merge_profiles([axes(few, some_customers(s, d)), axes(T(s, d, "customer"), T(s, d, "customer"))])
+    row = lambda axis, subject, a, b: m[axis].select(F.lit(axis).alias("axis"), F.col(subject).alias("subject"), F.col(a).cast("long").alias("a"), (F.col(b) if b else F.lit(0)).cast("long").alias("b"))
+    return row("column_profile", "column", "n_rows", "n_nulls").unionByName(row("unique_candidate", "columns", "n_duplicate_keys", None)).unionByName(row("fk_reality", "reference", "n_orphans", None)).unionByName(row("categorical_distribution", "value", "n", "rank"))
+
+
 MERGED = _each(CCOLS, "SELECT 'customer' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls, true AS has_duplicates, 'OUTCOME' AS outcome, 2 AS captured_at FROM {source}", FAULTY)
 
 
@@ -841,7 +861,7 @@ def q_table_digest(s, d):
 
 @query(_digest_sql(EDITED))
 def q_server_digest(s, d):
-    return diff.server_digest(odd_edited(s, d))
+    return diff.server_digest(odd_edited(s, d), ["o_orderkey"])
 
 
 RD = f"(SELECT o_orderkey, 'missing' AS state, CAST([] AS VARCHAR[]) AS columns FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT o.o_orderkey, 'differs', ['o_orderstatus'] FROM orders o JOIN {EDITED} e USING (o_orderkey) WHERE o.o_orderstatus <> e.o_orderstatus)"

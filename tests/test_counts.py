@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.contract import Contract, Reference, Table
 from granary.operators import counts as vc
 from granary.operators import profile
+from granary.plans import decide
 from granary.operators.profile import PERCENTILES
 
 
@@ -98,3 +99,32 @@ def test_composite_references_in_every_operator(spark):
     assert profile.reference_value_counts(tables, list(contract.references[:1])).agg(F.sum("n")).first()[0] == sum(None not in r[1:3] for r in child)
     assert profile.fk_cardinality(tables["child"], ref).first().sample_size == len({r[1:3] for r in child if None not in r[1:3]})
     assert profile.fk_selectivity(tables["child"], ref, 1).first().n == max(Counter(r[1:3] for r in child if None not in r[1:3]).values())
+
+
+def test_merged_profiles_don_t_depend_on_their_order_and_keep_the_larger_evidence(spark):
+    tables, contract, _, _ = star(spark)
+    half = {t: df.filter(F.col(df.columns[0]) % 2 == 0) for t, df in tables.items()}
+    one, two = profile.full_profile(tables, contract, top=3), profile.full_profile(half, contract, top=3)
+    rows = lambda m: {axis: sorted(map(str, df.select(*sorted(df.columns)).collect())) for axis, df in m.items()}
+    merged = rows(profile.merge_profiles([one, two]))
+    assert merged == rows(profile.merge_profiles([two, one])) == rows(profile.merge_profiles([one, two, two]))
+    alone = rows(one)
+    assert all(merged[axis] == alone[axis] for axis in ("numeric_distribution", "categorical_distribution", "fk_selectivity", "joint_distribution", "column_profile"))
+
+
+def test_every_check_of_profiles(spark):
+    ok = {"n_rows": 10, "n_nulls": 0, "not_null": False, "has_duplicates": False, "unique": False, "n_orphans": 0, "outcome": "Succeeded", "unique_outcome": None, "fk_outcome": None, "composite": None, "no_check": None}
+    cases = {
+        "null_count_over_rows": {"n_nulls": 11}, "probe_failed": {"outcome": "FallbackTimeout"}, "nulls_in_not_null": {"not_null": True, "n_nulls": 1}, "duplicates": {"unique": True, "has_duplicates": True}, "orphans": {"n_orphans": 2},
+        "composite_duplicates": {"unique": True, "has_duplicates": True, "composite": True}, "unique_probe_failed": {"unique_outcome": "Cancelled"}, "fk_probe_failed": {"fk_outcome": "Cancelled"}, "no_check": {"no_check": True},
+    }
+    rows = [{"env": "dev", "table": "t", "column": name, **ok, **change} for name, change in cases.items()]
+    rows += [{"env": "prod", "table": "t", "column": name, **ok, **change} for name, change in cases.items()]
+    rows += [{"env": "dev", "table": "gone", "column": "c", **ok}, {"env": "dev", "table": "Case", "column": "c", **ok}, {"env": "prod", "table": "case", "column": "c", **ok}]
+    rows += [{"env": e, "table": "t", "column": "mixed", **ok, "unique": e == "dev"} for e in ("dev", "prod")] + [{"env": e, "table": "t", "column": "varied", **ok, "n_rows": 9000, "n_nulls": 0 if e == "dev" else 5000} for e in ("dev", "prod")]
+    schema = "env string, table string, column string, n_rows long, n_nulls long, not_null boolean, has_duplicates boolean, unique boolean, n_orphans long, outcome string, unique_outcome string, fk_outcome string, composite boolean, no_check boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+    got = {(r.env, r.table, r.column, r.finding) for r in decide.validate_profiles(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)).collect()}
+    want = {(e, "t", name, name) for name in cases for e in ("dev", "prod")}
+    want |= {("*", "gone", "*", "table_missing"), ("*", "case", "*", "name_case"), ("*", "t", "mixed", "unique_disagreement"), ("*", "t", "varied", "null_variance")}
+    assert got == want and len({f for *_, f in got}) == 13

@@ -79,3 +79,11 @@ def test_empty_sides(spark):
     assert row_diff(none, none, ["k"]).collect() == []
     assert [(r.k, r.state) for r in row_diff(one, none, ["k"]).collect()] == [(None, "missing")]
     assert [(r.k, r.state) for r in row_diff(none, one, ["v", "j"]).select("v", "state").withColumnRenamed("v", "k").collect()] == [("a", "extra")]
+
+
+def test_server_digests_refuse_keys_without_one_order(spark):
+    df = spark.createDataFrame([(1, 2, "a", 0.5)], SCHEMA)
+    assert diff.server_digest(df, ["k"]).collect() == diff.table_digest(df).collect()
+    for key in ([], ["k", "j"], ["v"], ["x"]):
+        with pytest.raises(ValueError, match="key"):
+            diff.server_digest(df, key)
