@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from granary.functions.scratch import compact, drop, save, union
@@ -14,7 +14,8 @@ __all__ = ["connected_components", "dependency_levels", "dependency_order", "lab
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int | None = None) -> DataFrame:
     """(node, score): scores sum to 1; dangling mass is spread evenly; ends when the largest change is under ``tolerance``.
 
-    Changes shrink by ``damping`` each round, so the end comes.  ``rounds`` asks for so many iterations instead.
+    Changes shrink by ``damping`` each round, so the end comes.  ``rounds`` asks for so many iterations instead.  A round is
+    one job: it writes the scores, and the lost mass and the largest change are observed on the way.
     """
     e = save(edges.select("src", "dst").distinct(), "pr-edges")
     nodes = save(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out")), "node", "left"), "pr-nodes")
@@ -22,18 +23,23 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, r
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
     ranks = save(nodes.select("node", "out", F.lit(1.0 / n).alias("score")), "pr")
+    lost = ranks.filter("out IS NULL").count() / n
     done = 0
     while rounds is None or done < rounds:
         done += 1
-        lost = ranks.filter("out IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         given = e.join(ranks.filter("out IS NOT NULL"), e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("out")).alias("got"))
-        now = nodes.join(given, nodes["node"] == given["dst"], "left")
-        new = save(now.select("node", "out", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score")), "pr")
-        change = new.alias("a").join(ranks.alias("b"), "node").agg(F.max(F.abs(F.col("a.score") - F.col("b.score")))).first()[0]
+        score = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))
+        now = ranks.join(given, ranks["node"] == given["dst"], "left").select("node", "out", score.alias("score"), F.col("score").alias("was"))
+        # What the next round and its end need is taken along by the job that writes.
+        seen = Observation()
+        now = now.observe(seen, F.max(F.abs(F.col("score") - F.col("was"))).alias("change"), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
+        new = save(now.select("node", "out", "score"), "pr")
+        change, lost = seen.get["change"], seen.get["lost"]
         drop(ranks)
         ranks = new
         if rounds is None and change < tolerance:
             break
+    drop(nodes)
     return ranks.select("node", "score")
 
 
