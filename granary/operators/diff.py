@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.types import IntegralType
 
 from granary.contract import Contract
 from granary.functions.cells import canonical_text
-from granary.functions.scratch import save, union
+from granary.functions.scratch import drop, save, union
 from granary.operators.components import connected_components
 
 SEP = "\x1e"
@@ -76,8 +77,10 @@ def differing_columns(columns: list[str], limit: int | None = 4) -> Column:
     return F.slice(names, 1, limit) if limit else names
 
 
-#: Most key ranges of a comparison, and rows in one at least.
+#: Most key ranges of a comparison whose numbers come to the driver, and rows in one at least.
 RANGES, RANGE_ROWS = 1 << 16, 256
+#: The same for ``row_diff``, so that scattered differences leave most rows alone; numbers beyond ``RANGES`` stay a bitmap.
+FINE_RANGES, FINE_ROWS = 1 << 24, 32
 #: Most intervals of ranges that go to the scan as a condition on the key.
 INTERVALS = 200
 
@@ -92,13 +95,13 @@ class KeyRanges:
     width: float
 
     @staticmethod
-    def of(a: DataFrame, b: DataFrame, key: list[str]) -> KeyRanges:
+    def of(a: DataFrame, b: DataFrame, key: list[str], most: int = RANGES, least: int = RANGE_ROWS) -> KeyRanges:
         kind = a.schema[key[0]].dataType
         if not isinstance(kind, IntegralType) or not isinstance(b.schema[key[0]].dataType, IntegralType):
             rows = a.count() + b.count()
-            return KeyRanges(tuple(key), max(1, min(RANGES, rows // RANGE_ROWS)), None, 0)
+            return KeyRanges(tuple(key), max(1, min(most, rows // least)), None, 0)
         ends = a.select(key[0]).union(b.select(key[0])).agg(F.count(F.lit(1)), F.min(key[0]), F.max(key[0])).first()
-        n = max(1, min(RANGES, ends[0] // RANGE_ROWS))
+        n = max(1, min(most, ends[0] // least))
         return KeyRanges(tuple(key), n, ends[1] or 0, max(1, -(-((ends[2] or 0) - (ends[1] or 0) + 1) // n)))
 
     def number(self) -> Column:
@@ -121,34 +124,48 @@ class KeyRanges:
         few = df.sparkSession.createDataFrame([(x,) for x in own], "_range int")  # at most RANGES numbers
         return df.withColumn("_range", self.number()).join(F.broadcast(few), "_range", "left_semi").drop("_range")
 
+    def rows_of_bits(self, df: DataFrame, bits: DataFrame) -> DataFrame:
+        """The rows in the ranges of a bitmap (word, mask), which has at most a row for 64 ranges."""
+        ranged = df.withColumn("_range", self.number()).withColumn("_word", F.shiftright("_range", 6))
+        found = ranged.join(F.broadcast(bits), F.col("_word") == F.col("word"))
+        return found.filter(F.expr("shiftright(mask, _range & 63) & 1 = 1")).select(*[F.col(f"`{c}`") for c in df.columns])
 
-def range_digests(df: DataFrame, ranges: KeyRanges, columns: list[str]) -> DataFrame:
-    """(range, n, s): rows, and sums of two hashes of them in halves, per key range.  Order, copies of a range's parts and partitions don't matter."""
+
+def _differing(a: DataFrame, b: DataFrame, ranges: KeyRanges, columns: list[str]) -> DataFrame:
+    """(range): the key ranges whose rows aren't the same on both sides; one scan of each.
+
+    Per range the rows are counted and a hash of them summed in halves, those of b negative: a range that differs passes for
+    equal with a probability of 2**-64.  Order, copies of a range's parts and partitions don't matter.
+    """
     cells = [F.col(f"`{c}`") for c in columns]
-    # A hash passes over NULL cells, so where they are is hashed too.
-    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
-    hashes = df.select(ranges.number().alias("range"), F.xxhash64(*cells, nulls).alias("_h"), F.xxhash64(nulls, F.lit(7), *cells).alias("_g"))
-    halves = [F.sum(x) for h in ("_h", "_g") for x in (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
-    return hashes.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.array(*halves).alias("s"))
+    # A hash passes over NULL cells, so where they are is hashed too, 32 columns a number.
+    flags = [F.when(c.isNull(), F.lit(1 << (k % 32))).otherwise(F.lit(0)).cast("long") for k, c in enumerate(cells)]
+    nulls = [reduce(lambda x, y: x.bitwiseOR(y), flags[k : k + 32]) for k in range(0, len(flags), 32)]
+    side = lambda df, sign: df.select(ranges.number().alias("range"), F.xxhash64(*cells, *nulls).alias("_h"), F.lit(sign).cast("long").alias("_sign"))
+    halves = [F.sum(F.col("_sign") * x) for x in (F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("_h", 32))]
+    sums = side(a, 1).union(side(b, -1)).groupBy("range").agg(F.sum("_sign").alias("s"), *[x.alias(f"s{k}") for k, x in enumerate(halves)])
+    return sums.filter(" OR ".join(f"{c} <> 0" for c in sums.columns[1:])).select("range")
 
 
 def differing_ranges(a: DataFrame, b: DataFrame, ranges: KeyRanges, columns: list[str]) -> list[int]:
-    """The key ranges whose rows aren't the same on both sides; one scan of each."""
-    both = range_digests(a, ranges, columns).alias("a").join(range_digests(b, ranges, columns).alias("b"), "range", "full_outer")
-    return [r["range"] for r in both.filter(~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.s").eqNullSafe(F.col("b.s")))).select("range").collect()]
+    """The key ranges whose rows aren't the same on both sides, for at most ``RANGES`` ranges."""
+    return [r["range"] for r in _differing(a, b, ranges, columns).collect()]
 
 
 def paired_rows(a: DataFrame, b: DataFrame, key: list[str], keep_equal: bool = False) -> DataFrame:
     """Rows of both sides as multisets: (a_*, b_*, in_a, in_b, same), NULL keys being equal to each other.
 
     Equal rows of both sides cancel out, copy by copy (with ``keep_equal`` they stay as pairs).  What is left of a key is
-    paired in the order of its cells, the rest stands alone.  Everything happens in one shuffle by the key.
+    paired in the order of its cells, the rest stands alone.  With ``keep_equal`` everything happens in one shuffle by the
+    key; without, rows cancel out by all their cells first, so that many rows of one key don't meet, and the rest goes by the key.
     """
     columns = a.columns
     side = lambda df, x, y: df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.lit(x).alias("_a"), F.lit(y).alias("_b"))
     own = [f"c{columns.index(k)}" for k in key]
     rest = [f"c{k}" for k in range(len(columns))]
-    counted = side(a, 1, 0).union(side(b, 0, 1)).repartition(*own).groupBy(*rest).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    counted = side(a, 1, 0).union(side(b, 0, 1)).repartition(*(own if keep_equal else rest)).groupBy(*rest).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    if not keep_equal:
+        counted = counted.filter("_a <> _b")
     entry = lambda x, n: F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(x))
     none = F.array().cast("array<string>")
     equal = F.least("_a", "_b")
@@ -171,14 +188,21 @@ def row_diff(a: DataFrame, b: DataFrame, key: list[str], limit: int | None = 4)
     """(key..., state, columns): rows that are missing from b, extra in b, or differ.
 
     Additive digests per key range find the ranges that differ, in one scan of each side; only the rows of these are
-    read again and compared, so equal ranges never travel.  Rows of a key are compared as multisets and NULL keys are
-    equal, so a table never differs from itself.
+    read again and compared, so equal ranges never travel.  Ranges are short, as differences may be all over the keys.
+    Rows of a key are compared as multisets and NULL keys are equal, so a table never differs from itself.
     """
     columns = a.columns
     b = b.select(*[F.col(f"`{c}`") for c in columns])
-    ranges = KeyRanges.of(a, b, key)
-    some = differing_ranges(a, b, ranges, columns)
-    both = paired_rows(ranges.rows_of(a, some), ranges.rows_of(b, some), key)
+    ranges = KeyRanges.of(a, b, key, FINE_RANGES, FINE_ROWS)
+    found = save(_differing(a, b, ranges, columns), "differing")
+    if found.count() <= RANGES:
+        some = [r["range"] for r in found.collect()]
+        left = [ranges.rows_of(x, some) for x in (a, b)]
+        drop(found)
+    else:
+        bits = found.groupBy(F.shiftright("range", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, range & 63)")).alias("mask"))
+        left = [ranges.rows_of_bits(x, bits) for x in (a, b)]
+    both = paired_rows(*left, key)
     names = differing_columns([c for c in columns if c not in key], limit)
     state = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").otherwise("differs")
     return both.select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in key], state.alias("state"), F.when(state == "differs", names).otherwise(F.array().cast("array<string>")).alias("columns"))

@@ -87,3 +87,16 @@ def test_server_digests_refuse_keys_without_one_order(spark):
     for key in ([], ["k", "j"], ["v"], ["x"]):
         with pytest.raises(ValueError, match="key"):
             diff.server_digest(df, key)
+
+
+def test_scattered_differences_leave_most_rows_alone(spark, monkeypatch):
+    a = spark.range(100_000).selectExpr("CASE WHEN id % 89 <> 0 THEN id END AS k", "cast(id % 3 AS int) AS j", "'' AS v", "id * 0.5D AS x")
+    b = a.filter("x % 100 <> 7")
+    monkeypatch.setattr(diff, "RANGES", 100)  # more ranges differ than come to the driver
+    seen = []
+    paired = diff.paired_rows
+    monkeypatch.setattr(diff, "paired_rows", lambda x, y, key, **more: seen.append(x.count()) or paired(x, y, key, **more))
+    got = row_diff(a, b, ["k", "j"])
+    want = a.filter("x % 100 = 7").select("k", "j")
+    assert Counter((r.k, r.j, r.state) for r in got.collect()) == Counter((r.k, r.j, "missing") for r in want.collect())
+    assert seen[0] < 0.25 * 100_000
