@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from granary.functions.scratch import compact, drop, save, union
+from granary.functions.scratch import compact, drop, save, save_buckets, union
 from granary.operators.components import connected_components
 
 __all__ = ["connected_components", "dependency_levels", "dependency_order", "label_propagation", "pagerank", "reachable_sets", "strong_components"]
 
 
+#: Edges in a bucket, about; memory of a task follows it, not the graph.
+BUCKET = 1 << 20
+
+
+def _dealt(edges: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
+    """Distinct edges as a table bucketed by one end, and the number of buckets; rounds read it without moving it."""
+    n = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // BUCKET))
+    return save_buckets(edges.repartition(n, column).distinct(), name, column, n), n
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int | None = None) -> DataFrame:
     """(node, score): scores sum to 1; dangling mass is spread evenly; ends when the largest change is under ``tolerance``.
 
     Changes shrink by ``damping`` each round, so the end comes.  ``rounds`` asks for so many iterations instead.  A round is
-    one job: it writes the scores, and the lost mass and the largest change are observed on the way.
+    one job: it writes the scores, and the lost mass and the largest change are observed on the way.  Scores go to the
+    edges by a shuffle; a broadcast would pass the driver in every round.
     """
-    e = save(edges.select("src", "dst").distinct(), "pr-edges")
+    e, _ = _dealt(edges.select("src", "dst"), "src", "pr-edges")
     nodes = save(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out")), "node", "left"), "pr-nodes")
     n = nodes.count()
     if not n:
@@ -27,9 +38,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, r
     done = 0
     while rounds is None or done < rounds:
         done += 1
-        given = e.join(ranks.filter("out IS NOT NULL"), e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("out")).alias("got"))
+        given = e.join(ranks.filter("out IS NOT NULL").hint("shuffle_hash"), e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("out")).alias("got"))
         score = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))
-        now = ranks.join(given, ranks["node"] == given["dst"], "left").select("node", "out", score.alias("score"), F.col("score").alias("was"))
+        now = ranks.join(given.hint("merge"), ranks["node"] == given["dst"], "left").select("node", "out", score.alias("score"), F.col("score").alias("was"))
         # What the next round and its end need is taken along by the job that writes.
         seen = Observation()
         now = now.observe(seen, F.max(F.abs(F.col("score") - F.col("was"))).alias("change"), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
@@ -40,6 +51,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, r
         if rounds is None and change < tolerance:
             break
     drop(nodes)
+    drop(e)
     return ranks.select("node", "score")
 
 
@@ -48,28 +60,32 @@ def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
     All nodes move at once, until none does.  Labels may end in a cycle of two (two sides of a graph that swap theirs);
     then both are states of rest, and each node has the smaller of its two.  ``rounds`` asks for so many rounds instead.
+    Votes are dealt before they are counted, in parts of about ``BUCKET`` edges, so no task counts more than that of them.
     """
-    e = save(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().filter("src <> dst"), "lp-edges")
+    e, n = _dealt(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst"), "dst", "lp-edges")
     start = e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     older, old = None, save(start, "lp")
     done = 0
     while rounds is None or done < rounds:
         done += 1
-        votes = e.join(old, e["dst"] == old["node"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
+        votes = e.join(old.hint("shuffle_hash"), e["dst"] == old["node"]).select("src", "label").repartition(n, "src", "label").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("node", F.col("b.label").alias("label"))
         new = save(best, "lp")
         if rounds is None and _same(new, old):
+            drop(e)
             return new
         if rounds is None and older is not None and _same(new, older):
+            drop(e)
             both = new.alias("a").join(old.alias("b"), "node")
             return both.select("node", F.least("a.label", "b.label").alias("label"))
         drop(older)
         older, old = old, new
+    drop(e)
     return old
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:
-    return not a.alias("a").join(b.alias("b"), "node").filter(F.col("a.label") != F.col("b.label")).limit(1).count()
+    return not a.alias("a").join(b.alias("b").hint("merge"), "node").filter(F.col("a.label") != F.col("b.label")).limit(1).count()
 
 
 def reachable_sets(edges: DataFrame, roots: DataFrame, least: int = 3) -> DataFrame:
