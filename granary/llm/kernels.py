@@ -90,6 +90,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return words, np.searchsorted(starts, offsets)
 
 
+def word_counts(column: pa.Array) -> np.ndarray:
+    """The number of words of every row's text."""
+    data, offsets = utf8(column)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for a, b in chunks(offsets):
+        word = ~_SPACE[data[offsets[a] : offsets[b]]]
+        at = offsets[a : b + 1] - offsets[a]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        begin = at[:-1][at[:-1] < at[1:]]
+        first[begin] = word[begin]
+        sums = np.concatenate([[0], np.cumsum(first)])
+        out[a:b] = sums[at[1:]] - sums[at[:-1]]
+    return out
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words; of the whole sequence when it is shorter; none without words."""
     if not len(words):

@@ -103,8 +103,17 @@ def _near_in_size(n: np.ndarray, x: int, ys: np.ndarray, threshold: float) -> np
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dicts; lists are views of the batch's numbers, not Python lists."""
     for b in batches:
-        yield from b.to_pylist()
+        columns = []
+        for c in b.columns:
+            if pa.types.is_list(c.type):
+                flat, at = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+                columns.append([flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+            else:
+                columns.append(c.to_pylist())
+        for row in zip(*columns, strict=True):
+            yield dict(zip(b.schema.names, row, strict=True))
 
 
 def _lists(threshold: float, k: int, want: int):

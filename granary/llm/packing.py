@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.kernels import word_counts
 from granary.llm.near_dedup import near_duplicates
 
 CAPACITY = 2048
@@ -84,6 +85,12 @@ def _pack(capacity: int):
     return run
 
 
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, source, cluster) with the number of words in the text's place."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(word_counts(b.column(1))), b.column(2), b.column(3)], ["doc_id", "size", "source", "cluster"])
+
+
 def near_clusters(docs: DataFrame) -> DataFrame:
     """(doc_id, cluster): near copies, 0.8 alike in five-word shingles, are a cluster; texts without words have none."""
     found = near_duplicates(docs.select("doc_id", "text"), width=5, per_cent=80).filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -97,10 +104,10 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD, clust
     white space at the ends are a cluster.  ``clusters`` has (doc_id, cluster), one row per doc_id, which goes first.
     """
     text = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(SPACE))
-    size = F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"[\x20\x09-\x0D]+"))).cast("long")
     group = F.col(cluster).cast("long") if cluster else F.xxhash64(F.lower(text))
     shards = max(1, -(-docs.count() // shard))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), group.alias("cluster"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), group.alias("cluster"))
+    rows = rows.mapInArrow(_sized, "doc_id long, size long, source string, cluster long")
     if clusters is not None:  # sizes travel to this join, not texts
         found = clusters.select(F.col("doc_id").alias("d"), F.col("cluster").cast("long").alias("c"))
         rows = rows.join(found, F.col("doc_id") == F.col("d"), "left").select("doc_id", "size", "source", F.coalesce("c", "cluster").alias("cluster"))
