@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.contract import Contract, Reference
-from granary.functions.scratch import save
+from granary.functions.scratch import save, union
 from granary.operators import counts as vc
 from granary.operators.diff import row_digest
 
@@ -210,8 +210,8 @@ def stale_tables(cached: DataFrame, live: DataFrame) -> DataFrame:
 def full_profile(tables: dict[str, DataFrame], contract: Contract, top: int = 50, joint_top: int = 100) -> dict[str, DataFrame]:
     """All axes over all tables of a contract, one frame per axis; text columns have their ``top`` values.
 
-    Every table is read once: the values of all its columns, keys and tuples of references are counted together, in one
-    shuffle for all tables, and every axis is derived from these counts.
+    The values of all columns, keys and tuples of references are counted first, see ``counts.count_values``, and every axis is
+    derived from these counts.
     """
     spark = next(iter(tables.values())).sparkSession
     wanted: dict[str, tuple[DataFrame, list[tuple[str, ...]]]] = {}
@@ -248,6 +248,7 @@ def full_profile(tables: dict[str, DataFrame], contract: Contract, top: int = 50
     values = pick(numeric, counts).filter(vc.filled()).select("subject", vc.number().alias("value"), "n")
     of_ref = [at[r.child, r.columns] for r in refs]
     sizes = pick(of_ref, counts).filter(vc.filled()).groupBy((F.col("subject") + len(subjects)).alias("subject"), F.col("n").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = save(sizes, "sizes")
     behind = {at[r.child, r.columns]: r.name for r in refs}
     both = save(_distributions(values.unionByName(sizes), _named([(t, ",".join(c)) for t, c in subjects] + [(behind.get(k, ""), "#children") for k in range(len(subjects))])), "distributions")
     out["numeric_distribution"] = both.filter("column <> '#children'")
@@ -261,16 +262,19 @@ def full_profile(tables: dict[str, DataFrame], contract: Contract, top: int = 50
     out["fk_selectivity"] = cut(of_ref, top).select(named_ref.alias("reference"), vc.shown().alias("parent_key"), "n", "rank", "n_distinct", "truncated")
     out["joint_distribution"] = cut([at[t, c] for t, c in joint.items()], joint_top).select("_named.table", F.col("text").alias("values"), "n", "rank", "n_distinct", "truncated")
 
-    # Orphans: values of references that aren't among the values of the parent's key.
-    probed = [r for r in refs if r.parent in tables]
-    pairs = spark.createDataFrame([(k, at[r.child, r.columns], at[r.parent, r.keys]) for k, r in enumerate(probed)], "ref int, subject int, of int")
-    child = counts.join(F.broadcast(pairs), "subject").filter(vc.filled())
-    parent = counts.filter(vc.filled()).select(F.col("subject").alias("of"), *[F.col(c).alias(f"k_{c}") for c in ("whole", "real", "text")])
-    on = [child["of"] == parent["of"]] + [child[c].eqNullSafe(parent[f"k_{c}"]) for c in ("whole", "real", "text")]
-    lost = child.join(parent, on, "left_anti").groupBy("ref").agg(F.sum("n").alias("n_orphans"))
-    found = pairs.join(lost, "ref", "left").select(F.element_at(F.array(*[F.lit(r.name) for r in probed]), F.col("ref") + 1).alias("reference"), F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"), F.lit("Succeeded").alias("outcome"))
-    open_ = spark.createDataFrame([(r.name, 0, "AmbiguousMapping") for r in refs if r.parent not in tables], "reference string, n_orphans long, outcome string")
-    out["fk_reality"] = found.unionByName(open_)
+    # Orphans: values of references that aren't among the values of the parent's key; both are grouped together, nothing else is.
+    probed = [(k, at[r.child, r.columns], at[r.parent, r.keys]) for k, r in enumerate(refs) if r.parent in tables]
+    lacking = [(r.name, 0, "AmbiguousMapping") for r in refs if r.parent not in tables]
+    rows = lambda names, some: spark.range(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x, strict=True)]) for x in some])).alias("x")).select("x.*")
+    of_refs = [rows(("reference", "n_orphans", "outcome"), lacking).withColumn("n_orphans", F.col("n_orphans").cast("long"))] if lacking else []
+    if probed:
+        sides = rows(("ref", "subject", "held"), [x for k, child, parent in probed for x in ((k, child, False), (k, parent, True))])
+        keyed = pick(sorted({x for _, *both_ in probed for x in both_}), counts).filter(vc.filled()).join(F.broadcast(sides), "subject")
+        by = keyed.groupBy("whole", "real", "text", "ref").agg(F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("n"), F.max("held").alias("held"))
+        lost = by.groupBy("ref").agg(F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("n_orphans"))
+        named = rows(("ref", "reference"), [(k, refs[k].name) for k, *_ in probed])
+        of_refs.insert(0, named.join(lost, "ref", "left").select("reference", F.coalesce("n_orphans", F.lit(0).cast("long")).alias("n_orphans"), F.lit("Succeeded").alias("outcome")))
+    out["fk_reality"] = union(of_refs) if of_refs else spark.createDataFrame([], "reference string, n_orphans long, outcome string")
     return out
 
 

@@ -87,6 +87,42 @@ def test_full_profile_reads_every_table_once(spark, tmp_path):
     assert not any(f"{tmp_path}/{name}" in plans for name in tables)  # all axes come from the counts
 
 
+def test_orphans_are_not_joined_with_all_counts(spark):
+    tables, contract, _, _ = star(spark)
+    plan = profile.full_profile(tables, contract)["fk_reality"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan  # all counts of all tables went through this join
+
+
+def test_times_without_zone_and_whole_tuples_are_counted_as_numbers(spark):
+    times = ["1969-12-31 23:59:59.999999", "2024-03-31 02:30:00", "2024-03-31 03:30:00", "2024-03-31 02:30:00", None, "0001-01-01 00:00:00.000001"]
+    df = spark.createDataFrame([(t, k % 2, None if k == 5 else 7) for k, t in enumerate(times)], "t string, a int, b long").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # 02:30 doesn't exist there on that day
+    try:
+        counts, subjects = vc.count_values({"x": (df, [("t",), ("a", "b")])})
+        rows = counts.collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert subjects == [("x", ("t",)), ("x", ("a", "b"))]
+    micros = lambda t: round((np.datetime64(t.replace(" ", "T"), "us") - np.datetime64("1970-01-01T00:00:00", "us")).astype(int))
+    assert Counter({r.whole: r.n for r in rows if r.subject == 0}) == Counter(t and micros(t) for t in times)
+    assert {r.text: r.n for r in rows if r.subject == 1} == {"0,7": 3, "1,7": 2, None: 1}
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_top_lists_sort_few_rows_and_keep_every_tie(spark, times):
+    rng = random.Random(3)
+    rows = [(0, k, None, None, rng.choice([1] * 50 + [2])) for k in range(20_000)] + [(1, None, None, f"v{k * 7919 % 1_000_003}", times) for k in range(20_000)] + [(2, None, float(k), None, k) for k in range(60)] + [(0, None, None, None, 99)]
+    df = spark.createDataFrame(rows, "subject int, whole long, real double, text string, n long").repartition(5)
+    want = {}
+    for subject, *value, n in rows:
+        if value != [None] * 3:
+            want.setdefault(subject, []).append((-n, *[x for x in value if x is not None], *value))
+    got = {k: [(-r.n, r.whole, r.real, r.text) for r in sorted(vc.top_lists(df, 10).filter(F.col("subject") == k).collect(), key=lambda r: r["rank"])] for k in want}
+    assert got == {k: [(x[0], *x[2:]) for x in sorted(v, key=lambda x: x[:2])[:10]] for k, v in want.items()}
+    assert vc.contenders(df, 10).count() < 20_000
+
+
 def test_composite_references_in_every_operator(spark):
     tables, contract, parent, child = star(spark)
     ref = contract.references[0]
